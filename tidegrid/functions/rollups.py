@@ -59,91 +59,6 @@ def _changed(a: Column, b: Column) -> Column:
 
 
 SECONDS = 1000.0
-V, PV, PTS, NV = C("v"), C("pv"), C("pts"), C("nv")
-N = F.count("v")
-_ends = {"n": N, "fv": _first(), "ft": F.min("ts"), "lv": _last(), "lt": F.max("ts"), "fpv": F.min_by("pv", "ts"), "fpt": F.min_by("pts", "ts"), "fnv": F.min_by("nv", "ts")}
-_end_pair = _ends | {"lpv": F.max_by("pv", "ts"), "lpt": F.max_by("pts", "ts")}
-
-
-def _delta() -> Column:
-    step = F.coalesce(C("fnv") - C("fv"), F.lit(0.0))
-    from_zero = F.abs("fv") < 10 * (F.abs(step) + 1)
-    alone = F.when(from_zero, C("lv")).when(C("n") == 1, F.lit(0.0)).otherwise(C("lv") - C("fv"))
-    return F.when(C("fpv").isNotNull(), C("lv") - C("fpv")).otherwise(alone)
-
-
-def _deriv_fast() -> Column:
-    dt = lambda a: (C("lt") - a) / SECONDS
-    return F.when(C("prev_ok"), finite_div(C("lv") - C("fpv"), dt(C("fpt")))).when(C("n") > 1, finite_div(C("lv") - C("fv"), dt(C("ft"))))
-
-
-def _ideriv() -> Column:
-    many = finite_div(C("lv") - C("lpv"), (C("lt") - C("lpt")) / SECONDS)
-    return F.when(C("n") > 1, many).when(C("prev_ok"), many)
-
-
-_first_last = {"n": N, "fv": _first(), "lv": _last()}
-_delta_prometheus = F.when(C("n") > 1, C("lv") - C("fv"))
-_regress = {"n": N, "slope": F.regr_slope("v", (C("ts") - C("t")) / SECONDS), "icept": F.regr_intercept("v", (C("ts") - C("t")) / SECONDS), "av": F.avg("v"), "mn": F.min("v"), "mx": F.max("v")}
-_ZERO = F.lit(0.0)
-
-# Order-free rollups and those on neighbouring samples, without arguments besides the selector.
-PLAIN: dict[str, Callable[[], Spec]] = {
-    "avg_over_time": lambda: _simple(F.avg("v")),
-    "count_over_time": lambda: _simple(F.count("v").cast("double")),
-    "sum_over_time": lambda: _simple(F.sum("v")),
-    "sum2_over_time": lambda: _simple(F.sum(V * V)),
-    "min_over_time": lambda: _simple(F.min("v")),
-    "max_over_time": lambda: _simple(F.max("v")),
-    "range_over_time": lambda: _simple(F.max("v") - F.min("v")),
-    "median_over_time": lambda: _simple(F.percentile("v", F.lit(0.5))),
-    "present_over_time": lambda: Spec({"n": N}, F.lit(1.0)),
-    "absent_over_time": lambda: Spec({"n": N}, F.lit(1.0)),
-    "stddev_over_time": lambda: _simple(F.stddev_pop("v")),
-    "stdvar_over_time": lambda: _simple(F.var_pop("v")),
-    "first_over_time": lambda: _simple(_first()),
-    "last_over_time": lambda: _simple(_last()),
-    "tfirst_over_time": lambda: _simple(F.min("ts") / SECONDS),
-    "tlast_over_time": lambda: _simple(F.max("ts") / SECONDS),
-    "timestamp": lambda: _simple(F.max("ts") / SECONDS),
-    "timestamp_with_name": lambda: _simple(F.max("ts") / SECONDS),
-    "tmax_over_time": lambda: Spec({"a": F.max(F.struct("v", "ts"))}, C("a.ts") / SECONDS),
-    "tmin_over_time": lambda: Spec({"a": F.max(F.struct((-V).alias("v"), "ts"))}, C("a.ts") / SECONDS),
-    "default_rollup": lambda: Spec({"a": F.max_by(F.when(~C("is_stale"), V), "ts")}, C("a")),
-    "delta_prometheus": lambda: Spec(_first_last, _delta_prometheus),
-    "increase_prometheus": lambda: Spec(_first_last, _delta_prometheus),
-    "rate_prometheus": lambda: Spec(_first_last, finite_div(_delta_prometheus, C("w") / SECONDS)),
-    "delta": lambda: Spec(_ends, _delta(), True, _ZERO),
-    "increase": lambda: Spec(_ends, _delta(), True, _ZERO),
-    "increase_pure": lambda: Spec(_ends, C("lv") - F.coalesce("fpv", _ZERO), True, _ZERO),
-    "deriv_fast": lambda: Spec(_ends, _deriv_fast(), True, _ZERO),
-    "rate": lambda: Spec(_ends, _deriv_fast(), True, _ZERO),
-    "ideriv": lambda: Spec(_end_pair, _ideriv(), True),
-    "irate": lambda: Spec(_end_pair, _ideriv(), True),
-    "idelta": lambda: Spec(_end_pair, F.when((C("n") > 1) | C("prev_ok"), C("lv") - C("lpv")).otherwise(C("lv")), True, _ZERO),
-    "lag": lambda: Spec(_ends, (C("t") - C("lt")) / SECONDS, True, (C("t") - C("fpt")) / SECONDS),
-    "changes": lambda: Spec(_ends | {"c": F.sum(F.when(PV.isNull(), 1.0).otherwise(_changed(V, PV).cast("double")))}, C("c"), True, _ZERO),
-    "changes_prometheus": lambda: Spec(_ends | {"c": F.sum(F.coalesce(_changed(V, PV).cast("double"), _ZERO)), "c1": F.min_by(F.coalesce(_changed(V, PV).cast("double"), _ZERO), C("ts"))}, C("c") - C("c1"), True),
-    "resets": lambda: Spec(_ends | {"c": F.sum(F.coalesce(((V < PV) & _changed(V, PV)).cast("double"), _ZERO)), "c1": F.min_by(F.coalesce(((V < PV) & _changed(V, PV)).cast("double"), _ZERO), C("ts"))}, F.when(C("prev_ok"), C("c")).otherwise(C("c") - C("c1")), True, _ZERO),
-    # recognised names beyond those
-    "ascent_over_time": lambda: Spec(_ends | {"c": F.sum(F.greatest(V - F.coalesce(PV, V), _ZERO))}, C("c"), True),
-    "descent_over_time": lambda: Spec(_ends | {"c": F.sum(F.greatest(F.coalesce(PV, V) - V, _ZERO))}, C("c"), True),
-    "increases_over_time": lambda: Spec(_ends | {"c": F.sum(F.coalesce((V > PV).cast("double"), _ZERO))}, C("c"), True),
-    "decreases_over_time": lambda: Spec(_ends | {"c": F.sum(F.coalesce((V < PV).cast("double"), _ZERO))}, C("c"), True),
-    "deriv": lambda: Spec(_regress, F.when(C("n") > 1, C("slope"))),
-    "distinct_over_time": lambda: _simple(F.count_distinct("v").cast("double")),
-    "geomean_over_time": lambda: Spec({"p": F.product("v"), "n": N}, missing_if_nan(F.pow("p", 1.0 / C("n")))),
-    "integrate": lambda: Spec(_ends | {"c": F.sum(F.coalesce(PV * (C("ts") - F.greatest("pts", C("t") - C("w"))) / SECONDS, _ZERO))}, C("c"), True),
-    "lifetime": lambda: Spec(_ends, (C("lt") - F.coalesce(F.when(C("prev_ok"), C("fpt")), C("ft"))) / SECONDS, True),
-    "mode_over_time": lambda: _simple(F.mode("v", True)),
-    "mad_over_time": lambda: Spec({"l": F.collect_list("v"), "m": F.percentile("v", F.lit(0.5))}, _median_of(F.transform("l", lambda x: F.abs(x - C("m"))))),
-    "rate_over_sum": lambda: Spec({"s": F.sum("v")}, finite_div(C("s"), C("w") / SECONDS)),
-    "scrape_interval": lambda: Spec(_ends, F.when(C("prev_ok"), (C("lt") - C("fpt")) / SECONDS / C("n")).when(C("n") > 1, (C("lt") - C("ft")) / SECONDS / (C("n") - 1)), True),
-    "stale_samples_over_time": lambda: _simple(F.count_if(C("is_stale")).cast("double")),
-    "tlast_change_over_time": lambda: Spec(_ends | {"c": F.max(F.when(_changed(V, PV), C("ts")))}, C("c") / SECONDS, True),
-    "zscore_over_time": lambda: Spec({"lv": _last(), "m": F.avg("v"), "d": F.stddev_pop("v")}, F.when(C("d") == 0, _ZERO).otherwise(finite_div(C("lv") - C("m"), C("d")))),
-    "outlier_iqr_over_time": lambda: Spec({"lv": _last(), "q": F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))}, F.when((C("lv") > C("q")[1] + 1.5 * (C("q")[1] - C("q")[0])) | (C("lv") < C("q")[0] - 1.5 * (C("q")[1] - C("q")[0])), C("lv"))),
-}
 
 
 def _median_of(a: Column) -> Column:
@@ -157,7 +72,7 @@ def _count_where(make: Callable[[Column], Column], share: bool = False) -> Calla
 
 
 def _sum_where(make: Callable[[Column], Column]) -> Callable[[Column], Spec]:
-    return lambda x: _simple(F.sum(F.when(make(x), V)))
+    return lambda x: _simple(F.sum(F.when(make(x), C("v"))))
 
 
 def _quantile(phi: Column) -> Spec:
@@ -172,63 +87,156 @@ def _quantile(phi: Column) -> Spec:
 
 def _constant_quantile(phi: float) -> Spec:
     if phi != phi:
-        return Spec({"n": N}, F.lit(None).cast("double"))
+        return Spec({"n": F.count("v")}, F.lit(None).cast("double"))
     if phi < 0 or phi > 1:
-        return Spec({"n": N}, F.lit(float("-inf" if phi < 0 else "inf")))
+        return Spec({"n": F.count("v")}, F.lit(float("-inf" if phi < 0 else "inf")))
     return _simple(F.percentile("v", F.lit(float(phi))))
 
 
 def _hoeffding(sign: int) -> Callable[[Column], Spec]:
     bound = lambda phi: (C("mx") - C("mn")) * F.sqrt(F.ln(1 / (1 - phi)) / (2 * C("n")))
-    return lambda phi: Spec({"n": N, "m": F.avg("v"), "mn": F.min("v"), "mx": F.max("v")}, C("m") + sign * F.when(C("n") > 1, bound(phi)).otherwise(_ZERO))
-
-
-# Rollups with one scalar argument: before the selector, unless the name is in LAST.
-SCALAR_ARG: dict[str, Callable[[Column], Spec]] = {
-    "count_eq_over_time": _count_where(lambda x: x == V),
-    "count_ne_over_time": _count_where(lambda x: x != V),
-    "count_gt_over_time": _count_where(lambda x: x < V),
-    "count_le_over_time": _count_where(lambda x: x >= V),
-    "share_eq_over_time": _count_where(lambda x: x == V, True),
-    "share_gt_over_time": _count_where(lambda x: x < V, True),
-    "share_le_over_time": _count_where(lambda x: x >= V, True),
-    "sum_eq_over_time": _sum_where(lambda x: x == V),
-    "sum_gt_over_time": _sum_where(lambda x: x < V),
-    "sum_le_over_time": _sum_where(lambda x: x >= V),
-    "quantile_over_time": _quantile,
-    "predict_linear": lambda x: Spec(_regress, F.when(C("n") > 1, C("slope") * x + C("icept")).otherwise(C("av"))),
-    "hoeffding_bound_lower": _hoeffding(-1),
-    "hoeffding_bound_upper": _hoeffding(1),
-    "duration_over_time": lambda x: Spec(_ends | {"c": F.sum(F.when((C("ts") - C("pts") <= x * SECONDS) & (C("pts") > C("t") - C("w")), (C("ts") - C("pts")) / SECONDS).otherwise(0.0))}, C("c"), True),
-}
+    return lambda phi: Spec({"n": F.count("v"), "m": F.avg("v"), "mn": F.min("v"), "mx": F.max("v")}, C("m") + sign * F.when(C("n") > 1, bound(phi)).otherwise(0.0))
+
+
+# Rollups whose number comes before the selector.
 FIRST = frozenset(("quantile_over_time", "hoeffding_bound_lower", "hoeffding_bound_upper"))
 
-# Rollups that give several series, told apart by the label ``rollup``.
-_per_sample = {
-    "rollup": V,
-    "rollup_delta": F.when(PV.isNotNull(), V - PV),
-    "rollup_increase": F.when(PV.isNotNull(), V - PV),
-    "rollup_rate": F.when(PV.isNotNull(), finite_div(V - PV, (C("ts") - PTS) / SECONDS)),
-    "rollup_deriv": F.when(PV.isNotNull(), finite_div(V - PV, (C("ts") - PTS) / SECONDS)),
-    "rollup_scrape_interval": (C("ts") - PTS) / SECONDS,
-}
-MULTI: dict[str, Callable[[], Spec]] = {n: (lambda e=e: Spec(_ends | {"min": F.min(e), "max": F.max(e), "avg": F.avg(e)}, C("avg"), True, None, lambda: F.array(*(F.struct(F.lit(x).alias("tag"), C(x).alias("v")) for x in ("min", "max", "avg"))))) for n, e in _per_sample.items()}
-MULTI["rollup_candlestick"] = lambda: Spec({"open": _first(), "close": _last(), "low": F.min("v"), "high": F.max("v")}, C("close"), False, None, lambda: F.array(*(F.struct(F.lit(x).alias("tag"), C(x).alias("v")) for x in ("open", "close", "low", "high"))))
 
-EXECUTABLE = frozenset(PLAIN) | frozenset(SCALAR_ARG) | frozenset(MULTI) | {"quantiles_over_time", "aggr_over_time", "count_values_over_time", "histogram_over_time"}
+def _tables() -> tuple[dict, dict, dict]:
+    """Rollups without arguments, with one number, and with several series; made anew, as columns need a running session."""
+    V, PV, PTS, NV = C("v"), C("pv"), C("pts"), C("nv")
+    N = F.count("v")
+    _ends = {"n": N, "fv": _first(), "ft": F.min("ts"), "lv": _last(), "lt": F.max("ts"), "fpv": F.min_by("pv", "ts"), "fpt": F.min_by("pts", "ts"), "fnv": F.min_by("nv", "ts")}
+    _end_pair = _ends | {"lpv": F.max_by("pv", "ts"), "lpt": F.max_by("pts", "ts")}
+
+
+    def _delta() -> Column:
+        step = F.coalesce(C("fnv") - C("fv"), F.lit(0.0))
+        from_zero = F.abs("fv") < 10 * (F.abs(step) + 1)
+        alone = F.when(from_zero, C("lv")).when(C("n") == 1, F.lit(0.0)).otherwise(C("lv") - C("fv"))
+        return F.when(C("fpv").isNotNull(), C("lv") - C("fpv")).otherwise(alone)
+
+
+    def _deriv_fast() -> Column:
+        dt = lambda a: (C("lt") - a) / SECONDS
+        return F.when(C("prev_ok"), finite_div(C("lv") - C("fpv"), dt(C("fpt")))).when(C("n") > 1, finite_div(C("lv") - C("fv"), dt(C("ft"))))
+
+
+    def _ideriv() -> Column:
+        many = finite_div(C("lv") - C("lpv"), (C("lt") - C("lpt")) / SECONDS)
+        return F.when(C("n") > 1, many).when(C("prev_ok"), many)
+
+
+    _first_last = {"n": N, "fv": _first(), "lv": _last()}
+    _delta_prometheus = F.when(C("n") > 1, C("lv") - C("fv"))
+    _regress = {"n": N, "slope": F.regr_slope("v", (C("ts") - C("t")) / SECONDS), "icept": F.regr_intercept("v", (C("ts") - C("t")) / SECONDS), "av": F.avg("v"), "mn": F.min("v"), "mx": F.max("v")}
+    _ZERO = F.lit(0.0)
+
+    # Order-free rollups and those on neighbouring samples, without arguments besides the selector.
+    plain: dict[str, Callable[[], Spec]] = {
+        "avg_over_time": lambda: _simple(F.avg("v")),
+        "count_over_time": lambda: _simple(F.count("v").cast("double")),
+        "sum_over_time": lambda: _simple(F.sum("v")),
+        "sum2_over_time": lambda: _simple(F.sum(V * V)),
+        "min_over_time": lambda: _simple(F.min("v")),
+        "max_over_time": lambda: _simple(F.max("v")),
+        "range_over_time": lambda: _simple(F.max("v") - F.min("v")),
+        "median_over_time": lambda: _simple(F.percentile("v", F.lit(0.5))),
+        "present_over_time": lambda: Spec({"n": N}, F.lit(1.0)),
+        "absent_over_time": lambda: Spec({"n": N}, F.lit(1.0)),
+        "stddev_over_time": lambda: _simple(F.stddev_pop("v")),
+        "stdvar_over_time": lambda: _simple(F.var_pop("v")),
+        "first_over_time": lambda: _simple(_first()),
+        "last_over_time": lambda: _simple(_last()),
+        "tfirst_over_time": lambda: _simple(F.min("ts") / SECONDS),
+        "tlast_over_time": lambda: _simple(F.max("ts") / SECONDS),
+        "timestamp": lambda: _simple(F.max("ts") / SECONDS),
+        "timestamp_with_name": lambda: _simple(F.max("ts") / SECONDS),
+        "tmax_over_time": lambda: Spec({"a": F.max(F.struct("v", "ts"))}, C("a.ts") / SECONDS),
+        "tmin_over_time": lambda: Spec({"a": F.max(F.struct((-V).alias("v"), "ts"))}, C("a.ts") / SECONDS),
+        "default_rollup": lambda: Spec({"a": F.max_by(F.when(~C("is_stale"), V), "ts")}, C("a")),
+        "delta_prometheus": lambda: Spec(_first_last, _delta_prometheus),
+        "increase_prometheus": lambda: Spec(_first_last, _delta_prometheus),
+        "rate_prometheus": lambda: Spec(_first_last, finite_div(_delta_prometheus, C("w") / SECONDS)),
+        "delta": lambda: Spec(_ends, _delta(), True, _ZERO),
+        "increase": lambda: Spec(_ends, _delta(), True, _ZERO),
+        "increase_pure": lambda: Spec(_ends, C("lv") - F.coalesce("fpv", _ZERO), True, _ZERO),
+        "deriv_fast": lambda: Spec(_ends, _deriv_fast(), True, _ZERO),
+        "rate": lambda: Spec(_ends, _deriv_fast(), True, _ZERO),
+        "ideriv": lambda: Spec(_end_pair, _ideriv(), True),
+        "irate": lambda: Spec(_end_pair, _ideriv(), True),
+        "idelta": lambda: Spec(_end_pair, F.when((C("n") > 1) | C("prev_ok"), C("lv") - C("lpv")).otherwise(C("lv")), True, _ZERO),
+        "lag": lambda: Spec(_ends, (C("t") - C("lt")) / SECONDS, True, (C("t") - C("fpt")) / SECONDS),
+        "changes": lambda: Spec(_ends | {"c": F.sum(F.when(PV.isNull(), 1.0).otherwise(_changed(V, PV).cast("double")))}, C("c"), True, _ZERO),
+        "changes_prometheus": lambda: Spec(_ends | {"c": F.sum(F.coalesce(_changed(V, PV).cast("double"), _ZERO)), "c1": F.min_by(F.coalesce(_changed(V, PV).cast("double"), _ZERO), C("ts"))}, C("c") - C("c1"), True),
+        "resets": lambda: Spec(_ends | {"c": F.sum(F.coalesce(((V < PV) & _changed(V, PV)).cast("double"), _ZERO)), "c1": F.min_by(F.coalesce(((V < PV) & _changed(V, PV)).cast("double"), _ZERO), C("ts"))}, F.when(C("prev_ok"), C("c")).otherwise(C("c") - C("c1")), True, _ZERO),
+        # recognised names beyond those
+        "ascent_over_time": lambda: Spec(_ends | {"c": F.sum(F.greatest(V - F.coalesce(PV, V), _ZERO))}, C("c"), True),
+        "descent_over_time": lambda: Spec(_ends | {"c": F.sum(F.greatest(F.coalesce(PV, V) - V, _ZERO))}, C("c"), True),
+        "increases_over_time": lambda: Spec(_ends | {"c": F.sum(F.coalesce((V > PV).cast("double"), _ZERO))}, C("c"), True),
+        "decreases_over_time": lambda: Spec(_ends | {"c": F.sum(F.coalesce((V < PV).cast("double"), _ZERO))}, C("c"), True),
+        "deriv": lambda: Spec(_regress, F.when(C("n") > 1, C("slope"))),
+        "distinct_over_time": lambda: _simple(F.count_distinct("v").cast("double")),
+        "geomean_over_time": lambda: Spec({"p": F.product("v"), "n": N}, missing_if_nan(F.pow("p", 1.0 / C("n")))),
+        "integrate": lambda: Spec(_ends | {"c": F.sum(F.coalesce(PV * (C("ts") - F.greatest("pts", C("t") - C("w"))) / SECONDS, _ZERO))}, C("c"), True),
+        "lifetime": lambda: Spec(_ends, (C("lt") - F.coalesce(F.when(C("prev_ok"), C("fpt")), C("ft"))) / SECONDS, True),
+        "mode_over_time": lambda: _simple(F.mode("v", True)),
+        "mad_over_time": lambda: Spec({"l": F.collect_list("v"), "m": F.percentile("v", F.lit(0.5))}, _median_of(F.transform("l", lambda x: F.abs(x - C("m"))))),
+        "rate_over_sum": lambda: Spec({"s": F.sum("v")}, finite_div(C("s"), C("w") / SECONDS)),
+        "scrape_interval": lambda: Spec(_ends, F.when(C("prev_ok"), (C("lt") - C("fpt")) / SECONDS / C("n")).when(C("n") > 1, (C("lt") - C("ft")) / SECONDS / (C("n") - 1)), True),
+        "stale_samples_over_time": lambda: _simple(F.count_if(C("is_stale")).cast("double")),
+        "tlast_change_over_time": lambda: Spec(_ends | {"c": F.max(F.when(_changed(V, PV), C("ts")))}, C("c") / SECONDS, True),
+        "zscore_over_time": lambda: Spec({"lv": _last(), "m": F.avg("v"), "d": F.stddev_pop("v")}, F.when(C("d") == 0, _ZERO).otherwise(finite_div(C("lv") - C("m"), C("d")))),
+        "outlier_iqr_over_time": lambda: Spec({"lv": _last(), "q": F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))}, F.when((C("lv") > C("q")[1] + 1.5 * (C("q")[1] - C("q")[0])) | (C("lv") < C("q")[0] - 1.5 * (C("q")[1] - C("q")[0])), C("lv"))),
+    }
+
+
+
+    # Rollups with one scalar argument: before the selector, unless the name is in LAST.
+    scalar_arg: dict[str, Callable[[Column], Spec]] = {
+        "count_eq_over_time": _count_where(lambda x: x == V),
+        "count_ne_over_time": _count_where(lambda x: x != V),
+        "count_gt_over_time": _count_where(lambda x: x < V),
+        "count_le_over_time": _count_where(lambda x: x >= V),
+        "share_eq_over_time": _count_where(lambda x: x == V, True),
+        "share_gt_over_time": _count_where(lambda x: x < V, True),
+        "share_le_over_time": _count_where(lambda x: x >= V, True),
+        "sum_eq_over_time": _sum_where(lambda x: x == V),
+        "sum_gt_over_time": _sum_where(lambda x: x < V),
+        "sum_le_over_time": _sum_where(lambda x: x >= V),
+        "quantile_over_time": _quantile,
+        "predict_linear": lambda x: Spec(_regress, F.when(C("n") > 1, C("slope") * x + C("icept")).otherwise(C("av"))),
+        "hoeffding_bound_lower": _hoeffding(-1),
+        "hoeffding_bound_upper": _hoeffding(1),
+        "duration_over_time": lambda x: Spec(_ends | {"c": F.sum(F.when((C("ts") - C("pts") <= x * SECONDS) & (C("pts") > C("t") - C("w")), (C("ts") - C("pts")) / SECONDS).otherwise(0.0))}, C("c"), True),
+    }
+
+    # Rollups that give several series, told apart by the label ``rollup``.
+    _per_sample = {
+        "rollup": V,
+        "rollup_delta": F.when(PV.isNotNull(), V - PV),
+        "rollup_increase": F.when(PV.isNotNull(), V - PV),
+        "rollup_rate": F.when(PV.isNotNull(), finite_div(V - PV, (C("ts") - PTS) / SECONDS)),
+        "rollup_deriv": F.when(PV.isNotNull(), finite_div(V - PV, (C("ts") - PTS) / SECONDS)),
+        "rollup_scrape_interval": (C("ts") - PTS) / SECONDS,
+    }
+    multi: dict[str, Callable[[], Spec]] = {n: (lambda e=e: Spec(_ends | {"min": F.min(e), "max": F.max(e), "avg": F.avg(e)}, C("avg"), True, None, lambda: F.array(*(F.struct(F.lit(x).alias("tag"), C(x).alias("v")) for x in ("min", "max", "avg"))))) for n, e in _per_sample.items()}
+    multi["rollup_candlestick"] = lambda: Spec({"open": _first(), "close": _last(), "low": F.min("v"), "high": F.max("v")}, C("close"), False, None, lambda: F.array(*(F.struct(F.lit(x).alias("tag"), C(x).alias("v")) for x in ("open", "close", "low", "high"))))
+    return plain, scalar_arg, multi
 
 
 def spec_of(name: str, arg: Scalar | None = None) -> Spec:
-    if name in PLAIN:
-        return PLAIN[name]()
-    if name in MULTI:
-        return MULTI[name]()
-    if name in SCALAR_ARG:
+    plain, scalar_arg, multi = _tables()
+    if name in plain:
+        return plain[name]()
+    if name in multi:
+        return multi[name]()
+    if name in scalar_arg:
         if arg is None:
             raise QueryError(f"{name} wants a number")
         if name == "quantile_over_time" and arg.value is not None:
             return _constant_quantile(arg.value)
-        return SCALAR_ARG[name](arg.expr)
+        return scalar_arg[name](arg.expr)
     raise QueryError(f"{name} is recognised but not supported")
 
 
@@ -249,7 +257,7 @@ def _prepare(samples: DataFrame, name: str, ordered: bool, grid: Grid, window: i
     d = samples if name in ("default_rollup", "stale_samples_over_time") else samples.where(~C("is_stale"))
     if name in names.ROLLUPS_RESET:
         prev = F.lag("v").over(by)
-        drop = F.when(V < prev, F.when((prev - V) * 8 < prev, prev - V).otherwise(prev)).otherwise(0.0)
+        drop = F.when(C("v") < prev, F.when((prev - C("v")) * 8 < prev, prev - C("v")).otherwise(prev)).otherwise(0.0)
         if lookback:
             gap = F.coalesce((C("ts") - F.lag("ts").over(by) > lookback + window).cast("int"), F.lit(0))
             d = d.withColumn("_drop", F.when(gap == 0, drop).otherwise(0.0)).withColumn("_seg", F.sum(gap).over(by))
@@ -257,7 +265,7 @@ def _prepare(samples: DataFrame, name: str, ordered: bool, grid: Grid, window: i
         else:
             d, seg = d.withColumn("_drop", drop), by
         run = seg.rowsBetween(Window.unboundedPreceding, 0)
-        d = d.withColumn("_up", V + F.sum("_drop").over(run)).withColumn("v", F.max("_up").over(run))
+        d = d.withColumn("_up", C("v") + F.sum("_drop").over(run)).withColumn("v", F.max("_up").over(run))
     widen = window <= 0 and name in names.ROLLUPS_WIDEN
     if (ordered or widen) and grid.n > 1:
         d = d.withColumn("_gap", (C("ts") - F.lag("ts").over(by)).cast("double"))
@@ -307,7 +315,7 @@ def rollup(samples: DataFrame, name: str, grid: Grid, window: int, spec: Spec, l
     rows = fan_out(d, grid, gaps)
     if gaps:
         # a point lies in windows or in one gap, never both: a gap's row counts no value and has itself as the previous sample
-        rows = rows.withColumn("v", F.when(~C("gap"), V)).withColumn("pts", F.when(C("gap"), C("ts")).otherwise(PTS))
+        rows = rows.withColumn("v", F.when(~C("gap"), C("v"))).withColumn("pts", F.when(C("gap"), C("ts")).otherwise(C("pts")))
     # w and mpi are the same for all samples of a series
     extra = {"w": F.max("w"), "t": F.max("t")} | ({"mpi": F.max("mpi")} if spec.ordered else {})
     g = rows.groupBy("sk", "k").agg(*(c.alias(a) for a, c in (spec.aggs | extra).items()))

@@ -10,20 +10,19 @@ from pyspark.sql import functions as F
 from ..model import NAME, Grid, drop_labels, keep_labels, label, missing_if_nan, with_labels
 
 C = F.col
-V = C("v")
 
 
-def _whole(f) -> Column:
+def _whole(f, v: Column) -> Column:
     """ceil or floor as a double, leaving numbers too large for a bigint alone."""
-    return F.when(F.abs(V) < 2.0**62, f(V).cast("double")).otherwise(V)
+    return F.when(F.abs(v) < 2.0**62, f(v).cast("double")).otherwise(v)
 
 
-def _log(f, least: float) -> Column:
-    return F.when(V == 0, float("-inf")).when(V > 0, f(V))
+def _log(f, v: Column) -> Column:
+    return F.when(v == 0, float("-inf")).when(v > 0, f(v))
 
 
-def _clock(unit: str) -> Column:
-    t = F.timestamp_seconds(F.floor(V))
+def _clock(unit: str, v: Column) -> Column:
+    t = F.timestamp_seconds(F.floor(v))
     return {
         "minute": F.minute(t),
         "hour": F.hour(t),
@@ -40,30 +39,30 @@ CLOCKS = ("minute", "hour", "day_of_month", "day_of_week", "day_of_year", "days_
 
 # Functions of one number.
 NUMERIC: dict[str, object] = {
-    "abs": lambda: F.abs(V),
-    "ceil": lambda: _whole(F.ceil),
-    "floor": lambda: _whole(F.floor),
-    "exp": lambda: F.exp(V),
-    "ln": lambda: _log(F.ln, 0),
-    "log2": lambda: _log(F.log2, 0),
-    "log10": lambda: _log(F.log10, 0),
-    "sqrt": lambda: F.when(V >= 0, F.sqrt(V)),
-    "sgn": lambda: F.coalesce(F.signum(V), F.lit(0.0)),
-    "acos": lambda: F.acos(V),
-    "acosh": lambda: F.acosh(V),
-    "asin": lambda: F.asin(V),
-    "asinh": lambda: F.asinh(V),
-    "atan": lambda: F.atan(V),
-    "atanh": lambda: F.atanh(V),
-    "cos": lambda: F.cos(V),
-    "cosh": lambda: F.cosh(V),
-    "sin": lambda: F.sin(V),
-    "sinh": lambda: F.sinh(V),
-    "tan": lambda: F.tan(V),
-    "tanh": lambda: F.tanh(V),
-    "deg": lambda: F.degrees(V),
-    "rad": lambda: F.radians(V),
-} | {u: (lambda u=u: _clock(u)) for u in CLOCKS}
+    "abs": lambda v: F.abs(v),
+    "ceil": lambda v: _whole(F.ceil, v),
+    "floor": lambda v: _whole(F.floor, v),
+    "exp": lambda v: F.exp(v),
+    "ln": lambda v: _log(F.ln, v),
+    "log2": lambda v: _log(F.log2, v),
+    "log10": lambda v: _log(F.log10, v),
+    "sqrt": lambda v: F.when(v >= 0, F.sqrt(v)),
+    "sgn": lambda v: F.coalesce(F.signum(v), F.lit(0.0)),
+    "acos": lambda v: F.acos(v),
+    "acosh": lambda v: F.acosh(v),
+    "asin": lambda v: F.asin(v),
+    "asinh": lambda v: F.asinh(v),
+    "atan": lambda v: F.atan(v),
+    "atanh": lambda v: F.atanh(v),
+    "cos": lambda v: F.cos(v),
+    "cosh": lambda v: F.cosh(v),
+    "sin": lambda v: F.sin(v),
+    "sinh": lambda v: F.sinh(v),
+    "tan": lambda v: F.tan(v),
+    "tanh": lambda v: F.tanh(v),
+    "deg": lambda v: F.degrees(v),
+    "rad": lambda v: F.radians(v),
+} | {u: (lambda v, u=u: _clock(u, v)) for u in CLOCKS}
 
 
 def round_to(v: Column, nearest: Column) -> Column:
@@ -111,8 +110,8 @@ RANGE: dict[str, object] = {
     "range_first": lambda: F.first("v", True).over(_series().orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     "range_last": lambda: F.last("v", True).over(_series().orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     "range_linear_regression": _trend,
-    "range_zscore": lambda: F.when(F.stddev_pop("v").over(_series()) != 0, (V - F.avg("v").over(_series())) / F.stddev_pop("v").over(_series())).otherwise(0.0),
-    "range_normalize": lambda: F.when(F.max("v").over(_series()) > F.min("v").over(_series()), (V - F.min("v").over(_series())) / (F.max("v").over(_series()) - F.min("v").over(_series()))),
+    "range_zscore": lambda: F.when(F.stddev_pop("v").over(_series()) != 0, (C("v") - F.avg("v").over(_series())) / F.stddev_pop("v").over(_series())).otherwise(0.0),
+    "range_normalize": lambda: F.when(F.max("v").over(_series()) > F.min("v").over(_series()), (C("v") - F.min("v").over(_series())) / (F.max("v").over(_series()) - F.min("v").over(_series()))),
     "running_avg": lambda: F.avg("v").over(_run()),
     "running_min": lambda: F.min("v").over(_run()),
     "running_max": lambda: F.max("v").over(_run()),
@@ -120,7 +119,7 @@ RANGE: dict[str, object] = {
     "keep_last_value": lambda: F.last("v", True).over(_run()),
     "keep_next_value": lambda: F.first("v", True).over(_series().orderBy("k").rowsBetween(0, Window.unboundedFollowing)),
     "interpolate": lambda: _interpolate(),
-    "remove_resets": lambda: V + F.sum("_drop").over(_run()),
+    "remove_resets": lambda: C("v") + F.sum("_drop").over(_run()),
 }
 
 
@@ -129,10 +128,10 @@ def _run() -> object:
 
 
 def _interpolate() -> Column:
-    at = F.when(V.isNotNull(), F.struct("k", "v"))
+    at = F.when(C("v").isNotNull(), F.struct("k", "v"))
     ahead = _series().orderBy("k").rowsBetween(0, Window.unboundedFollowing)
     a, b = F.last(at, True).over(_run()), F.first(at, True).over(ahead)
-    return F.coalesce(V, a["v"] + (b["v"] - a["v"]) * (C("k") - a["k"]) / F.nullif(b["k"] - a["k"], F.lit(0)))
+    return F.coalesce(C("v"), a["v"] + (b["v"] - a["v"]) * (C("k") - a["k"]) / F.nullif(b["k"] - a["k"], F.lit(0)))
 
 
 def java_replacement(text: str) -> str:

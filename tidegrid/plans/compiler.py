@@ -346,7 +346,7 @@ class Compiler:
 
     def numeric(self, name: str, extra: list):
         if name in transforms.NUMERIC and not extra:
-            return lambda v: _with_v(transforms.NUMERIC[name], v)
+            return transforms.NUMERIC[name]
         n = len(extra)
         match name, n:
             case "clamp", 2:
@@ -398,7 +398,7 @@ class Compiler:
         if name == "range_trim_spikes":
             d = d.withColumn("q", F.percentile("v", F.array(F.lit(x / 2), F.lit(1 - x / 2))).over(w)).where(C("v").between(C("q")[0], C("q")[1]))
         elif name == "range_trim_zscore":
-            d = d.where(F.abs(C("v") - F.avg("v").over(w)) <= x * F.stddev_pop("v").over(w)) if False else d.withColumn("m", F.avg("v").over(w)).withColumn("s", F.stddev_pop("v").over(w)).where(F.abs(C("v") - C("m")) <= x * C("s"))
+            d = d.withColumn("m", F.avg("v").over(w)).withColumn("s", F.stddev_pop("v").over(w)).where(F.abs(C("v") - C("m")) <= x * C("s"))
         else:
             d = d.withColumn("m", F.percentile("v", F.lit(0.5)).over(w)).withColumn("mad", F.percentile(F.abs(C("v") - C("m")), F.lit(0.5)).over(w)).where(F.abs(C("v") - C("m")) <= x * C("mad"))
         return replace(v, df=d.select("sk", "k", "v"))
@@ -492,24 +492,6 @@ def _scalar_set(op: str, a: Column, b: Column) -> Column:
     return F.when(b.isNull(), a)
 
 
-def _with_v(make, v: Column) -> Column:
-    """A function written on the column v, applied to any expression."""
-    return F.transform(F.array(v), lambda x: _substitute(make, x))[0] if not _is_plain_v(v) else make()
-
-
-def _is_plain_v(v: Column) -> bool:
-    return str(v) == str(C("v"))
-
-
-def _substitute(make, x: Column) -> Column:
-    old = transforms.V
-    transforms.V = x
-    try:
-        return make()
-    finally:
-        transforms.V = old
-
-
 def aggregates_text(e) -> str:
     """A constant as a label value."""
     if isinstance(e, Text):

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_quality
+from . import data_quality, metric_queries
 
-MODULES = [data_quality]
+MODULES = [data_quality, metric_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p2_found"](spark, sf_dir)
+    return metric_queries.QUERIES["flagship_max_by"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
