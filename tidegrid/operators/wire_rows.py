@@ -56,9 +56,9 @@ def _odd_quotes(s: Column) -> Column:
     return F.size(F.split(s, '"', -1)) % 2 == 0
 
 
-def _finite(s: Column) -> Column:
-    d = s.try_cast("double")
-    return d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf"))
+def _is_number(s: Column) -> Column:
+    """A decimal number that is finite as a double (the pattern leaves no other text that casts)."""
+    return s.rlike(NUMBER) & (F.abs(s.try_cast("double")) < float("inf"))
 
 
 def _digits_fit(digits: Column, largest: str) -> Column:
@@ -70,7 +70,7 @@ def _digits_fit(digits: Column, largest: str) -> Column:
 def _value_kind(v: Column) -> Column:
     body = F.substring(v, 1, F.length(v) - 1)
     return (
-        F.when(v.rlike(NUMBER) & _finite(v), "float")
+        F.when(_is_number(v), "float")
         .when(v.rlike("^[+-]?[0-9]+i$") & body.try_cast("bigint").isNotNull(), "int")
         .when(v.rlike("^[0-9]+u$") & _digits_fit(body, str(2**64 - 1)), "uint")
         .when(v.isin(BOOLEANS), "bool")
@@ -82,12 +82,8 @@ def _errors(*rules: tuple[Column, str]) -> Column:
     return F.filter(F.array(*(F.when(bad, F.lit(name)) for bad, name in rules)), lambda e: e.isNotNull())
 
 
-def _pairs_bad(parts: Column) -> Column:
-    def bad(p: Column) -> Column:
-        kv = F.split(p, "=", -1)
-        return (F.size(kv) != 2) | (F.get(kv, F.lit(0)) == "") | (F.coalesce(F.get(kv, F.lit(1)), F.lit("")) == "")
-
-    return F.exists(parts, bad)
+def _bad_pair(kv: Column) -> Column:
+    return (F.size(kv) != 2) | (F.get(kv, F.lit(0)) == "") | (F.coalesce(F.get(kv, F.lit(1)), F.lit("")) == "")
 
 
 def classify_lines(df: DataFrame, line_id: str = "line_id", fmt: str = "fmt", line: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -106,17 +102,18 @@ def classify_lines(df: DataFrame, line_id: str = "line_id", fmt: str = "fmt", li
     d = d.withColumn("rest", F.ltrim(F.substring("esc", F.length("head") + 1, F.length("esc"))))
     d = d.withColumn("tail", F.rtrim(_mask_quoted(F.col("rest"), ", =", _MASKED[:3])))
     d = d.withColumn("sections", F.split("tail", " +", -1))
-    d = d.withColumn("head_parts", F.split("head", ",", -1)).withColumn("field_parts", F.split(F.get("sections", F.lit(0)), ",", -1))
-    tags = F.slice("head_parts", 2, F.greatest(F.size("head_parts") - 1, F.lit(0)))
-    bad_value = F.exists("field_parts", lambda p: (F.size(F.split(p, "=", -1)) == 2) & _value_kind(F.get(F.split(p, "=", -1), F.lit(1))).isNull())
+    pairs = lambda parts: F.transform(parts, lambda p: F.split(p, "=", -1))
+    d = d.withColumn("head_parts", F.split("head", ",", -1)).withColumn("field_kv", pairs(F.split(F.get("sections", F.lit(0)), ",", -1)))
+    d = d.withColumn("tag_kv", pairs(F.slice("head_parts", 2, F.greatest(F.size("head_parts") - 1, F.lit(0)))))
+    d = d.withColumn("kinds", F.transform("field_kv", lambda kv: F.when(F.size(kv) == 2, _value_kind(F.get(kv, F.lit(1)))).otherwise("")))
     influx_errors = _errors(
         (F.get("head_parts", F.lit(0)) == "", "empty_measurement"),
-        (_pairs_bad(tags), "bad_tag"),
+        (F.exists("tag_kv", _bad_pair), "bad_tag"),
         (F.col("tail") == "", "no_fields"),
         (_odd_quotes(F.col("rest")), "unbalanced_quotes"),
         (F.size("sections") > 2, "too_many_sections"),
-        ((F.col("tail") != "") & _pairs_bad(F.col("field_parts")), "bad_field"),
-        ((F.col("tail") != "") & bad_value, "bad_field_value"),
+        ((F.col("tail") != "") & F.exists("field_kv", _bad_pair), "bad_field"),
+        ((F.col("tail") != "") & F.exists("kinds", lambda k: k.isNull()), "bad_field_value"),
         ((F.size("sections") == 2) & ~F.get("sections", F.lit(1)).rlike(INTEGER), "bad_time"),
     )
 
@@ -142,19 +139,20 @@ def classify_lines(df: DataFrame, line_id: str = "line_id", fmt: str = "fmt", li
         (six & ~cell(0).rlike(INTEGER), "bad_time"),
         (six & (cell(1) == ""), "empty_measurement"),
         (six & (cell(4) == ""), "empty_field"),
-        (six & ~(cell(5).rlike(NUMBER) & _finite(cell(5))), "bad_field_value"),
+        (six & ~_is_number(cell(5)), "bad_field_value"),
     )
     skipped = F.col("line").isNull() | F.col("text").rlike(r"^\s*$") | (influx & F.col("line").startswith("#"))
     none = F.array().cast("array<string>")
     errors = F.when(F.coalesce(skipped, F.lit(False)), none).when(influx, influx_errors).when(csv, csv_errors).otherwise(F.array(F.lit("unknown_format")))
     d = d.withColumn("errors", errors)
     d = d.withColumn("status", F.when(F.coalesce(skipped, F.lit(False)), "skipped").when(F.size("errors") > 0, "rejected").otherwise("valid"))
-    return d.select("line_id", *keep, "fmt", "line", "status", "errors", "head_parts", "field_parts", "sections", "plain")
+    # a number that the optimiser cannot move: filters on the status stay above, so that nothing is evaluated twice for them
+    return d.select("line_id", *keep, "fmt", "line", "status", "errors", "head_parts", "tag_kv", "field_kv", "kinds", "sections", "plain", F.monotonically_increasing_id().alias("line_no"))
 
 
 def rejected_lines(df: DataFrame, **names) -> DataFrame:
     """line_id, fmt, line, errors of every line that is not valid."""
-    return classify_lines(df, **names).where("status = 'rejected'").select("line_id", "fmt", "line", "errors")
+    return classify_lines(df, **names).where("status = 'rejected' and line_no >= 0").select("line_id", "fmt", "line", "errors")
 
 
 def loaded_rows(df: DataFrame, **names) -> DataFrame:
@@ -163,21 +161,18 @@ def loaded_rows(df: DataFrame, **names) -> DataFrame:
     ``tags`` maps key to value, the last of repeated keys winning; ``fields`` is an array of
     (key, kind, number, text): integers and booleans also as ``number``, strings only as ``text``.
     """
-    d = classify_lines(df, **names).where("status = 'valid'")
+    d = classify_lines(df, **names).where("status = 'valid' and line_no >= 0")
     influx = F.col("fmt") == "influx"
 
-    def kv(p: Column, i: int) -> Column:
-        return _unmask(F.get(F.split(p, "=", -1), F.lit(i)))
-
-    influx_tags = F.transform(F.slice("head_parts", 2, F.greatest(F.size("head_parts") - 1, F.lit(0))), lambda p: F.struct(kv(p, 0).alias("key"), kv(p, 1).alias("value")))
+    influx_tags = F.transform("tag_kv", lambda t: F.struct(_unmask(F.get(t, F.lit(0))).alias("key"), _unmask(F.get(t, F.lit(1))).alias("value")))
     csv_tags = F.filter(F.array(F.struct(F.lit("host").alias("key"), F.get("plain", F.lit(2)).alias("value")), F.struct(F.lit("zone").alias("key"), F.get("plain", F.lit(3)).alias("value"))), lambda t: t["value"] != "")
 
-    def typed(p: Column) -> Column:
-        v = F.get(F.split(p, "=", -1), F.lit(1))
-        kind, body = _value_kind(v), F.substring(v, 1, F.length(v) - 1)
+    def typed(kv: Column, kind: Column) -> Column:
+        v = F.get(kv, F.lit(1))
+        body = F.substring(v, F.lit(1), F.length(v) - 1)
         number = F.when(kind == "float", v.try_cast("double")).when(kind.isin("int", "uint"), body.try_cast("double")).when(kind == "bool", v.isin(TRUTHS).cast("double"))
         text = F.when(kind == "string", _unmask(F.substring(v, F.lit(2), F.length(v) - 2)))
-        return F.struct(kv(p, 0).alias("key"), kind.alias("kind"), number.alias("number"), text.alias("text"))
+        return F.struct(_unmask(F.get(kv, F.lit(0))).alias("key"), kind.alias("kind"), number.alias("number"), text.alias("text"))
 
     csv_field = F.array(F.struct(F.get("plain", F.lit(4)).alias("key"), F.lit("float").alias("kind"), F.get("plain", F.lit(5)).try_cast("double").alias("number"), F.lit(None).cast("string").alias("text")))
     distinct_last = lambda t: F.map_from_entries(F.filter(t, lambda x, i: ~F.exists(F.slice(t, i + 2, F.size(t)), lambda y: y["key"] == x["key"])))
@@ -189,5 +184,5 @@ def loaded_rows(df: DataFrame, **names) -> DataFrame:
         raw.alias("ts_raw"),
         raw.try_cast("bigint").alias("ts"),
         distinct_last(F.when(influx, influx_tags).otherwise(csv_tags)).alias("tags"),
-        F.when(influx, F.transform("field_parts", typed)).otherwise(csv_field).alias("fields"),
+        F.when(influx, F.zip_with("field_kv", "kinds", typed)).otherwise(csv_field).alias("fields"),
     )
