@@ -75,9 +75,9 @@ def result_key(e: Binary, sk: Column) -> Column:
 def _one_side(df: DataFrame, e: Binary, side: str, value: str) -> DataFrame:
     """mk, k, the key and the value of a side that must have one series per match and point."""
     g = df.select(match_key(e, C("sk")).alias("mk"), "k", C("sk").alias(f"{value}_sk"), C("v").alias(value))
-    many = F.raise_error(F.lit(f"duplicate time series on the {side} side of {e.op}")).cast("string")
+    many = F.raise_error(F.lit(f"duplicate time series on the {side} side of {e.op}")).cast("double")
     a = g.groupBy("mk", "k").agg(F.count(value).alias("_n"), F.max(value).alias(value), F.min(f"{value}_sk").alias(f"{value}_sk"))
-    return a.select("mk", "k", value, F.when(C("_n") > 1, many).otherwise(C(f"{value}_sk")).alias(f"{value}_sk"))
+    return a.select("mk", "k", F.when(C("_n") > 1, many).otherwise(C(value)).alias(value), f"{value}_sk")
 
 
 def join_vectors(e: Binary, left: Vector, right: Vector) -> Vector:
