@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +94,48 @@ def _sentence_pieces(path: str) -> WordCounter:
     return WordCounter(cut, measure)
 
 
+class JointCounter:
+    """Counts of a byte-level tokenizer and of the lower-case word tokenizer from one pass over plain text.
+
+    In ASCII text without apostrophes a pre-token of the former holds whole words of the latter
+    (letters, single digits or other marks), so both sizes are kept per distinct pre-token.  Lines
+    with anything else are counted by each tokenizer on its own; lines part words in both.
+    """
+
+    def __init__(self, byte_level: bpe.CachedEncoder, lower: WordCounter) -> None:
+        self.byte_level, self.lower = byte_level, lower
+        self.lower_sizes = np.empty(0, np.int64)
+        self.generation: dict[str, int] | None = None
+
+    def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        plain, other = zip(*(_split_plain(t) if t else ("", "") for t in texts), strict=True)
+        enc = self.byte_level
+        at, n = enc.indexes(list(plain))
+        if self.generation is not enc.index:  # the cache began anew
+            self.generation, self.lower_sizes = enc.index, np.empty(0, np.int64)
+        new = list(islice(enc.index, len(self.lower_sizes), None))
+        if new:
+            # an apostrophe is only in pre-tokens of other lines, whose lower-case sizes are not taken from here
+            self.lower_sizes = np.r_[self.lower_sizes, self.lower.count([w if w.isascii() else "" for w in new])]
+        ends = np.r_[0, np.cumsum(n)]
+        per = [np.diff(np.r_[0, np.cumsum(sizes[at])][ends]) for sizes in (enc.counts, self.lower_sizes)]
+        rest = [i for i, t in enumerate(other) if t]
+        if rest:
+            per[1][rest] += self.lower.count([other[i] for i in rest])
+            per[0][rest] += enc.count([other[i] for i in rest])
+        return per[0], per[1]
+
+
+def _split_plain(text: str) -> tuple[str, str]:
+    """The plain stretches of a text and the others, each joined up: cuts lie before line ends that follow other than white space."""
+    if text.isascii() and "'" not in text:
+        return text, ""
+    plain, other = [], []
+    for part in bpe._CUT.split(text):
+        (plain if part.isascii() and "'" not in part else other).append(part)
+    return "".join(plain), "".join(other)
+
+
 _counters: dict[str, object] = {}
 
 
@@ -111,6 +153,20 @@ def counter(name: str, folder: str = bpe.TOKENIZERS):
     return _counters[key]
 
 
+def _all_counts(tokenizers: list[str], texts: list[str | None], folder: str) -> list[np.ndarray]:
+    """Sizes by each tokenizer, two of them together where that is possible."""
+    made = {t: counter(t, folder) for t in tokenizers}
+    byte_level = next((t for t, c in made.items() if isinstance(c, bpe.CachedEncoder)), None)
+    lower = next((t for t in tokenizers if os.path.exists(f"{folder}/{t}.json") and isinstance(made[t], WordCounter)), None)
+    if byte_level is None or lower is None:
+        return [made[t].count(texts) for t in tokenizers]
+    key = f"{folder}/{byte_level}+{lower}"
+    if key not in _counters:
+        _counters[key] = JointCounter(made[byte_level], made[lower])
+    both = dict(zip((byte_level, lower), _counters[key].count(texts), strict=True))
+    return [both[t] if t in both else made[t].count(texts) for t in tokenizers]
+
+
 def token_sizes(df: DataFrame, tokenizers: list[str], doc_id: str = "doc_id", text: str = "text", folder: str = bpe.TOKENIZERS) -> DataFrame:
     """doc_id and sizes (array of bigint, in the order of tokenizers); null texts have size 0."""
     d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -120,7 +176,7 @@ def token_sizes(df: DataFrame, tokenizers: list[str], doc_id: str = "doc_id", te
         for b in batches:
             texts = b.column(1).to_pylist()
             for s in bpe.text_chunks(texts):
-                sizes = np.stack([counter(t, folder).count(texts[s]) for t in tokenizers], axis=1)
+                sizes = np.stack(_all_counts(tokenizers, texts[s], folder), axis=1)
                 offsets = pa.array(np.arange(0, sizes.size + 1, len(tokenizers), dtype=np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(sizes.ravel()), type=pa.list_(pa.field("element", pa.int64(), False)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.start, s.stop - s.start), lists], ["doc_id", "sizes"])
