@@ -95,7 +95,10 @@ def key_stats(df: DataFrame, key: str, time: str, value: DataFrame | str | None
     return merge_states(states).select(F.col("_key").alias("key"), "n_rows", "first_time", "last_time", "value_sum", "n_values", "n_chunks")
 
 
-def hot_keys(stats: DataFrame, share: float = 0.03) -> DataFrame:
-    """Non-null keys with at least share of all rows, from key_stats."""
-    total = stats.agg(F.sum("n_rows").alias("_total"))  # one row, so the cross join has no more rows than stats
+def hot_keys(stats: DataFrame, rows: DataFrame, share: float = 0.03) -> DataFrame:
+    """Non-null keys with at least share of the rows of the table, from its key_stats.
+
+    The table's size comes from the row counts of its files, not from a second run of the chunks.
+    """
+    total = rows.agg(F.count(F.lit(1)).alias("_total"))  # one row, so the join has no more rows than stats
     return stats.join(F.broadcast(total)).where(F.col("key").isNotNull() & (F.col("n_rows") * 1000 >= F.lit(round(share * 1000)) * F.col("_total"))).drop("_total")

@@ -51,7 +51,7 @@ def key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = key_stats(spark, sf_dir)
-    parts = [hot_keys.hot_keys(stats.where(F.col("tbl") == t)) for t in ("got_rows", "influx_rows")]
+    parts = [hot_keys.hot_keys(stats.where(F.col("tbl") == t), table(spark, sf_dir, t)) for t in ("got_rows", "influx_rows")]
     return parts[0].unionByName(parts[1]).select("tbl", F.col("key").alias("hot_key"))
 
 
