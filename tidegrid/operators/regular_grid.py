@@ -43,7 +43,8 @@ def slot_knots(readings: DataFrame, grids: DataFrame) -> DataFrame:
     """
     salted = grids.select("origin", "device", "step_ms", "start_ms", "end_ms").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     r = readings.withColumn("_salt", F.pmod(F.xxhash64("t_us", "v"), F.lit(SALTS)).cast("int"))
-    j = r.join(salted, ["origin", "device", "_salt"])
+    # the grids grow with the data: they are hashed per partition, never broadcast
+    j = r.join(salted.hint("shuffle_hash"), ["origin", "device", "_salt"])
     j = j.where((F.col("t_us") >= F.col("start_ms") * 1000) & (F.col("t_us") < F.col("end_ms") * 1000))
     slot = F.floor((F.col("t_us") - F.col("start_ms") * 1000) / (F.col("step_ms") * 1000)).cast("bigint")
     return j.groupBy("origin", "device", slot.alias("slot")).agg(F.max(F.struct("t_us", "v")).alias("knot"))
