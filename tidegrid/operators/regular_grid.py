@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 SHARD_SLOTS = 4096
 MAX_GAP_SLOTS = 12
 SALTS = 16
@@ -104,7 +106,8 @@ def regular_grid(readings: DataFrame, grids: DataFrame, max_gap_slots: int = MAX
     slots = shards.select("origin", "device", "shard", "step_ms", "start_ms", F.explode(F.sequence(lo, hi)).alias("slot"))
     slots = slots.select("origin", "device", "shard", "slot", (F.col("start_ms") + F.col("slot") * F.col("step_ms")).alias("slot_ms"), F.lit(1).alias("is_slot"))
 
-    knots = _with_halo(slot_knots(readings, g), shards.select("origin", "device", "shard"), shard_slots)
+    # knots are read for the slots, the boundaries and the second knots: written once, not joined three times
+    knots = _with_halo(cut(slot_knots(readings, g)), shards.select("origin", "device", "shard"), shard_slots)
     rows = knots.select("origin", "device", "shard", "slot", F.struct("slot", "knot.t_us", "knot.v").alias("k"), F.lit(0).alias("is_slot")).unionByName(slots, allowMissingColumns=True)
 
     w = Window.partitionBy("origin", "device", "shard").orderBy("slot", "is_slot")
