@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 BITS = 32
 K = 3200
 SALTS = 64
@@ -153,7 +155,11 @@ def merge(nodes: DataFrame, keys: list[str], k: int = K) -> DataFrame:
 
 
 def roll_up(nodes: DataFrame, keys: list[str], sets: list[list[str]], k: int = K) -> DataFrame:
-    """level, keys, node, count: the digests of every set of keys (others null), by merging the finest."""
+    """level, keys, node, count: the digests of every set of keys (others null), by merging the finest.
+
+    The finest digests are written to the shared checkpoint folder first: merging reads them more than once.
+    """
+    nodes = cut(nodes)
     combos = F.array(*(F.struct(F.lit("+".join(s)).alias("level"), *((F.col(c) if c in s else F.lit(None).cast("string")).alias(c) for c in keys)) for s in sets))
     rows = nodes.select("node", "count", F.explode(combos).alias("g")).select("g.*", "node", "count")
     return merge(rows, ["level", *keys], k)
