@@ -156,7 +156,7 @@ def java_replacement(text: str) -> str:
 
 
 def anchored(pattern: str) -> str:
-    return f"^(?s:(?:{pattern}))$"
+    return f"^(?s:(?:{pattern}))\\z"
 
 
 def label_function(name: str, sk: Column, args: list[str]) -> Column | None:

@@ -73,7 +73,7 @@ def matches(selector: str | list[str] | Selector, m: Column) -> Column:
 
 
 def _anchored(regex: str) -> str:
-    return f"^(?s:(?:{regex}))$"
+    return f"^(?s:(?:{regex}))\\z"
 
 
 def validate(rule: dict) -> dict:
@@ -156,7 +156,7 @@ def hash_mod(value: Column, modulus: int) -> Column:
 
 def graphite_regex(template: str) -> str:
     """A template such as a.*.b as a pattern: a star is one part without dots."""
-    return "^" + "([^.]*)".join(re.escape(p) for p in template.split("*")) + "$"
+    return "^" + "([^.]*)".join(re.escape(p) for p in template.split("*")) + r"\z"
 
 
 def apply_rule(m: Column, rule: dict) -> tuple[Column, Column | None]:

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 # Literals that the line protocol accepts as booleans.
 BOOLEANS = ["t", "T", "true", "True", "TRUE", "f", "F", "false", "False", "FALSE"]
 TRUTHS = BOOLEANS[:5]
-NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-INTEGER = r"^[+-]?[0-9]+$"
+# (\z is the very end; a dollar sign would also match before a last line end)
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+INTEGER = r"^[+-]?[0-9]+\z"
 
 _BACKSLASH, _COMMA, _SPACE, _EQUALS, _QUOTE = (chr(0xFDD0 + i) for i in range(5))
 _SPECIAL, _MASKED = ', ="', _COMMA + _SPACE + _EQUALS + _QUOTE
@@ -71,10 +72,10 @@ def _value_kind(v: Column) -> Column:
     body = F.substring(v, 1, F.length(v) - 1)
     return (
         F.when(_is_number(v), "float")
-        .when(v.rlike("^[+-]?[0-9]+i$") & body.try_cast("bigint").isNotNull(), "int")
-        .when(v.rlike("^[0-9]+u$") & _digits_fit(body, str(2**64 - 1)), "uint")
+        .when(v.rlike(r"^[+-]?[0-9]+i\z") & body.try_cast("bigint").isNotNull(), "int")
+        .when(v.rlike(r"^[0-9]+u\z") & _digits_fit(body, str(2**64 - 1)), "uint")
         .when(v.isin(BOOLEANS), "bool")
-        .when(v.rlike('^"[^"]*"$'), "string")
+        .when(v.rlike(r'^"[^"]*"\z'), "string")
     )
 
 
@@ -141,7 +142,7 @@ def classify_lines(df: DataFrame, line_id: str = "line_id", fmt: str = "fmt", li
         (six & (cell(4) == ""), "empty_field"),
         (six & ~_is_number(cell(5)), "bad_field_value"),
     )
-    skipped = F.col("line").isNull() | F.col("text").rlike(r"^\s*$") | (influx & F.col("line").startswith("#"))
+    skipped = F.col("line").isNull() | F.col("text").rlike(r"^[\s\p{Z}\x1c-\x1f\x85]*\z") | (influx & F.col("line").startswith("#"))
     none = F.array().cast("array<string>")
     errors = F.when(F.coalesce(skipped, F.lit(False)), none).when(influx, influx_errors).when(csv, csv_errors).otherwise(F.array(F.lit("unknown_format")))
     d = d.withColumn("errors", errors)

@@ -7,8 +7,8 @@ the clock would use the time of the flush.
 * Outputs that need no memory between intervals are one windowed aggregate, the same for streams
   and tables.
 * Counter outputs (increase, total, rate) need each series' previous sample.  Over a table that is
-  one sort per series; on a stream it is per-series state (``counter_stream``) that emits deltas,
-  which the same windowed aggregate sums.
+  one sort per series; on a stream it is per-series state (``counter_stream``) that emits deltas to a
+  table, whose stream the same windowed aggregate sums (``increase_stream``).
 """
 
 from __future__ import annotations
@@ -270,9 +270,13 @@ def counter_stream(samples: DataFrame, c: Config, keep_first: bool = True) -> Da
     return d.groupBy("g", "sk").applyInPandasWithState(step, "g string, sk string, ts timestamp, delta double", "v double, t bigint", "append", "EventTimeTimeout")
 
 
-def increase_stream(samples: DataFrame, c: Config, output: str = "increase") -> DataFrame:
-    """On a stream: the increase of every group and interval."""
-    d = counter_stream(samples, c, not output.endswith("_prometheus"))
+def increase_stream(deltas: DataFrame, c: Config, output: str = "increase") -> DataFrame:
+    """On a stream of stored deltas: the increase of every group and interval.
+
+    ``deltas`` reads the table that counter_stream was written to.  Two queries with a table between
+    them, because rows that a state emits late would fall behind one query's common watermark.
+    """
+    d = deltas.withWatermark("ts", c.watermark)
     w = F.window("ts", f"{c.interval_ms} milliseconds")
     g = d.groupBy("g", w.alias("w")).agg(F.sum("delta").alias("value"))
     return _named(g.select("g", F.unix_millis("w.end").alias("end_ms"), "value"), c, output)
