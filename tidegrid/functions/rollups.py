@@ -4,9 +4,10 @@ Three plans, none with a range join:
 
 * order-free functions fan each sample out to the grid points whose window holds it (one generate,
   then a hash aggregate with map-side partial sums);
-* functions that look at neighbouring samples get lag and lead per series first, from one sort;
-  windows without samples inside a gap are emitted by the sample before the gap;
-* counters are made monotone before that, by running sums over the same sort.
+* functions that look at neighbouring samples get lag and lead first, from a sort of each series'
+  time shards whose ends are exchanged, so that no series has to fit one task; windows without
+  samples inside a gap are emitted by the sample before the gap;
+* counters are made monotone before that, by running sums within shards and over shards.
 """
 
 from __future__ import annotations
@@ -251,28 +252,69 @@ def _widest(interval: Column) -> Column:
     return F.when(i <= 2000, i * 5).when(i <= 4000, i * 3).when(i <= 8000, i * 2).when(i <= 16000, i + F.floor(i / 2)).when(i <= 32000, i + F.floor(i / 4)).otherwise(i + F.floor(i / 8)).cast("bigint")
 
 
-def _prepare(samples: DataFrame, name: str, ordered: bool, grid: Grid, window: int, lookback: int) -> DataFrame:
+SHARD_MS = 24 * 3600 * 1000
+
+
+def _boundaries(d: DataFrame, grid: Grid, shard_ms: int) -> DataFrame:
+    """sk, shard: the samples next to each time shard of a series, and how far back a previous sample may lie.
+
+    Only the ends of shards and the last 21 samples of a series meet in one task, never a whole series.
+    """
+    ends = d.groupBy("sk", "shard").agg(F.min("ts").alias("ft"), F.min_by("v", "ts").alias("fv"), F.max("ts").alias("lt"), F.max_by("v", "ts").alias("lv"))
+    w = Window.partitionBy("sk").orderBy("shard")
+    b = ends.select("sk", "shard", F.lag("lt").over(w).alias("bpt"), F.lag("lv").over(w).alias("bpv"), F.lead("ft").over(w).alias("bnt"), F.lead("fv").over(w).alias("bnv"))
+    if grid.n <= 1:
+        return b.withColumn("mpi", F.lit(grid.step).cast("bigint"))
+    late = Window.partitionBy("sk").orderBy(F.desc("ts"))
+    recent = d.select("sk", "ts").withColumn("r", F.row_number().over(late)).where(C("r") <= 21)
+    gaps = recent.withColumn("gap", (C("ts") - F.lead("ts").over(late)).cast("double"))
+    interval = gaps.groupBy("sk").agg(F.percentile("gap", F.lit(0.6)).cast("bigint").alias("i"))
+    reach = interval.select("sk", _widest(F.when(C("i") > 0, C("i")).otherwise(F.lit(grid.step).cast("bigint"))).alias("mpi"))
+    return b.join(reach, "sk")
+
+
+def _monotone(d: DataFrame, longest_gap: int) -> DataFrame:
+    """A counter without its resets: each sample and its neighbours are raised by all falls before them.
+
+    Falls are summed within shards and the shards' sums over the series.  With longest_gap > 0 the
+    raising begins anew after a longer gap, whose first sample is as it is.
+    """
+    fall = lambda v, before: F.when(v < before, F.when((before - v) * 8 < before, before - v).otherwise(before)).otherwise(0.0)
+    broken = F.coalesce(C("ts") - C("pts") > longest_gap, F.lit(False)) if longest_gap else F.lit(False)
+    d = d.withColumn("_fall", F.when(broken, 0.0).otherwise(fall(C("v"), C("pv"))))
+    inside = Window.partitionBy("sk", "shard").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("sk").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy("sk", "shard").agg(F.sum("_fall").alias("_sum"))
+    offsets = totals.select("sk", "shard", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_off"))
+    d = d.withColumn("_in", F.sum("_fall").over(inside)).join(offsets, ["sk", "shard"]).withColumn("_up", C("_off") + C("_in"))
+    if longest_gap:
+        # what had been raised when the last long gap ended does not count after it
+        d = d.withColumn("_cut", F.when(broken, C("_up")))
+        last = d.groupBy("sk", "shard").agg(F.max_by("_cut", F.when(C("_cut").isNotNull(), C("ts"))).alias("_last"))
+        earlier = last.select("sk", "shard", F.last("_last", True).over(before).alias("_old"))
+        d = d.join(earlier, ["sk", "shard"])
+        base = F.coalesce(F.last("_cut", True).over(inside), C("_old"), F.lit(0.0))
+        d = d.withColumn("_up", C("_up") - base).withColumn("_prev_up", F.when(broken, 0.0).otherwise(C("_up") - C("_fall")))
+    else:
+        d = d.withColumn("_prev_up", C("_up") - C("_fall"))
+    nv = C("nv") + C("_up") + fall(C("nv"), C("v"))
+    return d.select("sk", "ts", (C("v") + C("_up")).alias("v"), "is_stale", "mpi", "pts", (C("pv") + C("_prev_up")).alias("pv"), "nts", nv.alias("nv"))
+
+
+def _prepare(samples: DataFrame, name: str, ordered: bool, grid: Grid, window: int, lookback: int, shard_ms: int = SHARD_MS) -> DataFrame:
     """Samples (sk, ts, v, is_stale) with w, mpi and, if ordered, neighbours; counters made monotone."""
-    by = Window.partitionBy("sk").orderBy("ts")
     d = samples if name in ("default_rollup", "stale_samples_over_time") else samples.where(~C("is_stale"))
-    if name in names.ROLLUPS_RESET:
-        prev = F.lag("v").over(by)
-        drop = F.when(C("v") < prev, F.when((prev - C("v")) * 8 < prev, prev - C("v")).otherwise(prev)).otherwise(0.0)
-        if lookback:
-            gap = F.coalesce((C("ts") - F.lag("ts").over(by) > lookback + window).cast("int"), F.lit(0))
-            d = d.withColumn("_drop", F.when(gap == 0, drop).otherwise(0.0)).withColumn("_seg", F.sum(gap).over(by))
-            seg = Window.partitionBy("sk", "_seg").orderBy("ts")
-        else:
-            d, seg = d.withColumn("_drop", drop), by
-        run = seg.rowsBetween(Window.unboundedPreceding, 0)
-        d = d.withColumn("_up", C("v") + F.sum("_drop").over(run)).withColumn("v", F.max("_up").over(run))
     widen = window <= 0 and name in names.ROLLUPS_WIDEN
-    if (ordered or widen) and grid.n > 1:
-        d = d.withColumn("_gap", (C("ts") - F.lag("ts").over(by)).cast("double"))
-        recent = F.row_number().over(Window.partitionBy("sk").orderBy(F.desc("ts"))) <= 20
-        interval = F.percentile(F.when(C("_recent"), C("_gap")), F.lit(0.6)).over(Window.partitionBy("sk")).cast("bigint")
-        d = d.withColumn("_recent", recent).withColumn("_int", interval)
-        d = d.withColumn("mpi", _widest(F.when(C("_int") > 0, C("_int")).otherwise(F.lit(grid.step).cast("bigint"))))
+    resets = name in names.ROLLUPS_RESET
+    if ordered or resets or widen and grid.n > 1:
+        d = d.withColumn("shard", F.floor(C("ts") / shard_ms))
+        d = d.join(_boundaries(d, grid, shard_ms), ["sk", "shard"])
+        w = Window.partitionBy("sk", "shard").orderBy("ts")
+        near = {"pts": F.coalesce(F.lag("ts").over(w), C("bpt")), "pv": F.coalesce(F.lag("v").over(w), C("bpv")), "nts": F.coalesce(F.lead("ts").over(w), C("bnt")), "nv": F.coalesce(F.lead("v").over(w), C("bnv"))}
+        if ordered or resets:
+            d = d.select("sk", "shard", "ts", "v", "is_stale", "mpi", *(c.alias(n) for n, c in near.items()))
+        if resets:
+            d = _monotone(d, lookback + window if lookback else 0)
     else:
         d = d.withColumn("mpi", F.lit(grid.step).cast("bigint"))
     if lookback:
@@ -282,12 +324,8 @@ def _prepare(samples: DataFrame, name: str, ordered: bool, grid: Grid, window: i
         w = F.greatest(F.lit(grid.step).cast("bigint"), C("mpi")) if widen else F.lit(grid.step).cast("bigint")
         if lookback and name == "default_rollup":
             w = F.least(w, F.lit(lookback).cast("bigint"))
-    d = d.withColumn("w", w)
-    if ordered:
-        d = d.select("sk", "ts", "v", "is_stale", "w", "mpi", F.lag("ts").over(by).alias("pts"), F.lag("v").over(by).alias("pv"), F.lead("ts").over(by).alias("nts"), F.lead("v").over(by).alias("nv"))
-    else:
-        d = d.select("sk", "ts", "v", "is_stale", "w", "mpi")
-    return d
+    near = ["pts", "pv", "nts", "nv"] if ordered else []
+    return d.select("sk", "ts", "v", "is_stale", w.alias("w"), "mpi", *near)
 
 
 def fan_out(d: DataFrame, grid: Grid, gaps: bool) -> DataFrame:

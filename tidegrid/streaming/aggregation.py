@@ -7,7 +7,7 @@ the clock would use the time of the flush.
 * Outputs that need no memory between intervals are one windowed aggregate, the same for streams
   and tables.
 * Counter outputs (increase, total, rate) need each series' previous sample.  Over a table that is
-  one sort per series; on a stream it is per-series state (``counter_stream``) that emits deltas to a
+  a sort of time shards; on a stream it is per-series state (``counter_stream``) that emits deltas to a
   table, whose stream the same windowed aggregate sums (``increase_stream``).
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import bucket_name
 from ..model import NAME, drop_labels, key_of, labels_of
+from ..operators.neighbours import with_previous
 from ..operators.relabel import matches, relabel
 from ..ql.syntax import duration_ms
 
@@ -223,8 +224,8 @@ def _output(d: DataFrame, c: Config, o: str, streaming: bool) -> DataFrame:
 
 def counter_deltas(d: DataFrame, c: Config, keep_first: bool) -> DataFrame:
     """Every sample with what its counter grew by: a fall is a reset, a stale or missing predecessor a first sample."""
-    w = Window.partitionBy("sk").orderBy("ts_ms")
-    p, pt = F.lag("v").over(w), F.lag("ts_ms").over(w)
+    d = with_previous(d, "sk", "ts_ms", "v")
+    p, pt = C("prev_value"), C("prev_ts")
     known = F.coalesce(pt + c.staleness_ms >= C("ts_ms"), F.lit(False))
     delta = F.when(known, F.when(C("v") >= p, C("v") - p).otherwise(C("v"))).otherwise(C("v") if keep_first else F.lit(0.0))
     if keep_first and c.ignore_first_sample_interval:
