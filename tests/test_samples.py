@@ -213,3 +213,24 @@ def test_recording_rule_labels(spark):
     r = rules.Rule("m", record="rec", labels={"a": "9", "b": ""})
     got = rules.record(e, rules.Group("g", [], "1m"), r, 0, 180_000).where(F.col("ts_ms") == 60_000).first()
     assert (got.name, got.labels, got.value) == ("rec", {"a": "9", "exported_a": "1"}, 5.0)
+
+
+def test_fan_out_and_compaction(spark, tmp_path):
+    from tidegrid.streaming.fanout import fan_out, parquet_sink
+
+    rows = [("m", {"a": str(i % 2)}, 1_704_067_200_000 + i * 1000, float(i), False) for i in range(20)]
+    df = spark.createDataFrame(rows, SAMPLES)
+    df.write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(SAMPLES).parquet(str(tmp_path / "in"))
+    sinks = {n: parquet_sink(str(tmp_path / n)) for n in ("all", "some")}
+    q = fan_out(src, sinks, str(tmp_path / "c"), {"some": [{"action": "keep", "source_labels": ["a"], "regex": "1"}]})
+    q.processAllAvailable()
+    q.stop()
+    assert spark.read.parquet(str(tmp_path / "all")).count() == 20
+    assert spark.read.parquet(str(tmp_path / "some")).count() == 10
+    store.write_samples(df, str(tmp_path / "s"))
+    store.compact_month(spark, str(tmp_path / "s"), "2024_01", str(tmp_path / "out"), 5000)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 9
+    (tmp_path / "sd.json").write_text('[{"targets": ["h:1", "h:2"], "labels": {"job": "j"}}, {"targets": ["k:1"]}]')
+    got = {r.address: r.labels for r in store.file_targets(spark, str(tmp_path / "sd.json")).collect()}
+    assert got == {"h:1": {"job": "j"}, "h:2": {"job": "j"}, "k:1": {}}

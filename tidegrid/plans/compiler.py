@@ -24,16 +24,17 @@ def anchored(pattern: str) -> str:
 
 def filter_condition(f: Filter) -> Column:
     """A label filter as a predicate on samples; a label that is absent reads as empty."""
-    value = F.coalesce(C("name"), F.lit("")) if f.label == NAME else F.coalesce(F.try_element_at("labels", F.lit(f.label)), F.lit(""))
+    value = F.coalesce(C("name"), F.lit("")) if f.label == NAME else F.coalesce(C("labels")[f.label], F.lit(""))
+    stored = C("name") if f.label == NAME else C("labels")[f.label]
     if f.op == "=":
-        # plain equality on the stored column can be pushed into the scan
-        return C("name") == f.value if f.label == NAME and f.value else value == f.value
+        # plain equality on what is stored can be pushed into the scan
+        return stored == f.value if f.value else value == f.value
     if f.op == "!=":
         return value != f.value
     if f.op in ("=~", "!~"):
         words = f.value.split("|")
         if f.value and all(w and w.replace("_", "").replace("-", "").replace(":", "").isalnum() for w in words):
-            hit = C("name").isin(words) if f.label == NAME and f.op == "=~" else value.isin(words)
+            hit = stored.isin(words) if f.op == "=~" else value.isin(words)
         elif f.value in (".*", "") or f.value == ".+":
             hit = F.lit(True) if f.value == ".*" else value == "" if not f.value else value != ""
         else:

@@ -80,7 +80,9 @@ ORACLE: dict[str, str] = {}
 def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
     QUERIES[name] = run
     if sql:
-        ORACLE[name] = rounded_alike(sql)
+        sql = rounded_alike(sql)
+        # decimal literals make decimals in SQL: results are doubles
+        ORACLE[name] = f"SELECT * REPLACE (CAST(value AS DOUBLE) AS value) FROM ({sql})" if " AS value" in sql and not name.startswith("list_") else sql
 
 
 def rounded_alike(sql: str) -> str:

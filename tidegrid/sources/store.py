@@ -38,6 +38,24 @@ def read_samples(spark: SparkSession, path: str, start_ms: int | None = None, en
     return d.drop("month")
 
 
+def compact_month(spark: SparkSession, path: str, month: str, out_path: str, dedup_interval_ms: int = 0, target_rows: int = 20_000_000) -> None:
+    """Rewrite one month into fewer sorted files under out_path, optionally deduplicated; swap the folders afterwards."""
+    from ..operators.dedup import deduplicate
+
+    d = spark.read.parquet(path).where(C("month") == month).drop("month")
+    if dedup_interval_ms:
+        d = deduplicate(d, dedup_interval_ms)
+    files = max(1, -(-d.count() // target_rows))
+    d = d.withColumn("sk", key_of(F.map_concat(F.create_map(F.lit(NAME), F.coalesce("name", F.lit(""))), "labels")))
+    d.repartitionByRange(files, "name", "sk", "ts_ms").sortWithinPartitions("name", "sk", "ts_ms").drop("sk").write.mode("overwrite").parquet(out_path)
+
+
+def file_targets(spark: SparkSession, path: str) -> DataFrame:
+    """Scrape targets of discovery files: address and labels, from JSON arrays of {"targets":[...],"labels":{...}}."""
+    d = spark.read.schema("targets array<string>, labels map<string,string>").json(path, multiLine=True)
+    return d.select(F.explode("targets").alias("address"), F.coalesce("labels", F.create_map().cast("map<string,string>")).alias("labels"))
+
+
 def expired_months(months: list[str], now_ms: int, retention_ms: int) -> list[str]:
     """Months that end before the retention's start, whose folders can be dropped."""
     oldest = datetime.fromtimestamp((now_ms - retention_ms) / 1000, UTC).strftime("%Y_%m")
