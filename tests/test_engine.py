@@ -98,6 +98,11 @@ def test_rollup_kernels(engine, name):
         ("step() + start() + end()", [2600.0] * 3),
         ('scalar("12")', [12.0] * 3),
         ("absent(nope)", [1.0] * 3),
+        ("timezone_offset('Europe/Berlin')", [3600.0] * 3),
+        ("holt_winters(vector(time())[10m:200s], 0.5, 0.5)", [1000.0, 1200.0, 1400.0]),
+        ("range_mad(time())", [200.0] * 3),
+        ("range_linear_regression(time())", [1000.0, 1200.0, 1400.0]),
+        ("smooth_exponential(time(), 0.5)", [1000.0, 1100.0, 1250.0]),
         ("NaN", []),
         ("2 atan2 2", [pytest.approx(math.pi / 4, abs=1e-6)] * 3),
     ],
@@ -164,7 +169,7 @@ def test_duplicates_are_errors(engine):
 
 def test_unsupported_and_limits(engine):
     with pytest.raises(QueryError):
-        engine.query_range("holt_winters(cpu[5m], 0.5, 0.5)", 1000, 2000)
+        engine.query_range("rate(cpu, foo)", 1000, 2000)
     with pytest.raises(QueryError):
         engine.query_range("cpu", 0, 40_000, "1s")
 

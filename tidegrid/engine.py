@@ -9,10 +9,10 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .model import NAME, Grid, Scalar, Vector, labels_of
+from .model import NAME, Grid, Scalar, Vector, key_of, labels_of
 from .plans.compiler import Compiler, selector_condition
 from .ql.rewrite import flip_comparisons, push_filters
-from .ql.syntax import Binary, QueryError, Rollup, Selector, duration_ms, parse
+from .ql.syntax import Binary, QueryError, Rollup, Selector, duration_ms, parse, unparse
 
 C = F.col
 DEFAULT_STEP_MS = 5 * 60 * 1000
@@ -106,8 +106,6 @@ class MetricsEngine:
             shift = e.offset.ms(step_ms) if e.offset else 0
             lo = t - shift - e.window.ms(step_ms)
             first = lo - lo % inner + inner
-            from .ql.syntax import unparse
-
             return self.query_range(unparse(e.expr), first / 1000, (t - shift) / 1000, inner, round_digits)
         grid = Grid(t, t, step_ms)
         return self.result(self.plan(query, grid), grid, round_digits)
@@ -156,8 +154,6 @@ class MetricsEngine:
         return d
 
     def series(self, match=None, start=None, end=None, limit: int | None = None) -> DataFrame:
-        from .model import key_of
-
         named = F.map_concat(F.create_map(F.lit(NAME), F.coalesce("name", F.lit(""))), F.coalesce("labels", F.create_map().cast("map<string,string>")))
         keys = self._matching(match, start, end).select(key_of(named).alias("sk")).distinct()
         out = keys.orderBy("sk").limit(limit) if limit else keys

@@ -226,6 +226,20 @@ def _tables() -> tuple[dict, dict, dict]:
     return plain, scalar_arg, multi
 
 
+def smoothed(sf: Column, tf: Column) -> Spec:
+    """Double exponential smoothing of level and trend over the samples in order."""
+    ordered = F.transform(F.array_sort("l"), lambda x: x["v"])
+    first, second = F.get(ordered, F.lit(0)), F.get(ordered, F.lit(1))
+
+    def step(acc: Column, v: Column) -> Column:
+        level = sf * v + (1 - sf) * (acc["level"] + acc["trend"])
+        return F.struct(level.alias("level"), (tf * (level - acc["level"]) + (1 - tf) * acc["trend"]).alias("trend"))
+
+    start = F.struct(first.alias("level"), (second - first).alias("trend"))
+    rest = F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0)))
+    return Spec({"l": F.collect_list(F.struct("ts", "v"))}, F.when(F.size("l") < 2, first).otherwise(F.aggregate(rest, start, step)["level"]))
+
+
 def spec_of(name: str, arg: Scalar | None = None) -> Spec:
     plain, scalar_arg, multi = _tables()
     if name in plain:

@@ -110,6 +110,7 @@ RANGE: dict[str, object] = {
     "range_first": lambda: F.first("v", True).over(_series().orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     "range_last": lambda: F.last("v", True).over(_series().orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
     "range_linear_regression": _trend,
+    "range_mad": lambda: F.percentile("_dev", F.lit(0.5)).over(_series()),
     "range_zscore": lambda: F.when(F.stddev_pop("v").over(_series()) != 0, (C("v") - F.avg("v").over(_series())) / F.stddev_pop("v").over(_series())).otherwise(0.0),
     "range_normalize": lambda: F.when(F.max("v").over(_series()) > F.min("v").over(_series()), (C("v") - F.min("v").over(_series())) / (F.max("v").over(_series()) - F.min("v").over(_series()))),
     "running_avg": lambda: F.avg("v").over(_run()),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates, histograms, rollups, transforms
@@ -145,6 +145,9 @@ class Compiler:
             tag, what = (self.text(others[0]), aggregates.number_text(C("v"))) if name == "count_values_over_time" else ("vmrange", aggregates.bucket_name(C("v")))
             g = d.groupBy("sk", "k", what.alias("x")).agg(F.count(F.lit(1)).cast("double").alias("v"))
             return self._named(g.select(with_labels(C("sk"), {tag: C("x")}).alias("sk"), "k", "v"), keep_name, one)
+        if name == "holt_winters":
+            sf, tf = (F.lit(self.number(o)) for o in others)
+            return self._named(self._one(name, samples, window, rollups.smoothed(sf, tf)), keep_name, one)
         arg = None
         if others:
             arg = self.compile(others[0])
@@ -240,6 +243,9 @@ class Compiler:
                 return self.scalar(g.step / 1000)
             case "pi":
                 return self.scalar(math.pi)
+            case "timezone_offset":
+                t = F.timestamp_millis(g.time_ms(C("k")))
+                return Scalar((F.unix_seconds(F.from_utc_timestamp(t, self.text(e.args[0]))) - F.unix_seconds(t)).cast("double"))
             case "now":
                 return Scalar(F.unix_millis(F.current_timestamp()) / 1000.0)
             case "" | "union":
@@ -304,14 +310,17 @@ class Compiler:
             return self.drop_common(e)
         if not e.args:
             raise QueryError(f"{name} wants arguments")
-        x = self.compile(e.args[0])
+        if name == "range_normalize" and len(e.args) > 1:
+            x, e = self.union([self.materialise(self.compile(a)) for a in e.args]), replace(e, args=e.args[:1])
+        else:
+            x = self.compile(e.args[0])
         extra = [self.compile(a) for a in e.args[1:] if not isinstance(a, Text)]
         if name in transforms.RANGE:
             v = self.materialise(x)
             df = aggregates.densify(v.df, self.grid)
+            if name == "range_mad":
+                df = df.withColumn("_dev", F.abs(C("v") - F.percentile("v", F.lit(0.5)).over(Window.partitionBy("sk"))))
             if name == "remove_resets":
-                from pyspark.sql import Window
-
                 prev = F.last("v", True).over(Window.partitionBy("sk").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
                 df = df.withColumn("_drop", F.when(C("v") < prev, F.when((prev - C("v")) * 8 < prev, prev - C("v")).otherwise(prev)).otherwise(0.0))
             return self.renamed(df.withColumn("v", transforms.RANGE[name]()), v, keep)
@@ -322,9 +331,6 @@ class Compiler:
         if name == "label_value":
             v = self.materialise(x)
             return Vector(v.df.withColumn("v", F.when(C("v").isNotNull(), missing_if_nan(label(C("sk"), self.text(e.args[1])).try_cast("double")))), unique=False)
-        if name == "timezone_offset":
-            t = F.timestamp_millis(self.grid.time_ms(C("k")))
-            return Scalar((F.unix_seconds(F.from_utc_timestamp(t, self.text(e.args[0]))) - F.unix_seconds(t)).cast("double"))
         fn = self.numeric(name, extra)
         if isinstance(x, Scalar) and all(isinstance(a, Scalar) for a in extra):
             return Scalar(missing_if_nan(fn(x.expr, *(a.expr for a in extra))))
@@ -372,8 +378,6 @@ class Compiler:
         return Vector(d if keep else d.withColumn("sk", drop_name(C("sk"))), v.single, v.unique and keep)
 
     def with_arguments(self, e: Call, name: str) -> Vector:
-        from pyspark.sql import Window
-
         w = Window.partitionBy("sk")
         if name == "limit_offset":
             limit, offset, v = int(self.number(e.args[0])), int(self.number(e.args[1])), self.materialise(self.compile(e.args[2]))

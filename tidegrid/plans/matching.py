@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import densify
-from ..model import NAME, Grid, Scalar, Vector, drop_labels, drop_name, finite_div, keep_labels, labels_of, missing_if_nan, with_labels
+from ..model import NAME, Grid, Scalar, Vector, drop_labels, drop_name, finite_div, keep_labels, key_of, labels_of, missing_if_nan, with_labels
 from ..ql.syntax import COMPARISONS, Binary, QueryError
 
 C = F.col
@@ -97,8 +97,6 @@ def join_vectors(e: Binary, left: Vector, right: Vector) -> Vector:
         extra = F.map_filter(labels_of(C("o_sk")), lambda n, _: ~n.isin([*skip, NAME]))
         extra = F.transform_keys(extra, lambda n, _: F.concat(F.lit(e.prefix), n))
         rest = F.map_filter(labels_of(key), lambda n, _: ~F.array_contains(F.map_keys(extra), n))
-        from ..model import key_of
-
         key = key_of(F.map_concat(rest, extra))
     elif e.join_labels:
         got = labels_of(C("o_sk"))

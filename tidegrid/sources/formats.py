@@ -7,11 +7,14 @@ out; operators.wire_rows keeps them apart with their reasons.
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import NAME, SAMPLES
 from ..operators import wire_rows
+from ..operators.relabel import relabel
 
 C = F.col
 NONE = "map<string,string>"
@@ -206,8 +209,6 @@ def with_extra(samples: DataFrame, extra: dict[str, str] | None) -> DataFrame:
 
 def path_labels(path: str) -> dict[str, str]:
     """Labels in a push path /metrics/job/<v>/<label>/<v>, values optionally in base64."""
-    import base64
-
     parts = path.split("/metrics/", 1)[1].split("/") if "/metrics/" in path else []
     out = {}
     for k, v in zip(parts[::2], parts[1::2], strict=False):
@@ -222,8 +223,6 @@ def scrape(text: DataFrame, target_labels: dict[str, str], at_ms: int, honor_lab
 
     Without honor_labels a label of the sample that a target label would overwrite is kept as exported_<label>.
     """
-    from ..operators.relabel import relabel
-
     d = prometheus(text, body, at_ms)
     if rules:
         d = relabel(d, rules)

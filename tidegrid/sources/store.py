@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import NAME, key_of
+from ..operators.dedup import deduplicate
 
 C = F.col
 
@@ -40,8 +41,6 @@ def read_samples(spark: SparkSession, path: str, start_ms: int | None = None, en
 
 def compact_month(spark: SparkSession, path: str, month: str, out_path: str, dedup_interval_ms: int = 0, target_rows: int = 20_000_000) -> None:
     """Rewrite one month into fewer sorted files under out_path, optionally deduplicated; swap the folders afterwards."""
-    from ..operators.dedup import deduplicate
-
     d = spark.read.parquet(path).where(C("month") == month).drop("month")
     if dedup_interval_ms:
         d = deduplicate(d, dedup_interval_ms)
@@ -81,8 +80,6 @@ def export_json(samples: DataFrame, max_rows_per_line: int = 10_000) -> DataFram
 
     The rows of a series are numbered within days, so a long series is never gathered whole.
     """
-    from pyspark.sql import Window
-
     metric = F.map_concat(F.when(C("name") != "", F.create_map(F.lit(NAME), C("name"))).otherwise(F.create_map().cast("map<string,string>")), C("labels"))
     day = F.floor(C("ts_ms") / 86_400_000)
     d = samples.select(key_of(metric).alias("sk"), F.to_json(metric).alias("m"), day.alias("day"), "ts_ms", "value")

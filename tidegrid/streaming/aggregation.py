@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import bucket_name
-from ..model import NAME, drop_labels, key_of, labels_of
+from ..model import NAME, drop_labels, keep_labels, key_of, labels_of
 from ..operators.neighbours import with_previous
 from ..operators.relabel import matches, relabel
 from ..ql.syntax import duration_ms
@@ -115,10 +115,7 @@ def _prepared(samples: DataFrame, c: Config) -> DataFrame:
     if c.match:
         d = d.where(matches(c.match, full))
     sk = key_of(full)
-    out = sk
     if c.by:
-        from ..model import keep_labels
-
         out = keep_labels(C("sk"), c.by)
     elif c.without:
         out = drop_labels(C("sk"), c.without)
