@@ -205,3 +205,12 @@ def test_metamorphic_scalar_paths(engine):
     a = values(engine, "cpu * 3")
     b = values(engine, "cpu * on() group_left label_set(vector(3), 'z', '1')")
     assert a == b
+
+
+@pytest.mark.parametrize("q", ["sum(sum_over_time(cpu[10m])) by (host)", "max(max_over_time(cpu[10m] offset 5m))", "min(min_over_time(cpu[7m])) without (host)", "sum(count_over_time(cpu[10m]))", "sum(sum2_over_time(cpu[10m])) by (__name__)", "group(present_over_time(cpu[10m])) by (host) limit 2"])
+def test_metamorphic_fused_aggregates(engine, q, monkeypatch):
+    """Aggregating samples at once and by way of their series agree."""
+    at_once = points(engine.query_range(q, 1000, 4600, "5m"))
+    monkeypatch.setattr("tidegrid.plans.compiler.FUSED", {})
+    assert points(engine.query_range(q, 1000, 4600, "5m")) == at_once
+    assert at_once

@@ -55,6 +55,17 @@ def selector_condition(s: Selector, enforced: tuple[tuple[Filter, ...], ...] = (
     return cond
 
 
+# An aggregate of rollups that is one aggregate of samples: the series in between need not be made.
+FUSED = {
+    ("sum", "sum_over_time"): lambda: F.sum("v"),
+    ("sum", "sum2_over_time"): lambda: F.sum(C("v") * C("v")),
+    ("sum", "count_over_time"): lambda: F.count("v").cast("double"),
+    ("max", "max_over_time"): lambda: F.max("v"),
+    ("min", "min_over_time"): lambda: F.min("v"),
+    ("group", "present_over_time"): lambda: F.max(F.lit(1.0)),
+}
+
+
 class Compiler:
     """Compiles expressions over samples (name, labels, ts_ms, value, is_stale) on one grid."""
 
@@ -418,12 +429,36 @@ class Compiler:
         return Vector(d)
 
     # aggregates
+    def fused(self, e: Aggregate) -> DataFrame | None:
+        """sk, k, v of an aggregate straight from samples, if its rollup allows that: one shuffle of groups, none of series."""
+        call = e.args[0]
+        if len(e.args) != 1 or not isinstance(call, Call) or len(call.args) != 1 or not isinstance(call.args[0], Rollup):
+            return None
+        name, t = call.name.lower(), call.args[0]
+        agg = FUSED.get((e.name, name))
+        if agg is None or t.window is None or t.subquery or t.at is not None or not isinstance(t.expr, Selector) or not any(t.expr.groups):
+            return None
+        shift = t.offset.ms(self.grid.step) if t.offset else 0
+        grid = Grid(self.grid.start - shift, self.grid.end - shift, self.grid.step)
+        window = t.window.ms(grid.step)
+        if window <= 0:
+            return None
+        d = self.select(t.expr, rollups.fetch_from(name, grid, window), grid.end).where(~C("is_stale"))
+        if not (call.keep or name in names.ROLLUPS_KEEP_NAME):
+            d = d.withColumn("sk", drop_name(C("sk")))
+        d = d.select(aggregates.group_key(e.mod, e.labels).alias("sk"), "ts", "v", F.lit(window).cast("bigint").alias("w"))
+        out = rollups.fan_out(d, grid, False).groupBy("sk", "k").agg(agg().alias("v"))
+        return out.select("sk", "k", missing_if_nan(C("v")).alias("v"))
+
     def aggregate(self, e: Aggregate) -> Vector:
         name = e.name
         if name not in aggregates.EXECUTABLE:
             raise QueryError(f"{name} is recognised but not supported")
         if not e.args:
             raise QueryError(f"{name} wants arguments")
+        fused = self.fused(e)
+        if fused is not None:
+            return Vector(aggregates.limit_groups(fused, e.limit) if e.limit > 0 else fused, single=not e.mod)
         leading = {"quantile": 1, "topk": 1, "bottomk": 1, "limitk": 1, "count_values": 1, "outliers_mad": 1, "outliersk": 1}.get(name, 1 if "k_" in name else len(e.args) - 1 if name == "quantiles" else 0)
         head, rest = list(e.args[:leading]), e.args[leading:]
         if name in ("topk", "bottomk") or "k_" in name:
