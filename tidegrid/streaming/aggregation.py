@@ -146,6 +146,13 @@ def _deduplicated(d: DataFrame, c: Config) -> DataFrame:
     return d.groupBy(*keys).agg(best.alias("s")).select("sk", "g", C("s.ts_ms").alias("ts_ms"), C("s.v").alias("v"), "end_ms")
 
 
+def _deduplicated_stream(d: DataFrame, c: Config) -> DataFrame:
+    """The same on a stream: a windowed aggregate whose event time goes on into the next one."""
+    best = F.max(F.struct("ts_ms", "v"))
+    g = d.groupBy("sk", "g", F.window("ts", f"{c.dedup_ms} milliseconds").alias("w")).agg(best.alias("s"))
+    return g.select("sk", "g", C("s.ts_ms").alias("ts_ms"), C("s.v").alias("v"), F.window_time("w").alias("ts"))
+
+
 SIMPLE = {
     "avg": lambda: F.avg("v"),
     "count_samples": lambda: F.count("v"),
@@ -170,12 +177,12 @@ def aggregate(samples: DataFrame, c: Config) -> DataFrame:
     """All outputs of a configuration over a table of samples, or over a stream for outputs without memory."""
     streaming = samples.isStreaming
     if streaming:
-        if c.dedup_ms or any(o in COUNTERS + RUNNING for o in c.outputs):
-            raise ValueError("on a stream, take counters through counter_stream and deduplicate before")
+        if any(o in COUNTERS + RUNNING for o in c.outputs):
+            raise ValueError("on a stream, take counters through counter_stream")
         samples = samples.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", c.watermark)
     d = _prepared(samples, c)
     if c.dedup_ms:
-        d = _deduplicated(d, c)
+        d = _deduplicated_stream(d, c) if streaming else _deduplicated(d, c)
     parts = [_output(d, c, o, streaming) for o in c.outputs]
     out = parts[0]
     for p in parts[1:]:
