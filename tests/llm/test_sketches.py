@@ -75,7 +75,9 @@ def test_leaves_keep_order_and_value():
     assert back[6] == 0.0
 
 
-def test_quantiles_within_the_stated_error(spark):
+@pytest.mark.parametrize("call_nodes", [1 << 17, 300])
+def test_quantiles_within_the_stated_error(spark, call_nodes, monkeypatch):
+    monkeypatch.setattr(qdigest, "CALL_NODES", call_nodes)
     rng = np.random.default_rng(4)
     n = 30000
     g = rng.choice(["hot", "hot", "hot", "b"], n)

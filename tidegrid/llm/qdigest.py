@@ -11,7 +11,7 @@ leaf holds at most n / K, so any quantile's rank is off by at most BITS * floor(
 Plan: each task reduces its rows to one digest per group (at most 3 K nodes beyond the last
 batch), so a hot group leaves a task as one digest; digests are added by (group, node) with
 map-side sums; only groups of K or more values are compressed again, first by salt and then
-whole, so that no task holds more than about sqrt(tasks) digests of a group.
+whole; what a group brings is bounded by the number of tasks, never by its rows.
 
 Defined results for odd input: null, NaN and infinite values do not count and a group without
 finite values has no digest; null keys form groups of their own; negative zero is zero; ties and
@@ -32,7 +32,7 @@ from ..session import cut
 
 BITS = 32
 K = 3200
-SALTS = 64
+CALL_NODES = 1 << 17  # nodes compressed in one call; groups with more are salted
 
 
 def leaf_of(values: np.ndarray) -> np.ndarray:
@@ -136,13 +136,11 @@ def _frame(g: np.ndarray, node: np.ndarray, c: np.ndarray, codes: dict[tuple, in
 
 def merge(nodes: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """Add digests into groups of keys and compress the groups that need it: keys, node, count."""
-    salted = nodes.select(*keys, "node", "count", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt"))
-    added = salted.groupBy(*keys, "_salt", "node").agg(F.sum("count").alias("count"))
-    sizes = nodes.groupBy(*(F.col(c).alias(f"_{c}") for c in keys)).agg(F.sum("count").alias("_n"))
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-    drop = [f"_{c}" for c in keys]
-    sized = added.join(sizes, on).drop(*drop) if keys else added.join(F.broadcast(sizes))
-    small = sized.where(F.col("_n") < k).groupBy(*keys, "node").agg(F.sum("count").alias("count"))
+    added = nodes.groupBy(*keys, "node").agg(F.sum("count").alias("count"))
+    group = Window.partitionBy(*keys)
+    sized = added.select("*", F.sum("count").over(group).alias("_n"), F.ceil(F.count(F.lit(1)).over(group) / CALL_NODES).alias("_s"))
+    small = sized.where(F.col("_n") < k).select(*keys, "node", "count")
+    large = sized.where(F.col("_n") >= k)
     schema = T.StructType([*(T.StructField(c, nodes.schema[c].dataType) for c in keys), T.StructField("node", T.LongType()), T.StructField("count", T.LongType())])
 
     def squeeze(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
@@ -150,8 +148,11 @@ def merge(nodes: DataFrame, keys: list[str], k: int = K) -> DataFrame:
         _, node, c = compress(zero, b["node"].to_numpy(np.int64), b["count"].to_numpy(np.int64), k)
         return pd.DataFrame({n: [key[i]] * len(node) for i, n in enumerate(keys)} | {"node": node, "count": c}).astype({n: object for n in keys})
 
-    large = sized.where(F.col("_n") >= k).groupBy(*keys, "_salt").applyInPandas(squeeze, schema).groupBy(*keys).applyInPandas(squeeze, schema)
-    return small.unionByName(large)
+    once = large.where(F.col("_s") <= 1).select(*keys, "node", "count").groupBy(*keys).applyInPandas(squeeze, schema)
+    # nodes of one small subtree get the same salt, so that siblings still meet
+    salted = large.where(F.col("_s") > 1).select(*keys, "node", "count", F.pmod(F.xxhash64(F.shiftright("node", 8)), F.col("_s")).alias("_salt"))
+    twice = salted.groupBy(*keys, "_salt").applyInPandas(squeeze, schema).groupBy(*keys).applyInPandas(squeeze, schema)
+    return small.unionByName(once).unionByName(twice)
 
 
 def roll_up(nodes: DataFrame, keys: list[str], sets: list[list[str]], k: int = K) -> DataFrame:
