@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.transforms import java_replacement
 from ..model import NAME
 from ..ql.syntax import Filter, QueryError, Selector, parse
+from ..session import share_code
 
 C = F.col
 # The actions of relabeling rules.
@@ -249,6 +250,7 @@ def _merge(m: Column, entries: Column) -> Column:
 
 def relabel(samples: DataFrame, rules: list[dict]) -> DataFrame:
     """Samples after the rules; other columns than name and labels pass through."""
+    share_code(samples.sparkSession)
     checked = [validate(r) for r in rules]
     labels = F.map_filter(F.coalesce("labels", F.create_map().cast("map<string,string>")), lambda k, v: (k != NAME) & F.coalesce(v != "", F.lit(False)))
     d = samples.withColumn("_m", F.when(F.coalesce("name", F.lit("")) == "", labels).otherwise(F.map_concat(F.create_map(F.lit(NAME), C("name")), labels)))

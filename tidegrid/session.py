@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that a lost executor cannot change what later stages read."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, without a PYTHONPATH of their own.
+
+    On a cluster without that folder the package has to be installed or shipped as usual.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])

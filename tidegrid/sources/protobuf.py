@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import SAMPLES
+from ..session import share_code
 from .formats import as_samples
 
 STALE_BITS = 0x7FF0000000000002  # the NaN that marks a series as ended
@@ -296,6 +297,7 @@ def _decoded(messages: DataFrame, rows, content: str, encoding: str) -> DataFram
                     continue  # a broken message gives nothing
             yield pd.DataFrame(out, columns=SAMPLES.names)
 
+    share_code(messages.sparkSession)
     return as_samples(messages.select(F.col(content).alias("data")).mapInPandas(run, SAMPLES))
 
 

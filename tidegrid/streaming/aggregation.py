@@ -25,6 +25,7 @@ from ..model import NAME, drop_labels, keep_labels, key_of, labels_of
 from ..operators.neighbours import with_previous
 from ..operators.relabel import matches, relabel
 from ..ql.syntax import duration_ms
+from ..session import share_code
 
 C = F.col
 # The outputs of a configuration, besides quantiles(...).
@@ -252,6 +253,7 @@ def counter_stream(samples: DataFrame, c: Config, keep_first: bool = True) -> Da
 
     Samples older than the series' last one are skipped, as are those behind the watermark.
     """
+    share_code(samples.sparkSession)
     d = _prepared(samples.withColumn("ts", F.timestamp_millis("ts_ms")), c).withWatermark("ts", c.watermark).select("g", "sk", "ts", "ts_ms", "v")
     stale = c.staleness_ms
 
