@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import share_code
+
 TOKENIZERS = "/opt/tokenizers"
 MATRIX_WIDTH = 256
 CHUNK_CHARS = 1 << 21
@@ -290,6 +292,7 @@ def text_chunks(texts: list[str | None]) -> Iterator[slice]:
 
 def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """doc_id and ids (array of int) of every row."""
+    share_code(df.sparkSession)
     path = f"{folder}/{vocabulary}.tiktoken"
     d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, share_code
 
 BITS = 32
 K = 3200
@@ -94,6 +94,7 @@ def compress(g: np.ndarray, node: np.ndarray, c: np.ndarray, k: int = K) -> tupl
 
 def build(df: DataFrame, keys: list[str], value: str, k: int = K) -> DataFrame:
     """keys, node, count: one digest per group and task, to be merged."""
+    share_code(df.sparkSession)
     names = [f"k{i}" for i in range(len(keys))]
     d = df.select(*(F.col(c).cast("string").alias(n) for c, n in zip(keys, names, strict=True)), F.col(value).cast("double").alias("v"))
     d = d.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
@@ -136,6 +137,7 @@ def _frame(g: np.ndarray, node: np.ndarray, c: np.ndarray, codes: dict[tuple, in
 
 def merge(nodes: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """Add digests into groups of keys and compress the groups that need it: keys, node, count."""
+    share_code(nodes.sparkSession)
     added = nodes.groupBy(*keys, "node").agg(F.sum("count").alias("count"))
     group = Window.partitionBy(*keys)
     sized = added.select("*", F.sum("count").over(group).alias("_n"), F.ceil(F.count(F.lit(1)).over(group) / CALL_NODES).alias("_s"))
@@ -168,6 +170,7 @@ def roll_up(nodes: DataFrame, keys: list[str], sets: list[list[str]], k: int = K
 
 def quantiles(digests: DataFrame, keys: list[str], phis: list[float], k: int = K) -> DataFrame:
     """keys, n, rank_error, phi, value: the value at rank ceil(phi * n), off by at most rank_error ranks."""
+    share_code(digests.sparkSession)
     # length in bits of the node's number gives its depth; shifting left to the leaves gives its largest leaf
     depth = F.length(F.bin("node")) - 1
     width = F.lit(BITS) - depth

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import share_code
+
 MAX_PASSAGES = 20_000
 MIN_SENTENCES = 3
 CHAR_BITS = 13
@@ -326,6 +328,7 @@ def reading_levels(docs: DataFrame, model: ReadingModel, doc_id: str = "doc_id",
     the mean distribution; ``difficulty`` the calibrated expected level; ``level`` the nearest level,
     null below MIN_SENTENCES sentences.
     """
+    share_code(docs.sparkSession)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("n_sentences", T.LongType()), T.StructField("n_hard", T.LongType()), T.StructField("level_shares", T.ArrayType(T.DoubleType())), T.StructField("difficulty", T.DoubleType()), T.StructField("level", T.IntegerType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import share_code
 from . import bpe
 
 _LOWER_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
@@ -169,6 +170,7 @@ def _all_counts(tokenizers: list[str], texts: list[str | None], folder: str) ->
 
 def token_sizes(df: DataFrame, tokenizers: list[str], doc_id: str = "doc_id", text: str = "text", folder: str = bpe.TOKENIZERS) -> DataFrame:
     """doc_id and sizes (array of bigint, in the order of tokenizers); null texts have size 0."""
+    share_code(df.sparkSession)
     d = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("sizes", T.ArrayType(T.LongType(), False))])
 
