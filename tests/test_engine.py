@@ -214,3 +214,13 @@ def test_metamorphic_fused_aggregates(engine, q, monkeypatch):
     monkeypatch.setattr("tidegrid.plans.compiler.FUSED", {})
     assert points(engine.query_range(q, 1000, 4600, "5m")) == at_once
     assert at_once
+
+
+def test_geomean_of_many_series(spark):
+    # the product of the first group is 1e1500, that of the second 1e-1500
+    rows = [(n, {"i": str(i)}, 1_000_000, x, False) for n, x in (("big", 1e3), ("small", 1e-3)) for i in range(500)]
+    cases = {"zero": [0.0, 1e300, 1e300], "odd": [-2.0, 8.0, 4.0], "even": [-2.0, -8.0], "one": [-3.0], "inf": [math.inf, 0.0], "mixed": [2.0, 8.0]}
+    rows += [(n, {"i": str(i)}, 1_000_000, x, False) for n, xs in cases.items() for i, x in enumerate(xs)]
+    df = MetricsEngine(spark.createDataFrame(rows, SAMPLES)).query('geomean(last_over_time({__name__!=""}[1m]) keep_metric_names) by (__name__)', 1000)
+    got = {r.name: r.value for r in df.collect() if r.value is not None}
+    assert got == pytest.approx({"big": 1e3, "small": 1e-3, "zero": 0.0, "even": 4.0, "one": -3.0, "mixed": 4.0})

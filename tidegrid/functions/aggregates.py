@@ -16,6 +16,17 @@ def group_key(mod: str, labels: tuple[str, ...]) -> Column:
     return keep_labels(C("sk"), labels)
 
 
+def geomean(v: Column) -> Column:
+    """pow(product, 1 / n) through a sum of logarithms, as the product of many series overflows.
+
+    A zero makes it zero, an odd number of negative values missing; one value alone stays as it is.
+    """
+    n, logs = F.count(v), F.coalesce(F.sum(F.when(v != 0, F.ln(F.abs(v)))), F.lit(0.0))
+    finite = logs < float("inf")
+    root = F.when(F.count_if(v == 0) > 0, F.when(finite, 0.0).otherwise(float("nan"))).when((F.count_if(v < 0) % 2 == 1) & finite, float("nan")).otherwise(F.exp(logs / n))
+    return F.when(n == 1, F.max(v)).otherwise(root)
+
+
 # Each gives one value per group and point.
 SIMPLE = {
     "sum": lambda: F.sum("v"),
@@ -27,7 +38,7 @@ SIMPLE = {
     "group": lambda: F.max(F.when(C("v").isNotNull(), 1.0)),
     "stddev": lambda: F.stddev_pop("v"),
     "stdvar": lambda: F.var_pop("v"),
-    "geomean": lambda: F.pow(F.product("v"), 1.0 / F.count("v")),
+    "geomean": lambda: geomean(C("v")),
     "median": lambda: F.percentile("v", F.lit(0.5)),
     "mode": lambda: F.mode("v", True),
     "distinct": lambda: F.count_distinct("v").cast("double"),

@@ -259,6 +259,7 @@ for _f, _sql in {
 }.items():
     add(f"aggr_{_f}", ranged(f"{_f}(sum_over_time(events_value[1d])) by (event_type)", ["event_type"]), grouped(_sql, "event_type"))
 add("aggr_geomean", ranged('geomean(sum2_over_time(events_value{user_id=~"1"}[1d]) + 1) by (event_type)', ["event_type"]), grouped("pow(product(v), 1.0 / count(v))", "event_type", rolled("sum(v * v) + 1", DAY, "user_id = '1'")))
+add("aggr_geomean_all", ranged("geomean(sum2_over_time(events_value[1d]) + 1) by (event_type)", ["event_type"]), grouped("exp(avg(ln(v)))", "event_type", rolled("sum(v * v) + 1", DAY)))
 add("aggr_without", ranged("max(sum_over_time(events_value[1d])) without (user_id)", ["event_type"]), grouped("max(v)", "event_type"))
 add("aggr_all", ranged("sum(sum_over_time(events_value[1d]))", []), grouped("sum(v)", None))
 add("aggr_quantile", ranged("quantile(0.25, sum_over_time(events_value[1d])) by (event_type)", ["event_type"]), grouped("quantile_cont(v, 0.25)", "event_type"))
