@@ -51,3 +51,15 @@ def test_entry_works_without_llm(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(registry.queries()) <= set(entry.queries())
+
+
+def test_whole_grids_cover_the_tables(spark, con):
+    # windows as wide as the step share no sample: they add up to the whole table
+    run = lambda name: registry.queries()[name](spark, DATA)
+    total = con.execute("SELECT CAST(sum(o_totalprice) AS DOUBLE) FROM orders").fetchone()[0]
+    assert sum(r.value for r in run("orders_monthly_rate_whole").collect()) == pytest.approx(total)
+    counts = run("transform_running_sum_whole").groupBy("event_type").max("value").collect()
+    assert sum(r[1] for r in counts) == con.execute("SELECT count(value) FROM events").fetchone()[0]
+    assert run("export_samples_whole").count() == con.execute("SELECT count(*) FROM events WHERE event_type <> 'view'").fetchone()[0]
+    last = con.execute("SELECT epoch_ms(max(l_shipdate)) FROM lineitem").fetchone()[0]
+    assert max(r.ts_ms for r in run("lineitem_quantity_max_whole").collect()) >= last
