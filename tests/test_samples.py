@@ -158,6 +158,25 @@ def test_streaming_matches_batch(spark, tmp_path, dedup):
     assert [r for r in flat(spark.table("agg")) if r[2] < 1_700_009_000_000] == want
 
 
+@pytest.mark.parametrize("dedup", ["", "20s"])
+def test_streaming_counts_distinct_values_exactly(spark, tmp_path, dedup):
+    # 3,000 series and 2,000 values in each of two intervals
+    rows = [("m", {"b": str(i % 3000)}, 1_700_000_040_000 + i * 10, float(i % 2000), False) for i in range(12_000)]
+    df = spark.createDataFrame(rows, SAMPLES)
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    c = aggregation.Config("1m", ["count_series", "unique_samples"], by=["a"], dedup_interval=dedup)
+    want = flat(aggregation.aggregate(df, c))
+    assert {r[3] for r in want} == {3000.0, 2000.0}
+    src = spark.readStream.schema(SAMPLES).parquet(str(tmp_path / "in"))
+    q = aggregation.aggregate(src, c).writeStream.format("memory").queryName("distinct").outputMode("append").start()
+    q.processAllAvailable()
+    for t in (1_700_009_000_000, 1_700_019_000_000, 1_700_029_000_000):
+        spark.createDataFrame([("m", {"a": "0"}, t, 0.0, False)], SAMPLES).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    q.stop()
+    assert [r for r in flat(spark.table("distinct")) if r[2] < 1_700_009_000_000] == want
+
+
 def test_counter_stream_matches_batch(spark, tmp_path):
     rows = [("m", {"a": str(i % 2)}, 1_700_000_000_000 + i * 1000, float(i % 50), False) for i in range(240)]
     df = spark.createDataFrame(rows, SAMPLES)

@@ -5,7 +5,8 @@ are event times: a result is stamped with the end of its interval, where a serve
 the clock would use the time of the flush.
 
 * Outputs that need no memory between intervals are one windowed aggregate, the same for streams
-  and tables.
+  and tables.  Distinct counts (count_series, unique_samples) are exact on both; on a stream they are
+  two aggregates, one row per distinct value and then their number, which wants output mode append.
 * Counter outputs (increase, total, rate) need each series' previous sample.  Over a table that is
   a sort of time shards; on a stream it is per-series state (``counter_stream``) that emits deltas to a
   table, whose stream the same windowed aggregate sums (``increase_stream``).
@@ -157,16 +158,14 @@ def _deduplicated_stream(d: DataFrame, c: Config) -> DataFrame:
 SIMPLE = {
     "avg": lambda: F.avg("v"),
     "count_samples": lambda: F.count("v"),
-    "count_series": lambda: F.approx_count_distinct("sk", 0.01),
     "last": lambda: F.max_by("v", "ts_ms"),
     "max": lambda: F.max("v"),
     "min": lambda: F.min("v"),
     "stddev": lambda: F.stddev_pop("v"),
     "stdvar": lambda: F.var_pop("v"),
     "sum_samples": lambda: F.sum("v"),
-    "unique_samples": lambda: F.approx_count_distinct("v", 0.01),
 }
-EXACT = {"count_series": lambda: F.count_distinct("sk"), "unique_samples": lambda: F.count_distinct("v")}
+DISTINCT = {"count_series": "sk", "unique_samples": "v"}
 
 
 def nearest_rank(values: Column, phi: float) -> Column:
@@ -202,8 +201,12 @@ def _output(d: DataFrame, c: Config, o: str, streaming: bool) -> DataFrame:
     else:
         keys, end = ["g", "end_ms"], C("end_ms")
     if o in SIMPLE:
-        agg = EXACT[o]() if o in EXACT and not streaming else SIMPLE[o]()
-        return _named(d.groupBy(*keys).agg(agg.alias("value")).select("g", end, "value"), c, o)
+        return _named(d.groupBy(*keys).agg(SIMPLE[o]().alias("value")).select("g", end, "value"), c, o)
+    if o in DISTINCT and streaming:
+        once = d.groupBy(*keys, DISTINCT[o]).agg(F.count(F.lit(1)).alias("n")).select("g", F.window_time("w").alias("ts"))
+        return _named(once.groupBy(*keys).agg(F.count(F.lit(1)).alias("value")).select("g", end, "value"), c, o)
+    if o in DISTINCT:
+        return _named(d.groupBy(*keys).agg(F.count_distinct(DISTINCT[o]).alias("value")), c, o)
     if o.startswith("quantiles("):
         a = d.groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("vs")).select("g", end, "vs")
         qs = F.array(*(F.struct(F.lit(repr(p) if p != int(p) else str(int(p))).alias("x"), nearest_rank(C("vs"), p).alias("value")) for p in c.phis(o)))
