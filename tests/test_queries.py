@@ -63,3 +63,9 @@ def test_whole_grids_cover_the_tables(spark, con):
     assert run("export_samples_whole").count() == con.execute("SELECT count(*) FROM events WHERE event_type <> 'view'").fetchone()[0]
     last = con.execute("SELECT epoch_ms(max(l_shipdate)) FROM lineitem").fetchone()[0]
     assert max(r.ts_ms for r in run("lineitem_quantity_max_whole").collect()) >= last
+
+
+@pytest.mark.parametrize("name", ["rollup_count_over_time_whole", "rollup_quantile_over_time_whole", "rollup_lag_whole", "transform_abs_whole"])
+def test_whole_rollups_and_transforms_read_all_series(spark, con, name):
+    series = {(r.event_type, r.user_id) for r in registry.queries()[name](spark, DATA).select("event_type", "user_id").distinct().collect()}
+    assert series == set(con.execute("SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) FROM events WHERE value IS NOT NULL").fetchall())

@@ -111,6 +111,10 @@ def over(start: int, end: int, day0: int, day1: int, suffix: str = "") -> None:
 
         return run
 
+    # rollups and transforms over the whole tables take all series, the others one event type
+    click, view = ("", "") if suffix else ('{event_type="click"}', '{event_type="view"}')
+    is_click, is_view = ("true", "true") if suffix else ("event_type = 'click'", "event_type = 'view'")
+
     # SQL building blocks
     S = "s AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS t, value AS v FROM events WHERE value IS NOT NULL)"
 
@@ -154,8 +158,8 @@ def over(start: int, end: int, day0: int, day1: int, suffix: str = "") -> None:
     }
     _KEEPS = rollups.names.ROLLUPS_KEEP_NAME
     for _f, _sql in _PLAIN_SQL.items():
-        _where = "event_type = 'click' AND v > 0" if _f == "geomean_over_time" else "event_type = 'click'"
-        put(f"rollup_{_f}", ranged(f'{_f}(events_value{{event_type="click"}}[2d])', EL), series_out("events_value" if _f in _KEEPS else "", rolled(_sql, W2, _where)))
+        _where = f"{is_click} AND v > 0" if _f == "geomean_over_time" and not suffix else is_click
+        put(f"rollup_{_f}", ranged(f"{_f}(events_value{click}[2d])", EL), series_out("events_value" if _f in _KEEPS else "", rolled(_sql, W2, _where)))
 
     for _f, _arg, _sql in (
         ("quantile_over_time", "0.9", "quantile_cont(v, 0.9)"),
@@ -164,16 +168,16 @@ def over(start: int, end: int, day0: int, day1: int, suffix: str = "") -> None:
         ("share_gt_over_time", "50", "avg(CASE WHEN v > 50 THEN 1.0 ELSE 0.0 END)"),
         ("sum_gt_over_time", "50", "sum(v) FILTER (v > 50)"),
     ):
-        _q = f'{_f}({_arg}, events_value{{event_type="click"}}[2d])' if _f in rollups.FIRST else f'{_f}(events_value{{event_type="click"}}[2d], {_arg})'
-        put(f"rollup_{_f}", ranged(_q, EL), series_out("events_value" if _f in _KEEPS else "", rolled(_sql, W2, "event_type = 'click'")))
+        _q = f"{_f}({_arg}, events_value{click}[2d])" if _f in rollups.FIRST else f"{_f}(events_value{click}[2d], {_arg})"
+        put(f"rollup_{_f}", ranged(_q, EL), series_out("events_value" if _f in _KEEPS else "", rolled(_sql, W2, is_click)))
 
     # rollups that read neighbouring samples: lag and lead in SQL, gaps by the sample before them
     _MPI = "CASE WHEN i <= 2000 THEN i * 5 WHEN i <= 4000 THEN i * 3 WHEN i <= 8000 THEN i * 2 WHEN i <= 16000 THEN i + i // 2 WHEN i <= 32000 THEN i + i // 4 ELSE i + i // 8 END"
 
-    def ordered_cte(resets: bool = False, w: int = W2) -> str:
+    def ordered_cte(resets: bool = False, w: int = W2, where: str = is_click) -> str:
         """CTE x(event_type, user_id, g, ...) with what the neighbour-reading rollups need."""
         lo = start - max(w, STEP) - rollups.SILENCE_MS
-        base = f"{S}, {grid_sql()}, f AS (SELECT * FROM s WHERE event_type = 'click' AND t BETWEEN {lo} AND {end})"
+        base = f"{S}, {grid_sql()}, f AS (SELECT * FROM s WHERE {where} AND t BETWEEN {lo} AND {end})"
         if resets:
             drop = "CASE WHEN v < p THEN CASE WHEN (p - v) * 8 < p THEN p - v ELSE p END ELSE 0 END"
             base += f""", f1 AS (SELECT *, lag(v) OVER (PARTITION BY event_type, user_id ORDER BY t) AS p FROM f),
@@ -218,13 +222,13 @@ def over(start: int, end: int, day0: int, day1: int, suffix: str = "") -> None:
         _sql = ordered_sql(_v, _g, _r)
         if _f in ("increase_prometheus", "rate_prometheus", "changes_prometheus"):
             _sql = _sql.replace(f"BETWEEN {start - W2 - rollups.SILENCE_MS}", f"BETWEEN {start - W2}")
-        put(f"rollup_{_f}", ranged(f'{_f}(events_value{{event_type="click"}}[2d])', EL), _sql)
+        put(f"rollup_{_f}", ranged(f"{_f}(events_value{click}[2d])", EL), _sql)
 
     put("selector_default_rollup", ranged('events_value{event_type="click"}[12h]', EL), series_out("events_value", rolled("arg_max(v, t)", 12 * HOUR, "event_type = 'click'")))
     put(
         "selector_windowless",
         ranged('events_value{event_type="click"}', EL),
-        f"""WITH {ordered_cte(w=STEP)}, y AS (SELECT event_type, user_id, g, arg_max(v, t) AS v FROM ch JOIN grid ON t > g - greatest({STEP}, mpi) AND t <= g GROUP BY event_type, user_id, g)
+        f"""WITH {ordered_cte(w=STEP, where="event_type = 'click'")}, y AS (SELECT event_type, user_id, g, arg_max(v, t) AS v FROM ch JOIN grid ON t > g - greatest({STEP}, mpi) AND t <= g GROUP BY event_type, user_id, g)
         SELECT 'events_value' AS name, event_type, user_id, g AS ts_ms, round(v, 4) AS value FROM y""",
     )
     put("selector_regex_or", ranged('sum_over_time(events_value{event_type=~"cl.*|view", user_id!~"1.*" or event_type="purchase"}[1d])', EL), series_out("", rolled("sum(v)", DAY, "(regexp_full_match(event_type, 'cl.*|view') AND NOT regexp_full_match(user_id, '1.*')) OR event_type = 'purchase'")))
@@ -299,8 +303,8 @@ def over(start: int, end: int, day0: int, day1: int, suffix: str = "") -> None:
     put("join_ignoring", ranged("sum(sum_over_time(events_value[1d])) by (event_type) - ignoring(x) count(count_over_time(events_value[1d])) by (event_type)", ["event_type"]), grouped("sum(v) - count(v)", "event_type"))
 
     # transforms
-    _MEAN = 'avg_over_time(events_value{event_type="view"}[1d])'
-    _VIEW = rolled("avg(v)", DAY, "event_type = 'view'")
+    _MEAN = f"avg_over_time(events_value{view}[1d])"
+    _VIEW = rolled("avg(v)", DAY, is_view)
     for _f, _q, _sql, _keep in (
         ("abs", f"abs({_MEAN} - 50)", "abs(v - 50)", False),
         ("ceil", f"ceil({_MEAN})", "ceil(v)", True),
@@ -323,7 +327,8 @@ def over(start: int, end: int, day0: int, day1: int, suffix: str = "") -> None:
     put("transform_start_end_step", ranged("end() - start() + step()", []), f"WITH {grid_sql()} SELECT '' AS name, g AS ts_ms, {(end - start + STEP) / 1000} AS value FROM grid")
     put("transform_absent", ranged('absent(count_over_time(events_value{event_type="click",user_id="1"}[12h]))', EL), f"WITH {S}, {grid_sql()} SELECT '' AS name, CAST(NULL AS VARCHAR) AS event_type, CAST(NULL AS VARCHAR) AS user_id, g AS ts_ms, 1.0 AS value FROM grid WHERE NOT EXISTS (SELECT 1 FROM s WHERE event_type = 'click' AND user_id = '1' AND t > g - {12 * HOUR} AND t <= g)")
     put("transform_scalar", ranged("sum(count_over_time(events_value[1d])) by (event_type) / scalar(sum(count_over_time(events_value[1d])))", ["event_type"]), f"WITH {rolled('count(v)', DAY)} SELECT '' AS name, event_type, g AS ts_ms, round(sum(v) / sum(sum(v)) OVER (PARTITION BY g), 4) AS value FROM r GROUP BY event_type, g")
-    put("transform_label_set", ranged(f'label_set({_MEAN}, "kind", "mean", "event_type", "")', ["user_id", "kind"]), f"WITH {_VIEW} SELECT 'events_value' AS name, user_id, 'mean' AS kind, g AS ts_ms, round(v, 4) AS value FROM r")
+    # one event type here too: the label that tells them apart is removed
+    put("transform_label_set", ranged('label_set(avg_over_time(events_value{event_type="view"}[1d]), "kind", "mean", "event_type", "")', ["user_id", "kind"]), f"WITH {rolled('avg(v)', DAY, "event_type = 'view'")} SELECT 'events_value' AS name, user_id, 'mean' AS kind, g AS ts_ms, round(v, 4) AS value FROM r")
     put("transform_label_replace", ranged('label_replace(sum(count_over_time(events_value[1d])) by (event_type), "short", "$1", "event_type", "(..).*")', ["event_type", "short"]), f"WITH {rolled('count(v)', DAY)} SELECT '' AS name, event_type, left(event_type, 2) AS short, g AS ts_ms, CAST(sum(v) AS DOUBLE) AS value FROM r GROUP BY event_type, g")
     put("transform_running_sum", ranged("running_sum(sum(count_over_time(events_value[6h])) by (event_type))", ["event_type"]), f"WITH {rolled('count(v)', STEP)}, q AS (SELECT event_type, g, sum(v) AS v FROM r GROUP BY event_type, g), d AS (SELECT e.event_type, grid.g, q.v FROM (SELECT DISTINCT event_type FROM q) e CROSS JOIN grid LEFT JOIN q ON q.event_type = e.event_type AND q.g = grid.g), w AS (SELECT event_type, g, sum(v) OVER (PARTITION BY event_type ORDER BY g) AS v FROM d) SELECT '' AS name, event_type, g AS ts_ms, CAST(v AS DOUBLE) AS value FROM w WHERE v IS NOT NULL")
     put("transform_sort_desc", ranged("sort_desc(sum(sum_over_time(events_value[1d])) by (event_type))", ["event_type"]), f"WITH {_DAILY}, q AS (SELECT event_type, g, sum(v) AS v FROM r GROUP BY event_type, g), o AS (SELECT event_type, row_number() OVER (ORDER BY arg_max(v, g) DESC, event_type) AS ord FROM q GROUP BY event_type) SELECT '' AS name, event_type, g AS ts_ms, round(v, 4) AS value, ord FROM q JOIN o USING (event_type)")
