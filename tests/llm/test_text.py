@@ -207,3 +207,9 @@ def test_queries_name_columns(spark):
     from tidegrid.llm import queries
 
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("mark", ["\x1c", "\x1d", "\x1e", "\x1f"])
+def test_long_texts_are_cut_at_white_space_of_the_pattern_only(mark):
+    text = ("ab " * (bpe.CHUNK_CHARS // 3 + 1))[-bpe.CHUNK_CHARS :] + "!!!!!!" + mark + "! end"
+    assert bpe.pre_tokens(text) == bpe._ASCII.findall(text)

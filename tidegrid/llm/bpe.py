@@ -185,7 +185,7 @@ class ByteBpe:
 
 _ASCII, _ANY = re.compile(ASCII_PATTERN), regex.compile(PATTERN)
 _CUT = re.compile(r"(?<=\S)(?=\n)")
-_ANY_CUT = re.compile(r"(?<=\S)(?=\s)")
+_ANY_CUT = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})")
 
 
 def pieces(text: str) -> Iterator[tuple[str, bool]]:
