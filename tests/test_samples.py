@@ -256,3 +256,12 @@ def test_fan_out_and_compaction(spark, tmp_path):
     (tmp_path / "sd.json").write_text('[{"targets": ["h:1", "h:2"], "labels": {"job": "j"}}, {"targets": ["k:1"]}]')
     got = {r.address: r.labels for r in store.file_targets(spark, str(tmp_path / "sd.json")).collect()}
     assert got == {"h:1": {"job": "j"}, "h:2": {"job": "j"}, "k:1": {}}
+
+
+def test_aggregation_options_without_effect_are_rejected(spark, tmp_path):
+    for o in ("ignore_old_samples", "no_align_flush_to_interval", "flush_on_shutdown", "enable_windows"):
+        with pytest.raises(ValueError, match=o):
+            aggregation.Config("1m", ["avg"], **{o: True})
+    src = spark.readStream.schema(SAMPLES).parquet(str(tmp_path))
+    with pytest.raises(ValueError, match="ignore_first_intervals"):
+        aggregation.aggregate(src, aggregation.Config("1m", ["avg"], ignore_first_intervals=1))

@@ -66,6 +66,9 @@ class Config:
             raise ValueError("interval must be a multiple of dedup_interval")
         if self.staleness_ms < self.interval_ms:
             raise ValueError("staleness_interval must not be below interval")
+        for o in ("ignore_old_samples", "no_align_flush_to_interval", "flush_on_shutdown", "enable_windows"):
+            if getattr(self, o):
+                raise ValueError(f"{o} is not supported: results go by event time")
         if not self.outputs:
             raise ValueError("outputs are missing")
         if len(set(self.outputs)) != len(self.outputs):
@@ -179,6 +182,8 @@ def aggregate(samples: DataFrame, c: Config) -> DataFrame:
     if streaming:
         if any(o in COUNTERS + RUNNING for o in c.outputs):
             raise ValueError("on a stream, take counters through counter_stream")
+        if c.ignore_first_intervals:
+            raise ValueError("ignore_first_intervals is not supported on a stream")
         samples = samples.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", c.watermark)
     d = _prepared(samples, c)
     if c.dedup_ms:
