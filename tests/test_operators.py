@@ -72,6 +72,18 @@ def test_lines(spark):
     assert (r.tags, r.fields[0].number) == ({"host": "x, y", "zone": 'say "hi"'}, -2500.0)
 
 
+def test_integers_load_exactly_and_mask_characters_stay(spark):
+    own = "m\ufdd0x,b\ufdd1c=\ufdef\ufdefo v=9007199254740993i,u=18446744073709551615u,s=\"\ufdd4, \ufdd5=\ufddd\",n=-9223372036854775808i"
+    df = spark.createDataFrame([(1, "influx", own, "", ""), (2, "csv", "1,m\ufdd1n,h\ufdefa,z,f,2", "", ""), (3, "influx", "m v=1i,w=t", "", "")], LINES)
+    got = {r.line_id: r for r in wire_rows.loaded_rows(df).collect()}
+    r = got[1]
+    assert (r.measurement, r.tags) == ("m\ufdd0x", {"b\ufdd1c": "\ufdef\ufdefo"})
+    assert [(f.key, f.kind, None if f.exact is None else int(f.exact), f.text) for f in r.fields] == [
+        ("v", "int", 9007199254740993, None), ("u", "uint", 2**64 - 1, None), ("s", "string", None, "\ufdd4, \ufdd5=\ufddd"), ("n", "int", -(2**63), None)]
+    assert (got[2].measurement, got[2].tags) == ("m\ufdd1n", {"host": "h\ufdefa", "zone": "z"})
+    assert [(f.number, f.exact) for f in got[3].fields] == [(1.0, 1), (1.0, None)]
+
+
 def test_no_lines(spark):
     df = spark.createDataFrame([], LINES)
     assert wire_rows.rejected_lines(df).count() == wire_rows.loaded_rows(df).count() == 0

@@ -7,6 +7,7 @@ built-in column expression (no Python in the executors, one pass, no shuffle).
 Escapes and quoted stretches are masked first: the characters they make ordinary are replaced by
 noncharacters (U+FDD0 ...), after which plain splits on space, comma and equals sign give the
 structure.  No pattern repeats an alternation, so very long lines cannot exhaust the regex stack.
+Noncharacters that a line has itself are written as an escape and a letter first and restored last.
 
 Defined results for odd input:
 
@@ -30,9 +31,24 @@ TRUTHS = BOOLEANS[:5]
 # (\z is the very end; a dollar sign would also match before a last line end)
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 INTEGER = r"^[+-]?[0-9]+\z"
+EXACT = "decimal(20,0)"  # holds signed and unsigned 64-bit integers
 
 _BACKSLASH, _COMMA, _SPACE, _EQUALS, _QUOTE = (chr(0xFDD0 + i) for i in range(5))
 _SPECIAL, _MASKED = ', ="', _COMMA + _SPACE + _EQUALS + _QUOTE
+MASKS = "".join(chr(0xFDD0 + i) for i in range(14))  # all characters that stand for others, here and in sources.formats
+_OWN, _OWN_LETTERS = chr(0xFDEF), "abcdefghijklmno"
+
+
+def guard(s: Column) -> Column:
+    """Text without mask characters of its own: each becomes an escape and a letter."""
+    marked = F.regexp_replace(F.replace(s, F.lit(_OWN), F.lit(_OWN + _OWN_LETTERS[-1])), f"([{MASKS}])", f"{_OWN}$1")
+    return F.when(s.rlike(f"[{MASKS}{_OWN}]"), F.translate(marked, MASKS, _OWN_LETTERS[:-1])).otherwise(s)
+
+
+def unguard(s: Column) -> Column:
+    """The text that guard was given."""
+    restore = lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.translate(F.substring(p, 1, 1), _OWN_LETTERS, MASKS + _OWN), F.substring(p, F.lit(2), F.length(p))))
+    return F.when(s.contains(_OWN), F.array_join(F.transform(F.split(s, _OWN, -1), restore), "")).otherwise(s)
 
 
 def _mask_escapes(s: Column) -> Column:
@@ -50,7 +66,7 @@ def _mask_quoted(s: Column, specials: str, masked: str) -> Column:
 
 
 def _unmask(s: Column) -> Column:
-    return F.translate(s, _MASKED + _BACKSLASH, _SPECIAL + "\\")
+    return unguard(F.translate(s, _MASKED + _BACKSLASH, _SPECIAL + "\\"))
 
 
 def _odd_quotes(s: Column) -> Column:
@@ -98,7 +114,7 @@ def classify_lines(df: DataFrame, line_id: str = "line_id", fmt: str = "fmt", li
     influx, csv = F.col("fmt") == "influx", F.col("fmt") == "csv"
 
     # influx: head is measurement and tags, rest is fields and time
-    d = d.withColumn("esc", F.when(influx, _mask_escapes(F.col("text"))))
+    d = d.withColumn("esc", F.when(influx, _mask_escapes(guard(F.col("text")))))
     d = d.withColumn("head", F.substring_index("esc", " ", 1))
     d = d.withColumn("rest", F.ltrim(F.substring("esc", F.length("head") + 1, F.length("esc"))))
     d = d.withColumn("tail", F.rtrim(_mask_quoted(F.col("rest"), ", =", _MASKED[:3])))
@@ -119,7 +135,7 @@ def classify_lines(df: DataFrame, line_id: str = "line_id", fmt: str = "fmt", li
     )
 
     # csv: cells after masking commas between quotes
-    d = d.withColumn("cells", F.when(csv, F.split(_mask_quoted(F.col("text"), ",", _COMMA), ",", -1)))
+    d = d.withColumn("cells", F.when(csv, F.split(_mask_quoted(guard(F.col("text")), ",", _COMMA), ",", -1)))
 
     def quoted(c: Column) -> Column:
         return (F.length(c) >= 2) & c.startswith('"') & c.endswith('"')
@@ -128,7 +144,7 @@ def classify_lines(df: DataFrame, line_id: str = "line_id", fmt: str = "fmt", li
         return F.substring(c, F.lit(2), F.length(c) - 2)
 
     cell_bad = F.exists("cells", lambda c: c.contains('"') & ~(quoted(c) & ~F.replace(inner(c), F.lit('""'), F.lit("")).contains('"')))
-    d = d.withColumn("plain", F.transform("cells", lambda c: F.translate(F.when(quoted(c), F.replace(inner(c), F.lit('""'), F.lit('"'))).otherwise(c), _COMMA, ",")))
+    d = d.withColumn("plain", F.transform("cells", lambda c: unguard(F.translate(F.when(quoted(c), F.replace(inner(c), F.lit('""'), F.lit('"'))).otherwise(c), _COMMA, ","))))
 
     def cell(i: int) -> Column:
         return F.get("plain", F.lit(i))
@@ -160,7 +176,8 @@ def loaded_rows(df: DataFrame, **names) -> DataFrame:
     """line_id, fmt, measurement, ts_raw, ts, tags, fields of every valid line.
 
     ``tags`` maps key to value, the last of repeated keys winning; ``fields`` is an array of
-    (key, kind, number, text): integers and booleans also as ``number``, strings only as ``text``.
+    (key, kind, number, exact, text): integers are exact in ``exact`` (decimal, as unsigned ones exceed a
+    bigint) and, like booleans, as the nearest double in ``number``; strings are only in ``text``.
     """
     d = classify_lines(df, **names).where("status = 'valid' and line_no >= 0")
     influx = F.col("fmt") == "influx"
@@ -172,10 +189,11 @@ def loaded_rows(df: DataFrame, **names) -> DataFrame:
         v = F.get(kv, F.lit(1))
         body = F.substring(v, F.lit(1), F.length(v) - 1)
         number = F.when(kind == "float", v.try_cast("double")).when(kind.isin("int", "uint"), body.try_cast("double")).when(kind == "bool", v.isin(TRUTHS).cast("double"))
+        exact = F.when(kind.isin("int", "uint"), body.try_cast(EXACT))
         text = F.when(kind == "string", _unmask(F.substring(v, F.lit(2), F.length(v) - 2)))
-        return F.struct(_unmask(F.get(kv, F.lit(0))).alias("key"), kind.alias("kind"), number.alias("number"), text.alias("text"))
+        return F.struct(_unmask(F.get(kv, F.lit(0))).alias("key"), kind.alias("kind"), number.alias("number"), exact.alias("exact"), text.alias("text"))
 
-    csv_field = F.array(F.struct(F.get("plain", F.lit(4)).alias("key"), F.lit("float").alias("kind"), F.get("plain", F.lit(5)).try_cast("double").alias("number"), F.lit(None).cast("string").alias("text")))
+    csv_field = F.array(F.struct(F.get("plain", F.lit(4)).alias("key"), F.lit("float").alias("kind"), F.get("plain", F.lit(5)).try_cast("double").alias("number"), F.lit(None).cast(EXACT).alias("exact"), F.lit(None).cast("string").alias("text")))
     distinct_last = lambda t: F.map_from_entries(F.filter(t, lambda x, i: ~F.exists(F.slice(t, i + 2, F.size(t)), lambda y: y["key"] == x["key"])))
     raw = F.when(influx, F.get("sections", F.lit(1))).otherwise(F.get("plain", F.lit(0)))
     return d.select(

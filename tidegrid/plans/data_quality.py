@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hot_keys, regular_grid, wire_rows
 
+C = F.col
 FAR_MS = 10**14  # times beyond this many milliseconds cannot be held in microseconds
 
 
@@ -36,9 +37,12 @@ def p1_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of every valid line with its line's time and tags; integers exact, as text."""
     rows = wire_rows.loaded_rows(table(spark, sf_dir, "raw_lines"))
-    number = F.aggregate("fields", F.lit(0.0), lambda a, f: a + F.coalesce(f["number"], F.lit(0.0)))
-    return rows.select("line_id", "fmt", "measurement", "ts", F.size("tags").alias("n_tags"), F.size("fields").alias("n_fields"), significant(number).alias("number_sum"))
+    tags = F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda t: F.concat(t["key"], F.lit("="), t["value"])), ",")
+    return rows.select("line_id", "fmt", "measurement", "ts", tags.alias("tags"), F.posexplode("fields").alias("field_no", "f")).select(
+        "line_id", "fmt", "measurement", "ts", "tags", "field_no", C("f.key").alias("field_key"), C("f.kind").alias("kind"), C("f.number").alias("number"), C("f.exact").cast("string").alias("exact"), C("f.text").alias("text")
+    )
 
 
 def key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +112,61 @@ _LINES = f"""
     ELSE false END AS ok FROM sized)"""
 
 
+# Why lines are rejected, from their pieces: e has no escapes, q no quoted text; BLANK stands for what was ordinary there.
+_BLANK = "§"
+_PAIR_BAD = "len(kv) <> 2 OR kv[1] = '' OR kv[2] = ''"
+_KIND_OK = f"""(regexp_full_match(v, '{_NUM}') AND NOT coalesce(isinf(TRY_CAST(v AS DOUBLE)), false) OR regexp_full_match(v, '[+-]?[0-9]+i') AND TRY_CAST(left(v, -1) AS BIGINT) IS NOT NULL
+    OR regexp_full_match(v, '[0-9]+u') AND TRY_CAST(left(v, -1) AS UBIGINT) IS NOT NULL OR regexp_full_match(v, 't|T|true|True|TRUE|f|F|false|False|FALSE') OR regexp_full_match(v, '"[^"]*"'))"""
+_REASONS = rf"""
+  bad AS (SELECT * FROM judged WHERE NOT ok),
+  i1 AS (SELECT line_id, fmt, regexp_replace(t, '\\[\\, ="]', '{_BLANK}', 'g') AS e FROM bad WHERE fmt = 'influx'),
+  i2 AS (SELECT *, regexp_extract(e, '^[^ ]*', 0) AS head, ltrim(substr(e, length(regexp_extract(e, '^[^ ]*', 0)) + 1), ' ') AS rest FROM i1),
+  i3 AS (SELECT *, (length(rest) - length(replace(rest, '"', ''))) % 2 = 1 AS odd, regexp_replace(rest, '"[^"]*"', '"{_BLANK}"', 'g') AS q FROM i2),
+  i4 AS (SELECT *, rtrim(CASE WHEN odd THEN regexp_replace(q, '"[^"]*$', '"{_BLANK}') ELSE q END, ' ') AS tail FROM i3),
+  i5 AS (SELECT *, string_split(head, ',') AS heads, regexp_split_to_array(tail, ' +') AS sections FROM i4),
+  i6 AS (SELECT *, list_transform(heads[2:], lambda p: string_split(p, '=')) AS tags, list_transform(string_split(sections[1], ','), lambda p: string_split(p, '=')) AS fields FROM i5),
+  influx_why AS (SELECT line_id, fmt, [CASE WHEN heads[1] = '' THEN 'empty_measurement' END, CASE WHEN len(list_filter(tags, lambda kv: {_PAIR_BAD})) > 0 THEN 'bad_tag' END, CASE WHEN tail = '' THEN 'no_fields' END,
+    CASE WHEN odd THEN 'unbalanced_quotes' END, CASE WHEN len(sections) > 2 THEN 'too_many_sections' END, CASE WHEN tail <> '' AND len(list_filter(fields, lambda kv: {_PAIR_BAD})) > 0 THEN 'bad_field' END,
+    CASE WHEN tail <> '' AND len(list_filter(fields, lambda kv: len(kv) = 2 AND NOT {_KIND_OK.replace("(v", "(kv[2]").replace("left(v", "left(kv[2]")})) > 0 THEN 'bad_field_value' END,
+    CASE WHEN len(sections) = 2 AND NOT regexp_full_match(sections[2], '[+-]?[0-9]+') THEN 'bad_time' END] AS why FROM i6),
+  c1 AS (SELECT line_id, fmt, t, string_split(t, '"') AS pieces FROM bad WHERE fmt = 'csv'),
+  c2 AS (SELECT *, string_split(array_to_string(list_transform(pieces, lambda p, i: CASE WHEN i % 2 = 0 THEN replace(p, ',', '{_BLANK}') ELSE p END), '"'), ',') AS cells FROM c1),
+  c3 AS (SELECT *, list_transform(cells, lambda c: CASE WHEN regexp_full_match(c, '(?s)".*"') THEN replace(c[2:-2], '""', '"') ELSE c END) AS plain,
+    len(list_filter(cells, lambda c: contains(c, '"') AND NOT (regexp_full_match(c, '(?s)".*"') AND NOT contains(replace(c[2:-2], '""', ''), '"')))) > 0 AS cell_bad FROM c2),
+  csv_why AS (SELECT line_id, fmt, [CASE WHEN len(cells) <> 6 THEN 'column_count' END, CASE WHEN len(pieces) % 2 = 0 OR cell_bad THEN 'bad_quoting' END,
+    CASE WHEN len(cells) = 6 AND NOT regexp_full_match(plain[1], '[+-]?[0-9]+') THEN 'bad_time' END, CASE WHEN len(cells) = 6 AND plain[2] = '' THEN 'empty_measurement' END,
+    CASE WHEN len(cells) = 6 AND plain[5] = '' THEN 'empty_field' END,
+    CASE WHEN len(cells) = 6 AND NOT (regexp_full_match(plain[6], '{_NUM}') AND NOT coalesce(isinf(TRY_CAST(plain[6] AS DOUBLE)), false)) THEN 'bad_field_value' END] AS why FROM c2 JOIN c3 USING (line_id, fmt, t, pieces, cells)),
+  other_why AS (SELECT line_id, fmt, ['unknown_format'] AS why FROM bad WHERE fmt IS NULL OR fmt NOT IN ('influx', 'csv'))"""
+# What valid lines hold: whole-line patterns are taken apart by the same pieces they are made of.
+_HEAD = r"^((?:\\.|[^\\, ])+)((?:,(?:\\.|[^\\,= ])+=(?:\\.|[^\\,= ])+)*)"
+_FIELDS = rf"{_FIELD_KEY}={_VALUE}(?:,{_FIELD_KEY}={_VALUE})*"
+_ONE_TAG, _ONE_FIELD = r",((?:\\.|[^\\,= ])+)=((?:\\.|[^\\,= ])+)", rf"""(?:^|,)({_FIELD_KEY})=("(?:\\.|[^"\\])*"|[^",= ]+)"""
+
+
+def _plain(x: str) -> str:
+    """Text without its escapes."""
+    return rf"""regexp_replace({x}, '\\([\\, ="])', '\1', 'g')"""
+
+
+_LOADED = rf"""
+  good AS (SELECT * FROM judged WHERE ok),
+  g1 AS (SELECT line_id, regexp_extract(t, '(?s){_HEAD}', 1) AS m, regexp_extract(t, '(?s){_HEAD}', 2) AS tags, ltrim(regexp_replace(t, '(?s){_HEAD}', ''), ' ') AS rest FROM good WHERE fmt = 'influx'),
+  g2 AS (SELECT *, regexp_extract(rest, '(?s)^({_FIELDS})(?: +([+-]?[0-9]+))? *$', 1) AS fields, nullif(regexp_extract(rest, '(?s)^({_FIELDS})(?: +([+-]?[0-9]+))? *$', 2), '') AS time FROM g1),
+  h1 AS (SELECT line_id, list_transform(regexp_extract_all(t, '(?s)(?:^|,)("(?:[^"]|"")*"|[^",]*)', 1), lambda c: CASE WHEN c LIKE '"%' THEN replace(c[2:-2], '""', '"') ELSE c END) AS c FROM good WHERE fmt = 'csv'),
+  tag AS (SELECT line_id, i, {_plain("k[i]")} AS key, {_plain("v[i]")} AS val FROM
+      (SELECT line_id, regexp_extract_all(tags, '(?s){_ONE_TAG}', 1) AS k, regexp_extract_all(tags, '(?s){_ONE_TAG}', 2) AS v, unnest(range(1, len(k) + 1)) AS i FROM g2)
+    UNION ALL SELECT line_id, 1, 'host', c[3] FROM h1 WHERE c[3] <> '' UNION ALL SELECT line_id, 2, 'zone', c[4] FROM h1 WHERE c[4] <> ''),
+  tags1 AS (SELECT line_id, string_agg(key || '=' || val, ',' ORDER BY key) AS tags FROM (SELECT line_id, key, arg_max(val, i) AS val FROM tag GROUP BY line_id, key) GROUP BY line_id),
+  field AS (SELECT line_id, i - 1 AS field_no, {_plain("k[i]")} AS field_key, v[i] AS v FROM
+      (SELECT line_id, regexp_extract_all(fields, '(?s){_ONE_FIELD}', 1) AS k, regexp_extract_all(fields, '(?s){_ONE_FIELD}', 2) AS v, unnest(range(1, len(k) + 1)) AS i FROM g2)),
+  typed AS (SELECT *, CASE WHEN v LIKE '"%' THEN 'string' WHEN regexp_full_match(v, '[+-]?[0-9]+i') THEN 'int' WHEN regexp_full_match(v, '[0-9]+u') THEN 'uint' WHEN regexp_full_match(v, '{_NUM}') THEN 'float' ELSE 'bool' END AS kind FROM field),
+  whole AS (SELECT line_id, 'influx' AS fmt, {_plain("m")} AS measurement, TRY_CAST(time AS BIGINT) AS ts, CAST(field_no AS INTEGER) AS field_no, field_key, kind,
+      CASE kind WHEN 'float' THEN TRY_CAST(v AS DOUBLE) WHEN 'bool' THEN CAST(lower(left(v, 1)) = 't' AS DOUBLE) WHEN 'string' THEN NULL ELSE TRY_CAST(left(v, -1) AS DOUBLE) END AS number,
+      CASE WHEN kind IN ('int', 'uint') THEN CAST(TRY_CAST(left(v, -1) AS HUGEINT) AS VARCHAR) END AS exact, CASE WHEN kind = 'string' THEN {_plain("v[2:-2]")} END AS text FROM typed JOIN g2 USING (line_id)
+    UNION ALL SELECT line_id, 'csv', c[2], TRY_CAST(c[1] AS BIGINT), 0, c[5], 'float', TRY_CAST(c[6] AS DOUBLE), NULL, NULL FROM h1)"""
+
+
 def _knot_sql() -> str:
     return """
   readings AS (
@@ -129,6 +188,9 @@ def _knot_sql() -> str:
 
 ORACLE = {
     "p1_found": f"WITH {_LINES} SELECT line_id FROM judged WHERE NOT ok",
+    "p1_rejects": f"""WITH {_LINES}, {_REASONS} SELECT line_id, fmt, array_to_string(list_filter(why, lambda w: w IS NOT NULL), ',') AS reasons
+        FROM (SELECT * FROM influx_why UNION ALL SELECT * FROM csv_why UNION ALL SELECT * FROM other_why)""",
+    "p1_loaded": f"WITH {_LINES}, {_LOADED} SELECT w.*, coalesce(tags, '') AS tags FROM whole w LEFT JOIN tags1 USING (line_id)",
     "p2_found": """
         WITH k AS (SELECT 'got_rows' AS tbl, metric_group AS hot_key FROM got_rows UNION ALL SELECT 'influx_rows', measurement FROM influx_rows),
         n AS (SELECT tbl, hot_key, count(*) AS c, sum(count(*)) OVER (PARTITION BY tbl) AS total FROM k GROUP BY tbl, hot_key)

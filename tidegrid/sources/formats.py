@@ -25,7 +25,7 @@ def _empty() -> Column:
 
 
 def as_samples(d: DataFrame) -> DataFrame:
-    """The sample columns in order; missing times, null values and NaN are dropped, stale markers kept."""
+    """The sample columns in order; missing times and null values are dropped, NaN and stale markers kept (queries skip NaN)."""
     stale = F.coalesce(C("is_stale"), F.lit(False)) if "is_stale" in d.columns else F.lit(False)
     labels = F.map_filter(F.coalesce("labels", _empty()), lambda k, v: (k != "") & F.coalesce(v != "", F.lit(False)))
     d = d.select(F.coalesce("name", F.lit("")).alias("name"), labels.alias("labels"), C("ts_ms").cast("bigint").alias("ts_ms"), C("value").cast("double").alias("value"), stale.alias("is_stale"))
@@ -65,7 +65,7 @@ _MASK = {"\\\\": "\ufdd5", '\\"': "\ufdd6", "\\n": "\ufdd7"}
 
 def prometheus(lines: DataFrame, line: str = "value", now_ms: int = 0, extra: dict[str, str] | None = None) -> DataFrame:
     """Exposition text: name{labels} value [time in ms]; comments and blank lines are skipped."""
-    s = F.trim(C(line))
+    s = wire_rows.guard(F.trim(C(line)))
     for raw, masked in _MASK.items():
         s = F.replace(s, F.lit(raw), F.lit(masked))
     d = lines.select(s.alias("s")).where((C("s") != "") & ~C("s").startswith("#"))
@@ -78,12 +78,12 @@ def prometheus(lines: DataFrame, line: str = "value", now_ms: int = 0, extra: di
     rest = F.trim(F.when(has, F.regexp_extract("s", r"\}(.*)$", 1)).otherwise(F.regexp_extract("s", r"^[^ \t]+(.*)$", 1)))
     rest = F.trim(F.regexp_replace(rest, r" # \ufdd8?.*$", ""))
     words = F.split(rest, r"[ \t]+")
-    clean = lambda x: F.translate(x, "\ufdd5\ufdd6\ufdd7\ufdd8\ufdd9\ufdda\ufddb\ufddc\ufddd", '\\"\n{},= \t')
+    clean = lambda x: wire_rows.unguard(F.translate(x, "\ufdd5\ufdd6\ufdd7\ufdd8\ufdd9\ufdda\ufddb\ufddc\ufddd", '\\"\n{},= \t'))
     pairs = F.filter(F.split(body, ","), lambda p: F.trim(p) != "")
-    entries = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), clean(F.regexp_extract(p, '"([^"]*)"', 1)).alias("value")))
+    entries = F.transform(pairs, lambda p: F.struct(wire_rows.unguard(F.trim(F.substring_index(p, "=", 1))).alias("key"), clean(F.regexp_extract(p, '"([^"]*)"', 1)).alias("value")))
     bad = F.exists(pairs, lambda p: ~p.rlike(r'^\s*[^="]+\s*=\s*"[^"]*"\s*$'))
     ts = F.when(F.size(words) >= 2, F.get(words, F.lit(1)).try_cast("bigint")).otherwise(F.lit(now_ms).cast("bigint"))
-    d = d.where(~bad & (F.size(words) <= 2)).select(F.trim(head).alias("name"), F.map_from_entries(_last_of(entries)).alias("labels"), ts.alias("ts_ms"), number(F.get(words, F.lit(0))).alias("value"))
+    d = d.where(~bad & (F.size(words) <= 2)).select(wire_rows.unguard(F.trim(head)).alias("name"), F.map_from_entries(_last_of(entries)).alias("labels"), ts.alias("ts_ms"), number(F.get(words, F.lit(0))).alias("value"))
     return with_extra(as_samples(d.where("name <> ''")), extra)
 
 
@@ -108,8 +108,8 @@ def csv(lines: DataFrame, columns: str, line: str = "value", now_ms: int = 0, ex
             raise ValueError(f"bad column {':'.join(s)!r}")
     if not any(s[1] == "metric" for s in specs):
         raise ValueError("no metric column")
-    masked = wire_rows._mask_quoted(F.rtrim(C(line)), ",", "\ufdda")
-    cells = F.transform(F.split(masked, ",", -1), lambda c: F.translate(F.replace(F.regexp_replace(c, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')), "\ufdda", ","))
+    masked = wire_rows._mask_quoted(wire_rows.guard(F.rtrim(C(line))), ",", "\ufdda")
+    cells = F.transform(F.split(masked, ",", -1), lambda c: wire_rows.unguard(F.translate(F.replace(F.regexp_replace(c, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')), "\ufdda", ",")))
     d = lines.select(cells.alias("c"))
     cell = lambda pos: F.get("c", F.lit(int(pos) - 1))
     ts = F.lit(now_ms).cast("bigint")
