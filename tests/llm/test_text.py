@@ -145,17 +145,17 @@ def code(marks, body):
     return "\n".join(marks + line for line in body)
 
 
-def test_prose_is_taken_from_comments_and_text():
+def test_prose_is_taken_from_comments_and_text(model):
     want = [reading.tokens(s) for s in EASY]
     text = " ".join(EASY)
-    assert reading.prose_sentences(text) == want
-    assert reading.prose_sentences("import os\n\n" + code("# ", EASY) + "\nx = 1\n") == want
-    assert reading.prose_sentences("/*\n" + code(" * ", EASY) + "\n */\nint x;\n") == want
-    assert reading.prose_sentences('def f():\n    """' + EASY[0] + " The\n    end is a near one.\n    \"\"\"\n")[1] == ["the", "end", "is", "a", "near", "one"]
-    assert reading.prose_sentences("# Title\n\n- " + "\n- ".join(EASY) + "\n\n| a | b |\n|---|---|\n| The cat is here. | x |\n") == want
+    assert reading.prose_sentences(text, model) == want
+    assert reading.prose_sentences("import os\n\n" + code("# ", EASY) + "\nx = 1\n", model) == want
+    assert reading.prose_sentences("/*\n" + code(" * ", EASY) + "\n */\nint x;\n", model) == want
+    assert reading.prose_sentences('def f():\n    """' + EASY[0] + " The\n    end is a near one.\n    \"\"\"\n", model)[1] == ["the", "end", "is", "a", "near", "one"]
+    assert reading.prose_sentences("# Title\n\n- " + "\n- ".join(EASY) + "\n\n| a | b |\n|---|---|\n| The cat is here. | x |\n", model) == want
 
 
-def test_what_is_not_prose():
+def test_what_is_not_prose(model):
     for t in (
         None,
         "",
@@ -168,7 +168,57 @@ def test_what_is_not_prose():
         "Это предложение на другом языке. Оно не считается.",
         "a,b\n1,2\n",
     ):
-        assert reading.prose_sentences(t) == [], t
+        assert reading.prose_sentences(t, model) == [], t
+
+
+ORDINARY = [
+    "The nightly report is generated by the server.",
+    "An image is generated for each page of the book.",
+    "The story says that the copyright belongs to an old friend.",
+    "Under these conditions the damage to the roof was small.",
+    "He keeps a todo list for the house.",
+    "The album was produced by a friend of the band.",
+    "The rights of the child are written on the wall.",
+    "Every licence was checked by the officer at the gate.",
+]
+
+
+@pytest.mark.parametrize("filler", [0, 1, 10, 100])
+@pytest.mark.parametrize("sentence", ORDINARY)
+def test_ordinary_sentences_with_words_of_licences_and_banners_count(model, sentence, filler):
+    text = " ".join([sentence, *(EASY[i % 5] for i in range(filler))])
+    assert reading.prose_sentences(text, model)[:1] == [reading.tokens(sentence)]
+    assert len(reading.prose_sentences(text, model)) == filler + 1
+
+
+@pytest.mark.parametrize("filler", [0, 10])
+def test_banners_and_notices_beside_prose_do_not_count(model, filler):
+    prose = [EASY[i % 5] for i in range(filler)]
+    for line in ("This file was produced by the exporter. Changes will be lost.", "Licensed under the Open Licence; see the licence file.", "Permission is hereby granted to anyone to copy this software without any warranty."):
+        text = code("// ", [line]) + "\n\n" + code("// ", prose) + "\nint x;\n"
+        assert reading.prose_sentences(text, model) == [reading.tokens(s) for s in prose]
+
+
+def test_markup_and_names_do_not_end_a_stretch(model):
+    text = "\ufeffSee `open_file()` and the [guide](http://x.y/z) for the *whole* story of the parser. It calls open_file when the\nuser has asked for it to be read.\n"
+    got = [" ".join(s) for s in reading.prose_sentences(text, model)]
+    assert got == ["see open file and the guide for the whole story of the parser", "it calls open file when the user has asked for it to be read"]
+    assert reading.prose_sentences("# for x in y.items():\n#     print(x.name, y[0])\n", model) == []
+
+
+def test_licence_files_are_found(spark):
+    from tidegrid.llm import kinds
+
+    rows = [(2, "LICENSE", "LICENSE", "b"), (1, "docs/terms.md", "docs/terms.md", "a"), (3, "src/a.py", "LICENSE", "c"), (4, "x/COPYING.txt", None, "d"), (5, None, None, "e"), (None, "LICENSE", "LICENSE", "f"), (6, "LICENCE", None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, license_path string, text string")
+    assert kinds.licence_texts(df) == ["a", "b", "d"]
+    assert kinds.licence_texts(df, limit=1) == ["a"]
+    assert kinds.licence_texts(df.where("false")) == []
+
+
+def test_training_is_done_once():
+    data = [(1, EASY[0]), (2, HARD[0])]
+    assert reading.train(data) is reading.train(list(data))
 
 
 def test_levels(spark, model):

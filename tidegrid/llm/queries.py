@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kmv, packing, qdigest, reading
+from . import bpe, kinds, kmv, packing, qdigest, reading
 
 DAY_MS = 86_400_000
 PHIS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -66,8 +66,9 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = reading.train(reading.labelled_passages(_table(spark, sf_dir, "level_items")))
-    return reading.reading_levels(_table(spark, sf_dir, "documents"), model)
+    docs = _table(spark, sf_dir, "documents")
+    model = reading.train(reading.labelled_passages(_table(spark, sf_dir, "level_items")), kinds.licence_texts(docs))
+    return reading.reading_levels(docs, model)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,20 @@
 """Reading level of each document: sentence classifiers and calibrated document difficulty.
 
-1. English prose sentences are taken from comments, docstrings, documentation and plain text; code
-   (also commented out), tables, data, licence notices and texts and generators' banners are not.
-2. Two softmax regressions with L2 penalty, on words and on character n-grams of words, are
+1. English sentences are taken from comments, docstrings, documentation and plain text; code (also
+   commented out) and tables are not.
+2. A model of sentence kinds (kinds.py) sets licence text and generators' banners apart, by a
+   sentence's own words and those of the stretch of lines that it stands in.
+3. Two softmax regressions with L2 penalty, on words and on character n-grams of words, are
    trained on the sentences of passages with known levels (at most ``MAX_PASSAGES``) and their
    probabilities are averaged after scaling by a temperature fitted on held-out passages.
-3. A document's distribution is the mean of its sentences'; its difficulty is that distribution's
+4. A document's distribution is the mean of its sentences'; its difficulty is that distribution's
    expected level, mapped by the line that fits held-out passages best.
 
-Training runs on the driver on that bounded sample; classifying is one map-only pass over whole
-texts with the model (fixed size) sent along.  A linear model's sentence score is a sum over words,
-so each distinct word is scored once per worker.
+Training runs once on the driver on that bounded sample, on sparse rows: a sentence is its words,
+a word its n-grams.  At MAX_PASSAGES passages of six sentences of 20 words that is about 600,000
+entries, 0.3 GB with all temporaries.  Classifying is one map-only pass over whole texts with the
+model (fixed size) sent along.  A linear model's sentence score is a sum over words, so each
+distinct word is scored once per worker.
 
 Defined results for odd input: null, empty and blank texts, and texts without prose, have no
 sentences, a null difficulty and no level; documents with fewer than MIN_SENTENCES have no level;
@@ -20,6 +24,7 @@ only the named columns are read.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,9 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import share_code
+from . import kinds
 
-MAX_PASSAGES = 20_000
+MAX_PASSAGES = 5_000
 MIN_SENTENCES = 3
+PROSE_ODDS = 4.0
 CHAR_BITS = 13
 CACHED_WORDS = 1 << 17
 
@@ -41,14 +48,9 @@ _END = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _SYMBOL = re.compile(r"[{}<>=\[\]|\\^~`@$&*_#]")
 _DOTTED, _CALL, _PATH = re.compile(r"\.\w"), re.compile(r"\w\(|\(\)"), re.compile(r"/\w+/")
+_INLINE = re.compile(r"!?\[([^\]]*)\]\([^()\s]*\)|``?([^`]+)``?|\*\*([^*]+)\*\*|(?<!\w)[*_]([^\s*_](?:[^*_]*[^\s*_])?)[*_](?!\w)")
 # Closed-class words, at least one of which an English sentence has.
 FUNCTION_WORDS = frozenset("a an the this that these those each every all some any no not is are was were be been do does did to of in on at by for from with as it its we you they he she his her our your their i when while if unless until before after once because since although though and or but so than then which who whose what how one there".split())
-# Parts of licences and notices (in lower case), of which one of the first kind, or two of the second, mark legal text.
-LEGAL = ("copyright", "(c)", "©", "spdx", "licence", "license", "all rights reserved", "warranty", "warranties", "liabilit", "permission is", "permission to", "is granted", "compiled form", "redistribut", "these terms", "original work", "public domain", "no right to")
-LEGAL_WEAK = ("notice", "terms", "clause", "makers", "contributors", "rights", "trademark", "granted", "enforced", "liable", "damage", "supplied", "permitted", "copies", "holders", "conditions")
-# Parts of generators' banners and tools' notes, in lower case.
-BANNERS = ("generated", "do not edit", "produced by", "will be lost", "will be overwritten", "nolint", "noqa", "eslint", "todo", "fixme")
-
 # What opens a comment or docstring line, longest first, and what ends one.
 OPENERS = ("<!--", '"""', "'''", 'r"""', "/**", "/*!", "///", "//!", "/*", "//", "--", "# ", "* ", "; ", "% ", "> ")
 CLOSERS = ("*/", '"""', "'''", "-->")
@@ -102,7 +104,7 @@ def _blocks(text: str) -> tuple[list[list[list[str]]], bool]:
         if not block or mark == "-" or not body:  # an item, or a comment line without words, parts paragraphs
             block.append([])
         if body:
-            block[-1].append(body)
+            block[-1].append(plain_text(body))
     if block:
         blocks.append(block)
     return blocks, code
@@ -130,47 +132,85 @@ def prose_words(sentence: str) -> list[str]:
     return [] if FUNCTION_WORDS.isdisjoint(words) else words
 
 
-def is_code(line: str) -> bool:
-    """Whether a line has symbols that English prose doesn't."""
-    return bool(_SYMBOL.search(line) or line[-1] == ";" or "::" in line or _DOTTED.search(line) or "(" in line and _CALL.search(line) or "/" in line and _PATH.search(line))
+def plain_text(line: str) -> str:
+    """A line of documentation without its markup: the words of links, inline code and emphasis."""
+    return _INLINE.sub(lambda m: next(g for g in m.groups() if g is not None), line) if "`" in line or "*" in line or "_" in line or "](" in line else line
+
+
+def _marked(text: str) -> bool:
+    return bool(_SYMBOL.search(text) or "::" in text or _DOTTED.search(text) or "(" in text and _CALL.search(text) or "/" in text and _PATH.search(text))
 
 
-def _any(parts: tuple[str, ...], low: str) -> bool:
-    return any(p in low for p in parts)
+def is_code(line: str) -> bool:
+    """Whether a line reads like code: it ends a statement, or more than a quarter of its words have marks that English doesn't."""
+    if line[-1] in ";{":
+        return True
+    if not _marked(line):
+        return False
+    parts = plain_text(line).split()
+    return 4 * sum(map(_marked, parts)) > len(parts)
+
 
+@dataclass
+class Sentences:
+    """The English sentences of a text, as words in lower case, and the stretch of lines that each stands in."""
 
-def is_legal(low: str) -> bool:
-    """Whether text in lower case reads like part of a licence or notice."""
-    return _any(LEGAL, low) or sum(p in low for p in LEGAL_WEAK) >= 2
+    words: list[list[str]]
+    stretch: list[int]
+    code: bool = False
 
 
-def prose_sentences(text: str | None) -> list[list[str]]:
-    """The English prose sentences of a source, documentation or text file, in order, as words."""
+def english_sentences(text: str | None) -> Sentences:
+    """Sentences of a source, documentation or text file, in order, of whatever kind."""
+    out = Sentences([], [])
     if not text or not text.strip():
-        return []
-    low = text.lower()
-    legal, banner = is_legal(low), _any(BANNERS, low)  # if the whole has no such part, neither has any piece
-    blocks, code = _blocks(text)
-    notices = [False] * len(blocks)
-    if legal:
-        wholes = [" ".join(" ".join(p) for p in b).lower() for b in blocks]
-        notices = [_any(LEGAL, w) for w in wholes]
-        # a file without code most of whose stretches are legal is a licence text as a whole
-        if not code and any(notices) and 2 * sum(map(is_legal, wholes)) > len(wholes):
-            return []
-    out: list[list[str]] = []
-    for block, notice in zip(blocks, notices, strict=True):
+        return out
+    blocks, out.code = _blocks(text.removeprefix("\ufeff"))
+    for i, block in enumerate(blocks):
         for paragraph in block:
-            joined = " ".join(paragraph)
-            if notice and is_legal(joined.lower()) or banner and len(joined) < 200 and _any(BANNERS, joined.lower()):
-                continue
-            for s in _END.split(joined):
+            for s in _END.split(" ".join(paragraph)):
                 words = prose_words(s)
-                if words and not (legal and is_legal(s.lower())):
-                    out.append(words)
+                if words:
+                    out.words.append(words)
+                    out.stretch.append(i)
+    return out
+
+
+def prose_only(docs: list[Sentences], model: ReadingModel) -> list[list[list[str]]]:
+    """The sentences of each text that are neither licence text nor banners.
+
+    A sentence's kind is the likeliest by the mean of its own probabilities and its stretch's, where
+    prose is taken to be PROSE_ODDS times as frequent as either of the others.  A text without code
+    most of whose stretches are licence text is one as a whole.
+    """
+    n = np.fromiter((len(d.words) for d in docs), np.int64, len(docs))
+    if not n.sum():
+        return [[] for _ in docs]
+    p = model.kind_probs([w for d in docs for w in d.words])
+    p[:, kinds.PROSE] *= PROSE_ODDS
+    p /= p.sum(axis=1, keepdims=True)
+    doc = np.repeat(np.arange(len(docs)), n)
+    own = np.fromiter((i for d in docs for i in d.stretch), np.int64, int(n.sum()))
+    first = np.r_[True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])]
+    at = np.flatnonzero(first)
+    mean = np.add.reduceat(p, at) / np.diff(np.r_[at, len(p)])[:, None]
+    kind = ((p + mean[np.cumsum(first) - 1]) / 2).argmax(axis=1)
+    legal = mean.argmax(axis=1) == kinds.LICENCE
+    stretches, legals = np.bincount(doc[at], minlength=len(docs)), np.bincount(doc[at], weights=legal, minlength=len(docs))
+    keep = kind == kinds.PROSE
+    out, i = [], 0
+    for d, total, hits in zip(docs, stretches, legals, strict=True):
+        whole = not d.code and 2 * hits > total
+        out.append([] if whole else [w for j, w in enumerate(d.words) if keep[i + j]])
+        i += len(d.words)
     return out
 
 
+def prose_sentences(text: str | None, model: ReadingModel) -> list[list[str]]:
+    """The English prose sentences of one text, in order, as words."""
+    return prose_only([english_sentences(text)], model)[0]
+
+
 def _grams(word: str) -> Iterator[int]:
     w = f"^{word}$"
     for n in (2, 3, 4):
@@ -185,46 +225,142 @@ def tokens(sentence: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(sentence)]
 
 
+def telling_words(words: list[str]) -> list[str]:
+    """What the model of kinds looks at: the words, and how the sentence begins as two more of them."""
+    return [*words, f"^{words[0]}", f"^{words[0]} {words[1] if len(words) > 1 else ''}"]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, classes: int, penalty: float, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and offsets of an L2-penalised softmax regression, by accelerated gradient descent."""
-    n, d = x.shape
-    t = np.eye(classes)[y]
-    w, b = np.zeros((d, classes)), np.zeros(classes)
+class Sparse:
+    """A matrix as entries sorted by row, and again by column, for products with narrow dense ones."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, shape: tuple[int, int]) -> None:
+        self.shape, self.room = shape, None
+        self.by_row, self.by_col = self._sorted(row, col, val), self._sorted(col, row, val)
+
+    @staticmethod
+    def _sorted(at: np.ndarray, other: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+        return at[first], first, other[order], val[order][:, None]
+
+    def _times(self, parts: tuple[np.ndarray, ...], m: np.ndarray, n: int) -> np.ndarray:
+        at, first, other, val = parts
+        out = np.zeros((n, m.shape[1]))
+        if len(first):
+            if self.room is None or self.room.shape != (len(other), m.shape[1]):
+                self.room = np.empty((len(other), m.shape[1]))  # one buffer for all products
+            np.take(m, other, axis=0, out=self.room, mode="clip")
+            self.room *= val
+            out[at] = np.add.reduceat(self.room, first)
+        return out
+
+    def dot(self, m: np.ndarray) -> np.ndarray:
+        return self._times(self.by_row, m, self.shape[0])
+
+    def t_dot(self, m: np.ndarray) -> np.ndarray:
+        return self._times(self.by_col, m, self.shape[1])
+
+
+_SCALE = 8.0  # features are means over words; this brings them to unit spread
+
+
+@dataclass
+class Features:
+    """Sentences as means of words (of the vocabulary), and words as means of character n-grams."""
+
+    words: dict[str, int]
+    s_words: Sparse
+    s_all: Sparse
+    grams: Sparse
+    used: np.ndarray  # the n-grams' numbers that are there, the columns of grams
+
+    @staticmethod
+    def of(sentences: list[list[str]]) -> Features:
+        every = {w: i for i, w in enumerate(sorted({w for s in sentences for w in s}))}
+        n = np.fromiter(map(len, sentences), np.int64, len(sentences))
+        row, col = np.repeat(np.arange(len(n)), n), np.fromiter((every[w] for s in sentences for w in s), np.int64, int(n.sum()))
+        pair, count = np.unique(row * len(every) + col, return_counts=True)
+        row, col = pair // max(len(every), 1), pair % max(len(every), 1)
+        val = count / n[row] * _SCALE
+        seen = np.bincount(col, minlength=len(every))  # a word of one sentence says nothing about others
+        known = np.flatnonzero(seen > 1)
+        number = np.full(len(every), -1)
+        number[known] = np.arange(len(known))
+        use = number[col] >= 0
+        grams = [list(_grams(w)) for w in every]
+        g = np.fromiter(map(len, grams), np.int64, len(grams))
+        used, gram = np.unique(np.fromiter((x for y in grams for x in y), np.int64, int(g.sum())), return_inverse=True)
+        return Features(
+            {w: int(number[i]) for w, i in every.items() if number[i] >= 0},
+            Sparse(row[use], number[col[use]], val[use], (len(n), len(known))),
+            Sparse(row, col, val, (len(n), len(every))),
+            Sparse(np.repeat(np.arange(len(g)), g), gram, np.repeat(1 / g, g), (len(every), len(used))),
+            used,
+        )
+
+
+def _fit(x: list[Sparse], y: np.ndarray, classes: int, penalty: float, weights: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (columns, fits, classes) and offsets of L2-penalised softmax regressions, by accelerated gradient descent.
+
+    x is a chain of matrices whose product has a row per sentence; weights (sentences, fits) says
+    how much each counts in each of the fits, which are made side by side.
+    """
+    fits = weights.shape[1]
+    weights = weights / weights.sum(axis=0)
+
+    def forward(m: np.ndarray) -> np.ndarray:
+        for a in reversed(x):
+            m = a.dot(m)
+        return m
+
+    def back(m: np.ndarray) -> np.ndarray:
+        for a in x:
+            m = a.t_dot(m)
+        return m
+
+    n, d = x[0].shape[0], x[-1].shape[1]
+    t = np.eye(classes)[y][:, None, :]
+    # the squared length of a row is at most _SCALE squared, and mostly far below
+    size = np.zeros(n)
+    at, first, _, val = x[0].by_row
+    size[at] = np.add.reduceat(np.square(val[:, 0]), first) if len(first) else 0.0
+    rate = 1.0 / (0.5 * (weights * size[:, None]).sum(axis=0).max() + 0.5 + penalty)
+    w, b = np.zeros((d, fits * classes)), np.zeros(fits * classes)
     vw, vb = w.copy(), b.copy()
-    rate = 1.0 / (0.5 * float(np.square(x).sum(axis=1).mean() + 1) + penalty)
     for i in range(rounds):
-        p = _softmax(x @ vw + vb)
-        gw, gb = x.T @ (p - t) / n + penalty * vw, (p - t).mean(axis=0)
-        nw, nb = vw - rate * gw, vb - rate * gb
+        z = (forward(vw) + vb).reshape(n, fits, classes)
+        e = np.exp(z - z.max(axis=2, keepdims=True))
+        r = ((e / e.sum(axis=2, keepdims=True) - t) * weights[:, :, None]).reshape(n, -1)
+        nw, nb = vw - rate * (back(r) + penalty * vw), vb - rate * r.sum(axis=0)
         m = i / (i + 3)
         vw, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
-    return w, b
+    return w.reshape(d, fits, classes), b.reshape(fits, classes)
 
 
 @dataclass
-class ReadingModel:
-    """Word and character models over levels, and the calibration of a document's difficulty."""
+class SentenceModel:
+    """Word and character models over classes, their probabilities averaged."""
 
-    levels: list[int]
     words: dict[str, int]
     word_w: np.ndarray
     word_b: np.ndarray
     char_w: np.ndarray
     char_b: np.ndarray
     temperature: float = 1.0
-    slope: float = 1.0
-    shift: float = 0.0
-    known: dict[str, int] = field(default_factory=dict)
-    scores: np.ndarray | None = None
 
-    def _word_rows(self, words: list[str]) -> np.ndarray:
+    @property
+    def classes(self) -> int:
+        return len(self.word_b)
+
+    def word_rows(self, words: list[str]) -> np.ndarray:
         """Word score and character score of each word, side by side."""
-        c = len(self.levels)
+        c = self.classes
         out = np.zeros((len(words), 2 * c))
         for i, w in enumerate(words):
             j = self.words.get(w)
@@ -234,79 +370,107 @@ class ReadingModel:
             out[i, c:] = self.char_w[g].sum(axis=0) / len(g)
         return out
 
-    def sentence_probs(self, sentences: list[list[str]]) -> np.ndarray:
-        """Level probabilities of tokenised, non-empty sentences."""
+    def probs(self, mean: np.ndarray) -> np.ndarray:
+        """Class probabilities of sentences from the mean scores of their words."""
+        c, scale = self.classes, _SCALE / self.temperature
+        return (_softmax(scale * mean[:, :c] + self.word_b / self.temperature) + _softmax(scale * mean[:, c:] + self.char_b / self.temperature)) / 2
+
+
+@dataclass
+class ReadingModel:
+    """Models of sentences' kinds and levels, and the calibration of a document's difficulty."""
+
+    levels: list[int]
+    level: SentenceModel
+    kind: SentenceModel
+    slope: float = 1.0
+    shift: float = 0.0
+    known: dict[str, int] = field(default_factory=dict)
+    scores: np.ndarray | None = None
+
+    def _means(self, sentences: list[list[str]]) -> np.ndarray:
+        """The mean of the words' scores of every sentence, each distinct word scored once."""
         if len(self.known) > CACHED_WORDS or self.scores is None:
-            self.known, self.scores = {}, np.zeros((0, 2 * len(self.levels)))
+            self.known, self.scores = {}, np.zeros((0, 2 * (self.level.classes + self.kind.classes)))
         new = sorted({w for s in sentences for w in s}.difference(self.known))
         if new:
             base = len(self.known)
             self.known |= {w: base + i for i, w in enumerate(new)}
-            self.scores = np.concatenate([self.scores, self._word_rows(new)])
+            self.scores = np.concatenate([self.scores, np.hstack([self.level.word_rows(new), self.kind.word_rows(new)])])
         n = np.fromiter(map(len, sentences), np.int64, len(sentences))
         at = np.fromiter((self.known[w] for s in sentences for w in s), np.int64, int(n.sum()))
-        mean = np.add.reduceat(self.scores[at], np.r_[0, np.cumsum(n)[:-1]]) / n[:, None]
-        c = len(self.levels)
-        scale = _SCALE / self.temperature
-        return (_softmax(scale * mean[:, :c] + self.word_b / self.temperature) + _softmax(scale * mean[:, c:] + self.char_b / self.temperature)) / 2
+        return np.add.reduceat(self.scores[at], np.r_[0, np.cumsum(n)[:-1]]) / n[:, None]
 
-
-_SCALE = 8.0  # features are means over words; this brings them to unit spread
-
-
-def _features(sentences: list[list[str]], words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    xw, xc = np.zeros((len(sentences), len(words))), np.zeros((len(sentences), 1 << CHAR_BITS))
-    for i, s in enumerate(sentences):
-        for w in s:
-            if w in words:
-                xw[i, words[w]] += 1 / len(s)
-            g = list(_grams(w))
-            np.add.at(xc[i], g, 1 / (len(g) * len(s)))
-    return xw * _SCALE, xc * _SCALE
-
-
-def _train(sentences: list[list[str]], labels: np.ndarray, levels: list[int], penalty: float) -> ReadingModel:
-    count: dict[str, int] = {}
-    for s in sentences:
-        for w in set(s):
-            count[w] = count.get(w, 0) + 1
-    words = {w: i for i, w in enumerate(sorted(w for w, n in count.items() if n > 1))}
-    xw, xc = _features(sentences, words)
-    used = np.flatnonzero(xc.any(axis=0))
-    ww, wb = _fit(xw, labels, len(levels), penalty)
-    part, cb = _fit(xc[:, used], labels, len(levels), penalty)
-    cw = np.zeros((1 << CHAR_BITS, len(levels)))
-    cw[used] = part
-    return ReadingModel(levels, words, ww, wb, cw, cb)
-
-
-def train(passages: list[tuple[int, str]], penalty: float = 1e-3, folds: int = 5) -> ReadingModel:
-    """A model from (level, passage) pairs; held-out passages give the temperature and the calibration."""
+    def sentence_probs(self, sentences: list[list[str]]) -> np.ndarray:
+        """Level probabilities of tokenised, non-empty sentences."""
+        return self.level.probs(self._means(sentences)[:, : 2 * self.level.classes])
+
+    def kind_probs(self, sentences: list[list[str]]) -> np.ndarray:
+        """Probabilities of kinds.PROSE, LICENCE and BANNER."""
+        return self.kind.probs(self._means([telling_words(s) for s in sentences])[:, 2 * self.level.classes :])
+
+
+def _train(sentences: list[list[str]], y: np.ndarray, classes: int, penalty: float, weights: np.ndarray) -> list[SentenceModel]:
+    """One model for each column of weights."""
+    f = Features.of(sentences)
+    ww, wb = _fit([f.s_words], y, classes, penalty, weights)
+    part, cb = _fit([f.s_all, f.grams], y, classes, penalty, weights)
+    cw = np.zeros((1 << CHAR_BITS, *part.shape[1:]))
+    cw[f.used] = part
+    return [SentenceModel(f.words, ww[:, i], wb[i], cw[:, i], cb[i]) for i in range(weights.shape[1])]
+
+
+def train_kinds(passages: list[str], licences: list[str], penalty: float = 1e-4) -> SentenceModel:
+    """The model of kinds: passages are prose, licences are texts of licence files; each kind weighs the same."""
+    prose = {" ".join(tokens(s)) for p in [*passages, *kinds.PROSE_EXAMPLES] for s in _END.split(p)}
+    legal = {" ".join(tokens(s)) for s in kinds.LICENCE_EXAMPLES} | {" ".join(w) for x in licences for w in english_sentences(x).words}
+    banner = {" ".join(tokens(s)) for s in kinds.BANNER_EXAMPLES}
+    parts = [sorted(prose - legal - banner - {""}), sorted(legal - {""}), sorted(banner - legal - {""})]
+    # examples of ordinary prose weigh as much as all passages together: passages may be of a narrow kind
+    ordinary = {" ".join(tokens(s)) for s in kinds.PROSE_EXAMPLES}
+    share = np.concatenate([np.full(len(p), 1 / len(p)) for p in parts])
+    near = np.array([s in ordinary for s in parts[0]])
+    if near.any() and not near.all():
+        share[: len(near)] = np.where(near, 0.5 / near.sum(), 0.5 / (~near).sum())
+    y = np.repeat(np.arange(3), [len(p) for p in parts])
+    sents = [s.split(" ") for p in parts for s in p]
+    return _train([telling_words(s) for s in sents], y, 3, penalty, share[:, None])[0]
+
+
+def train(passages: list[tuple[int, str]], licences: list[str] = (), penalty: float = 1e-3, folds: int = 3) -> ReadingModel:
+    """A model from (level, passage) pairs and licence texts, made once for equal input."""
     if not passages:
         raise ValueError("no labelled passages to train on")
+    return _trained(tuple(passages), tuple(licences), penalty, folds)
+
+
+@functools.lru_cache(maxsize=4)
+def _trained(passages: tuple, licences: tuple, penalty: float, folds: int) -> ReadingModel:
+    """The model; held-out passages give the temperature and the calibration."""
     levels = sorted({lv for lv, _ in passages})
     rows = [(i, levels.index(lv), tokens(s)) for i, (lv, p) in enumerate(passages) for s in (_END.split(p))]
     rows = [r for r in rows if r[2]]
     y, own = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
     sents = [r[2] for r in rows]
-    model = _train(sents, y, levels, penalty)
-    if len(passages) >= 2 * folds and len(levels) > 1:
-        held = own % folds
-        best, temps = None, (0.25, 0.35, 0.5, 0.7, 1.0, 1.4)
-        parts = []
-        for f in range(folds):
-            m = _train([s for s, h in zip(sents, held, strict=True) if h != f], y[held != f], levels, penalty)
-            parts.append((m, [s for s, h in zip(sents, held, strict=True) if h == f], np.flatnonzero(held == f)))
-        for t in temps:
+    calibrate = len(passages) >= 2 * folds and len(levels) > 1
+    held = own % folds
+    # the last fit counts every sentence, the others leave one fold out
+    weights = np.stack([*((held != f).astype(float) for f in range(folds if calibrate else 0)), np.ones(len(y))], axis=1)
+    *parts, level = _train(sents, y, len(levels), penalty, weights)
+    model = ReadingModel(levels, level, train_kinds([p for _, p in passages], list(licences)))
+    if calibrate:
+        means = [(np.flatnonzero(held == f), m) for f, m in enumerate(parts) if (held == f).any()]
+        means = [(at, m, ReadingModel(levels, m, model.kind)._means([sents[i] for i in at])[:, : 2 * len(levels)]) for at, m in means]
+        best = None
+        for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4):
             p = np.zeros((len(sents), len(levels)))
-            for m, s, at in parts:
+            for at, m, mean in means:
                 m.temperature = t
-                if len(at):
-                    p[at] = m.sentence_probs(s)
+                p[at] = m.probs(mean)
             loss = -np.log(p[np.arange(len(y)), y] + 1e-9).mean()
             if best is None or loss < best[0]:
                 best = (loss, t, p)
-        model.temperature = best[1]
+        level.temperature = best[1]
         expected = np.array([(best[2][own == i].mean(axis=0) * levels).sum() for i in np.unique(own)])
         truth = np.array([passages[i][0] for i in np.unique(own)], float)
         if expected.std() > 0:
@@ -337,7 +501,7 @@ def reading_levels(docs: DataFrame, model: ReadingModel, doc_id: str = "doc_id",
         m = sent.value
         is_hard = np.isin(m.levels, hard)
         for b in batches:
-            sentences = [prose_sentences(x) for x in b.column(1).to_pylist()]
+            sentences = prose_only([english_sentences(x) for x in b.column(1).to_pylist()], m)
             n = np.fromiter(map(len, sentences), np.int64, len(sentences))
             flat = [s for doc in sentences for s in doc]
             p = m.sentence_probs(flat) if flat else np.zeros((0, len(m.levels)))
