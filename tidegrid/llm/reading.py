@@ -43,6 +43,7 @@ MIN_SENTENCES = 3
 PROSE_ODDS = 4.0
 CHAR_BITS = 13
 CACHED_WORDS = 1 << 17
+SLICE_DOCS = 512  # texts taken at once
 
 _END = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -176,8 +177,8 @@ def english_sentences(text: str | None) -> Sentences:
     return out
 
 
-def prose_only(docs: list[Sentences], model: ReadingModel) -> list[list[list[str]]]:
-    """The sentences of each text that are neither licence text nor banners.
+def prose_mask(docs: list[Sentences], model: ReadingModel, means: np.ndarray) -> np.ndarray:
+    """Which of the texts' sentences, end to end, are neither licence text nor banners; means are their words' mean scores.
 
     A sentence's kind is the likeliest by the mean of its own probabilities and its stretch's, where
     prose is taken to be PROSE_ODDS times as frequent as either of the others.  A text without code
@@ -185,8 +186,8 @@ def prose_only(docs: list[Sentences], model: ReadingModel) -> list[list[list[str
     """
     n = np.fromiter((len(d.words) for d in docs), np.int64, len(docs))
     if not n.sum():
-        return [[] for _ in docs]
-    p = model.kind_probs([w for d in docs for w in d.words])
+        return np.zeros(0, bool)
+    p = model.kind_probs([w for d in docs for w in d.words], means)
     p[:, kinds.PROSE] *= PROSE_ODDS
     p /= p.sum(axis=1, keepdims=True)
     doc = np.repeat(np.arange(len(docs)), n)
@@ -197,18 +198,14 @@ def prose_only(docs: list[Sentences], model: ReadingModel) -> list[list[list[str
     kind = ((p + mean[np.cumsum(first) - 1]) / 2).argmax(axis=1)
     legal = mean.argmax(axis=1) == kinds.LICENCE
     stretches, legals = np.bincount(doc[at], minlength=len(docs)), np.bincount(doc[at], weights=legal, minlength=len(docs))
-    keep = kind == kinds.PROSE
-    out, i = [], 0
-    for d, total, hits in zip(docs, stretches, legals, strict=True):
-        whole = not d.code and 2 * hits > total
-        out.append([] if whole else [w for j, w in enumerate(d.words) if keep[i + j]])
-        i += len(d.words)
-    return out
+    whole = (2 * legals > stretches) & ~np.array([d.code for d in docs])
+    return (kind == kinds.PROSE) & ~whole[doc]
 
 
 def prose_sentences(text: str | None, model: ReadingModel) -> list[list[str]]:
     """The English prose sentences of one text, in order, as words."""
-    return prose_only([english_sentences(text)], model)[0]
+    d = english_sentences(text)
+    return [w for w, ok in zip(d.words, prose_mask([d], model, model.means(d.words)), strict=True) if ok]
 
 
 def _grams(word: str) -> Iterator[int]:
@@ -225,9 +222,9 @@ def tokens(sentence: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(sentence)]
 
 
-def telling_words(words: list[str]) -> list[str]:
-    """What the model of kinds looks at: the words, and how the sentence begins as two more of them."""
-    return [*words, f"^{words[0]}", f"^{words[0]} {words[1] if len(words) > 1 else ''}"]
+def beginning(words: list[str]) -> tuple[str, str]:
+    """How a sentence begins, as two more words for the model of kinds."""
+    return f"^{words[0]}", f"^{words[0]} {words[1] if len(words) > 1 else ''}"
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -388,26 +385,43 @@ class ReadingModel:
     known: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
 
-    def _means(self, sentences: list[list[str]]) -> np.ndarray:
-        """The mean of the words' scores of every sentence, each distinct word scored once."""
+    def _rows_of(self, words: Iterator[str], count: int) -> np.ndarray:
+        """Scores of words, each distinct one scored once."""
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, count)
+        return self.scores[at]
+
+    def _learn(self, words: set[str]) -> None:
         if len(self.known) > CACHED_WORDS or self.scores is None:
             self.known, self.scores = {}, np.zeros((0, 2 * (self.level.classes + self.kind.classes)))
-        new = sorted({w for s in sentences for w in s}.difference(self.known))
+        new = sorted(words.difference(self.known))
         if new:
             base = len(self.known)
             self.known |= {w: base + i for i, w in enumerate(new)}
             self.scores = np.concatenate([self.scores, np.hstack([self.level.word_rows(new), self.kind.word_rows(new)])])
+
+    def means(self, sentences: list[list[str]]) -> np.ndarray:
+        """The mean of the words' scores of every sentence."""
+        self._learn({w for s in sentences for w in s})
+        if not sentences:
+            return np.zeros((0, self.scores.shape[1]))
         n = np.fromiter(map(len, sentences), np.int64, len(sentences))
-        at = np.fromiter((self.known[w] for s in sentences for w in s), np.int64, int(n.sum()))
-        return np.add.reduceat(self.scores[at], np.r_[0, np.cumsum(n)[:-1]]) / n[:, None]
+        rows = self._rows_of((w for s in sentences for w in s), int(n.sum()))
+        return np.add.reduceat(rows, np.r_[0, np.cumsum(n)[:-1]]) / n[:, None]
 
-    def sentence_probs(self, sentences: list[list[str]]) -> np.ndarray:
+    def sentence_probs(self, sentences: list[list[str]], means: np.ndarray | None = None) -> np.ndarray:
         """Level probabilities of tokenised, non-empty sentences."""
-        return self.level.probs(self._means(sentences)[:, : 2 * self.level.classes])
+        means = self.means(sentences) if means is None else means
+        return self.level.probs(means[:, : 2 * self.level.classes])
 
-    def kind_probs(self, sentences: list[list[str]]) -> np.ndarray:
+    def kind_probs(self, sentences: list[list[str]], means: np.ndarray | None = None) -> np.ndarray:
         """Probabilities of kinds.PROSE, LICENCE and BANNER."""
-        return self.kind.probs(self._means([telling_words(s) for s in sentences])[:, 2 * self.level.classes :])
+        means = self.means(sentences) if means is None else means
+        starts = [beginning(s) for s in sentences]
+        self._learn({w for s in starts for w in s})
+        more = self._rows_of((w for s in starts for w in s), 2 * len(starts))
+        n = np.fromiter(map(len, sentences), np.int64, len(sentences))[:, None]
+        mean = (means * n + more[::2] + more[1::2]) / (n + 2)
+        return self.kind.probs(mean[:, 2 * self.level.classes :])
 
 
 def _train(sentences: list[list[str]], y: np.ndarray, classes: int, penalty: float, weights: np.ndarray) -> list[SentenceModel]:
@@ -434,7 +448,7 @@ def train_kinds(passages: list[str], licences: list[str], penalty: float = 1e-4)
         share[: len(near)] = np.where(near, 0.5 / near.sum(), 0.5 / (~near).sum())
     y = np.repeat(np.arange(3), [len(p) for p in parts])
     sents = [s.split(" ") for p in parts for s in p]
-    return _train([telling_words(s) for s in sents], y, 3, penalty, share[:, None])[0]
+    return _train([[*s, *beginning(s)] for s in sents], y, 3, penalty, share[:, None])[0]
 
 
 def train(passages: list[tuple[int, str]], licences: list[str] = (), penalty: float = 1e-3, folds: int = 3) -> ReadingModel:
@@ -460,7 +474,7 @@ def _trained(passages: tuple, licences: tuple, penalty: float, folds: int) -> Re
     model = ReadingModel(levels, level, train_kinds([p for _, p in passages], list(licences)))
     if calibrate:
         means = [(np.flatnonzero(held == f), m) for f, m in enumerate(parts) if (held == f).any()]
-        means = [(at, m, ReadingModel(levels, m, model.kind)._means([sents[i] for i in at])[:, : 2 * len(levels)]) for at, m in means]
+        means = [(at, m, ReadingModel(levels, m, model.kind).means([sents[i] for i in at])[:, : 2 * len(levels)]) for at, m in means]
         best = None
         for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4):
             p = np.zeros((len(sents), len(levels)))
@@ -500,14 +514,15 @@ def reading_levels(docs: DataFrame, model: ReadingModel, doc_id: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         is_hard = np.isin(m.levels, hard)
-        for b in batches:
-            sentences = prose_only([english_sentences(x) for x in b.column(1).to_pylist()], m)
-            n = np.fromiter(map(len, sentences), np.int64, len(sentences))
-            flat = [s for doc in sentences for s in doc]
-            p = m.sentence_probs(flat) if flat else np.zeros((0, len(m.levels)))
-            doc = np.repeat(np.arange(len(n)), n)
-            n_hard = np.bincount(doc, weights=p[:, is_hard].sum(axis=1) > 0.5, minlength=len(n)).astype(np.int64)
-            shares = np.stack([np.bincount(doc, weights=p[:, j], minlength=len(n)) for j in range(len(m.levels))], axis=1) / np.maximum(n, 1)[:, None]
+        for b in (x.slice(i, SLICE_DOCS) for x in batches for i in range(0, x.num_rows, SLICE_DOCS)):
+            docs = [english_sentences(x) for x in b.column(1).to_pylist()]
+            means = m.means([w for d in docs for w in d.words])
+            keep = prose_mask(docs, m, means)
+            owner = np.repeat(np.arange(len(docs)), [len(d.words) for d in docs])[keep]
+            n = np.bincount(owner, minlength=len(docs))
+            p = m.level.probs(means[keep][:, : 2 * len(m.levels)])
+            n_hard = np.bincount(owner, weights=p[:, is_hard].sum(axis=1) > 0.5, minlength=len(n)).astype(np.int64)
+            shares = np.stack([np.bincount(owner, weights=p[:, j], minlength=len(n)) for j in range(len(m.levels))], axis=1) / np.maximum(n, 1)[:, None]
             difficulty = np.clip(m.slope * (shares * m.levels).sum(axis=1) + m.shift, m.levels[0], m.levels[-1])
             nearest = np.array(m.levels)[np.abs(difficulty[:, None] - np.array(m.levels)).argmin(axis=1)]
             yield pa.RecordBatch.from_arrays(
