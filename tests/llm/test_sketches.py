@@ -32,7 +32,7 @@ def test_estimates_lie_within_bounds(spark):
     k, inside, trials = 64, 0, 40
     df = spark.range(40 * 3000).select((F.col("id") % trials).alias("g"), F.concat(F.lit("x"), "id").alias("client"))
     e = kmv.estimate(F.col("hashes"), k)
-    for r in kmv.sketch(kmv.distinct_hashes(df, ["g"], "client"), ["g"], k).select(*(c.alias(n) for n, c in e.items())).collect():
+    for r in kmv.sketch(kmv.hashed(df, ["g"], "client"), ["g"], k).select(*(c.alias(n) for n, c in e.items())).collect():
         inside += r.lower <= 3000 <= r.upper
         assert r.estimate == pytest.approx(3000, rel=5 / np.sqrt(k))
     assert inside >= 0.85 * trials
@@ -40,17 +40,17 @@ def test_estimates_lie_within_bounds(spark):
 
 def test_merging_parts_equals_the_whole(spark):
     df = spark.createDataFrame(rows(8000, 2), SCHEMA)
-    h = lambda d: kmv.sketch(kmv.distinct_hashes(d, ["d", "g"], "client"), ["d", "g"], 100)
+    h = lambda d: kmv.sketch(kmv.hashed(d, ["d", "g"], "client"), ["d", "g"], 100)
     parts = h(df.where("xxhash64(client) % 2 = 0")).unionByName(h(df.where("xxhash64(client) % 2 <> 0")))
     whole = {(r.d, r.g): r.hashes for r in h(df).collect()}
     assert {(r.d, r.g): r.hashes for r in kmv.merge(parts, ["d", "g"], 100).collect()} == whole
     rolled = {r.d: r.hashes for r in kmv.merge(parts, ["d"], 100).collect()}
-    assert rolled == {r.d: r.hashes for r in kmv.sketch(kmv.distinct_hashes(df, ["d"], "client"), ["d"], 100).collect()}
+    assert rolled == {r.d: r.hashes for r in kmv.sketch(kmv.hashed(df, ["d"], "client"), ["d"], 100).collect()}
 
 
 def test_set_estimates(spark):
     df = spark.range(30000).select(F.explode(F.when(F.col("id") < 10000, F.array(F.lit("a"))).when(F.col("id") < 20000, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b")))).alias("g"), F.col("id").cast("string").alias("client"))
-    s = {r.g: r.hashes for r in kmv.sketch(kmv.distinct_hashes(df, ["g"], "client"), ["g"]).collect()}
+    s = {r.g: r.hashes for r in kmv.sketch(kmv.hashed(df, ["g"], "client"), ["g"]).collect()}
     one = spark.createDataFrame([(s["a"], s["b"])], "a array<bigint>, b array<bigint>")
     r = one.select(*(c.alias(n) for n, c in kmv.set_estimates(F.col("a"), F.col("b")).items())).first()
     for name, truth in (("union", 30000), ("intersection", 10000), ("difference", 10000)):
@@ -58,6 +58,38 @@ def test_set_estimates(spark):
         assert r[f"{name}_lower"] <= r[name] <= r[f"{name}_upper"]
 
 
+def test_union_with_itself_is_the_estimate(spark):
+    df = spark.range(100000).select(F.lit("a").alias("g"), F.col("id").cast("string").alias("client"))
+    s = kmv.sketch(kmv.hashed(df, ["g"], "client"), ["g"])
+    e, u = kmv.estimate(F.col("hashes")), kmv.set_estimates(F.col("hashes"), F.col("hashes"))
+    r = s.select(e["estimate"].alias("e"), u["union"].alias("u"), u["intersection"].alias("i"), u["difference"].alias("d")).first()
+    assert r.e == r.u == r.i
+    assert r.d == 0
+
+
+def test_k_above_a_thousand_and_small_holdings(spark, monkeypatch):
+    monkeypatch.setattr(kmv, "HELD", 500)
+    df = spark.range(30000).select((F.col("id") % 3).cast("int").alias("g"), F.concat(F.lit("x"), F.col("id") % 12000).alias("client"))
+    g = np.array([0, 1, 0, 0, 1, 0]), np.array([5, 2, 3, 5, 2, 9])
+    assert [x.tolist() for x in kmv.k_smallest(*g, 2)] == [[0, 0, 1], [3, 5, 2]]
+    got = {r.g: r.hashes for r in kmv.sketch(kmv.hashed(df, ["g"], "client"), ["g"], 2500).collect()}
+    want = {r.g: sorted(r.h)[:2500] for r in kmv.hashed(df, ["g"], "client").groupBy("g").agg(F.collect_set("h").alias("h")).collect()}
+    assert got == want
+
+
+def test_nothing_is_shuffled_before_it_is_reduced(spark):
+    df = spark.range(1000).select(F.lit("a").alias("g"), F.col("id").cast("string").alias("client"))
+    plan = kmv.sketch(kmv.hashed(df, ["g"], "client"), ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    assert plan.index("Exchange ") < plan.index("MapInArrow")
+    assert "Window" not in plan
+
+
+def test_keys_of_odd_types_are_refused(spark):
+    with pytest.raises(TypeError, match="cannot be a key"):
+        kmv.sketch(spark.range(3).select(F.array("id").alias("g"), F.col("id").alias("h")), ["g"])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert kmv.cube_sketches(df, ["d", "g"], "client").count() == 0

@@ -8,10 +8,10 @@ With U the k-th smallest hash as a fraction of the hash range, (k - 1) / U estim
 distinct values without bias, with relative standard error 1 / sqrt(k - 2): 3.2 % for k = 1000, so
 that 95 % of estimates lie within 6.2 %.
 
-Plan: distinct (keys, hash), then a rank within each group.  Spark limits the rank before the
-shuffle (at most k distinct hashes of a group leave a task, for k up to
-spark.sql.optimizer.windowGroupLimitThreshold), so a group with a third of all rows costs its
-reducer k hashes per map task, never its rows.
+Plan: values are hashed where they are read; every task reduces its rows to one sketch per group
+(numpy on Arrow batches) before anything is shuffled, so a group with a third of all rows costs its
+reducer k hashes per task, never its rows, and identifiers themselves never travel.  Coarser groups
+are merged from the sketches of the finest ones, again first within each task.
 
 Defined results for odd input: null and empty values are not counted; null keys form groups of
 their own (told from totals by ``level``); repeated rows change nothing; an empty table gives no
@@ -21,13 +21,20 @@ groups; values are compared as they are, however long; only named columns are re
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import share_code
 
 K = 1000
 HASH_BITS = 60
 Z = 1.96  # standard errors in a bound: 95 %
+HELD = 1 << 20  # hashes that a task gathers before it reduces them, and hands on if that does not help
 
 
 def value_hash(value: Column) -> Column:
@@ -35,66 +42,159 @@ def value_hash(value: Column) -> Column:
     return F.conv(F.substring(F.md5(value.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
-def distinct_hashes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys and h, once per distinct value of each group; repeats are dropped before the shuffle."""
-    d = df.where(F.col(value).isNotNull() & (F.col(value) != "")).select(*keys, F.col(value).alias("_v")).distinct()
-    return d.select(*keys, value_hash(F.col("_v")).alias("h"))
-
-
-def smallest(hashes: DataFrame, keys: list[str], k: int = K) -> DataFrame:
-    """The rows with the k smallest distinct h of each group, possibly repeated."""
-    w = Window.partitionBy(*keys).orderBy("h")
-    return hashes.withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= k).drop("_r")
+def hashed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys and h for every row with a value."""
+    return df.where(F.col(value).isNotNull() & (F.col(value) != "")).select(*keys, value_hash(F.col(value)).alias("h"))
+
+
+def k_smallest(g: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest distinct h of every g, sorted by both."""
+    order = np.lexsort((h, g))
+    g, h = g[order], h[order]
+    first = np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])] if len(g) else np.zeros(0, bool)
+    g, h = g[first], h[first]
+    begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+    rank = np.arange(len(g)) - np.repeat(begin, np.diff(np.r_[begin, len(g)]))
+    return g[rank < k], h[rank < k]
+
+
+class _Groups:
+    """Numbers of groups, which are tuples of key values."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple, int] = {}
+
+    def of(self, columns: list[pa.Array], n: int) -> np.ndarray:
+        local, kinds = np.zeros(n, np.int64), []
+        for c in columns:
+            d = c.dictionary_encode()
+            kinds.append([None, *d.dictionary.to_pylist()])
+            local = local * len(kinds[-1]) + d.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            # numbers stay below the number of rows, however many keys there are
+            used, local = np.unique(local, return_inverse=True)
+            kinds[-1] = (kinds[-1], used)
+        names = [()]
+        for values, used in kinds:
+            names = [(*names[u // len(values)], values[u % len(values)]) for u in used.tolist()]
+        return np.array([self.number.setdefault(t, len(self.number)) for t in names], np.int64)[local]
+
+
+def _reducer(schema: T.StructType, keys: list[str], sets: list[list[str]] | None, k: int) -> Callable:
+    """Batches of (keys, h) or (keys, hashes) as one sketch per group and task; with sets, of each set of keys."""
+    types = [T_ARROW[type(schema[c].dataType)] for c in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, g, h, size = _Groups(), [], [], 0
+
+        def emit() -> pa.RecordBatch:
+            names = list(groups.number)
+            gs, hs = g[0], h[0]
+            begin = np.flatnonzero(np.r_[True, gs[1:] != gs[:-1]]) if len(gs) else np.zeros(0, np.int64)
+            own = [names[i] for i in gs[begin].tolist()]
+            cols = [pa.array([t[j] for t in own], ty) for j, ty in enumerate(([pa.string()] if sets is not None else []) + types)]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(gs)].astype(np.int32)), pa.array(hs))
+            return pa.RecordBatch.from_arrays([*cols, lists], [*(["level"] if sets is not None else []), *keys, "hashes"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = b.column(b.num_columns - 1)
+            if pa.types.is_list(last.type):
+                values, lengths = last.flatten().to_numpy(), last.value_lengths().to_numpy(zero_copy_only=False)
+            else:
+                values, lengths = last.to_numpy(), None
+            spread = (lambda x: x) if lengths is None else (lambda x, m=lengths: np.repeat(x, m))
+            for s in [None] if sets is None else sets:
+                cols = [b.column(i) if s is None or c in s else pa.nulls(b.num_rows, types[i]) for i, c in enumerate(keys)]
+                level = [] if s is None else [pa.array(["+".join(s)] * b.num_rows)]
+                g.append(spread(groups.of([*level, *cols], b.num_rows)))
+                h.append(values)
+                size += len(values)
+                if size > HELD:
+                    gs, hs = k_smallest(np.concatenate(g), np.concatenate(h), k)
+                    g, h, size = [gs], [hs], len(gs)
+                    if 2 * size > HELD:  # many small groups: hand them on instead of keeping them
+                        yield emit()
+                        groups, g, h, size = _Groups(), [], [], 0
+        if size:
+            gs, hs = k_smallest(np.concatenate(g), np.concatenate(h), k)
+            g, h = [gs], [hs]
+            yield emit()
+
+    return run
+
+
+T_ARROW = {T.StringType: pa.string(), T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.DateType: pa.date32(), T.BooleanType: pa.bool_()}
+
+
+def _within_tasks(d: DataFrame, keys: list[str], k: int, sets: list[list[str]] | None = None) -> DataFrame:
+    for c in keys:
+        if type(d.schema[c].dataType) not in T_ARROW:
+            raise TypeError(f"{c} cannot be a key: {d.schema[c].dataType.simpleString()}")
+    share_code(d.sparkSession)
+    out = T.StructType([*([T.StructField("level", T.StringType())] if sets is not None else []), *(T.StructField(c, d.schema[c].dataType) for c in keys), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    return d.mapInArrow(_reducer(d.schema, keys, sets, k), out)
+
+
+def _across_tasks(parts: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """One sketch per group from at most one (or a few) of each task."""
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("hashes"))))
+    return parts.groupBy(*keys).agg(F.slice(every, 1, k).alias("hashes"))
 
 
 def sketch(hashes: DataFrame, keys: list[str], k: int = K) -> DataFrame:
-    """One row per group: keys and ``hashes``, its k smallest in ascending order.
-
-    The input may be raw hashes or the exploded hashes of other sketches: building and merging are the same.
-    """
-    return smallest(hashes, keys, k).groupBy(*keys).agg(F.sort_array(F.collect_set("h")).alias("hashes"))
+    """One row per group: keys and ``hashes``, its k smallest in ascending order, from rows (keys, h)."""
+    return _across_tasks(_within_tasks(hashes.select(*keys, "h"), keys, k), keys, k)
 
 
 def merge(sketches: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     """Merge sketches into groups of keys (a subset of their columns)."""
-    return sketch(sketches.select(*keys, F.explode("hashes").alias("h")), keys, k)
+    return _across_tasks(_within_tasks(sketches.select(*keys, "hashes"), keys, k), keys, k)
+
+
+def roll_up(sketches: DataFrame, keys: list[str], sets: list[list[str]], fixed: list[str] | None = None, k: int = K) -> DataFrame:
+    """fixed, level, keys, hashes for every set of keys (the others null), merged from sketches by fixed and keys."""
+    fixed = fixed or []
+    parts = _within_tasks(sketches.select(*fixed, *keys, "hashes"), [*fixed, *keys], k, [[*fixed, *s] for s in sets])
+    names = F.create_map(*(F.lit(x) for s in sets for x in ("+".join([*fixed, *s]), "+".join(s))))
+    return _across_tasks(parts, ["level", *fixed, *keys], k).select(*fixed, names[F.col("level")].alias("level"), *keys, "hashes")
 
 
 def cube_sketches(df: DataFrame, keys: list[str], value: str, fixed: list[str] | None = None, k: int = K) -> DataFrame:
     """fixed, level, keys, hashes for every combination of keys (absent ones null), from one pass.
 
-    ``level`` names the keys of the combination, joined by ``+``; it is empty for the total.
+    ``level`` names the keys of the combination, joined by ``+``; it is empty for the total.  The
+    finest sketches are made once and all others merged from them.
     """
     fixed = fixed or []
-    base = distinct_hashes(df, [*fixed, *keys], value)
+    finest = sketch(hashed(df, [*fixed, *keys], value), [*fixed, *keys], k)
     sets = [[c for i, c in enumerate(keys) if m >> i & 1] for m in range(2 ** len(keys))]
-    combos = F.array(*(F.struct(F.lit("+".join(s)).alias("level"), *((F.col(c) if c in s else F.lit(None).cast(base.schema[c].dataType)).alias(c) for c in keys)) for s in sets))
-    rows = base.select(*fixed, "h", F.explode(combos).alias("g")).select(*fixed, "g.*", "h")
-    return sketch(rows, [*fixed, "level", *keys], k)
+    return roll_up(finest, keys, sets, fixed, k)
 
 
-def theta(hashes: Column, k: int = K) -> Column:
-    """The fraction of the hash range that the sketch covers: 1 unless it is full."""
-    return F.when(F.size(hashes) < k, F.lit(1.0)).otherwise(F.element_at(hashes, -1) / float(2**HASH_BITS))
+def edge(hashes: Column, k: int = K) -> Column:
+    """The hash up to which, itself excluded, a sketch holds every one: the end of the range unless it is full."""
+    return F.when(F.size(hashes) < k, F.lit(2**HASH_BITS)).otherwise(F.element_at(hashes, -1))
 
 
 def estimate(hashes: Column, k: int = K) -> dict[str, Column]:
     """estimate, lower and upper of the number of distinct values; equal and exact unless full."""
     n, rse = F.size(hashes).cast("double"), 1 / math.sqrt(max(k - 2, 1))
     full = F.size(hashes) >= k
-    est = F.when(full, (k - 1) / theta(hashes, k)).otherwise(n)
+    est = F.when(full, (k - 1) / (F.element_at(hashes, -1) / float(2**HASH_BITS))).otherwise(n)
     return {"estimate": est, "lower": F.when(full, F.greatest(est * (1 - Z * rse), n)).otherwise(est), "upper": F.when(full, est * (1 + Z * rse)).otherwise(est)}
 
 
 def set_estimates(a: Column, b: Column, k: int = K) -> dict[str, Column]:
     """Estimates with bounds of the union, the intersection and the difference a - b of two sketches.
 
-    Below the smaller of the two thetas both sketches are complete, so the counts there are a
-    uniform sample of the sets; each has a binomial spread, bounded by Z standard errors.
+    Below the smaller of the two edges both sketches are complete, so the counts there are a
+    uniform sample of the sets; each has a binomial spread, bounded by Z standard errors.  The union
+    of a sketch with itself is its own estimate.
     """
-    t = F.least(theta(a, k), theta(b, k))
-    cut = t * float(2**HASH_BITS)
-    low = lambda x: F.when(t < 1, F.filter(x, lambda h: h <= cut)).otherwise(x)
+    cut = F.least(edge(a, k), edge(b, k))
+    t = cut / float(2**HASH_BITS)
+    low = lambda x: F.filter(x, lambda h: h < cut)
     parts = {"union": F.array_union(low(a), low(b)), "intersection": F.array_intersect(low(a), low(b)), "difference": F.array_except(low(a), low(b))}
     out = {}
     for name, hashes in parts.items():

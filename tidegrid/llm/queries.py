@@ -37,7 +37,7 @@ def p3_distinct_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_day_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients of each day and of the day after it: union, intersection and those who did not return."""
-    hashes = kmv.distinct_hashes(_clients(spark, sf_dir).where("day is not null"), ["tbl", "day"], "client")
+    hashes = kmv.hashed(_clients(spark, sf_dir).where("day is not null"), ["tbl", "day"], "client")
     days = kmv.sketch(hashes, ["tbl", "day"])
     nxt = days.select("tbl", (F.col("day") - 1).alias("day"), F.col("hashes").alias("next_hashes"))
     e = kmv.set_estimates(F.col("hashes"), F.col("next_hashes"))
@@ -94,6 +94,14 @@ _EST = f"CASE WHEN {_FULL} THEN {kmv.K - 1} / {_T} ELSE count(*) END"
 _RSE = kmv.Z / (kmv.K - 2) ** 0.5
 _LEVEL = "concat_ws('+', CASE WHEN grouping(day) = 0 THEN 'day' END, CASE WHEN grouping(grp) = 0 THEN 'grp' END, CASE WHEN grouping(zone) = 0 THEN 'zone' END)"
 
+
+
+def _overlap(name: str) -> dict[str, str]:
+    m = f"m_{name}"
+    spread = f"CASE WHEN t < 1 THEN {kmv.Z} * sqrt({m} * (1 - t) + {kmv.Z * kmv.Z / 4!r}) + {kmv.Z * kmv.Z / 2!r} ELSE 0 END"
+    return {name: f"{m} / t", f"{name}_lower": f"greatest({m} - ({spread}), 0) / t", f"{name}_upper": f"({m} + ({spread})) / t"}
+
+
 ORACLE = {
     "p3_distinct_clients": f"""
         WITH {_CLIENTS},
@@ -103,4 +111,13 @@ ORACLE = {
                round(CASE WHEN {_FULL} THEN greatest(({_EST}) * {1 - _RSE!r}, count(*)) ELSE count(*) END, 3) AS lower,
                round(CASE WHEN {_FULL} THEN ({_EST}) * {1 + _RSE!r} ELSE count(*) END, 3) AS upper
         FROM kept GROUP BY tbl, level, day, grp, zone""",
+    "p3_day_overlap": f"""
+        WITH {_CLIENTS},
+        days AS (SELECT tbl, day, list_sort(list(DISTINCT h))[:{kmv.K}] AS hs FROM hashed WHERE day IS NOT NULL GROUP BY tbl, day),
+        pairs AS (SELECT a.tbl, a.day, a.hs AS a, b.hs AS b, least(CASE WHEN len(a.hs) < {kmv.K} THEN {2**kmv.HASH_BITS} ELSE a.hs[-1] END, CASE WHEN len(b.hs) < {kmv.K} THEN {2**kmv.HASH_BITS} ELSE b.hs[-1] END) AS cut
+                  FROM days a JOIN days b ON b.tbl = a.tbl AND b.day = a.day + 1),
+        held AS (SELECT tbl, day, cut, unnest(a) AS h, 1 AS side FROM pairs UNION ALL SELECT tbl, day, cut, unnest(b), 2 FROM pairs),
+        sides AS (SELECT tbl, day, cut, h, sum(side) AS side FROM held WHERE h < cut GROUP BY ALL),
+        n AS (SELECT tbl, day, cut / {2.0**kmv.HASH_BITS!r} AS t, count(*) AS m_union, count(*) FILTER (side = 3) AS m_intersection, count(*) FILTER (side = 1) AS m_difference FROM sides GROUP BY ALL)
+        SELECT tbl, day, {", ".join(f"round({e}, 3) AS {n}" for s in ("union", "intersection", "difference") for n, e in _overlap(s).items())} FROM n""",
 }
