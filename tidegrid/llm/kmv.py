@@ -168,8 +168,10 @@ def cube_sketches(df: DataFrame, keys: list[str], value: str, fixed: list[str] |
     """
     fixed = fixed or []
     finest = sketch(hashed(df, [*fixed, *keys], value), [*fixed, *keys], k)
-    sets = [[c for i, c in enumerate(keys) if m >> i & 1] for m in range(2 ** len(keys))]
-    return roll_up(finest, keys, sets, fixed, k)
+    sets = [[c for i, c in enumerate(keys) if m >> i & 1] for m in range(2 ** len(keys) - 1)]
+    own = finest.select(*fixed, F.lit("+".join(keys)).alias("level"), *keys, "hashes")
+    # both read the one shuffle of the finest sketches
+    return own.unionByName(roll_up(finest, keys, sets, fixed, k)) if keys else own
 
 
 def edge(hashes: Column, k: int = K) -> Column:
