@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegrid.engine import MetricsEngine, time_ms
 from tidegrid.model import SAMPLES
@@ -194,6 +195,37 @@ def test_times():
     assert time_ms("now-1h", 7_200_000) == 3_600_000
 
 
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+@pytest.mark.parametrize("q", ["rate(events_value[2d])", "increase(events_value[2d])", "delta(events_value[2d])", "lag(events_value[2d])"])
+def test_neighbours_need_one_scan_and_one_shuffle_of_samples(spark, q, tmp_path):
+    rows = [("events_value", {"u": str(u)}, 1_000_000 * i, float(i * u % 7), False) for u in range(5) for i in range(200)]
+    spark.createDataFrame(rows, SAMPLES).write.parquet(str(tmp_path / "s"))
+    plan = executed(MetricsEngine(spark.read.parquet(str(tmp_path / "s"))).query_range(q, 0, 190_000, "6h"))
+    assert plan.count("FileScan") == 1
+    assert plan.count("ReusedExchange") == 1
+    # one by series and shard, one of the shards' edges by series (and maybe back), one of the result
+    assert plan.count("Exchange hashpartitioning") <= 5
+
+
+def test_equal_times_follow_in_order_of_value(spark):
+    rows = [("c", {}, t, float(v), False) for t, v in ((0, 1), (60_000, 5), (60_000, 3), (120_000, 9))]
+    for seed in range(3):
+        e = MetricsEngine(spark.createDataFrame(rows, SAMPLES).orderBy(F.rand(seed)))
+        assert [r.value for r in e.query_range("changes(c[10m])", 120, 120).collect()] == [4.0]
+        assert [r.value for r in e.query_range("resets(c[10m])", 120, 120).collect()] == [0.0]
+
+
+def test_aggr_over_time_takes_a_list(engine):
+    for q in ('aggr_over_time(("min_over_time", "max_over_time"), cpu{host="h1"}[10m])', 'aggr_over_time("min_over_time", cpu{host="h1"}[10m])'):
+        got = {r.labels["rollup"]: r.value for r in engine.query_range(q, 2000, 2000).collect()}
+        assert got["min_over_time"] < 2000
+    assert set(got) == {"min_over_time"}
+
+
 def test_empty_table(spark):
     e = MetricsEngine(spark.createDataFrame([], SAMPLES))
     assert e.query_range("sum(rate(x[5m]))", 0, 600, "1m").count() == 0

@@ -53,19 +53,19 @@ def test_entry_works_without_llm(spark):
     assert set(registry.queries()) <= set(entry.queries())
 
 
-def test_whole_grids_cover_the_tables(spark, con):
+def test_grids_cover_the_tables(spark, con):
     # windows as wide as the step share no sample: they add up to the whole table
     run = lambda name: registry.queries()[name](spark, DATA)
     total = con.execute("SELECT CAST(sum(o_totalprice) AS DOUBLE) FROM orders").fetchone()[0]
-    assert sum(r.value for r in run("orders_monthly_rate_whole").collect()) == pytest.approx(total)
-    counts = run("transform_running_sum_whole").groupBy("event_type").max("value").collect()
+    assert sum(r.value for r in run("orders_monthly_rate").collect()) == pytest.approx(total)
+    counts = run("transform_running_sum").groupBy("event_type").max("value").collect()
     assert sum(r[1] for r in counts) == con.execute("SELECT count(value) FROM events").fetchone()[0]
-    assert run("export_samples_whole").count() == con.execute("SELECT count(*) FROM events WHERE event_type <> 'view'").fetchone()[0]
+    assert run("export_samples").count() == con.execute("SELECT count(*) FROM events WHERE event_type <> 'view'").fetchone()[0]
     last = con.execute("SELECT epoch_ms(max(l_shipdate)) FROM lineitem").fetchone()[0]
-    assert max(r.ts_ms for r in run("lineitem_quantity_max_whole").collect()) >= last
+    assert max(r.ts_ms for r in run("lineitem_quantity_max").collect()) >= last
 
 
-@pytest.mark.parametrize("name", ["rollup_count_over_time_whole", "rollup_quantile_over_time_whole", "rollup_lag_whole", "transform_abs_whole"])
-def test_whole_rollups_and_transforms_read_all_series(spark, con, name):
+@pytest.mark.parametrize("name", ["rollup_count_over_time", "rollup_quantile_over_time", "rollup_lag", "transform_abs"])
+def test_rollups_and_transforms_read_all_series(spark, con, name):
     series = {(r.event_type, r.user_id) for r in registry.queries()[name](spark, DATA).select("event_type", "user_id").distinct().collect()}
     assert series == set(con.execute("SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) FROM events WHERE value IS NOT NULL").fetchall())

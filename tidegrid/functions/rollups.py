@@ -4,21 +4,21 @@ Three plans, none with a range join:
 
 * order-free functions fan each sample out to the grid points whose window holds it (one generate,
   then a hash aggregate with map-side partial sums);
-* functions that look at neighbouring samples get lag and lead first, from a sort of each series'
-  time shards whose ends are exchanged, so that no series has to fit one task; windows without
-  samples inside a gap are emitted by the sample before the gap;
-* counters are made monotone before that, by running sums within shards and over shards.
+* functions that look at neighbouring samples get lag and lead first, from one shuffle and sort of
+  each series' time shards whose edges are exchanged, so that no series has to fit one task; windows
+  without samples inside a gap are emitted by the sample before the gap;
+* counters are made monotone on the way, by running sums within shards and over shards.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Grid, Scalar, finite_div, missing_if_nan
+from ..model import Grid, Scalar, missing_if_nan
 from ..ql import names
 from ..ql.syntax import QueryError
 
@@ -32,40 +32,43 @@ class Spec:
 
     ``aggs`` aggregate over samples (ts, v; with ordered also pts, pv, nts, nv of the neighbours);
     ``value`` reads them (and t, w, mpi, prev_ok); ``gap`` is the value in a window without samples
-    whose previous sample is near enough.
+    whose previous sample is near enough.  Expressions are SQL text where they are the same for
+    every query (parsed in one call each), columns where an argument is part of them.
     """
 
-    aggs: dict[str, Column]
-    value: Column
+    aggs: dict[str, str | Column]
+    value: str | Column
     ordered: bool = False
-    gap: Column | None = None
-    explode: Callable[[], Column] | None = None
-    args: tuple = field(default=())
+    gap: str | None = None
+    tags: tuple[str, ...] = ()  # several series: the aggregates of these names, told apart by a label
 
 
-def _simple(agg: Column) -> Spec:
-    return Spec({"a": agg}, C("a"))
+def column(x: str | Column | Callable[[], Column]) -> Column:
+    return F.expr(x) if isinstance(x, str) else x if isinstance(x, Column) else x()
 
 
-def _first(x: str = "v") -> Column:
-    return F.min_by(x, "ts")
+def _simple(agg: str | Column) -> Spec:
+    return Spec({"a": agg}, "a")
 
 
-def _last(x: str = "v") -> Column:
-    return F.max_by(x, "ts")
+NAN, INF = "double('NaN')", "double('Infinity')"
 
 
-def _changed(a: Column, b: Column) -> Column:
-    return (a != b) & ~(F.abs(a - b) < 1e-12 * F.abs(a))
+def _div(a: str, b: str) -> str:
+    """a / b with IEEE results; NaN is null."""
+    return f"nullif(case when {b} = 0 then {a} * case when string({b}) = '-0.0' then -{INF} else {INF} end else try_divide({a}, {b}) end, {NAN})"
+
+
+def _changed(a: str, b: str) -> str:
+    """Whether a sample differs from the one before by more than rounding."""
+    return f"({a} <> {b} and not abs({a} - {b}) < 1e-12D * abs({a}))"
 
 
 SECONDS = 1000.0
 
 
-def _median_of(a: Column) -> Column:
-    s = F.array_sort(a)
-    n = F.size(s)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+def _median_of(a: str) -> str:
+    return f"(array_sort({a})[int((size({a}) - 1) div 2)] + array_sort({a})[int(size({a}) div 2)]) / 2"
 
 
 def _count_where(make: Callable[[Column], Column], share: bool = False) -> Callable[[Column], Spec]:
@@ -83,147 +86,129 @@ def _quantile(phi: Column) -> Spec:
     rank = inside * (F.size("l") - 1)
     lo, hi = F.floor(rank).cast("int"), F.ceil(rank).cast("int")
     mid = F.get(a, lo) * (1 - (rank - F.floor(rank))) + F.get(a, hi) * (rank - F.floor(rank))
-    return Spec({"l": F.collect_list("v")}, F.when(phi < 0, F.lit(float("-inf"))).when(phi > 1, F.lit(float("inf"))).when(F.isnan(phi), None).otherwise(mid))
+    return Spec({"l": "collect_list(v)"}, F.when(phi < 0, F.lit(float("-inf"))).when(phi > 1, F.lit(float("inf"))).when(F.isnan(phi), None).otherwise(mid))
 
 
 def _constant_quantile(phi: float) -> Spec:
     if phi != phi:
-        return Spec({"n": F.count("v")}, F.lit(None).cast("double"))
+        return Spec({"n": "count(v)"}, "double(null)")
     if phi < 0 or phi > 1:
-        return Spec({"n": F.count("v")}, F.lit(float("-inf" if phi < 0 else "inf")))
+        return Spec({"n": "count(v)"}, f"-{INF}" if phi < 0 else INF)
     return _simple(F.percentile("v", F.lit(float(phi))))
 
 
 def _hoeffding(sign: int) -> Callable[[Column], Spec]:
     bound = lambda phi: (C("mx") - C("mn")) * F.sqrt(F.ln(1 / (1 - phi)) / (2 * C("n")))
-    return lambda phi: Spec({"n": F.count("v"), "m": F.avg("v"), "mn": F.min("v"), "mx": F.max("v")}, C("m") + sign * F.when(C("n") > 1, bound(phi)).otherwise(0.0))
+    return lambda phi: Spec({"n": "count(v)", "m": "avg(v)", "mn": "min(v)", "mx": "max(v)"}, C("m") + sign * F.when(C("n") > 1, bound(phi)).otherwise(0.0))
 
 
 # Rollups whose number comes before the selector.
 FIRST = frozenset(("quantile_over_time", "hoeffding_bound_lower", "hoeffding_bound_upper"))
 
 
-def _tables() -> tuple[dict, dict, dict]:
-    """Rollups without arguments, with one number, and with several series; made anew, as columns need a running session."""
-    V, PV, PTS, NV = C("v"), C("pv"), C("pts"), C("nv")
-    N = F.count("v")
-    _ends = {"n": N, "fv": _first(), "ft": F.min("ts"), "lv": _last(), "lt": F.max("ts"), "fpv": F.min_by("pv", "ts"), "fpt": F.min_by("pts", "ts"), "fnv": F.min_by("nv", "ts")}
-    _end_pair = _ends | {"lpv": F.max_by("pv", "ts"), "lpt": F.max_by("pts", "ts")}
-
-
-    def _delta() -> Column:
-        step = F.coalesce(C("fnv") - C("fv"), F.lit(0.0))
-        from_zero = F.abs("fv") < 10 * (F.abs(step) + 1)
-        alone = F.when(from_zero, C("lv")).when(C("n") == 1, F.lit(0.0)).otherwise(C("lv") - C("fv"))
-        return F.when(C("fpv").isNotNull(), C("lv") - C("fpv")).otherwise(alone)
-
-
-    def _deriv_fast() -> Column:
-        dt = lambda a: (C("lt") - a) / SECONDS
-        return F.when(C("prev_ok"), finite_div(C("lv") - C("fpv"), dt(C("fpt")))).when(C("n") > 1, finite_div(C("lv") - C("fv"), dt(C("ft"))))
-
-
-    def _ideriv() -> Column:
-        many = finite_div(C("lv") - C("lpv"), (C("lt") - C("lpt")) / SECONDS)
-        return F.when(C("n") > 1, many).when(C("prev_ok"), many)
-
-
-    _first_last = {"n": N, "fv": _first(), "lv": _last()}
-    _delta_prometheus = F.when(C("n") > 1, C("lv") - C("fv"))
-    _regress = {"n": N, "slope": F.regr_slope("v", (C("ts") - C("t")) / SECONDS), "icept": F.regr_intercept("v", (C("ts") - C("t")) / SECONDS), "av": F.avg("v"), "mn": F.min("v"), "mx": F.max("v")}
-    _ZERO = F.lit(0.0)
-
-    # Order-free rollups and those on neighbouring samples, without arguments besides the selector.
-    plain: dict[str, Callable[[], Spec]] = {
-        "avg_over_time": lambda: _simple(F.avg("v")),
-        "count_over_time": lambda: _simple(F.count("v").cast("double")),
-        "sum_over_time": lambda: _simple(F.sum("v")),
-        "sum2_over_time": lambda: _simple(F.sum(V * V)),
-        "min_over_time": lambda: _simple(F.min("v")),
-        "max_over_time": lambda: _simple(F.max("v")),
-        "range_over_time": lambda: _simple(F.max("v") - F.min("v")),
-        "median_over_time": lambda: _simple(F.percentile("v", F.lit(0.5))),
-        "present_over_time": lambda: Spec({"n": N}, F.lit(1.0)),
-        "absent_over_time": lambda: Spec({"n": N}, F.lit(1.0)),
-        "stddev_over_time": lambda: _simple(F.stddev_pop("v")),
-        "stdvar_over_time": lambda: _simple(F.var_pop("v")),
-        "first_over_time": lambda: _simple(_first()),
-        "last_over_time": lambda: _simple(_last()),
-        "tfirst_over_time": lambda: _simple(F.min("ts") / SECONDS),
-        "tlast_over_time": lambda: _simple(F.max("ts") / SECONDS),
-        "timestamp": lambda: _simple(F.max("ts") / SECONDS),
-        "timestamp_with_name": lambda: _simple(F.max("ts") / SECONDS),
-        "tmax_over_time": lambda: Spec({"a": F.max(F.struct("v", "ts"))}, C("a.ts") / SECONDS),
-        "tmin_over_time": lambda: Spec({"a": F.max(F.struct((-V).alias("v"), "ts"))}, C("a.ts") / SECONDS),
-        "default_rollup": lambda: Spec({"a": F.max_by(F.when(~C("is_stale"), V), "ts")}, C("a")),
-        "delta_prometheus": lambda: Spec(_first_last, _delta_prometheus),
-        "increase_prometheus": lambda: Spec(_first_last, _delta_prometheus),
-        "rate_prometheus": lambda: Spec(_first_last, finite_div(_delta_prometheus, C("w") / SECONDS)),
-        "delta": lambda: Spec(_ends, _delta(), True, _ZERO),
-        "increase": lambda: Spec(_ends, _delta(), True, _ZERO),
-        "increase_pure": lambda: Spec(_ends, C("lv") - F.coalesce("fpv", _ZERO), True, _ZERO),
-        "deriv_fast": lambda: Spec(_ends, _deriv_fast(), True, _ZERO),
-        "rate": lambda: Spec(_ends, _deriv_fast(), True, _ZERO),
-        "ideriv": lambda: Spec(_end_pair, _ideriv(), True),
-        "irate": lambda: Spec(_end_pair, _ideriv(), True),
-        "idelta": lambda: Spec(_end_pair, F.when((C("n") > 1) | C("prev_ok"), C("lv") - C("lpv")).otherwise(C("lv")), True, _ZERO),
-        "lag": lambda: Spec(_ends, (C("t") - C("lt")) / SECONDS, True, (C("t") - C("fpt")) / SECONDS),
-        "changes": lambda: Spec(_ends | {"c": F.sum(F.when(PV.isNull(), 1.0).otherwise(_changed(V, PV).cast("double")))}, C("c"), True, _ZERO),
-        "changes_prometheus": lambda: Spec(_ends | {"c": F.sum(F.coalesce(_changed(V, PV).cast("double"), _ZERO)), "c1": F.min_by(F.coalesce(_changed(V, PV).cast("double"), _ZERO), C("ts"))}, C("c") - C("c1"), True),
-        "resets": lambda: Spec(_ends | {"c": F.sum(F.coalesce(((V < PV) & _changed(V, PV)).cast("double"), _ZERO)), "c1": F.min_by(F.coalesce(((V < PV) & _changed(V, PV)).cast("double"), _ZERO), C("ts"))}, F.when(C("prev_ok"), C("c")).otherwise(C("c") - C("c1")), True, _ZERO),
-        # recognised names beyond those
-        "ascent_over_time": lambda: Spec(_ends | {"c": F.sum(F.greatest(V - F.coalesce(PV, V), _ZERO))}, C("c"), True),
-        "descent_over_time": lambda: Spec(_ends | {"c": F.sum(F.greatest(F.coalesce(PV, V) - V, _ZERO))}, C("c"), True),
-        "increases_over_time": lambda: Spec(_ends | {"c": F.sum(F.coalesce((V > PV).cast("double"), _ZERO))}, C("c"), True),
-        "decreases_over_time": lambda: Spec(_ends | {"c": F.sum(F.coalesce((V < PV).cast("double"), _ZERO))}, C("c"), True),
-        "deriv": lambda: Spec(_regress, F.when(C("n") > 1, C("slope"))),
-        "distinct_over_time": lambda: _simple(F.count_distinct("v").cast("double")),
-        "geomean_over_time": lambda: Spec({"p": F.product("v"), "n": N}, missing_if_nan(F.pow("p", 1.0 / C("n")))),
-        "integrate": lambda: Spec(_ends | {"c": F.sum(F.coalesce(PV * (C("ts") - F.greatest("pts", C("t") - C("w"))) / SECONDS, _ZERO))}, C("c"), True),
-        "lifetime": lambda: Spec(_ends, (C("lt") - F.coalesce(F.when(C("prev_ok"), C("fpt")), C("ft"))) / SECONDS, True),
-        "mode_over_time": lambda: _simple(F.mode("v", True)),
-        "mad_over_time": lambda: Spec({"l": F.collect_list("v"), "m": F.percentile("v", F.lit(0.5))}, _median_of(F.transform("l", lambda x: F.abs(x - C("m"))))),
-        "rate_over_sum": lambda: Spec({"s": F.sum("v")}, finite_div(C("s"), C("w") / SECONDS)),
-        "scrape_interval": lambda: Spec(_ends, F.when(C("prev_ok"), (C("lt") - C("fpt")) / SECONDS / C("n")).when(C("n") > 1, (C("lt") - C("ft")) / SECONDS / (C("n") - 1)), True),
-        "stale_samples_over_time": lambda: _simple(F.count_if(C("is_stale")).cast("double")),
-        "tlast_change_over_time": lambda: Spec(_ends | {"c": F.max(F.when(_changed(V, PV), C("ts")))}, C("c") / SECONDS, True),
-        "zscore_over_time": lambda: Spec({"lv": _last(), "m": F.avg("v"), "d": F.stddev_pop("v")}, F.when(C("d") == 0, _ZERO).otherwise(finite_div(C("lv") - C("m"), C("d")))),
-        "outlier_iqr_over_time": lambda: Spec({"lv": _last(), "q": F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))}, F.when((C("lv") > C("q")[1] + 1.5 * (C("q")[1] - C("q")[0])) | (C("lv") < C("q")[0] - 1.5 * (C("q")[1] - C("q")[0])), C("lv"))),
-    }
-
-
-
-    # Rollups with one scalar argument: before the selector, unless the name is in LAST.
-    scalar_arg: dict[str, Callable[[Column], Spec]] = {
-        "count_eq_over_time": _count_where(lambda x: x == V),
-        "count_ne_over_time": _count_where(lambda x: x != V),
-        "count_gt_over_time": _count_where(lambda x: x < V),
-        "count_le_over_time": _count_where(lambda x: x >= V),
-        "share_eq_over_time": _count_where(lambda x: x == V, True),
-        "share_gt_over_time": _count_where(lambda x: x < V, True),
-        "share_le_over_time": _count_where(lambda x: x >= V, True),
-        "sum_eq_over_time": _sum_where(lambda x: x == V),
-        "sum_gt_over_time": _sum_where(lambda x: x < V),
-        "sum_le_over_time": _sum_where(lambda x: x >= V),
-        "quantile_over_time": _quantile,
-        "predict_linear": lambda x: Spec(_regress, F.when(C("n") > 1, C("slope") * x + C("icept")).otherwise(C("av"))),
-        "hoeffding_bound_lower": _hoeffding(-1),
-        "hoeffding_bound_upper": _hoeffding(1),
-        "duration_over_time": lambda x: Spec(_ends | {"c": F.sum(F.when((C("ts") - C("pts") <= x * SECONDS) & (C("pts") > C("t") - C("w")), (C("ts") - C("pts")) / SECONDS).otherwise(0.0))}, C("c"), True),
-    }
-
-    # Rollups that give several series, told apart by the label ``rollup``.
-    _per_sample = {
-        "rollup": V,
-        "rollup_delta": F.when(PV.isNotNull(), V - PV),
-        "rollup_increase": F.when(PV.isNotNull(), V - PV),
-        "rollup_rate": F.when(PV.isNotNull(), finite_div(V - PV, (C("ts") - PTS) / SECONDS)),
-        "rollup_deriv": F.when(PV.isNotNull(), finite_div(V - PV, (C("ts") - PTS) / SECONDS)),
-        "rollup_scrape_interval": (C("ts") - PTS) / SECONDS,
-    }
-    multi: dict[str, Callable[[], Spec]] = {n: (lambda e=e: Spec(_ends | {"min": F.min(e), "max": F.max(e), "avg": F.avg(e)}, C("avg"), True, None, lambda: F.array(*(F.struct(F.lit(x).alias("tag"), C(x).alias("v")) for x in ("min", "max", "avg"))))) for n, e in _per_sample.items()}
-    multi["rollup_candlestick"] = lambda: Spec({"open": _first(), "close": _last(), "low": F.min("v"), "high": F.max("v")}, C("close"), False, None, lambda: F.array(*(F.struct(F.lit(x).alias("tag"), C(x).alias("v")) for x in ("open", "close", "low", "high"))))
-    return plain, scalar_arg, multi
+_ENDS = {"n": "count(v)", "fv": "min_by(v, ts)", "ft": "min(ts)", "lv": "max_by(v, ts)", "lt": "max(ts)", "fpv": "min_by(pv, ts)", "fpt": "min_by(pts, ts)", "fnv": "min_by(nv, ts)"}
+_BOTH_ENDS = _ENDS | {"lpv": "max_by(pv, ts)", "lpt": "max_by(pts, ts)"}
+_FIRST_LAST = {"n": "count(v)", "fv": "min_by(v, ts)", "lv": "max_by(v, ts)"}
+_AT = f"(ts - t) / {SECONDS}D"
+_REGRESS = {"n": "count(v)", "slope": f"regr_slope(v, {_AT})", "icept": f"regr_intercept(v, {_AT})", "av": "avg(v)"}
+# a counter's growth: from the sample before the window, else from zero if the first value is small next to its step
+_DELTA = "case when fpv is not null then lv - fpv when abs(fv) < 10 * (abs(coalesce(fnv - fv, 0D)) + 1) then lv when n = 1 then 0D else lv - fv end"
+_SLOPE = f"case when prev_ok then {_div('(lv - fpv)', f'((lt - fpt) / {SECONDS}D)')} when n > 1 then {_div('(lv - fv)', f'((lt - ft) / {SECONDS}D)')} end"
+_LAST_SLOPE = f"case when n > 1 or prev_ok then {_div('(lv - lpv)', f'((lt - lpt) / {SECONDS}D)')} end"
+_GROWTH = "case when n > 1 then lv - fv end"
+
+
+def _summed(what: str) -> dict[str, str]:
+    return _ENDS | {"c": f"sum({what})"}
+
+
+def _per_sample(what: str) -> Spec:
+    return Spec(_ENDS | {"min": f"min({what})", "max": f"max({what})", "avg": f"avg({what})"}, "avg", True, None, ("min", "max", "avg"))
+
+
+# Order-free rollups and those on neighbouring samples, without arguments besides the selector.
+PLAIN: dict[str, Spec] = {
+    "avg_over_time": _simple("avg(v)"),
+    "count_over_time": _simple("double(count(v))"),
+    "sum_over_time": _simple("sum(v)"),
+    "sum2_over_time": _simple("sum(v * v)"),
+    "min_over_time": _simple("min(v)"),
+    "max_over_time": _simple("max(v)"),
+    "range_over_time": _simple("max(v) - min(v)"),
+    "median_over_time": _simple("percentile(v, 0.5D)"),
+    "present_over_time": Spec({"n": "count(v)"}, "1D"),
+    "absent_over_time": Spec({"n": "count(v)"}, "1D"),
+    "stddev_over_time": _simple("stddev_pop(v)"),
+    "stdvar_over_time": _simple("var_pop(v)"),
+    "first_over_time": _simple("min_by(v, ts)"),
+    "last_over_time": _simple("max_by(v, ts)"),
+    "tfirst_over_time": _simple(f"min(ts) / {SECONDS}D"),
+    "tlast_over_time": _simple(f"max(ts) / {SECONDS}D"),
+    "timestamp": _simple(f"max(ts) / {SECONDS}D"),
+    "timestamp_with_name": _simple(f"max(ts) / {SECONDS}D"),
+    "tmax_over_time": Spec({"a": "max(struct(v, ts))"}, f"a.ts / {SECONDS}D"),
+    "tmin_over_time": Spec({"a": "max(struct(-v as v, ts))"}, f"a.ts / {SECONDS}D"),
+    "default_rollup": Spec({"a": "max_by(case when not is_stale then v end, ts)"}, "a"),
+    "delta_prometheus": Spec(_FIRST_LAST, _GROWTH),
+    "increase_prometheus": Spec(_FIRST_LAST, _GROWTH),
+    "rate_prometheus": Spec(_FIRST_LAST, f"case when n > 1 then {_div('(lv - fv)', f'(w / {SECONDS}D)')} end"),
+    "delta": Spec(_ENDS, _DELTA, True, "0D"),
+    "increase": Spec(_ENDS, _DELTA, True, "0D"),
+    "increase_pure": Spec(_ENDS, "lv - coalesce(fpv, 0D)", True, "0D"),
+    "deriv_fast": Spec(_ENDS, _SLOPE, True, "0D"),
+    "rate": Spec(_ENDS, _SLOPE, True, "0D"),
+    "ideriv": Spec(_BOTH_ENDS, _LAST_SLOPE, True),
+    "irate": Spec(_BOTH_ENDS, _LAST_SLOPE, True),
+    "idelta": Spec(_BOTH_ENDS, "case when n > 1 or prev_ok then lv - lpv else lv end", True, "0D"),
+    "lag": Spec(_ENDS, f"(t - lt) / {SECONDS}D", True, f"(t - fpt) / {SECONDS}D"),
+    "changes": Spec(_summed(f"case when pv is null then 1D else double({_changed('v', 'pv')}) end"), "c", True, "0D"),
+    "changes_prometheus": Spec(_summed(f"coalesce(double({_changed('v', 'pv')}), 0D)") | {"c1": f"min_by(coalesce(double({_changed('v', 'pv')}), 0D), ts)"}, "c - c1", True),
+    "resets": Spec(_summed(f"coalesce(double(v < pv and {_changed('v', 'pv')}), 0D)") | {"c1": f"min_by(coalesce(double(v < pv and {_changed('v', 'pv')}), 0D), ts)"}, "case when prev_ok then c else c - c1 end", True, "0D"),
+    # recognised names beyond those
+    "ascent_over_time": Spec(_summed("greatest(v - coalesce(pv, v), 0D)"), "c", True),
+    "descent_over_time": Spec(_summed("greatest(coalesce(pv, v) - v, 0D)"), "c", True),
+    "increases_over_time": Spec(_summed("coalesce(double(v > pv), 0D)"), "c", True),
+    "decreases_over_time": Spec(_summed("coalesce(double(v < pv), 0D)"), "c", True),
+    "deriv": Spec(_REGRESS, "case when n > 1 then slope end"),
+    "distinct_over_time": _simple("double(count(distinct v))"),
+    "geomean_over_time": Spec({"p": lambda: F.product("v"), "n": "count(v)"}, f"nullif(pow(p, 1D / n), {NAN})"),
+    "integrate": Spec(_summed(f"coalesce(pv * (ts - greatest(pts, t - w)) / {SECONDS}D, 0D)"), "c", True),
+    "lifetime": Spec(_ENDS, f"(lt - coalesce(case when prev_ok then fpt end, ft)) / {SECONDS}D", True),
+    "mode_over_time": _simple("mode(v, true)"),
+    "mad_over_time": Spec({"l": "collect_list(v)", "m": "percentile(v, 0.5D)"}, _median_of("transform(l, x -> abs(x - m))")),
+    "rate_over_sum": Spec({"s": "sum(v)"}, _div("s", f"(w / {SECONDS}D)")),
+    "scrape_interval": Spec(_ENDS, f"case when prev_ok then (lt - fpt) / {SECONDS}D / n when n > 1 then (lt - ft) / {SECONDS}D / (n - 1) end", True),
+    "stale_samples_over_time": _simple("double(count_if(is_stale))"),
+    "tlast_change_over_time": Spec(_ENDS | {"c": f"max(case when {_changed('v', 'pv')} then ts end)"}, f"c / {SECONDS}D", True),
+    "zscore_over_time": Spec({"lv": "max_by(v, ts)", "m": "avg(v)", "d": "stddev_pop(v)"}, f"case when d = 0 then 0D else {_div('(lv - m)', 'd')} end"),
+    "outlier_iqr_over_time": Spec({"lv": "max_by(v, ts)", "q": "percentile(v, array(0.25D, 0.75D))"}, "case when lv > q[1] + 1.5D * (q[1] - q[0]) or lv < q[0] - 1.5D * (q[1] - q[0]) then lv end"),
+    # those that give several series, told apart by the label ``rollup``
+    "rollup": _per_sample("v"),
+    "rollup_delta": _per_sample("case when pv is not null then v - pv end"),
+    "rollup_increase": _per_sample("case when pv is not null then v - pv end"),
+    "rollup_rate": _per_sample(f"case when pv is not null then {_div('(v - pv)', f'((ts - pts) / {SECONDS}D)')} end"),
+    "rollup_deriv": _per_sample(f"case when pv is not null then {_div('(v - pv)', f'((ts - pts) / {SECONDS}D)')} end"),
+    "rollup_scrape_interval": _per_sample(f"(ts - pts) / {SECONDS}D"),
+    "rollup_candlestick": Spec({"open": "min_by(v, ts)", "close": "max_by(v, ts)", "low": "min(v)", "high": "max(v)"}, "close", False, None, ("open", "close", "low", "high")),
+}
+# Rollups with one scalar argument.
+WITH_NUMBER: dict[str, Callable[[Column], Spec]] = {
+    "count_eq_over_time": _count_where(lambda x: x == C("v")),
+    "count_ne_over_time": _count_where(lambda x: x != C("v")),
+    "count_gt_over_time": _count_where(lambda x: x < C("v")),
+    "count_le_over_time": _count_where(lambda x: x >= C("v")),
+    "share_eq_over_time": _count_where(lambda x: x == C("v"), True),
+    "share_gt_over_time": _count_where(lambda x: x < C("v"), True),
+    "share_le_over_time": _count_where(lambda x: x >= C("v"), True),
+    "sum_eq_over_time": _sum_where(lambda x: x == C("v")),
+    "sum_gt_over_time": _sum_where(lambda x: x < C("v")),
+    "sum_le_over_time": _sum_where(lambda x: x >= C("v")),
+    "quantile_over_time": _quantile,
+    "predict_linear": lambda x: Spec(_REGRESS, F.when(C("n") > 1, C("slope") * x + C("icept")).otherwise(C("av"))),
+    "hoeffding_bound_lower": _hoeffding(-1),
+    "hoeffding_bound_upper": _hoeffding(1),
+    "duration_over_time": lambda x: Spec(_ENDS | {"c": F.sum(F.when((C("ts") - C("pts") <= x * SECONDS) & (C("pts") > C("t") - C("w")), (C("ts") - C("pts")) / SECONDS).otherwise(0.0))}, "c", True),
+}
 
 
 def smoothed(sf: Column, tf: Column) -> Spec:
@@ -241,17 +226,14 @@ def smoothed(sf: Column, tf: Column) -> Spec:
 
 
 def spec_of(name: str, arg: Scalar | None = None) -> Spec:
-    plain, scalar_arg, multi = _tables()
-    if name in plain:
-        return plain[name]()
-    if name in multi:
-        return multi[name]()
-    if name in scalar_arg:
+    if name in PLAIN:
+        return PLAIN[name]
+    if name in WITH_NUMBER:
         if arg is None:
             raise QueryError(f"{name} wants a number")
         if name == "quantile_over_time" and arg.value is not None:
             return _constant_quantile(arg.value)
-        return scalar_arg[name](arg.expr)
+        return WITH_NUMBER[name](arg.expr)
     raise QueryError(f"{name} is recognised but not supported")
 
 
@@ -260,59 +242,74 @@ def fetch_from(name: str, grid: Grid, window: int) -> int:
     return grid.start - max(window, grid.step) - (SILENCE_MS if name in names.ROLLUPS_LOOK_BACK else 0)
 
 
-def _widest(interval: Column) -> Column:
-    """How far back a previous sample may lie: the scrape interval and more, the less the longer it is."""
-    i = interval
-    return F.when(i <= 2000, i * 5).when(i <= 4000, i * 3).when(i <= 8000, i * 2).when(i <= 16000, i + F.floor(i / 2)).when(i <= 32000, i + F.floor(i / 4)).otherwise(i + F.floor(i / 8)).cast("bigint")
-
+# How far back a previous sample may lie, as a part of the scrape interval by its length in milliseconds.
+_WIDEST = "case when {i} <= 2000 then {i} * 5 when {i} <= 4000 then {i} * 3 when {i} <= 8000 then {i} * 2 when {i} <= 16000 then {i} + {i} div 2 when {i} <= 32000 then {i} + {i} div 4 else {i} + {i} div 8 end"
+# The scrape interval is this quantile of the gaps between this many last samples.
+INTERVAL_QUANTILE, INTERVAL_SAMPLES = 0.6, 21
+# A counter that falls by less than this part of its value is corrected by the fall, else begins anew.
+PARTIAL_RESET = 8
 
 SHARD_MS = 24 * 3600 * 1000
+_SHARD = "(partition by sk, shard order by ts, v, is_stale)"
+_SERIES = "(partition by sk order by shard)"
 
 
-def _boundaries(d: DataFrame, grid: Grid, shard_ms: int) -> DataFrame:
-    """sk, shard: the samples next to each time shard of a series, and how far back a previous sample may lie.
+def _fall(v: str, before: str, gap: str) -> str:
+    """What a counter lost from one sample to the next; gap is the condition that they are too far apart."""
+    return f"case when {gap} then 0D when {v} < {before} then case when ({before} - {v}) * {PARTIAL_RESET} < {before} then {before} - {v} else {before} end else 0D end"
 
-    Only the ends of shards and the last 21 samples of a series meet in one task, never a whole series.
-    """
-    ends = d.groupBy("sk", "shard").agg(F.min("ts").alias("ft"), F.min_by("v", "ts").alias("fv"), F.max("ts").alias("lt"), F.max_by("v", "ts").alias("lv"))
-    w = Window.partitionBy("sk").orderBy("shard")
-    b = ends.select("sk", "shard", F.lag("lt").over(w).alias("bpt"), F.lag("lv").over(w).alias("bpv"), F.lead("ft").over(w).alias("bnt"), F.lead("fv").over(w).alias("bnv"))
-    if grid.n <= 1:
-        return b.withColumn("mpi", F.lit(grid.step).cast("bigint"))
-    late = Window.partitionBy("sk").orderBy(F.desc("ts"))
-    recent = d.select("sk", "ts").withColumn("r", F.row_number().over(late)).where(C("r") <= 21)
-    gaps = recent.withColumn("gap", (C("ts") - F.lead("ts").over(late)).cast("double"))
-    interval = gaps.groupBy("sk").agg(F.percentile("gap", F.lit(0.6)).cast("bigint").alias("i"))
-    reach = interval.select("sk", _widest(F.when(C("i") > 0, C("i")).otherwise(F.lit(grid.step).cast("bigint"))).alias("mpi"))
-    return b.join(reach, "sk")
-
-
-def _monotone(d: DataFrame, longest_gap: int) -> DataFrame:
-    """A counter without its resets: each sample and its neighbours are raised by all falls before them.
-
-    Falls are summed within shards and the shards' sums over the series.  With longest_gap > 0 the
-    raising begins anew after a longer gap, whose first sample is as it is.
+
+def _interval(times: str) -> str:
+    """The scrape interval of ascending times, 0 without two of them."""
+    gaps = f"array_sort(transform(slice({times}, 2, size({times})), (x, i) -> double(x - {times}[i])))"
+    at = f"({INTERVAL_QUANTILE}D * (size({times}) - 2))"
+    pick = lambda n: f"get({gaps}, int({n}))"
+    between = f"(floor({at}) + 1 - {at}) * {pick(f'floor({at})')} + ({at} - floor({at})) * {pick(f'floor({at}) + 1')}"
+    return f"case when size({times}) < 2 then 0L when {at} = floor({at}) then bigint({pick(f'floor({at})')}) else bigint({between}) end"
+
+
+def _neighbours(d: DataFrame, grid: Grid, resets: bool, longest_gap: int, shard_ms: int) -> DataFrame:
+    """sk, ts, v, is_stale, mpi, pts, pv, nts, nv: every sample with those next to it, counters made monotone.
+
+    A series is cut into time shards.  One shuffle by (series, shard) serves both the samples and
+    the shards' edges (first and last sample, what was lost inside, the last times); only edges meet
+    by series, and go back to the shards.  Samples of equal time follow in order of their values.
+
+    A counter's sample and its neighbours are raised by all falls before them: falls are summed
+    within shards and the shards' sums over the series.  With longest_gap > 0 the raising begins
+    anew after a longer gap, whose first sample is as it is.
     """
-    fall = lambda v, before: F.when(v < before, F.when((before - v) * 8 < before, before - v).otherwise(before)).otherwise(0.0)
-    broken = F.coalesce(C("ts") - C("pts") > longest_gap, F.lit(False)) if longest_gap else F.lit(False)
-    d = d.withColumn("_fall", F.when(broken, 0.0).otherwise(fall(C("v"), C("pv"))))
-    inside = Window.partitionBy("sk", "shard").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("sk").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    totals = d.groupBy("sk", "shard").agg(F.sum("_fall").alias("_sum"))
-    offsets = totals.select("sk", "shard", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_off"))
-    d = d.withColumn("_in", F.sum("_fall").over(inside)).join(offsets, ["sk", "shard"]).withColumn("_up", C("_off") + C("_in"))
-    if longest_gap:
-        # what had been raised when the last long gap ended does not count after it
-        d = d.withColumn("_cut", F.when(broken, C("_up")))
-        last = d.groupBy("sk", "shard").agg(F.max_by("_cut", F.when(C("_cut").isNotNull(), C("ts"))).alias("_last"))
-        earlier = last.select("sk", "shard", F.last("_last", True).over(before).alias("_old"))
-        d = d.join(earlier, ["sk", "shard"])
-        base = F.coalesce(F.last("_cut", True).over(inside), C("_old"), F.lit(0.0))
-        d = d.withColumn("_up", C("_up") - base).withColumn("_prev_up", F.when(broken, 0.0).otherwise(C("_up") - C("_fall")))
+    shard = F.expr(f"coalesce(bigint(floor(ts / {shard_ms})), 0L)")
+    d = d.select(F.coalesce("sk", F.lit("")).alias("sk"), "ts", "v", "is_stale", shard.alias("shard")).repartition("sk", "shard")
+    near = d.selectExpr("sk", "shard", "ts", "v", "is_stale", *(f"{f} over {_SHARD} as {n}" for n, f in {"pts": "lag(ts)", "pv": "lag(v)", "nts": "lead(ts)", "nv": "lead(v)", "no": "row_number()"}.items()), "count(1) over (partition by sk, shard) as size")
+    far = lambda t, before: f"coalesce({t} - {before} > {longest_gap}, false)" if longest_gap else "false"
+    run = "0D"
+    if resets:
+        near = near.withColumn("lost", F.expr(_fall("v", "pv", far("ts", "pts"))))
+        near = near.withColumn("run", F.expr(f"sum(lost) over {_SHARD}")).withColumn("cut", F.expr(f"max(case when {far('ts', 'pts')} then run end) over {_SHARD}") if longest_gap else F.lit(None).cast("double"))
+        run = "run"
+    recent = f"array_sort(collect_list(case when no > size - {INTERVAL_SAMPLES} then ts end))"
+    edges = near.groupBy("sk", "shard").agg(F.expr("min(struct(ts, v, is_stale))").alias("f"), F.expr(f"max(struct(ts, v, is_stale, {run} as run))").alias("l"), F.expr(recent).alias("recent"), *([F.expr("max(cut)").alias("cut")] if resets else []))
+    edges = edges.selectExpr("*", *(f"{f} over {_SERIES} as {n}" for n, f in {"bpt": "lag(l.ts)", "bpv": "lag(l.v)", "bnt": "lead(f.ts)", "bnv": "lead(f.v)"}.items()), "row_number() over (partition by sk order by shard desc) as back")
+    # a shard has a sample at least, so that the last ones of a series lie in as many shards at most
+    times = f"array_sort(flatten(collect_list(case when back <= {INTERVAL_SAMPLES} then recent end) over (partition by sk)))"
+    if grid.n > 1:
+        edges = edges.selectExpr("*", f"{times} as many").selectExpr("*", f"slice(many, greatest(size(many) - {INTERVAL_SAMPLES - 1}, 1), {INTERVAL_SAMPLES}) as times")
+        i = f"(case when {_interval('times')} > 0 then {_interval('times')} else {grid.step}L end)"
+        edges = edges.selectExpr("*", f"{i} as i").selectExpr("*", f"bigint({_WIDEST.format(i='i')}) as mpi")
     else:
-        d = d.withColumn("_prev_up", C("_up") - C("_fall"))
-    nv = C("nv") + C("_up") + fall(C("nv"), C("v"))
-    return d.select("sk", "ts", (C("v") + C("_up")).alias("v"), "is_stale", "mpi", "pts", (C("pv") + C("_prev_up")).alias("pv"), "nts", nv.alias("nv"))
+        edges = edges.selectExpr("*", f"{grid.step}L as mpi")
+    if resets:
+        edges = edges.selectExpr("*", f"{_fall('f.v', 'bpv', far('f.ts', 'bpt'))} as across", f"{far('f.ts', 'bpt')} as apart")
+        edges = edges.selectExpr("*", f"sum(across) over {_SERIES} + coalesce(sum(l.run) over (partition by sk order by shard rows between unbounded preceding and 1 preceding), 0D) as off")
+        edges = edges.selectExpr("*", "greatest(max(greatest(off + cut, case when apart then off end)) over (partition by sk order by shard rows between unbounded preceding and 1 preceding), case when apart then off end, 0D) as old")
+    b = edges.selectExpr("sk", "shard", "bpt", "bpv", "bnt", "bnv", "mpi", *(["off", "old"] if resets else []))
+    j = near.join(b, ["sk", "shard"]).selectExpr("sk", "ts", "v", "is_stale", "mpi", "coalesce(pts, bpt) as pts", "coalesce(pv, bpv) as pv", "coalesce(nts, bnt) as nts", "coalesce(nv, bnv) as nv", *(["off + run - greatest(old, coalesce(off + cut, 0D)) as up"] if resets else []))
+    if not resets:
+        return j
+    gap = far("ts", "pts")
+    j = j.selectExpr("*", f"case when {gap} then 0D else up - {_fall('v', 'pv', gap)} end as prev_up")
+    return j.selectExpr("sk", "ts", "v + up as v", "is_stale", "mpi", "pts", "pv + prev_up as pv", "nts", f"nv + up + {_fall('nv', 'v', 'false')} as nv")
 
 
 def _prepare(samples: DataFrame, name: str, ordered: bool, grid: Grid, window: int, lookback: int, shard_ms: int = SHARD_MS) -> DataFrame:
@@ -321,14 +318,7 @@ def _prepare(samples: DataFrame, name: str, ordered: bool, grid: Grid, window: i
     widen = window <= 0 and name in names.ROLLUPS_WIDEN
     resets = name in names.ROLLUPS_RESET
     if ordered or resets or widen and grid.n > 1:
-        d = d.withColumn("shard", F.floor(C("ts") / shard_ms))
-        d = d.join(_boundaries(d, grid, shard_ms), ["sk", "shard"])
-        w = Window.partitionBy("sk", "shard").orderBy("ts")
-        near = {"pts": F.coalesce(F.lag("ts").over(w), C("bpt")), "pv": F.coalesce(F.lag("v").over(w), C("bpv")), "nts": F.coalesce(F.lead("ts").over(w), C("bnt")), "nv": F.coalesce(F.lead("v").over(w), C("bnv"))}
-        if ordered or resets:
-            d = d.select("sk", "shard", "ts", "v", "is_stale", "mpi", *(c.alias(n) for n, c in near.items()))
-        if resets:
-            d = _monotone(d, lookback + window if lookback else 0)
+        d = _neighbours(d, grid, resets, lookback + window if lookback else 0, shard_ms)
     else:
         d = d.withColumn("mpi", F.lit(grid.step).cast("bigint"))
     if lookback:
@@ -370,10 +360,10 @@ def rollup(samples: DataFrame, name: str, grid: Grid, window: int, spec: Spec, l
         rows = rows.withColumn("v", F.when(~C("gap"), C("v"))).withColumn("pts", F.when(C("gap"), C("ts")).otherwise(C("pts")))
     # w and mpi are the same for all samples of a series
     extra = {"w": F.max("w"), "t": F.max("t")} | ({"mpi": F.max("mpi")} if spec.ordered else {})
-    g = rows.groupBy("sk", "k").agg(*(c.alias(a) for a, c in (spec.aggs | extra).items()))
+    g = rows.groupBy("sk", "k").agg(*(column(c).alias(a) for a, c in (spec.aggs | extra).items()))
     if spec.ordered:
         g = g.withColumn("prev_ok", F.coalesce(C("fpt") > C("t") - C("w") - C("mpi"), F.lit(False)))
-    if spec.explode is not None:
-        return g.select("sk", "k", F.explode(spec.explode()).alias("_x")).select("sk", "k", C("_x.tag").alias("tag"), C("_x.v").alias("v"))
-    value = F.when(C("n") == 0, spec.gap).otherwise(spec.value) if gaps else spec.value
+    if spec.tags:
+        return g.select("sk", "k", F.inline(F.array(*(F.struct(F.lit(x).alias("tag"), C(x).alias("v")) for x in spec.tags))))
+    value = F.when(C("n") == 0, column(spec.gap)).otherwise(column(spec.value)) if gaps else column(spec.value)
     return g.select("sk", "k", missing_if_nan(value.cast("double")).alias("v"))

@@ -115,6 +115,8 @@ class Compiler:
         return d.select(key_of(named).alias("sk"), C("ts_ms").alias("ts"), C("value").alias("v"), F.coalesce("is_stale", F.lit(False)).alias("is_stale"))
 
     def rollup_call(self, name: str, args: tuple, keep: bool) -> Scalar | Vector:
+        # a list of names in parentheses has become a union of texts
+        args = tuple(x for a in args for x in (a.args if isinstance(a, Call) and a.name == "union" and a.args and all(isinstance(t, Text) for t in a.args) else (a,)))
         series = [a for a in args if not isinstance(a, (Num, Text, Span))]
         if len(series) > 1:  # a number may be given by an expression, as in time()
             series = [a for a in series if isinstance(a, (Selector, Rollup)) or isinstance(a, (Call, Aggregate)) and not self.is_scalar(a)] or series[-1:]

@@ -22,8 +22,9 @@ from ..streaming import aggregation
 C = F.col
 HOUR, DAY = 3_600_000, 86_400_000
 NUDGE = 3e-8  # moves exact decimals off the ties of rounding, where the last bit would decide
-START, END, STEP = 1704153600000, 1706486400000, 6 * HOUR  # 2024-01-02 to 2024-01-29 in steps of six hours
-WHOLE_START, WHOLE_END = 1704067200000, 1706659200000  # 2024-01-01 to 2024-01-31: windows that end on this grid hold all events
+# 2024-01-01 to 2024-01-31 in steps of six hours: windows that end on this grid hold all events
+START, END, STEP = 1704067200000, 1706659200000, 6 * HOUR
+DAY0, DAY1 = 788918400000, 1009756800000  # 1995 to 2001: the same for orders and lineitem
 
 
 def millis(ts: str) -> Column:
@@ -98,266 +99,251 @@ W2 = 2 * DAY
 _GROUP = rules.Group("g", [], "6h")
 
 
-def over(start: int, end: int, day0: int, day1: int, suffix: str = "") -> None:
-    """Add the queries on a grid from start to end (orders and lineitem: from day0 to day1), their names ending in the suffix."""
-
-    def put(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
-        add(name + suffix, run, sql)
-
-    def ranged(query: str, labels: list[str], table: str = "events", start: int = start, end: int = end, step: int = STEP) -> Callable[[SparkSession, str], DataFrame]:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            e = MetricsEngine(TABLES[table](spark, sf_dir))
-            return flat(e.query_range(query, start / 1000, end / 1000, step), labels)
-
-        return run
-
-    # rollups and transforms over the whole tables take all series, the others one event type
-    click, view = ("", "") if suffix else ('{event_type="click"}', '{event_type="view"}')
-    is_click, is_view = ("true", "true") if suffix else ("event_type = 'click'", "event_type = 'view'")
-
-    # SQL building blocks
-    S = "s AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS t, value AS v FROM events WHERE value IS NOT NULL)"
-
-    def grid_sql(start: int = start, end: int = end, step: int = STEP) -> str:
-        return f"grid AS (SELECT {start} + {step} * unnest(range({(end - start) // step + 1})) AS g)"
-
-    def rolled(agg: str, w: int, where: str = "true", name: str = "r", step: int = STEP) -> str:
-        """CTEs giving r(event_type, user_id, g, v): an aggregate of the samples in (g - w, g]."""
-        return f"{S}, {grid_sql(step=step)}, {name} AS (SELECT event_type, user_id, g, {agg} AS v FROM s JOIN grid ON t > g - {w} AND t <= g WHERE {where} GROUP BY event_type, user_id, g)"
-
-    def series_out(name: str, cte: str, value: str = "v", where: str = "v IS NOT NULL") -> str:
-        return f"WITH {cte} SELECT '{name}' AS name, event_type, user_id, g AS ts_ms, round({value}, 4) AS value FROM r WHERE {where}"
-
-    # rollups whose windows need no neighbouring samples
-    _PLAIN_SQL = {
-        "avg_over_time": "avg(v)",
-        "count_over_time": "CAST(count(v) AS DOUBLE)",
-        "sum_over_time": "sum(v)",
-        "sum2_over_time": "sum(v * v)",
-        "min_over_time": "min(v)",
-        "max_over_time": "max(v)",
-        "range_over_time": "max(v) - min(v)",
-        "median_over_time": "quantile_cont(v, 0.5)",
-        "present_over_time": "1.0",
-        "stddev_over_time": "stddev_pop(v)",
-        "stdvar_over_time": "var_pop(v)",
-        "first_over_time": "arg_min(v, t)",
-        "last_over_time": "arg_max(v, t)",
-        "tfirst_over_time": "min(t) / 1000.0",
-        "tlast_over_time": "max(t) / 1000.0",
-        "timestamp": "max(t) / 1000.0",
-        "timestamp_with_name": "max(t) / 1000.0",
-        "tmax_over_time": "arg_max(t, {'v': v, 't': t}) / 1000.0",
-        "tmin_over_time": "arg_max(t, {'v': -v, 't': t}) / 1000.0",
-        "delta_prometheus": "CASE WHEN count(v) > 1 THEN arg_max(v, t) - arg_min(v, t) END",
-        "distinct_over_time": "CAST(count(DISTINCT v) AS DOUBLE)",
-        "geomean_over_time": "pow(product(v), 1.0 / count(v))",
-        "rate_over_sum": f"sum(v) / {W2 / 1000}",
-        "zscore_over_time": "CASE WHEN stddev_pop(v) = 0 THEN 0 ELSE (arg_max(v, t) - avg(v)) / stddev_pop(v) END",
-        "deriv": "CASE WHEN count(v) > 1 THEN regr_slope(v, t / 1000.0) END",
-    }
-    _KEEPS = rollups.names.ROLLUPS_KEEP_NAME
-    for _f, _sql in _PLAIN_SQL.items():
-        _where = f"{is_click} AND v > 0" if _f == "geomean_over_time" and not suffix else is_click
-        put(f"rollup_{_f}", ranged(f"{_f}(events_value{click}[2d])", EL), series_out("events_value" if _f in _KEEPS else "", rolled(_sql, W2, _where)))
-
-    for _f, _arg, _sql in (
-        ("quantile_over_time", "0.9", "quantile_cont(v, 0.9)"),
-        ("count_gt_over_time", "50", "CAST(count(*) FILTER (v > 50) AS DOUBLE)"),
-        ("count_le_over_time", "50", "CAST(count(*) FILTER (v <= 50) AS DOUBLE)"),
-        ("share_gt_over_time", "50", "avg(CASE WHEN v > 50 THEN 1.0 ELSE 0.0 END)"),
-        ("sum_gt_over_time", "50", "sum(v) FILTER (v > 50)"),
-    ):
-        _q = f"{_f}({_arg}, events_value{click}[2d])" if _f in rollups.FIRST else f"{_f}(events_value{click}[2d], {_arg})"
-        put(f"rollup_{_f}", ranged(_q, EL), series_out("events_value" if _f in _KEEPS else "", rolled(_sql, W2, is_click)))
-
-    # rollups that read neighbouring samples: lag and lead in SQL, gaps by the sample before them
-    _MPI = "CASE WHEN i <= 2000 THEN i * 5 WHEN i <= 4000 THEN i * 3 WHEN i <= 8000 THEN i * 2 WHEN i <= 16000 THEN i + i // 2 WHEN i <= 32000 THEN i + i // 4 ELSE i + i // 8 END"
-
-    def ordered_cte(resets: bool = False, w: int = W2, where: str = is_click) -> str:
-        """CTE x(event_type, user_id, g, ...) with what the neighbour-reading rollups need."""
-        lo = start - max(w, STEP) - rollups.SILENCE_MS
-        base = f"{S}, {grid_sql()}, f AS (SELECT * FROM s WHERE {where} AND t BETWEEN {lo} AND {end})"
-        if resets:
-            drop = "CASE WHEN v < p THEN CASE WHEN (p - v) * 8 < p THEN p - v ELSE p END ELSE 0 END"
-            base += f""", f1 AS (SELECT *, lag(v) OVER (PARTITION BY event_type, user_id ORDER BY t) AS p FROM f),
-          f2 AS (SELECT event_type, user_id, t, v + sum({drop}) OVER (PARTITION BY event_type, user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS u FROM f1),
-          f3 AS (SELECT event_type, user_id, t, max(u) OVER (PARTITION BY event_type, user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS v FROM f2)"""
-        src = "f3" if resets else "f"
-        return f"""{base},
-      n AS (SELECT *, lag(t) OVER o AS pt, lag(v) OVER o AS pv, lead(t) OVER o AS nt, lead(v) OVER o AS nv, row_number() OVER (PARTITION BY event_type, user_id ORDER BY t DESC) AS rn
-            FROM {src} WINDOW o AS (PARTITION BY event_type, user_id ORDER BY t)),
-      iv AS (SELECT event_type, user_id, coalesce(CAST(floor(quantile_cont(t - pt, 0.6) FILTER (rn <= 20)) AS BIGINT), 0) AS i0 FROM n GROUP BY event_type, user_id),
-      m AS (SELECT event_type, user_id, {_MPI} AS mpi FROM (SELECT event_type, user_id, CASE WHEN i0 > 0 THEN i0 ELSE {STEP} END AS i FROM iv)),
-      ch AS (SELECT n.*, mpi, CASE WHEN pv IS NULL THEN NULL WHEN v <> pv AND NOT abs(v - pv) < 1e-12 * abs(v) THEN 1.0 ELSE 0.0 END AS c, CASE WHEN v < pv AND NOT abs(v - pv) < 1e-12 * abs(v) THEN 1.0 ELSE 0.0 END AS d FROM n JOIN m USING (event_type, user_id)),
-      inside AS (SELECT event_type, user_id, g, count(*) AS n, arg_min(v, t) AS fv, min(t) AS ft, arg_max(v, t) AS lv, max(t) AS lt, arg_min(coalesce(pv, 'nan'), t) AS fpv0, arg_min(coalesce(pt, 0), t) AS fpt,
-                   arg_min(coalesce(nv - v, 0), t) AS fd, arg_max(coalesce(pv, 'nan'), t) AS lpv0, arg_max(coalesce(pt, 0), t) AS lpt, sum(coalesce(c, 1)) AS changes, sum(coalesce(c, 0)) AS c_all, arg_min(coalesce(c, 0), t) AS c_1, sum(d) AS d_all, arg_min(d, t) AS d_1, max(mpi) AS mpi
-                 FROM ch JOIN grid ON t > g - {w} AND t <= g GROUP BY event_type, user_id, g),
-      x AS (SELECT *, CASE WHEN isnan(fpv0) THEN NULL ELSE fpv0 END AS fpv, CASE WHEN isnan(lpv0) THEN NULL ELSE lpv0 END AS lpv, NOT isnan(fpv0) AND fpt > g - {w} - mpi AS ok FROM inside),
-      gap AS (SELECT event_type, user_id, g, t FROM ch JOIN grid ON t <= g - {w} AND nt > g AND t > g - {w} - mpi)"""
-
-    def ordered_sql(value: str, gap: str | None, resets: bool = False) -> str:
-        sql = f"WITH {ordered_cte(resets)} SELECT '' AS name, event_type, user_id, g AS ts_ms, round({value}, 4) AS value FROM x WHERE ({value}) IS NOT NULL"
-        return sql + (f" UNION ALL SELECT '', event_type, user_id, g, round({gap}, 4) FROM gap" if gap else "")
-
-    _DELTA = "CASE WHEN fpv IS NOT NULL THEN lv - fpv WHEN abs(fv) < 10 * (abs(fd) + 1) THEN lv WHEN n = 1 THEN 0 ELSE lv - fv END"
-    _FAST = "CASE WHEN ok THEN (lv - fpv) / ((lt - fpt) / 1000.0) WHEN n > 1 THEN (lv - fv) / ((lt - ft) / 1000.0) END"
-    _LAST2 = "CASE WHEN n > 1 OR ok THEN (lv - lpv) / ((lt - lpt) / 1000.0) END"
-    for _f, _v, _g, _r in (
-        ("delta", _DELTA, "0.0", False),
-        ("increase", _DELTA, "0.0", True),
-        ("increase_pure", "lv - coalesce(fpv, 0)", "0.0", True),
-        ("increase_prometheus", "CASE WHEN n > 1 THEN lv - fv END", None, True),
-        ("deriv_fast", _FAST, "0.0", False),
-        ("rate", _FAST, "0.0", True),
-        ("rate_prometheus", f"CASE WHEN n > 1 THEN (lv - fv) / {W2 / 1000} END", None, True),
-        ("ideriv", _LAST2, None, False),
-        ("irate", _LAST2, None, True),
-        ("idelta", "CASE WHEN n > 1 OR ok THEN lv - lpv ELSE lv END", "0.0", False),
-        ("lag", "(g - lt) / 1000.0", "(g - t) / 1000.0", False),
-        ("changes", "changes", "0.0", False),
-        ("changes_prometheus", "c_all - c_1", None, False),
-        ("resets", "CASE WHEN ok THEN d_all ELSE d_all - d_1 END", "0.0", False),
-    ):
-        _sql = ordered_sql(_v, _g, _r)
-        if _f in ("increase_prometheus", "rate_prometheus", "changes_prometheus"):
-            _sql = _sql.replace(f"BETWEEN {start - W2 - rollups.SILENCE_MS}", f"BETWEEN {start - W2}")
-        put(f"rollup_{_f}", ranged(f"{_f}(events_value{click}[2d])", EL), _sql)
-
-    put("selector_default_rollup", ranged('events_value{event_type="click"}[12h]', EL), series_out("events_value", rolled("arg_max(v, t)", 12 * HOUR, "event_type = 'click'")))
-    put(
-        "selector_windowless",
-        ranged('events_value{event_type="click"}', EL),
-        f"""WITH {ordered_cte(w=STEP, where="event_type = 'click'")}, y AS (SELECT event_type, user_id, g, arg_max(v, t) AS v FROM ch JOIN grid ON t > g - greatest({STEP}, mpi) AND t <= g GROUP BY event_type, user_id, g)
-        SELECT 'events_value' AS name, event_type, user_id, g AS ts_ms, round(v, 4) AS value FROM y""",
-    )
-    put("selector_regex_or", ranged('sum_over_time(events_value{event_type=~"cl.*|view", user_id!~"1.*" or event_type="purchase"}[1d])', EL), series_out("", rolled("sum(v)", DAY, "(regexp_full_match(event_type, 'cl.*|view') AND NOT regexp_full_match(user_id, '1.*')) OR event_type = 'purchase'")))
-    put("selector_absent_label", ranged('count_over_time(events_value{nope="", event_type!=""}[1d])', EL), series_out("", rolled("CAST(count(v) AS DOUBLE)", DAY)))
-    put("offset_at", ranged(f"sum(count_over_time(events_value[1d] offset 3d)) - sum(count_over_time(events_value[1d] @ {end // 1000 - 864000}))", []), f"""WITH {S}, {grid_sql()}, a AS (SELECT g, count(*) AS n FROM s JOIN grid ON t > g - {4 * DAY} AND t <= g - {3 * DAY} GROUP BY g), b AS (SELECT count(*) AS n FROM s WHERE t > {end - 864000000 - DAY} AND t <= {end - 864000000})
-    SELECT '' AS name, g AS ts_ms, round(CAST(a.n - b.n AS DOUBLE), 4) AS value FROM a, b""")
-    put("absent_over_time", ranged('absent_over_time(events_value{event_type="click",user_id="1"}[12h])', EL), f"WITH {S}, {grid_sql()} SELECT '' AS name, 'click' AS event_type, '1' AS user_id, g AS ts_ms, 1.0 AS value FROM grid WHERE NOT EXISTS (SELECT 1 FROM s WHERE event_type = 'click' AND user_id = '1' AND t > g - {12 * HOUR} AND t <= g)")
-    put("subquery_max", ranged("max_over_time(sum(count_over_time(events_value[1d]))[2d:6h])", []), f"""WITH {S}, gi AS (SELECT {start - 3 * DAY} + {STEP} * unnest(range({(end - start + 3 * DAY) // STEP + 1})) AS gi), {grid_sql()},
-    i AS (SELECT gi, count(*) AS v FROM s JOIN gi ON t > gi - {DAY} AND t <= gi GROUP BY gi) SELECT '' AS name, g AS ts_ms, CAST(max(v) AS DOUBLE) AS value FROM i JOIN grid ON gi > g - {W2} AND gi <= g GROUP BY g""")
-
-    # aggregations across series
-    _DAILY = rolled("sum(v)", DAY)
-    _GEO = rolled("sum(v * v) + 1", DAY, "user_id < '2'")
-
-    def grouped(agg: str, by: str | None, cte: str = _DAILY) -> str:
-        keys = f"{by}, " if by else ""
-        return f"WITH {cte} SELECT '' AS name, {keys}g AS ts_ms, round({agg}, 4) AS value FROM r GROUP BY {keys}g HAVING ({agg}) IS NOT NULL"
-
-    for _f, _sql in {
-        "sum": "sum(v)",
-        "sum2": "sum(v * v)",
-        "min": "min(v)",
-        "max": "max(v)",
-        "avg": "avg(v)",
-        "count": "CAST(count(v) AS DOUBLE)",
-        "group": "1.0",
-        "stddev": "stddev_pop(v)",
-        "stdvar": "var_pop(v)",
-        "median": "quantile_cont(v, 0.5)",
-        "distinct": "CAST(count(DISTINCT v) AS DOUBLE)",
-    }.items():
-        put(f"aggr_{_f}", ranged(f"{_f}(sum_over_time(events_value[1d])) by (event_type)", ["event_type"]), grouped(_sql, "event_type"))
-    if not suffix:  # one user only, the others are in aggr_geomean_all
-        put("aggr_geomean", ranged('geomean(sum2_over_time(events_value{user_id=~"1"}[1d]) + 1) by (event_type)', ["event_type"]), grouped("pow(product(v), 1.0 / count(v))", "event_type", rolled("sum(v * v) + 1", DAY, "user_id = '1'")))
-    put("aggr_geomean_all", ranged("geomean(sum2_over_time(events_value[1d]) + 1) by (event_type)", ["event_type"]), grouped("exp(avg(ln(v)))", "event_type", rolled("sum(v * v) + 1", DAY)))
-    put("aggr_without", ranged("max(sum_over_time(events_value[1d])) without (user_id)", ["event_type"]), grouped("max(v)", "event_type"))
-    put("aggr_all", ranged("sum(sum_over_time(events_value[1d]))", []), grouped("sum(v)", None))
-    put("aggr_quantile", ranged("quantile(0.25, sum_over_time(events_value[1d])) by (event_type)", ["event_type"]), grouped("quantile_cont(v, 0.25)", "event_type"))
-    put("aggr_limit", ranged("count(sum_over_time(events_value[1d])) by (event_type) limit 2", ["event_type"]), grouped("CAST(count(v) AS DOUBLE)", "event_type", _DAILY.replace("WHERE true", "WHERE event_type IN (SELECT event_type FROM s GROUP BY event_type ORDER BY event_type LIMIT 2)")))
-    put("aggr_any", ranged("any(count_over_time(events_value[20d])) by (event_type)", EL), f"""WITH {rolled('CAST(count(v) AS DOUBLE)', 20 * DAY)}, f AS (SELECT event_type, min(user_id) AS user_id FROM r GROUP BY event_type)
-    SELECT '' AS name, event_type, user_id, g AS ts_ms, v AS value FROM r JOIN f USING (event_type, user_id)""")
-    put("aggr_topk", ranged("topk(3, sum_over_time(events_value[1d])) by (event_type)", EL), f"WITH {_DAILY} SELECT '' AS name, event_type, user_id, g AS ts_ms, round(v, 4) AS value FROM r QUALIFY row_number() OVER (PARTITION BY event_type, g ORDER BY v DESC, user_id) <= 3")
-    put("aggr_share", ranged("share(count_over_time(events_value[1d])) by (event_type)", EL), f"WITH {rolled('CAST(count(v) AS DOUBLE)', DAY)} SELECT '' AS name, event_type, user_id, g AS ts_ms, round(v / sum(v) OVER (PARTITION BY event_type, g), 4) AS value FROM r")
-    put("aggr_count_values", ranged('count_values("n", count_over_time(events_value[1d])) by (event_type)', ["event_type", "n"]), f"WITH {rolled('count(v)', DAY)} SELECT '' AS name, event_type, CAST(v AS VARCHAR) AS n, g AS ts_ms, CAST(count(*) AS DOUBLE) AS value FROM r GROUP BY event_type, v, g")
-    put("flagship_max_by", ranged('max(max_over_time(events_value{event_type=~"click|view"}[1d])) by (event_type)', ["event_type"]), grouped("max(v)", "event_type", rolled("max(v)", DAY, "event_type IN ('click', 'view')")))
-    put("double_groupby", ranged("avg(avg_over_time(events_value[1d])) by (__name__, event_type)", ["event_type"]), grouped("avg(v)", "event_type", rolled("avg(v)", DAY)).replace("'' AS name", "'events_value' AS name"))
-
-    # binary operators
-    _TWO = f"{S}, {grid_sql()}, a AS (SELECT event_type, user_id, g, sum(v) AS v FROM s JOIN grid ON t > g - {DAY} AND t <= g GROUP BY ALL), b AS (SELECT event_type, user_id, g, CAST(count(v) AS DOUBLE) AS v FROM s JOIN grid ON t > g - {W2} AND t <= g WHERE event_type <> 'click' GROUP BY ALL)"
-    _A, _B = "sum_over_time(events_value[1d])", 'count_over_time(events_value{event_type!="click"}[2d])'
-
-    def paired(value: str, where: str = "true") -> str:
-        return f"WITH {_TWO} SELECT '' AS name, event_type, user_id, a.g AS ts_ms, round({value}, 4) AS value FROM a JOIN b USING (event_type, user_id, g) WHERE {where}"
-
-    for _f, _op, _sql in (("add", "+", "a.v + b.v"), ("sub", "-", "a.v - b.v"), ("mul", "*", "a.v * b.v"), ("div", "/", "a.v / b.v"), ("mod", "%", "fmod(a.v, b.v)"), ("atan2", "atan2", "atan2(a.v, b.v)")):
-        put(f"binary_{_f}", ranged(f"{_A} {_op} {_B}", EL), paired(_sql))
-    put("binary_pow", ranged(f"({_B} / 100) ^ 2", EL), f"WITH {_TWO} SELECT '' AS name, event_type, user_id, g AS ts_ms, round(pow(v / 100, 2), 4) AS value FROM b")
-    for _f, _op in (("gt", ">"), ("lt", "<"), ("ge", ">="), ("le", "<="), ("eq", "=="), ("ne", "!=")):
-        _s = {"==": "=", "!=": "<>"}.get(_op, _op)
-        put(f"compare_{_f}", ranged(f"{_B} {_op} 3", EL), f"WITH {_TWO} SELECT '' AS name, event_type, user_id, g AS ts_ms, v AS value FROM b WHERE v {_s} 3")
-    put("compare_bool", ranged(f"{_A} > bool {_B}", EL), paired("CASE WHEN a.v > b.v THEN 1.0 ELSE 0.0 END"))
-    put("compare_default", ranged(f"({_B} > 3) default -1", EL), f"WITH {_TWO}, ss AS (SELECT DISTINCT event_type, user_id FROM b) SELECT '' AS name, event_type, user_id, grid.g AS ts_ms, CASE WHEN b.v > 3 THEN b.v ELSE -1.0 END AS value FROM ss CROSS JOIN grid LEFT JOIN b USING (event_type, user_id, g)")
-    put("set_and", ranged(f"{_A} and {_B}", EL), paired("a.v"))
-    put("set_if", ranged(f"{_A} if {_B}", EL), paired("a.v"))
-    _ANTI = f"WITH {_TWO} SELECT '' AS name, event_type, user_id, g AS ts_ms, round(v, 4) AS value FROM a ANTI JOIN b USING (event_type, user_id, g)"
-    put("set_unless", ranged(f"{_A} unless {_B}", EL), _ANTI)
-    put("set_ifnot", ranged(f"{_A} ifnot {_B}", EL), _ANTI)
-    put("set_or", ranged(f"({_B} > 4) or ({_B} < 2)", EL), f"WITH {_TWO} SELECT '' AS name, event_type, user_id, g AS ts_ms, v AS value FROM b WHERE v > 4 OR v < 2")
-    put("set_union", ranged(f"union({_B} > 4, {_B})", EL), f"WITH {_TWO} , big AS (SELECT DISTINCT event_type, user_id FROM b) SELECT '' AS name, event_type, user_id, g AS ts_ms, v AS value FROM b WHERE v > 4")
-    put("join_group_left", ranged("sum_over_time(events_value[1d]) / on(event_type) group_left sum(sum_over_time(events_value[1d])) by (event_type)", EL), f"WITH {_DAILY} SELECT '' AS name, event_type, user_id, g AS ts_ms, round(v / sum(v) OVER (PARTITION BY event_type, g), 4) AS value FROM r")
-    put("join_group_right", ranged("sum(count_over_time(events_value[1d])) by (event_type) * on(event_type) group_right count_over_time(events_value[1d])", EL), f"WITH {rolled('CAST(count(v) AS DOUBLE)', DAY)} SELECT '' AS name, event_type, user_id, g AS ts_ms, round(v * sum(v) OVER (PARTITION BY event_type, g), 4) AS value FROM r")
-    put("join_ignoring", ranged("sum(sum_over_time(events_value[1d])) by (event_type) - ignoring(x) count(count_over_time(events_value[1d])) by (event_type)", ["event_type"]), grouped("sum(v) - count(v)", "event_type"))
-
-    # transforms
-    _MEAN = f"avg_over_time(events_value{view}[1d])"
-    _VIEW = rolled("avg(v)", DAY, is_view)
-    for _f, _q, _sql, _keep in (
-        ("abs", f"abs({_MEAN} - 50)", "abs(v - 50)", False),
-        ("ceil", f"ceil({_MEAN})", "ceil(v)", True),
-        ("floor", f"floor({_MEAN})", "floor(v)", True),
-        ("sqrt", f"sqrt({_MEAN})", "CASE WHEN v >= 0 THEN sqrt(v) END", False),
-        ("exp", f"exp({_MEAN} / 100)", "exp(v / 100)", False),
-        ("ln", f"ln({_MEAN})", "CASE WHEN v > 0 THEN ln(v) END", False),
-        ("log2", f"log2({_MEAN})", "CASE WHEN v > 0 THEN log2(v) END", False),
-        ("log10", f"log10({_MEAN})", "CASE WHEN v > 0 THEN log10(v) END", False),
-        ("clamp", f"clamp({_MEAN}, 20, 60)", "least(greatest(v, 20), 60)", True),
-        ("clamp_min", f"clamp_min({_MEAN}, 20)", "greatest(v, 20)", True),
-        ("clamp_max", f"clamp_max({_MEAN}, 60)", "least(v, 60)", True),
-        ("round", f"round({_MEAN}, 5)", "CASE WHEN v >= 0 THEN floor((v + 2.5) / 5) * 5 ELSE -floor((-v + 2.5) / 5) * 5 END", True),
-        ("sin", f"sin({_MEAN})", "sin(v)", False),
-        ("deg", f"deg({_MEAN})", "degrees(v)", False),
-        ("keep_metric_names", f"abs({_MEAN}) keep_metric_names", "abs(v)", True),
-        ("time", f"time() - {_MEAN}", "g / 1000 - v", False),
-    ):
-        put(f"transform_{_f}", ranged(_q, EL), series_out("events_value" if _keep else "", _VIEW, _sql, f"({_sql}) IS NOT NULL"))
-    put("transform_start_end_step", ranged("end() - start() + step()", []), f"WITH {grid_sql()} SELECT '' AS name, g AS ts_ms, {(end - start + STEP) / 1000} AS value FROM grid")
-    put("transform_absent", ranged('absent(count_over_time(events_value{event_type="click",user_id="1"}[12h]))', EL), f"WITH {S}, {grid_sql()} SELECT '' AS name, CAST(NULL AS VARCHAR) AS event_type, CAST(NULL AS VARCHAR) AS user_id, g AS ts_ms, 1.0 AS value FROM grid WHERE NOT EXISTS (SELECT 1 FROM s WHERE event_type = 'click' AND user_id = '1' AND t > g - {12 * HOUR} AND t <= g)")
-    put("transform_scalar", ranged("sum(count_over_time(events_value[1d])) by (event_type) / scalar(sum(count_over_time(events_value[1d])))", ["event_type"]), f"WITH {rolled('count(v)', DAY)} SELECT '' AS name, event_type, g AS ts_ms, round(sum(v) / sum(sum(v)) OVER (PARTITION BY g), 4) AS value FROM r GROUP BY event_type, g")
-    # one event type here too: the label that tells them apart is removed
-    put("transform_label_set", ranged('label_set(avg_over_time(events_value{event_type="view"}[1d]), "kind", "mean", "event_type", "")', ["user_id", "kind"]), f"WITH {rolled('avg(v)', DAY, "event_type = 'view'")} SELECT 'events_value' AS name, user_id, 'mean' AS kind, g AS ts_ms, round(v, 4) AS value FROM r")
-    put("transform_label_replace", ranged('label_replace(sum(count_over_time(events_value[1d])) by (event_type), "short", "$1", "event_type", "(..).*")', ["event_type", "short"]), f"WITH {rolled('count(v)', DAY)} SELECT '' AS name, event_type, left(event_type, 2) AS short, g AS ts_ms, CAST(sum(v) AS DOUBLE) AS value FROM r GROUP BY event_type, g")
-    put("transform_running_sum", ranged("running_sum(sum(count_over_time(events_value[6h])) by (event_type))", ["event_type"]), f"WITH {rolled('count(v)', STEP)}, q AS (SELECT event_type, g, sum(v) AS v FROM r GROUP BY event_type, g), d AS (SELECT e.event_type, grid.g, q.v FROM (SELECT DISTINCT event_type FROM q) e CROSS JOIN grid LEFT JOIN q ON q.event_type = e.event_type AND q.g = grid.g), w AS (SELECT event_type, g, sum(v) OVER (PARTITION BY event_type ORDER BY g) AS v FROM d) SELECT '' AS name, event_type, g AS ts_ms, CAST(v AS DOUBLE) AS value FROM w WHERE v IS NOT NULL")
-    put("transform_sort_desc", ranged("sort_desc(sum(sum_over_time(events_value[1d])) by (event_type))", ["event_type"]), f"WITH {_DAILY}, q AS (SELECT event_type, g, sum(v) AS v FROM r GROUP BY event_type, g), o AS (SELECT event_type, row_number() OVER (ORDER BY arg_max(v, g) DESC, event_type) AS ord FROM q GROUP BY event_type) SELECT '' AS name, event_type, g AS ts_ms, round(v, 4) AS value, ord FROM q JOIN o USING (event_type)")
-    put("orders_monthly_rate", ranged("sum(sum_over_time(orders_totalprice[30d])) by (status)", ["status"], "orders", day0, day1, 30 * DAY), f"WITH {grid_sql(day0, day1, 30 * DAY)} SELECT '' AS name, o_orderstatus AS status, g AS ts_ms, round(sum(o_totalprice), 4) AS value FROM orders JOIN grid ON epoch_us(o_orderdate) // 1000 > g - {30 * DAY} AND epoch_us(o_orderdate) // 1000 <= g GROUP BY o_orderstatus, g")
-    put("lineitem_quantity_max", ranged("max(max_over_time(lineitem_quantity[90d])) by (returnflag)", ["returnflag"], "lineitem", day0, day1, 30 * DAY), f"WITH {grid_sql(day0, day1, 30 * DAY)}, d AS (SELECT l_returnflag AS returnflag, l_linestatus, epoch_us(l_shipdate) // 1000 AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT '' AS name, returnflag, g AS ts_ms, round(CAST(max(v) AS DOUBLE), 4) AS value FROM d JOIN grid ON t > g - {90 * DAY} AND t <= g GROUP BY returnflag, g")
-
-    put("export_samples", lambda spark, d: MetricsEngine(events(spark, d)).export('events_value{event_type!="view"}', start, end).select(C("labels")["event_type"].alias("event_type"), C("labels")["user_id"].alias("user_id"), "ts_ms", "value"), f"SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS ts_ms, value FROM events WHERE event_type <> 'view' AND epoch_us(ts) // 1000 BETWEEN {start} AND {end}")
-    def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
-        r = rules.Rule("sum(count_over_time(events_value[1d])) by (event_type)", record="events:daily", labels={"team": "a", "event_type": "all"})
-        d = rules.record(MetricsEngine(events(spark, sf_dir)), _GROUP, r, start, end)
-        return flat(d, ["team", "event_type", "exported_event_type"])
-
-    def alerted(spark: SparkSession, sf_dir: str) -> DataFrame:
-        r = rules.Rule("sum(count_over_time(events_value[6h])) by (event_type) > 18", alert="Busy", for_="12h")
-        d = rules.alert_states(MetricsEngine(events(spark, sf_dir)), _GROUP, r, start, end)
-        return d.select(C("labels")["event_type"].alias("event_type"), "ts_ms", "value", "active_at", "state")
-
-    put("rule_recording", recorded, f"WITH {rolled('count(v)', DAY)} SELECT 'events:daily' AS name, 'a' AS team, 'all' AS event_type, event_type AS exported_event_type, g AS ts_ms, CAST(sum(v) AS DOUBLE) AS value FROM r GROUP BY event_type, g")
-    put("rule_alerting", alerted, f"""WITH {rolled('count(v)', STEP)}, q AS (SELECT event_type, g, CAST(sum(v) AS DOUBLE) AS v FROM r GROUP BY event_type, g HAVING sum(v) > 18),
+
+def ranged(query: str, labels: list[str], table: str = "events", first: int = START, last: int = END, step: int = STEP) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = MetricsEngine(TABLES[table](spark, sf_dir))
+        return flat(e.query_range(query, first / 1000, last / 1000, step), labels)
+
+    return run
+
+# SQL building blocks
+S = "s AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS t, value AS v FROM events WHERE value IS NOT NULL)"
+
+def grid_sql(first: int = START, last: int = END, step: int = STEP) -> str:
+    return f"grid AS (SELECT {first} + {step} * unnest(range({(last - first) // step + 1})) AS g)"
+
+def rolled(agg: str, w: int, where: str = "true", name: str = "r", step: int = STEP) -> str:
+    """CTEs giving r(event_type, user_id, g, v): an aggregate of the samples in (g - w, g]."""
+    return f"{S}, {grid_sql(step=step)}, {name} AS (SELECT event_type, user_id, g, {agg} AS v FROM s JOIN grid ON t > g - {w} AND t <= g WHERE {where} GROUP BY event_type, user_id, g)"
+
+def series_out(name: str, cte: str, value: str = "v", where: str = "v IS NOT NULL") -> str:
+    return f"WITH {cte} SELECT '{name}' AS name, event_type, user_id, g AS ts_ms, round({value}, 4) AS value FROM r WHERE {where}"
+
+# rollups whose windows need no neighbouring samples
+_PLAIN_SQL = {
+    "avg_over_time": "avg(v)",
+    "count_over_time": "CAST(count(v) AS DOUBLE)",
+    "sum_over_time": "sum(v)",
+    "sum2_over_time": "sum(v * v)",
+    "min_over_time": "min(v)",
+    "max_over_time": "max(v)",
+    "range_over_time": "max(v) - min(v)",
+    "median_over_time": "quantile_cont(v, 0.5)",
+    "present_over_time": "1.0",
+    "stddev_over_time": "stddev_pop(v)",
+    "stdvar_over_time": "var_pop(v)",
+    "first_over_time": "arg_min(v, t)",
+    "last_over_time": "arg_max(v, t)",
+    "tfirst_over_time": "min(t) / 1000.0",
+    "tlast_over_time": "max(t) / 1000.0",
+    "timestamp": "max(t) / 1000.0",
+    "timestamp_with_name": "max(t) / 1000.0",
+    "tmax_over_time": "arg_max(t, {'v': v, 't': t}) / 1000.0",
+    "tmin_over_time": "arg_max(t, {'v': -v, 't': t}) / 1000.0",
+    "delta_prometheus": "CASE WHEN count(v) > 1 THEN arg_max(v, t) - arg_min(v, t) END",
+    "distinct_over_time": "CAST(count(DISTINCT v) AS DOUBLE)",
+    "geomean_over_time": "pow(product(v), 1.0 / count(v))",
+    "rate_over_sum": f"sum(v) / {W2 / 1000}",
+    "zscore_over_time": "CASE WHEN stddev_pop(v) = 0 THEN 0 ELSE (arg_max(v, t) - avg(v)) / stddev_pop(v) END",
+    "deriv": "CASE WHEN count(v) > 1 THEN regr_slope(v, t / 1000.0) END",
+}
+_KEEPS = rollups.names.ROLLUPS_KEEP_NAME
+for _f, _sql in _PLAIN_SQL.items():
+    add(f"rollup_{_f}", ranged(f"{_f}(events_value[2d])", EL), series_out("events_value" if _f in _KEEPS else "", rolled(_sql, W2)))
+
+for _f, _arg, _sql in (
+    ("quantile_over_time", "0.9", "quantile_cont(v, 0.9)"),
+    ("count_gt_over_time", "50", "CAST(count(*) FILTER (v > 50) AS DOUBLE)"),
+    ("count_le_over_time", "50", "CAST(count(*) FILTER (v <= 50) AS DOUBLE)"),
+    ("share_gt_over_time", "50", "avg(CASE WHEN v > 50 THEN 1.0 ELSE 0.0 END)"),
+    ("sum_gt_over_time", "50", "sum(v) FILTER (v > 50)"),
+):
+    _q = f"{_f}({_arg}, events_value[2d])" if _f in rollups.FIRST else f"{_f}(events_value[2d], {_arg})"
+    add(f"rollup_{_f}", ranged(_q, EL), series_out("events_value" if _f in _KEEPS else "", rolled(_sql, W2)))
+
+# rollups that read neighbouring samples: lag and lead in SQL, gaps by the sample before them
+_MPI = "CASE WHEN i <= 2000 THEN i * 5 WHEN i <= 4000 THEN i * 3 WHEN i <= 8000 THEN i * 2 WHEN i <= 16000 THEN i + i // 2 WHEN i <= 32000 THEN i + i // 4 ELSE i + i // 8 END"
+
+def ordered_cte(resets: bool = False, w: int = W2, where: str = "true") -> str:
+    """CTE x(event_type, user_id, g, ...) with what the neighbour-reading rollups need."""
+    lo = START - max(w, STEP) - rollups.SILENCE_MS
+    base = f"{S}, {grid_sql()}, f AS (SELECT * FROM s WHERE {where} AND t BETWEEN {lo} AND {END})"
+    if resets:
+        drop = "CASE WHEN v < p THEN CASE WHEN (p - v) * 8 < p THEN p - v ELSE p END ELSE 0 END"
+        base += f""", f1 AS (SELECT *, lag(v) OVER (PARTITION BY event_type, user_id ORDER BY t) AS p FROM f),
+      f2 AS (SELECT event_type, user_id, t, v + sum({drop}) OVER (PARTITION BY event_type, user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS u FROM f1),
+      f3 AS (SELECT event_type, user_id, t, max(u) OVER (PARTITION BY event_type, user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS v FROM f2)"""
+    src = "f3" if resets else "f"
+    return f"""{base},
+  n AS (SELECT *, lag(t) OVER o AS pt, lag(v) OVER o AS pv, lead(t) OVER o AS nt, lead(v) OVER o AS nv, row_number() OVER (PARTITION BY event_type, user_id ORDER BY t DESC) AS rn
+        FROM {src} WINDOW o AS (PARTITION BY event_type, user_id ORDER BY t)),
+  iv AS (SELECT event_type, user_id, coalesce(CAST(floor(quantile_cont(t - pt, 0.6) FILTER (rn <= 20)) AS BIGINT), 0) AS i0 FROM n GROUP BY event_type, user_id),
+  m AS (SELECT event_type, user_id, {_MPI} AS mpi FROM (SELECT event_type, user_id, CASE WHEN i0 > 0 THEN i0 ELSE {STEP} END AS i FROM iv)),
+  ch AS (SELECT n.*, mpi, CASE WHEN pv IS NULL THEN NULL WHEN v <> pv AND NOT abs(v - pv) < 1e-12 * abs(v) THEN 1.0 ELSE 0.0 END AS c, CASE WHEN v < pv AND NOT abs(v - pv) < 1e-12 * abs(v) THEN 1.0 ELSE 0.0 END AS d FROM n JOIN m USING (event_type, user_id)),
+  inside AS (SELECT event_type, user_id, g, count(*) AS n, arg_min(v, t) AS fv, min(t) AS ft, arg_max(v, t) AS lv, max(t) AS lt, arg_min(coalesce(pv, 'nan'), t) AS fpv0, arg_min(coalesce(pt, 0), t) AS fpt,
+               arg_min(coalesce(nv - v, 0), t) AS fd, arg_max(coalesce(pv, 'nan'), t) AS lpv0, arg_max(coalesce(pt, 0), t) AS lpt, sum(coalesce(c, 1)) AS changes, sum(coalesce(c, 0)) AS c_all, arg_min(coalesce(c, 0), t) AS c_1, sum(d) AS d_all, arg_min(d, t) AS d_1, max(mpi) AS mpi
+             FROM ch JOIN grid ON t > g - {w} AND t <= g GROUP BY event_type, user_id, g),
+  x AS (SELECT *, CASE WHEN isnan(fpv0) THEN NULL ELSE fpv0 END AS fpv, CASE WHEN isnan(lpv0) THEN NULL ELSE lpv0 END AS lpv, NOT isnan(fpv0) AND fpt > g - {w} - mpi AS ok FROM inside),
+  gap AS (SELECT event_type, user_id, g, t FROM ch JOIN grid ON t <= g - {w} AND nt > g AND t > g - {w} - mpi)"""
+
+def ordered_sql(value: str, gap: str | None, resets: bool = False) -> str:
+    sql = f"WITH {ordered_cte(resets)} SELECT '' AS name, event_type, user_id, g AS ts_ms, round({value}, 4) AS value FROM x WHERE ({value}) IS NOT NULL"
+    return sql + (f" UNION ALL SELECT '', event_type, user_id, g, round({gap}, 4) FROM gap" if gap else "")
+
+_DELTA = "CASE WHEN fpv IS NOT NULL THEN lv - fpv WHEN abs(fv) < 10 * (abs(fd) + 1) THEN lv WHEN n = 1 THEN 0 ELSE lv - fv END"
+_FAST = "CASE WHEN ok THEN (lv - fpv) / ((lt - fpt) / 1000.0) WHEN n > 1 THEN (lv - fv) / ((lt - ft) / 1000.0) END"
+_LAST2 = "CASE WHEN n > 1 OR ok THEN (lv - lpv) / ((lt - lpt) / 1000.0) END"
+for _f, _v, _g, _r in (
+    ("delta", _DELTA, "0.0", False),
+    ("increase", _DELTA, "0.0", True),
+    ("increase_pure", "lv - coalesce(fpv, 0)", "0.0", True),
+    ("increase_prometheus", "CASE WHEN n > 1 THEN lv - fv END", None, True),
+    ("deriv_fast", _FAST, "0.0", False),
+    ("rate", _FAST, "0.0", True),
+    ("rate_prometheus", f"CASE WHEN n > 1 THEN (lv - fv) / {W2 / 1000} END", None, True),
+    ("ideriv", _LAST2, None, False),
+    ("irate", _LAST2, None, True),
+    ("idelta", "CASE WHEN n > 1 OR ok THEN lv - lpv ELSE lv END", "0.0", False),
+    ("lag", "(g - lt) / 1000.0", "(g - t) / 1000.0", False),
+    ("changes", "changes", "0.0", False),
+    ("changes_prometheus", "c_all - c_1", None, False),
+    ("resets", "CASE WHEN ok THEN d_all ELSE d_all - d_1 END", "0.0", False),
+):
+    _sql = ordered_sql(_v, _g, _r)
+    if _f in ("increase_prometheus", "rate_prometheus", "changes_prometheus"):
+        _sql = _sql.replace(f"BETWEEN {START - W2 - rollups.SILENCE_MS}", f"BETWEEN {START - W2}")
+    add(f"rollup_{_f}", ranged(f"{_f}(events_value[2d])", EL), _sql)
+
+add("selector_default_rollup", ranged('events_value{event_type="click"}[12h]', EL), series_out("events_value", rolled("arg_max(v, t)", 12 * HOUR, "event_type = 'click'")))
+add(
+    "selector_windowless",
+    ranged('events_value{event_type="click"}', EL),
+    f"""WITH {ordered_cte(w=STEP, where="event_type = 'click'")}, y AS (SELECT event_type, user_id, g, arg_max(v, t) AS v FROM ch JOIN grid ON t > g - greatest({STEP}, mpi) AND t <= g GROUP BY event_type, user_id, g)
+    SELECT 'events_value' AS name, event_type, user_id, g AS ts_ms, round(v, 4) AS value FROM y""",
+)
+add("selector_regex_or", ranged('sum_over_time(events_value{event_type=~"cl.*|view", user_id!~"1.*" or event_type="purchase"}[1d])', EL), series_out("", rolled("sum(v)", DAY, "(regexp_full_match(event_type, 'cl.*|view') AND NOT regexp_full_match(user_id, '1.*')) OR event_type = 'purchase'")))
+add("selector_absent_label", ranged('count_over_time(events_value{nope="", event_type!=""}[1d])', EL), series_out("", rolled("CAST(count(v) AS DOUBLE)", DAY)))
+add("offset_at", ranged(f"sum(count_over_time(events_value[1d] offset 3d)) - sum(count_over_time(events_value[1d] @ {END // 1000 - 864000}))", []), f"""WITH {S}, {grid_sql()}, a AS (SELECT g, count(*) AS n FROM s JOIN grid ON t > g - {4 * DAY} AND t <= g - {3 * DAY} GROUP BY g), b AS (SELECT count(*) AS n FROM s WHERE t > {END - 864000000 - DAY} AND t <= {END - 864000000})
+SELECT '' AS name, g AS ts_ms, round(CAST(a.n - b.n AS DOUBLE), 4) AS value FROM a, b""")
+add("absent_over_time", ranged('absent_over_time(events_value{event_type="click",user_id="1"}[12h])', EL), f"WITH {S}, {grid_sql()} SELECT '' AS name, 'click' AS event_type, '1' AS user_id, g AS ts_ms, 1.0 AS value FROM grid WHERE NOT EXISTS (SELECT 1 FROM s WHERE event_type = 'click' AND user_id = '1' AND t > g - {12 * HOUR} AND t <= g)")
+add("subquery_max", ranged("max_over_time(sum(count_over_time(events_value[1d]))[2d:6h])", []), f"""WITH {S}, gi AS (SELECT {START - 3 * DAY} + {STEP} * unnest(range({(END - START + 3 * DAY) // STEP + 1})) AS gi), {grid_sql()},
+i AS (SELECT gi, count(*) AS v FROM s JOIN gi ON t > gi - {DAY} AND t <= gi GROUP BY gi) SELECT '' AS name, g AS ts_ms, CAST(max(v) AS DOUBLE) AS value FROM i JOIN grid ON gi > g - {W2} AND gi <= g GROUP BY g""")
+
+# aggregations across series
+_DAILY = rolled("sum(v)", DAY)
+_GEO = rolled("sum(v * v) + 1", DAY, "user_id < '2'")
+
+def grouped(agg: str, by: str | None, cte: str = _DAILY) -> str:
+    keys = f"{by}, " if by else ""
+    return f"WITH {cte} SELECT '' AS name, {keys}g AS ts_ms, round({agg}, 4) AS value FROM r GROUP BY {keys}g HAVING ({agg}) IS NOT NULL"
+
+for _f, _sql in {
+    "sum": "sum(v)",
+    "sum2": "sum(v * v)",
+    "min": "min(v)",
+    "max": "max(v)",
+    "avg": "avg(v)",
+    "count": "CAST(count(v) AS DOUBLE)",
+    "group": "1.0",
+    "stddev": "stddev_pop(v)",
+    "stdvar": "var_pop(v)",
+    "median": "quantile_cont(v, 0.5)",
+    "distinct": "CAST(count(DISTINCT v) AS DOUBLE)",
+}.items():
+    add(f"aggr_{_f}", ranged(f"{_f}(sum_over_time(events_value[1d])) by (event_type)", ["event_type"]), grouped(_sql, "event_type"))
+add("aggr_geomean", ranged("geomean(sum2_over_time(events_value[1d]) + 1) by (event_type)", ["event_type"]), grouped("exp(avg(ln(v)))", "event_type", rolled("sum(v * v) + 1", DAY)))
+add("aggr_without", ranged("max(sum_over_time(events_value[1d])) without (user_id)", ["event_type"]), grouped("max(v)", "event_type"))
+add("aggr_all", ranged("sum(sum_over_time(events_value[1d]))", []), grouped("sum(v)", None))
+add("aggr_quantile", ranged("quantile(0.25, sum_over_time(events_value[1d])) by (event_type)", ["event_type"]), grouped("quantile_cont(v, 0.25)", "event_type"))
+add("aggr_limit", ranged("count(sum_over_time(events_value[1d])) by (event_type) limit 2", ["event_type"]), grouped("CAST(count(v) AS DOUBLE)", "event_type", _DAILY.replace("WHERE true", "WHERE event_type IN (SELECT event_type FROM s GROUP BY event_type ORDER BY event_type LIMIT 2)")))
+add("aggr_any", ranged("any(count_over_time(events_value[20d])) by (event_type)", EL), f"""WITH {rolled('CAST(count(v) AS DOUBLE)', 20 * DAY)}, f AS (SELECT event_type, min(user_id) AS user_id FROM r GROUP BY event_type)
+SELECT '' AS name, event_type, user_id, g AS ts_ms, v AS value FROM r JOIN f USING (event_type, user_id)""")
+add("aggr_topk", ranged("topk(3, sum_over_time(events_value[1d])) by (event_type)", EL), f"WITH {_DAILY} SELECT '' AS name, event_type, user_id, g AS ts_ms, round(v, 4) AS value FROM r QUALIFY row_number() OVER (PARTITION BY event_type, g ORDER BY v DESC, user_id) <= 3")
+add("aggr_share", ranged("share(count_over_time(events_value[1d])) by (event_type)", EL), f"WITH {rolled('CAST(count(v) AS DOUBLE)', DAY)} SELECT '' AS name, event_type, user_id, g AS ts_ms, round(v / sum(v) OVER (PARTITION BY event_type, g), 4) AS value FROM r")
+add("aggr_count_values", ranged('count_values("n", count_over_time(events_value[1d])) by (event_type)', ["event_type", "n"]), f"WITH {rolled('count(v)', DAY)} SELECT '' AS name, event_type, CAST(v AS VARCHAR) AS n, g AS ts_ms, CAST(count(*) AS DOUBLE) AS value FROM r GROUP BY event_type, v, g")
+add("flagship_max_by", ranged('max(max_over_time(events_value{event_type=~"click|view"}[1d])) by (event_type)', ["event_type"]), grouped("max(v)", "event_type", rolled("max(v)", DAY, "event_type IN ('click', 'view')")))
+add("double_groupby", ranged("avg(avg_over_time(events_value[1d])) by (__name__, event_type)", ["event_type"]), grouped("avg(v)", "event_type", rolled("avg(v)", DAY)).replace("'' AS name", "'events_value' AS name"))
+
+# binary operators
+_TWO = f"{S}, {grid_sql()}, a AS (SELECT event_type, user_id, g, sum(v) AS v FROM s JOIN grid ON t > g - {DAY} AND t <= g GROUP BY ALL), b AS (SELECT event_type, user_id, g, CAST(count(v) AS DOUBLE) AS v FROM s JOIN grid ON t > g - {W2} AND t <= g WHERE event_type <> 'click' GROUP BY ALL)"
+_A, _B = "sum_over_time(events_value[1d])", 'count_over_time(events_value{event_type!="click"}[2d])'
+
+def paired(value: str, where: str = "true") -> str:
+    return f"WITH {_TWO} SELECT '' AS name, event_type, user_id, a.g AS ts_ms, round({value}, 4) AS value FROM a JOIN b USING (event_type, user_id, g) WHERE {where}"
+
+for _f, _op, _sql in (("add", "+", "a.v + b.v"), ("sub", "-", "a.v - b.v"), ("mul", "*", "a.v * b.v"), ("div", "/", "a.v / b.v"), ("mod", "%", "fmod(a.v, b.v)"), ("atan2", "atan2", "atan2(a.v, b.v)")):
+    add(f"binary_{_f}", ranged(f"{_A} {_op} {_B}", EL), paired(_sql))
+add("binary_pow", ranged(f"({_B} / 100) ^ 2", EL), f"WITH {_TWO} SELECT '' AS name, event_type, user_id, g AS ts_ms, round(pow(v / 100, 2), 4) AS value FROM b")
+for _f, _op in (("gt", ">"), ("lt", "<"), ("ge", ">="), ("le", "<="), ("eq", "=="), ("ne", "!=")):
+    _s = {"==": "=", "!=": "<>"}.get(_op, _op)
+    add(f"compare_{_f}", ranged(f"{_B} {_op} 3", EL), f"WITH {_TWO} SELECT '' AS name, event_type, user_id, g AS ts_ms, v AS value FROM b WHERE v {_s} 3")
+add("compare_bool", ranged(f"{_A} > bool {_B}", EL), paired("CASE WHEN a.v > b.v THEN 1.0 ELSE 0.0 END"))
+add("compare_default", ranged(f"({_B} > 3) default -1", EL), f"WITH {_TWO}, ss AS (SELECT DISTINCT event_type, user_id FROM b) SELECT '' AS name, event_type, user_id, grid.g AS ts_ms, CASE WHEN b.v > 3 THEN b.v ELSE -1.0 END AS value FROM ss CROSS JOIN grid LEFT JOIN b USING (event_type, user_id, g)")
+add("set_and", ranged(f"{_A} and {_B}", EL), paired("a.v"))
+add("set_if", ranged(f"{_A} if {_B}", EL), paired("a.v"))
+_ANTI = f"WITH {_TWO} SELECT '' AS name, event_type, user_id, g AS ts_ms, round(v, 4) AS value FROM a ANTI JOIN b USING (event_type, user_id, g)"
+add("set_unless", ranged(f"{_A} unless {_B}", EL), _ANTI)
+add("set_ifnot", ranged(f"{_A} ifnot {_B}", EL), _ANTI)
+add("set_or", ranged(f"({_B} > 4) or ({_B} < 2)", EL), f"WITH {_TWO} SELECT '' AS name, event_type, user_id, g AS ts_ms, v AS value FROM b WHERE v > 4 OR v < 2")
+add("set_union", ranged(f"union({_B} > 4, {_B})", EL), f"WITH {_TWO} , big AS (SELECT DISTINCT event_type, user_id FROM b) SELECT '' AS name, event_type, user_id, g AS ts_ms, v AS value FROM b WHERE v > 4")
+add("join_group_left", ranged("sum_over_time(events_value[1d]) / on(event_type) group_left sum(sum_over_time(events_value[1d])) by (event_type)", EL), f"WITH {_DAILY} SELECT '' AS name, event_type, user_id, g AS ts_ms, round(v / sum(v) OVER (PARTITION BY event_type, g), 4) AS value FROM r")
+add("join_group_right", ranged("sum(count_over_time(events_value[1d])) by (event_type) * on(event_type) group_right count_over_time(events_value[1d])", EL), f"WITH {rolled('CAST(count(v) AS DOUBLE)', DAY)} SELECT '' AS name, event_type, user_id, g AS ts_ms, round(v * sum(v) OVER (PARTITION BY event_type, g), 4) AS value FROM r")
+add("join_ignoring", ranged("sum(sum_over_time(events_value[1d])) by (event_type) - ignoring(x) count(count_over_time(events_value[1d])) by (event_type)", ["event_type"]), grouped("sum(v) - count(v)", "event_type"))
+
+# transforms
+_MEAN = f"avg_over_time(events_value[1d])"
+_VIEW = rolled("avg(v)", DAY)
+for _f, _q, _sql, _keep in (
+    ("abs", f"abs({_MEAN} - 50)", "abs(v - 50)", False),
+    ("ceil", f"ceil({_MEAN})", "ceil(v)", True),
+    ("floor", f"floor({_MEAN})", "floor(v)", True),
+    ("sqrt", f"sqrt({_MEAN})", "CASE WHEN v >= 0 THEN sqrt(v) END", False),
+    ("exp", f"exp({_MEAN} / 100)", "exp(v / 100)", False),
+    ("ln", f"ln({_MEAN})", "CASE WHEN v > 0 THEN ln(v) END", False),
+    ("log2", f"log2({_MEAN})", "CASE WHEN v > 0 THEN log2(v) END", False),
+    ("log10", f"log10({_MEAN})", "CASE WHEN v > 0 THEN log10(v) END", False),
+    ("clamp", f"clamp({_MEAN}, 20, 60)", "least(greatest(v, 20), 60)", True),
+    ("clamp_min", f"clamp_min({_MEAN}, 20)", "greatest(v, 20)", True),
+    ("clamp_max", f"clamp_max({_MEAN}, 60)", "least(v, 60)", True),
+    ("round", f"round({_MEAN}, 5)", "CASE WHEN v >= 0 THEN floor((v + 2.5) / 5) * 5 ELSE -floor((-v + 2.5) / 5) * 5 END", True),
+    ("sin", f"sin({_MEAN})", "sin(v)", False),
+    ("deg", f"deg({_MEAN})", "degrees(v)", False),
+    ("keep_metric_names", f"abs({_MEAN}) keep_metric_names", "abs(v)", True),
+    ("time", f"time() - {_MEAN}", "g / 1000 - v", False),
+):
+    add(f"transform_{_f}", ranged(_q, EL), series_out("events_value" if _keep else "", _VIEW, _sql, f"({_sql}) IS NOT NULL"))
+add("transform_start_end_step", ranged("end() - start() + step()", []), f"WITH {grid_sql()} SELECT '' AS name, g AS ts_ms, {(END - START + STEP) / 1000} AS value FROM grid")
+add("transform_absent", ranged('absent(count_over_time(events_value{event_type="click",user_id="1"}[12h]))', EL), f"WITH {S}, {grid_sql()} SELECT '' AS name, CAST(NULL AS VARCHAR) AS event_type, CAST(NULL AS VARCHAR) AS user_id, g AS ts_ms, 1.0 AS value FROM grid WHERE NOT EXISTS (SELECT 1 FROM s WHERE event_type = 'click' AND user_id = '1' AND t > g - {12 * HOUR} AND t <= g)")
+add("transform_scalar", ranged("sum(count_over_time(events_value[1d])) by (event_type) / scalar(sum(count_over_time(events_value[1d])))", ["event_type"]), f"WITH {rolled('count(v)', DAY)} SELECT '' AS name, event_type, g AS ts_ms, round(sum(v) / sum(sum(v)) OVER (PARTITION BY g), 4) AS value FROM r GROUP BY event_type, g")
+add("transform_label_set", ranged('label_set(avg(avg_over_time(events_value[1d])) by (user_id, event_type), "kind", "mean", "user", "x")', ["event_type", "user_id", "kind", "user"]), f"WITH {rolled('avg(v)', DAY)} SELECT '' AS name, event_type, user_id, 'mean' AS kind, 'x' AS user, g AS ts_ms, round(v, 4) AS value FROM r")
+add("transform_label_replace", ranged('label_replace(sum(count_over_time(events_value[1d])) by (event_type), "short", "$1", "event_type", "(..).*")', ["event_type", "short"]), f"WITH {rolled('count(v)', DAY)} SELECT '' AS name, event_type, left(event_type, 2) AS short, g AS ts_ms, CAST(sum(v) AS DOUBLE) AS value FROM r GROUP BY event_type, g")
+add("transform_running_sum", ranged("running_sum(sum(count_over_time(events_value[6h])) by (event_type))", ["event_type"]), f"WITH {rolled('count(v)', STEP)}, q AS (SELECT event_type, g, sum(v) AS v FROM r GROUP BY event_type, g), d AS (SELECT e.event_type, grid.g, q.v FROM (SELECT DISTINCT event_type FROM q) e CROSS JOIN grid LEFT JOIN q ON q.event_type = e.event_type AND q.g = grid.g), w AS (SELECT event_type, g, sum(v) OVER (PARTITION BY event_type ORDER BY g) AS v FROM d) SELECT '' AS name, event_type, g AS ts_ms, CAST(v AS DOUBLE) AS value FROM w WHERE v IS NOT NULL")
+add("transform_sort_desc", ranged("sort_desc(sum(sum_over_time(events_value[1d])) by (event_type))", ["event_type"]), f"WITH {_DAILY}, q AS (SELECT event_type, g, sum(v) AS v FROM r GROUP BY event_type, g), o AS (SELECT event_type, row_number() OVER (ORDER BY arg_max(v, g) DESC, event_type) AS ord FROM q GROUP BY event_type) SELECT '' AS name, event_type, g AS ts_ms, round(v, 4) AS value, ord FROM q JOIN o USING (event_type)")
+add("orders_monthly_rate", ranged("sum(sum_over_time(orders_totalprice[30d])) by (status)", ["status"], "orders", DAY0, DAY1, 30 * DAY), f"WITH {grid_sql(DAY0, DAY1, 30 * DAY)} SELECT '' AS name, o_orderstatus AS status, g AS ts_ms, round(sum(o_totalprice), 4) AS value FROM orders JOIN grid ON epoch_us(o_orderdate) // 1000 > g - {30 * DAY} AND epoch_us(o_orderdate) // 1000 <= g GROUP BY o_orderstatus, g")
+add("lineitem_quantity_max", ranged("max(max_over_time(lineitem_quantity[90d])) by (returnflag)", ["returnflag"], "lineitem", DAY0, DAY1, 30 * DAY), f"WITH {grid_sql(DAY0, DAY1, 30 * DAY)}, d AS (SELECT l_returnflag AS returnflag, l_linestatus, epoch_us(l_shipdate) // 1000 AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT '' AS name, returnflag, g AS ts_ms, round(CAST(max(v) AS DOUBLE), 4) AS value FROM d JOIN grid ON t > g - {90 * DAY} AND t <= g GROUP BY returnflag, g")
+
+add("export_samples", lambda spark, d: MetricsEngine(events(spark, d)).export('events_value{event_type!="view"}', START, END).select(C("labels")["event_type"].alias("event_type"), C("labels")["user_id"].alias("user_id"), "ts_ms", "value"), f"SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS ts_ms, value FROM events WHERE event_type <> 'view' AND epoch_us(ts) // 1000 BETWEEN {START} AND {END}")
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rules.Rule("sum(count_over_time(events_value[1d])) by (event_type)", record="events:daily", labels={"team": "a", "event_type": "all"})
+    d = rules.record(MetricsEngine(events(spark, sf_dir)), _GROUP, r, START, END)
+    return flat(d, ["team", "event_type", "exported_event_type"])
+
+def alerted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rules.Rule("sum(count_over_time(events_value[6h])) by (event_type) > 18", alert="Busy", for_="12h")
+    d = rules.alert_states(MetricsEngine(events(spark, sf_dir)), _GROUP, r, START, END)
+    return d.select(C("labels")["event_type"].alias("event_type"), "ts_ms", "value", "active_at", "state")
+
+add("rule_recording", recorded, f"WITH {rolled('count(v)', DAY)} SELECT 'events:daily' AS name, 'a' AS team, 'all' AS event_type, event_type AS exported_event_type, g AS ts_ms, CAST(sum(v) AS DOUBLE) AS value FROM r GROUP BY event_type, g")
+add("rule_alerting", alerted, f"""WITH {rolled('count(v)', STEP)}, q AS (SELECT event_type, g, CAST(sum(v) AS DOUBLE) AS v FROM r GROUP BY event_type, g HAVING sum(v) > 18),
   i AS (SELECT *, g - {STEP} * row_number() OVER (PARTITION BY event_type ORDER BY g) AS isl FROM q), a AS (SELECT *, min(g) OVER (PARTITION BY event_type, isl) AS active_at FROM i)
   SELECT event_type, g AS ts_ms, v AS value, active_at, CASE WHEN g - active_at >= {12 * HOUR} THEN 'firing' ELSE 'pending' END AS state FROM a""")
 
-over(START, END, 788918400000, 978307200000)  # 1995 to 2000
-# the same over all of the tables: 2024-01-01 to 2024-01-31, 1995 to 2001
-over(WHOLE_START, WHOLE_END, 788918400000, 1009756800000, "_whole")
 
 
-add("instant_query", at_once("sum(count_over_time(events_value[7d])) by (event_type)", ["event_type"], END), f"SELECT '' AS name, event_type, {END} AS ts_ms, CAST(count(*) AS DOUBLE) AS value FROM events WHERE epoch_us(ts) // 1000 > {END - 7 * DAY} AND epoch_us(ts) // 1000 <= {END} GROUP BY event_type")
-add("instant_raw", lambda spark, d: MetricsEngine(events(spark, d)).query('events_value{event_type="click"}[1d]', END / 1000).select(C("labels")["user_id"].alias("user_id"), "ts_ms", "value"), f"SELECT CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS ts_ms, value FROM events WHERE event_type = 'click' AND epoch_us(ts) // 1000 > {END - DAY} AND epoch_us(ts) // 1000 <= {END}")
+
+add("instant_query", at_once("sum(count_over_time(events_value[31d])) by (event_type)", ["event_type"], END), f"SELECT '' AS name, event_type, {END} AS ts_ms, CAST(count(*) AS DOUBLE) AS value FROM events WHERE epoch_us(ts) // 1000 > {END - 31 * DAY} AND epoch_us(ts) // 1000 <= {END} GROUP BY event_type")
+add("instant_raw", lambda spark, d: MetricsEngine(events(spark, d)).query("events_value[31d]", END / 1000).select(C("labels")["user_id"].alias("user_id"), "ts_ms", "value"), f"SELECT CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS ts_ms, value FROM events WHERE epoch_us(ts) // 1000 > {END - 31 * DAY} AND epoch_us(ts) // 1000 <= {END}")
 
 # listings
 add("list_series", lambda spark, d: MetricsEngine(events(spark, d)).series('events_value{event_type="click"}').select("name", C("labels")["user_id"].alias("user_id")), "SELECT DISTINCT 'events_value' AS name, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE event_type = 'click'")
