@@ -12,7 +12,7 @@ duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 # one or two of each kind; all of them are compared in the same way outside of the tests
 NAMES = """p1_found p1_rejects p1_loaded p2_found p2_key_stats p4_found p4_grid flagship_max_by double_groupby selector_windowless selector_regex_or
-    rollup_rate rollup_increase rollup_delta rollup_changes rollup_lag rollup_irate rollup_resets rollup_quantile_over_time offset_at
+    rollup_rate rollup_increase rollup_delta rollup_integrate rollup_rollup_rate rollup_holt_winters transform_histogram_quantile transform_interpolate transform_sort aggr_topk_avg aggr_limitk aggr_outliers_mad relabel_keep_if_contains query_with_templates rollup_changes rollup_lag rollup_irate rollup_resets rollup_quantile_over_time offset_at
     absent_over_time subquery_max aggr_any aggr_topk aggr_limit binary_mod compare_default set_or set_unless join_group_left
     transform_round transform_scalar transform_sort_desc instant_query dedup_daily relabel_rules interval_rate_avg interval_total
     interval_quantiles rule_alerting rule_recording source_csv source_datadog_v2 sink_export_json""".split()

@@ -121,12 +121,13 @@ class MetricsEngine:
         return d.select(*cols)
 
     def ranks(self, d: DataFrame, order: tuple) -> DataFrame:
-        """sk and ord, the place of each series: by its last value, or by labels."""
+        """sk and ord, the place of each series: by its last points that differ, or by labels."""
         name, *labels = order
         desc = name.endswith("_desc")
         if name in ("sort", "sort_desc"):
-            s = d.groupBy("sk").agg(F.max_by("v", "k").alias("x"))
-            key = [F.desc("x") if desc else F.asc("x"), F.asc("sk")]
+            # points from the last one back (the grid is bounded): the first difference decides, a missing point comes first
+            s = d.groupBy("sk").agg(F.sort_array(F.collect_list(F.struct("k", (-C("v") if desc else C("v")).alias("v"))), False).alias("x"))
+            key = [F.asc("x"), F.asc("sk")]
         else:
             s = d.select("sk").distinct()
             pad = (lambda c: F.regexp_replace(F.regexp_replace(c, "([0-9]+)", "00000000000000000000$1"), "0*([0-9]{20})", "$1")) if "numeric" in name else (lambda c: c)

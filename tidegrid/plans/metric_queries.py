@@ -71,12 +71,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = run
-    if sql:
-        sql = rounded_alike(sql)
-        # decimal literals make decimals in SQL: results are doubles
-        ORACLE[name] = f"SELECT * REPLACE (CAST(value AS DOUBLE) AS value) FROM ({sql})" if " AS value" in sql and not name.startswith("list_") else sql
+def adder(queries: dict, oracle: dict) -> Callable:
+    """A function that adds a query and its SQL."""
+
+    def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+        if name in queries:
+            raise ValueError(f"{name} is there already")
+        queries[name] = run
+        if sql:
+            sql = rounded_alike(sql)
+            # decimal literals make decimals in SQL: results are doubles
+            oracle[name] = f"SELECT * REPLACE (CAST(value AS DOUBLE) AS value) FROM ({sql})" if " AS value" in sql and not name.startswith("list_") else sql
+
+    return add
+
+
+add = adder(QUERIES, ORACLE)
 
 
 def rounded_alike(sql: str) -> str:
@@ -319,7 +329,7 @@ add("transform_scalar", ranged("sum(count_over_time(events_value[1d])) by (event
 add("transform_label_set", ranged('label_set(avg(avg_over_time(events_value[1d])) by (user_id, event_type), "kind", "mean", "user", "x")', ["event_type", "user_id", "kind", "user"]), f"WITH {rolled('avg(v)', DAY)} SELECT '' AS name, event_type, user_id, 'mean' AS kind, 'x' AS user, g AS ts_ms, round(v, 4) AS value FROM r")
 add("transform_label_replace", ranged('label_replace(sum(count_over_time(events_value[1d])) by (event_type), "short", "$1", "event_type", "(..).*")', ["event_type", "short"]), f"WITH {rolled('count(v)', DAY)} SELECT '' AS name, event_type, left(event_type, 2) AS short, g AS ts_ms, CAST(sum(v) AS DOUBLE) AS value FROM r GROUP BY event_type, g")
 add("transform_running_sum", ranged("running_sum(sum(count_over_time(events_value[6h])) by (event_type))", ["event_type"]), f"WITH {rolled('count(v)', STEP)}, q AS (SELECT event_type, g, sum(v) AS v FROM r GROUP BY event_type, g), d AS (SELECT e.event_type, grid.g, q.v FROM (SELECT DISTINCT event_type FROM q) e CROSS JOIN grid LEFT JOIN q ON q.event_type = e.event_type AND q.g = grid.g), w AS (SELECT event_type, g, sum(v) OVER (PARTITION BY event_type ORDER BY g) AS v FROM d) SELECT '' AS name, event_type, g AS ts_ms, CAST(v AS DOUBLE) AS value FROM w WHERE v IS NOT NULL")
-add("transform_sort_desc", ranged("sort_desc(sum(sum_over_time(events_value[1d])) by (event_type))", ["event_type"]), f"WITH {_DAILY}, q AS (SELECT event_type, g, sum(v) AS v FROM r GROUP BY event_type, g), o AS (SELECT event_type, row_number() OVER (ORDER BY arg_max(v, g) DESC, event_type) AS ord FROM q GROUP BY event_type) SELECT '' AS name, event_type, g AS ts_ms, round(v, 4) AS value, ord FROM q JOIN o USING (event_type)")
+add("transform_sort_desc_groups", ranged("sort_desc(sum(sum_over_time(events_value[1d])) by (event_type))", ["event_type"]), f"WITH {_DAILY}, q AS (SELECT event_type, g, sum(v) AS v FROM r GROUP BY event_type, g), o AS (SELECT event_type, row_number() OVER (ORDER BY arg_max(v, g) DESC, event_type) AS ord FROM q GROUP BY event_type) SELECT '' AS name, event_type, g AS ts_ms, round(v, 4) AS value, ord FROM q JOIN o USING (event_type)")
 add("orders_monthly_rate", ranged("sum(sum_over_time(orders_totalprice[30d])) by (status)", ["status"], "orders", DAY0, DAY1, 30 * DAY), f"WITH {grid_sql(DAY0, DAY1, 30 * DAY)} SELECT '' AS name, o_orderstatus AS status, g AS ts_ms, round(sum(o_totalprice), 4) AS value FROM orders JOIN grid ON epoch_us(o_orderdate) // 1000 > g - {30 * DAY} AND epoch_us(o_orderdate) // 1000 <= g GROUP BY o_orderstatus, g")
 add("lineitem_quantity_max", ranged("max(max_over_time(lineitem_quantity[90d])) by (returnflag)", ["returnflag"], "lineitem", DAY0, DAY1, 30 * DAY), f"WITH {grid_sql(DAY0, DAY1, 30 * DAY)}, d AS (SELECT l_returnflag AS returnflag, l_linestatus, epoch_us(l_shipdate) // 1000 AS t, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT '' AS name, returnflag, g AS ts_ms, round(CAST(max(v) AS DOUBLE), 4) AS value FROM d JOIN grid ON t > g - {90 * DAY} AND t <= g GROUP BY returnflag, g")
 

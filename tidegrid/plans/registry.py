@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_quality, metric_queries
+from . import data_quality, function_queries, metric_queries
 
-MODULES = [data_quality, metric_queries]
+MODULES = [data_quality, metric_queries, function_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
