@@ -58,7 +58,7 @@ def k_smallest(g: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return g[rank < k], h[rank < k]
 
 
-class _Groups:
+class Groups:
     """Numbers of groups, which are tuples of key values."""
 
     def __init__(self) -> None:
@@ -79,16 +79,19 @@ class _Groups:
         return np.array([self.number.setdefault(t, len(self.number)) for t in names], np.int64)[local]
 
 
-def _reducer(schema: T.StructType, keys: list[str], sets: list[list[str]] | None, k: int) -> Callable:
-    """Batches of (keys, h) or (keys, hashes) as one sketch per group and task; with sets, of each set of keys."""
+def _reducer(schema: T.StructType, keys: list[str], sets: list[list[str]] | None, k: int, ordered: bool) -> Callable:
+    """Batches of (keys, h) or (keys, hashes) as one sketch per group and task; with sets, of each set of keys.
+
+    Where rows are ordered by keys, no more than HELD hashes and one group are held, and each group
+    comes out once; else groups may come out several times.
+    """
     types = [T_ARROW[type(schema[c].dataType)] for c in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, g, h, size = _Groups(), [], [], 0
+        groups, g, h, size = Groups(), [], [], 0
 
-        def emit() -> pa.RecordBatch:
+        def emit(gs: np.ndarray, hs: np.ndarray) -> pa.RecordBatch:
             names = list(groups.number)
-            gs, hs = g[0], h[0]
             begin = np.flatnonzero(np.r_[True, gs[1:] != gs[:-1]]) if len(gs) else np.zeros(0, np.int64)
             own = [names[i] for i in gs[begin].tolist()]
             cols = [pa.array([t[j] for t in own], ty) for j, ty in enumerate(([pa.string()] if sets is not None else []) + types)]
@@ -114,12 +117,14 @@ def _reducer(schema: T.StructType, keys: list[str], sets: list[list[str]] | None
                     gs, hs = k_smallest(np.concatenate(g), np.concatenate(h), k)
                     g, h, size = [gs], [hs], len(gs)
                     if 2 * size > HELD:  # many small groups: hand them on instead of keeping them
-                        yield emit()
-                        groups, g, h, size = _Groups(), [], [], 0
+                        done = gs < len(groups.number) - 1 if ordered else np.ones(len(gs), bool)
+                        yield emit(gs[done], hs[done])
+                        rest, last = hs[~done], list(groups.number)[-1]
+                        groups, g, h, size = Groups(), [np.zeros(len(rest), np.int64)], [rest], len(rest)
+                        if ordered:
+                            groups.number[last] = 0
         if size:
-            gs, hs = k_smallest(np.concatenate(g), np.concatenate(h), k)
-            g, h = [gs], [hs]
-            yield emit()
+            yield emit(*k_smallest(np.concatenate(g), np.concatenate(h), k))
 
     return run
 
@@ -127,19 +132,19 @@ def _reducer(schema: T.StructType, keys: list[str], sets: list[list[str]] | None
 T_ARROW = {T.StringType: pa.string(), T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.DateType: pa.date32(), T.BooleanType: pa.bool_()}
 
 
-def _within_tasks(d: DataFrame, keys: list[str], k: int, sets: list[list[str]] | None = None) -> DataFrame:
+def _within_tasks(d: DataFrame, keys: list[str], k: int, sets: list[list[str]] | None = None, ordered: bool = False) -> DataFrame:
     for c in keys:
         if type(d.schema[c].dataType) not in T_ARROW:
             raise TypeError(f"{c} cannot be a key: {d.schema[c].dataType.simpleString()}")
     share_code(d.sparkSession)
     out = T.StructType([*([T.StructField("level", T.StringType())] if sets is not None else []), *(T.StructField(c, d.schema[c].dataType) for c in keys), T.StructField("hashes", T.ArrayType(T.LongType()))])
-    return d.mapInArrow(_reducer(d.schema, keys, sets, k), out)
+    return d.mapInArrow(_reducer(d.schema, keys, sets, k, ordered), out)
 
 
 def _across_tasks(parts: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """One sketch per group from at most one (or a few) of each task."""
-    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("hashes"))))
-    return parts.groupBy(*keys).agg(F.slice(every, 1, k).alias("hashes"))
+    """One sketch per group from those of tasks, taken one after the other: no group's parts are gathered."""
+    together = parts.repartition(*keys) if keys else parts.repartition(1)  # without keys there is one sketch of each task
+    return _within_tasks(together.sortWithinPartitions(*keys) if keys else together, keys, k, None, True)
 
 
 def sketch(hashes: DataFrame, keys: list[str], k: int = K) -> DataFrame:

@@ -9,9 +9,10 @@ leaf holds at most n / K, so any quantile's rank is off by at most BITS * floor(
 1 % for BITS = 32 and K = 3200; groups of fewer than K values are exact up to quantisation.
 
 Plan: each task reduces its rows to one digest per group (at most 3 K nodes beyond the last
-batch), so a hot group leaves a task as one digest; digests are added by (group, node) with
-map-side sums; only groups of K or more values are compressed again, first by salt and then
-whole; what a group brings is bounded by the number of tasks, never by its rows.
+batch), so a hot group leaves a task as one digest.  Merging adds and compresses first within
+tasks, then by group and salt, then by group; a reducer takes the digests of its groups one after
+the other and never holds more than a few, however many tasks there were.  Roll-ups start from
+merged digests of the finest groups, not from those of tasks.
 
 Defined results for odd input: null, NaN and infinite values do not count and a group without
 finite values has no digest; null keys form groups of their own; negative zero is zero; ties and
@@ -20,19 +21,21 @@ repeated rows count each; an empty table gives no rows; only named columns are r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut, share_code
+from ..session import share_code
+from .kmv import Groups
 
 BITS = 32
 K = 3200
-CALL_NODES = 1 << 17  # nodes compressed in one call; groups with more are salted
+SALTS = 16  # tasks that share the first merge of a group's full digests
+HELD_NODES = 1 << 20  # nodes that a task gathers before it compresses them, and hands on if that does not help
 
 
 def leaf_of(values: np.ndarray) -> np.ndarray:
@@ -68,8 +71,9 @@ def compress(g: np.ndarray, node: np.ndarray, c: np.ndarray, k: int = K) -> tupl
     g, node, c = _sum_pairs(g, node, c)
     if not len(g):
         return g, node, c
-    n = np.bincount(g, weights=c).astype(np.int64) if g.max() < 1 << 24 else None
-    limit = (n // k)[g] if n is not None else np.zeros(len(g), np.int64)
+    # groups are numbered from 0 without holes by the callers' codes, so that this is no longer than they are many
+    n = np.bincount(g, weights=c).astype(np.int64)
+    limit = (n // k)[g]
     keep = [(g[limit < 1], node[limit < 1], c[limit < 1])]
     g, node, c = g[limit >= 1], node[limit >= 1], c[limit >= 1]
     depth = np.frexp(node.astype(np.float64))[1] - 1
@@ -92,98 +96,113 @@ def compress(g: np.ndarray, node: np.ndarray, c: np.ndarray, k: int = K) -> tupl
     return _sum_pairs(*(np.concatenate(x) for x in zip(*keep, strict=True)))
 
 
+def _digests(batches: Iterator[pa.RecordBatch], names: list[str], nodes: Callable, k: int, ordered: bool = False) -> Iterator[pa.RecordBatch]:
+    """One digest per group from the batches of a task; nodes gives row, node and count of a batch's entries.
+
+    Where rows are ordered by names each group comes out once, else it may come out several times.
+    """
+    groups, g, node, c = Groups(), *((np.empty(0, np.int64),) * 3)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        row, new_node, new_c = nodes(b)
+        own = groups.of([b.column(i) for i in range(len(names))], b.num_rows)
+        g, node, c = compress(np.r_[g, own[row]], np.r_[node, new_node], np.r_[c, new_c], k)
+        if len(g) > HELD_NODES:  # many small groups: hand them on instead of keeping them
+            done = g < len(groups.number) - 1 if ordered else np.ones(len(g), bool)
+            if done.any():
+                yield _batch(g[done], node[done], c[done], groups, names)
+            last = list(groups.number)[-1]
+            groups, g, node, c = Groups(), np.zeros(int((~done).sum()), np.int64), node[~done], c[~done]
+            if ordered:
+                groups.number[last] = 0
+    if len(g):
+        yield _batch(g, node, c, groups, names)
+
+
+def _batch(g: np.ndarray, node: np.ndarray, c: np.ndarray, groups: Groups, names: list[str]) -> pa.RecordBatch:
+    """A row per group: its key, nodes and counts."""
+    begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    tuples = list(groups.number)
+    own = [tuples[i] for i in g[begin].tolist()]
+    at = pa.array(np.r_[begin, len(g)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (node, c)]
+    return pa.RecordBatch.from_arrays([*(pa.array([t[j] for t in own], pa.string()) for j in range(len(names))), *lists], [*names, "nodes", "counts"])
+
+
+def _schema(keys: list[str]) -> T.StructType:
+    return T.StructType([*(T.StructField(c, T.StringType()) for c in keys), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("nodes", "counts"))])
+
+
 def build(df: DataFrame, keys: list[str], value: str, k: int = K) -> DataFrame:
-    """keys, node, count: one digest per group and task, to be merged."""
+    """keys (as text), nodes, counts: one digest per group and task, to be merged."""
     share_code(df.sparkSession)
-    names = [f"k{i}" for i in range(len(keys))]
-    d = df.select(*(F.col(c).cast("string").alias(n) for c, n in zip(keys, names, strict=True)), F.col(value).cast("double").alias("v"))
-    d = d.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
-    schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("node", T.LongType()), T.StructField("count", T.LongType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes: dict[tuple, int] = {}
-        g, node, c = (np.empty(0, np.int64),) * 3
-        for b in batches:
-            if not len(b):
-                continue
-            num, groups = _group_codes(b, names)
-            own = np.array([codes.setdefault(t, len(codes)) for t in groups], dtype=np.int64)
-            leaves = leaf_of(b["v"].to_numpy()).astype(np.int64) + (np.int64(1) << BITS)
-            g, node, c = compress(np.r_[g, own[num]], np.r_[node, leaves], np.r_[c, np.ones(len(b), np.int64)], k)
-            if len(g) > 1 << 20:  # many small groups: hand them on instead of keeping them
-                yield _frame(g, node, c, codes, names)
-                codes, (g, node, c) = {}, (np.empty(0, np.int64),) * 3
-        if len(g):
-            yield _frame(g, node, c, codes, names)
-
-    out = d.mapInPandas(run, schema)
-    return out.select(*(F.col(n).alias(c) for n, c in zip(names, keys, strict=True)), "node", "count")
-
-
-def _group_codes(b: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, list[tuple]]:
-    num = np.zeros(len(b), np.int64)
-    for n in names:
-        c, u = pd.factorize(b[n], use_na_sentinel=True)
-        num = num * (len(u) + 1) + c + 1
-    uniq, first, inv = np.unique(num, return_index=True, return_inverse=True)
-    cols = [b[n].iloc[first].tolist() for n in names]
-    return inv, [tuple(x if isinstance(x, str) else None for x in t) for t in zip(*cols, strict=True)] if names else [()] * len(uniq)
-
-
-def _frame(g: np.ndarray, node: np.ndarray, c: np.ndarray, codes: dict[tuple, int], names: list[str]) -> pd.DataFrame:
-    groups = list(codes)
-    return pd.DataFrame({n: pd.array([groups[i][j] for i in g], dtype=object) for j, n in enumerate(names)} | {"node": node, "count": c})
-
-
-def merge(nodes: DataFrame, keys: list[str], k: int = K) -> DataFrame:
-    """Add digests into groups of keys and compress the groups that need it: keys, node, count."""
-    share_code(nodes.sparkSession)
-    added = nodes.groupBy(*keys, "node").agg(F.sum("count").alias("count"))
-    group = Window.partitionBy(*keys)
-    sized = added.select("*", F.sum("count").over(group).alias("_n"), F.ceil(F.count(F.lit(1)).over(group) / CALL_NODES).alias("_s"))
-    small = sized.where(F.col("_n") < k).select(*keys, "node", "count")
-    large = sized.where(F.col("_n") >= k)
-    schema = T.StructType([*(T.StructField(c, nodes.schema[c].dataType) for c in keys), T.StructField("node", T.LongType()), T.StructField("count", T.LongType())])
-
-    def squeeze(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        zero = np.zeros(len(b), np.int64)
-        _, node, c = compress(zero, b["node"].to_numpy(np.int64), b["count"].to_numpy(np.int64), k)
-        return pd.DataFrame({n: [key[i]] * len(node) for i, n in enumerate(keys)} | {"node": node, "count": c}).astype({n: object for n in keys})
-
-    once = large.where(F.col("_s") <= 1).select(*keys, "node", "count").groupBy(*keys).applyInPandas(squeeze, schema)
-    # nodes of one small subtree get the same salt, so that siblings still meet
-    salted = large.where(F.col("_s") > 1).select(*keys, "node", "count", F.pmod(F.xxhash64(F.shiftright("node", 8)), F.col("_s")).alias("_salt"))
-    twice = salted.groupBy(*keys, "_salt").applyInPandas(squeeze, schema).groupBy(*keys).applyInPandas(squeeze, schema)
-    return small.unionByName(once).unionByName(twice)
-
-
-def roll_up(nodes: DataFrame, keys: list[str], sets: list[list[str]], k: int = K) -> DataFrame:
-    """level, keys, node, count: the digests of every set of keys (others null), by merging the finest.
-
-    The finest digests are written to the shared checkpoint folder first: merging reads them more than once.
+    d = df.select(*(F.col(c).cast("string").alias(c) for c in keys), F.col(value).cast("double").alias("_v"))
+    d = d.where(F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") != float("inf")))
+
+    def leaves(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        leaf = leaf_of(b.column(len(keys)).to_numpy(zero_copy_only=False)).astype(np.int64) + (np.int64(1) << BITS)
+        return np.arange(b.num_rows), leaf, np.ones(b.num_rows, np.int64)
+
+    return d.mapInArrow(lambda batches: _digests(batches, keys, leaves, k), _schema(keys))
+
+
+def _entries(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, node and count of the entries of a batch of digests."""
+    nodes, counts = (b.column(b.num_columns - i) for i in (2, 1))
+    return np.repeat(np.arange(b.num_rows), nodes.value_lengths().to_numpy(zero_copy_only=False)), nodes.flatten().to_numpy(), counts.flatten().to_numpy()
+
+
+def merge(digests: DataFrame, keys: list[str], k: int = K) -> DataFrame:
+    """Add digests into groups of keys: keys, nodes, counts, one row per group."""
+    share_code(digests.sparkSession)
+
+    def squeezed(d: DataFrame, names: list[str], ordered: bool) -> DataFrame:
+        return d.mapInArrow(lambda batches: _digests(batches, names, _entries, k, ordered), _schema(names))
+
+    def by(d: DataFrame, names: list[str]) -> DataFrame:
+        if not names:  # one digest of each salt
+            return squeezed(d.repartition(1), names, True)
+        return squeezed(d.repartition(*names).sortWithinPartitions(*names), names, True)
+
+    parts = squeezed(digests.select(*keys, "nodes", "counts"), keys, False)
+    # full digests are spread over the salts by the task that they come from, small ones stay together
+    salt = F.when(F.size("nodes") < k, F.lit("0")).otherwise(F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("string"))
+    salted = by(parts.select(salt.alias("_salt"), *keys, "nodes", "counts"), ["_salt", *keys])
+    return by(salted.select(*keys, "nodes", "counts"), keys)
+
+
+def roll_up(digests: DataFrame, keys: list[str], sets: list[list[str]], k: int = K) -> DataFrame:
+    """level, keys, nodes, counts: the digests of every set of keys (others null), by merging the finest.
+
+    The finest digests are merged first; those of coarser groups are added within tasks before they travel.
     """
-    nodes = cut(nodes)
-    combos = F.array(*(F.struct(F.lit("+".join(s)).alias("level"), *((F.col(c) if c in s else F.lit(None).cast("string")).alias(c) for c in keys)) for s in sets))
-    rows = nodes.select("node", "count", F.explode(combos).alias("g")).select("g.*", "node", "count")
-    return merge(rows, ["level", *keys], k)
+    finest = merge(digests, keys, k)
+    combos = F.array(*(F.struct(F.lit("+".join(s)).alias("level"), *((F.col(c) if c in s else F.lit(None).cast("string")).alias(c) for c in keys)) for s in sets if s != keys))
+    rows = finest.select("nodes", "counts", F.explode(combos).alias("g")).select("g.*", "nodes", "counts")
+    own = finest.select(F.lit("+".join(keys)).alias("level"), *keys, "nodes", "counts")
+    coarse = merge(rows, ["level", *keys], k)
+    return own.unionByName(coarse) if keys in sets else coarse
 
 
 def quantiles(digests: DataFrame, keys: list[str], phis: list[float], k: int = K) -> DataFrame:
     """keys, n, rank_error, phi, value: the value at rank ceil(phi * n), off by at most rank_error ranks."""
     share_code(digests.sparkSession)
-    # length in bits of the node's number gives its depth; shifting left to the leaves gives its largest leaf
-    depth = F.length(F.bin("node")) - 1
-    width = F.lit(BITS) - depth
-    hi = F.expr(f"shiftleft(node + 1, {BITS} - (length(bin(node)) - 1)) - 1 - {1 << BITS}")
-    d = digests.select(*keys, "count", width.alias("_w"), hi.alias("_hi"))
-    group = Window.partitionBy(*keys)
-    order = group.orderBy("_hi", "_w").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.select(*keys, "_hi", "count", F.sum("count").over(order).alias("_cum"), F.sum("count").over(group).alias("n"))
-    ranks = F.array(*(F.struct(F.lit(float(p)).alias("phi"), F.greatest(F.ceil(F.lit(float(p)) * F.col("n")), F.lit(1)).alias("r")) for p in phis))
-    hit = d.select(*keys, "n", "_hi", "_cum", "count", F.explode(ranks).alias("q")).where((F.col("_cum") >= F.col("q.r")) & (F.col("_cum") - F.col("count") < F.col("q.r")))
-
-    @F.pandas_udf("double")
-    def decode(leaf: pd.Series) -> pd.Series:
-        return pd.Series(value_of(leaf.to_numpy(np.uint64)))
-
-    return hit.select(*keys, "n", (F.lit(BITS) * F.floor(F.col("n") / k)).alias("rank_error"), F.col("q.phi").alias("phi"), decode("_hi").alias("value"))
+    phis = [float(p) for p in phis]
+    out = T.StructType([*(T.StructField(c, T.StringType()) for c in keys), T.StructField("n", T.LongType()), T.StructField("rank_error", T.LongType()), T.StructField("phi", T.DoubleType()), T.StructField("value", T.DoubleType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, node, count = _entries(b)
+            depth = np.frexp(node.astype(np.float64))[1] - 1
+            high = ((node + 1) << (BITS - depth)) - 1 - (np.int64(1) << BITS)  # a node's largest leaf
+            order = np.lexsort((-depth, high, row))
+            row, high, upto = row[order], high[order], np.cumsum(count[order])
+            n = np.bincount(row, weights=count[order], minlength=b.num_rows).astype(np.int64)
+            before = np.r_[0, np.cumsum(n)[:-1]]
+            wanted = before[:, None] + np.maximum(np.ceil(np.array(phis)[None, :] * n[:, None]), 1).astype(np.int64)
+            leaf = high[np.searchsorted(upto, wanted.ravel())] if len(upto) else np.zeros(0, np.int64)
+            each = np.repeat(np.arange(b.num_rows), len(phis))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(each)) for i in range(len(keys))), pa.array(n[each]), pa.array(BITS * (n[each] // k)), pa.array(phis * b.num_rows), pa.array(value_of(leaf))], out.names)
+
+    return digests.select(*keys, "nodes", "counts").mapInArrow(read, out)

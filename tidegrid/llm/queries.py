@@ -50,11 +50,23 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(r, "row_id").join(_tag(spark, sf_dir, "zone"), "row_id", "left").select("field_key", "measurement", "zone", F.col("field_value").alias("value"))
 
 
+_VALUE_KEYS = ["field_key", "measurement", "zone"]
+_VALUE_SETS = [_VALUE_KEYS, ["field_key", "measurement"], ["field_key", "zone"], ["field_key"]]
+
+
+def _value_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qdigest.roll_up(qdigest.build(_values(spark, sf_dir), _VALUE_KEYS, "value"), _VALUE_KEYS, _VALUE_SETS)
+
+
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["field_key", "measurement", "zone"]
-    digests = qdigest.build(_values(spark, sf_dir), keys, "value")
-    rolled = qdigest.roll_up(digests, keys, [keys, ["field_key", "measurement"], ["field_key", "zone"], ["field_key"]])
-    return qdigest.quantiles(rolled, ["level", *keys], PHIS)
+    return qdigest.quantiles(_value_digests(spark, sf_dir), ["level", *_VALUE_KEYS], PHIS)
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the digests hold of every group: as many values as it has, with the stated error of ranks."""
+    d = _value_digests(spark, sf_dir)
+    n = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return d.select("level", *_VALUE_KEYS, n.alias("n"), (qdigest.BITS * F.floor(n / qdigest.K)).alias("rank_error"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +91,7 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).select("doc_id", "n_sentences", "n_hard", F.round("difficulty", 4).alias("difficulty"), "level")
 
 
-QUERIES = {f.__name__: f for f in (p3_distinct_clients, p3_day_overlap, p5_percentiles, p6_ids, p7_pack, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p3_distinct_clients, p3_day_overlap, p5_percentiles, p5_counts, p6_ids, p7_pack, p8_found, p8_levels)}
 
 _CLIENTS = f"""
   clients AS (
@@ -111,6 +123,11 @@ ORACLE = {
                round(CASE WHEN {_FULL} THEN greatest(({_EST}) * {1 - _RSE!r}, count(*)) ELSE count(*) END, 3) AS lower,
                round(CASE WHEN {_FULL} THEN ({_EST}) * {1 + _RSE!r} ELSE count(*) END, 3) AS upper
         FROM kept GROUP BY tbl, level, day, grp, zone""",
+    "p5_counts": f"""
+        WITH vals AS (SELECT f.field_key, r.measurement, z.tag_value AS zone FROM influx_fields f JOIN influx_rows r USING (row_id) LEFT JOIN influx_tags z ON z.row_id = r.row_id AND z.tag_key = 'zone' WHERE isfinite(f.field_value))
+        SELECT concat_ws('+', 'field_key', CASE WHEN grouping(measurement) = 0 THEN 'measurement' END, CASE WHEN grouping(zone) = 0 THEN 'zone' END) AS level,
+               field_key, measurement, zone, count(*) AS n, {qdigest.BITS} * (count(*) // {qdigest.K}) AS rank_error
+        FROM vals GROUP BY field_key, CUBE (measurement, zone)""",
     "p3_day_overlap": f"""
         WITH {_CLIENTS},
         days AS (SELECT tbl, day, list_sort(list(DISTINCT h))[:{kmv.K}] AS hs FROM hashed WHERE day IS NOT NULL GROUP BY tbl, day),
