@@ -17,6 +17,8 @@ columns are read, so clashing extra ones are harmless.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,19 +64,23 @@ def chunk_states(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 
 
 def merge_states(states: DataFrame) -> DataFrame:
-    """One row per key; the numbers of a key's chunks must join up without gap or overlap."""
-    out = states.groupBy("_key").agg(
+    """One row per key, its chunks' states merged in order: each chunk must begin where the one before ended."""
+    in_order = Window.partitionBy("_key").orderBy("_chunk")
+    s = states.withColumn("_follows", F.col("no_first") == F.coalesce(F.lag("no_last").over(in_order) + 1, F.lit(0)))
+    # sums are added in the order of chunks, so that they do not change from run to run
+    s = s.withColumn("_sum", F.sum("v_sum").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = s.groupBy("_key").agg(
         F.sum("n").alias("n_rows"),
         F.min("t_first").alias("first_time"),
         F.max("t_last").alias("last_time"),
-        F.sum("v_sum").alias("value_sum"),
+        F.max_by("_sum", "_chunk").alias("value_sum"),
         F.sum("n_values").alias("n_values"),
-        F.min("no_first").alias("_lo"),
+        F.bool_and("_follows").alias("_whole"),
         F.max("no_last").alias("_hi"),
         F.count(F.lit(1)).alias("n_chunks"),
     )
-    whole = (F.col("_lo") == 0) & (F.col("_hi") == F.col("n_rows") - 1)
-    return out.withColumn("n_rows", F.when(whole, F.col("n_rows")).otherwise(F.raise_error(F.lit("chunks of a key do not join up: the input partitions changed between passes")).cast("bigint"))).drop("_lo", "_hi")
+    whole = F.col("_whole") & (F.col("_hi") == F.col("n_rows") - 1)
+    return out.withColumn("n_rows", F.when(whole, F.col("n_rows")).otherwise(F.raise_error(F.lit("chunks of a key do not join up: the input partitions changed between passes")).cast("bigint"))).drop("_whole", "_hi")
 
 
 def key_stats(df: DataFrame, key: str, time: str, value: DataFrame | str | None = None, row_id: str | None = None, stable_input: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -101,4 +107,4 @@ def hot_keys(stats: DataFrame, rows: DataFrame, share: float = 0.03) -> DataFram
     The table's size comes from the row counts of its files, not from a second run of the chunks.
     """
     total = rows.agg(F.count(F.lit(1)).alias("_total"))  # one row, so the join has no more rows than stats
-    return stats.join(F.broadcast(total)).where(F.col("key").isNotNull() & (F.col("n_rows") * 1000 >= F.lit(round(share * 1000)) * F.col("_total"))).drop("_total")
+    return stats.join(F.broadcast(total)).where(F.col("key").isNotNull() & (F.col("n_rows").cast("decimal(19,0)") >= F.lit(Decimal(str(share))) * F.col("_total").cast("decimal(19,0)"))).drop("_total")

@@ -28,7 +28,8 @@ from ..session import cut
 
 SHARD_SLOTS = 4096
 MAX_GAP_SLOTS = 12
-SALTS = 16
+SALTS = 16  # of a source and day
+DAY_MS = 86_400_000
 
 
 def usable(time: Column, value: Column, stale: Column | None = None) -> Column:
@@ -40,13 +41,16 @@ def slot_knots(readings: DataFrame, grids: DataFrame) -> DataFrame:
     """origin, device, slot, and the knot (t_us, v) of each slot that has a usable reading.
 
     readings: origin, device, t_us (microseconds), v, usable ones only.  The few grid rows are
-    repeated once per salt and readings pick a salt by their time, so that a source with a third
-    of all readings is joined by many tasks; the last reading of a slot is combined map-side.
+    repeated for every day of the grid and salt, and readings pick theirs by their time, so that a
+    source with a third of all readings is joined by as many tasks as it has days, times the salts
+    for a day that has most of them; the last reading of a slot is combined map-side.
     """
-    salted = grids.select("origin", "device", "step_ms", "start_ms", "end_ms").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    r = readings.withColumn("_salt", F.pmod(F.xxhash64("t_us", "v"), F.lit(SALTS)).cast("int"))
+    day = lambda ms: F.floor(ms / DAY_MS)
+    salted = grids.select("origin", "device", "step_ms", "start_ms", "end_ms", F.explode(F.sequence(day(F.col("start_ms")), day(F.col("end_ms") - 1))).alias("_day"))
+    salted = salted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    r = readings.withColumn("_day", day(F.col("t_us") / 1000)).withColumn("_salt", F.pmod(F.xxhash64("t_us", "v"), F.lit(SALTS)).cast("int"))
     # the grids grow with the data: they are hashed per partition, never broadcast
-    j = r.join(salted.hint("shuffle_hash"), ["origin", "device", "_salt"])
+    j = r.join(salted.hint("shuffle_hash"), ["origin", "device", "_day", "_salt"])
     j = j.where((F.col("t_us") >= F.col("start_ms") * 1000) & (F.col("t_us") < F.col("end_ms") * 1000))
     slot = F.floor((F.col("t_us") - F.col("start_ms") * 1000) / (F.col("step_ms") * 1000)).cast("bigint")
     return j.groupBy("origin", "device", slot.alias("slot")).agg(F.max(F.struct("t_us", "v")).alias("knot"))

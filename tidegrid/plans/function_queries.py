@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..engine import MetricsEngine
 from ..functions import rollups
+from ..operators import relabel as relabeling
 from ..operators.relabel import relabel
-from ..sources import store
+from ..rules import rules
+from ..sources import formats, protobuf, store, wire_out
 from .metric_queries import DAY, EL, END, START, STEP, W2, C, S, adder, events, flat, grid_sql, ordered_cte, ranged, rolled, series_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -333,3 +335,48 @@ relabeled("labelmap_all", {"regex": "_", "replacement": "X"}, name="''", labels=
 relabeled("labelkeep", {"regex": "user_.*"}, name="''", labels={"event_type": "none"})
 relabeled("lowercase", {"source_labels": ["event_type", "user_id"], "separator": "-X-", "target_label": "low"}, labels={"low": f"{_E} || '-x-' || {_U}"})
 relabeled("graphite", {"match": "events_*", "labels": {"rest": "${1}!", "__name__": "g_$1"}}, name="'g_value'", labels={"rest": "'value!'"})
+
+
+def _xxh64_sql(text: str) -> str:
+    """The hash of a text of one to four ASCII characters, step by step as the specification has it."""
+    p1, p2, p3, _, p5 = (f"{p}::UHUGEINT" for p in (relabeling.P1, relabeling.P2, relabeling.P3, relabeling.P4, relabeling.P5))
+    cut = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)"
+    xor = lambda a, b: f"xor(({a})::UBIGINT, ({b})::UBIGINT)::UHUGEINT"
+    rot = lambda c, n: cut(f"{c} * {2**n}::UHUGEINT + {c} // {2 ** (64 - n)}::UHUGEINT")
+    byte = lambda i: f"ascii(x[{i}])::UHUGEINT"
+    steps = [f"h0 AS (SELECT x, length(x) AS n, {p5} + length(x)::UHUGEINT AS h FROM (SELECT DISTINCT {text} AS x FROM events))"]
+    for i in range(1, 4):
+        steps.append(f"m{i} AS (SELECT *, CASE WHEN n < 4 AND n >= {i} THEN {xor('h', cut(f'{byte(i)} * {p5}'))} ELSE h END AS c FROM {'h0' if i == 1 else f'h{i - 1}'}), h{i} AS (SELECT x, n, CASE WHEN n < 4 AND n >= {i} THEN {cut(rot('c', 11) + f' * {p1}')} ELSE h END AS h FROM m{i})")
+    word = " + ".join(f"{byte(i + 1)} * {256**i}::UHUGEINT" for i in range(4))
+    steps.append(f"m4 AS (SELECT *, CASE WHEN n = 4 THEN {xor('h', cut(f'({word}) * {p1}'))} ELSE h END AS c FROM h3), h4 AS (SELECT x, CASE WHEN n = 4 THEN {cut(rot('c', 23) + f' * {p2} + {p3}')} ELSE h END AS h FROM m4)")
+    mix = lambda n: xor("h", f"h // {2**n}::UHUGEINT")
+    steps += [f"h5 AS (SELECT x, {cut(mix(33) + f' * {p2}')} AS h FROM h4)", f"h6 AS (SELECT x, {cut(mix(29) + f' * {p3}')} AS h FROM h5)", f"hash AS (SELECT x, {mix(32)} AS h FROM h6)"]
+    return ", ".join(steps)
+
+
+add("relabel_hashmod", lambda spark, d: relabel(events(spark, d), [{"action": "hashmod", "source_labels": ["user_id"], "modulus": 97, "target_label": "part"}]).select(C("labels")["user_id"].alias("user_id"), C("labels")["part"].alias("part"), "ts_ms"), f"WITH {_xxh64_sql(_U)} SELECT x AS user_id, CAST(h % 97 AS VARCHAR) AS part, epoch_us(ts) // 1000 AS ts_ms FROM events JOIN hash ON x = {_U}")
+
+# formats that SQL cannot write: written by this library, read back by its other half
+_BACK = "SELECT 'events_value' AS name, event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS ts_ms, round(value, 4) AS value FROM events"
+add("source_remote_write", lambda spark, d: flat(protobuf.remote_write(wire_out.messages(events(spark, d), "remote_write")), EL), _BACK)
+add("source_otlp", lambda spark, d: flat(protobuf.otlp(wire_out.messages(events(spark, d), "otlp"), encoding="gzip"), EL), _BACK)
+for _enc in ("gzip", "deflate", "zstd"):
+    add(f"source_compressed_{_enc}", lambda spark, d, e=_enc: flat(formats.prometheus(wire_out.text_lines(wire_out.text_bodies(store.export_prometheus(events(spark, d)), encoding=e), encoding=e)), EL), _BACK)
+add("source_extra_labels", lambda spark, d: flat(formats.prometheus(store.export_prometheus(events(spark, d)), extra={"job": "x", "event_type": "all"}), [*EL, "job"]), _BACK.replace(" event_type,", " 'all' AS event_type, 'x' AS job,"))
+
+# alerts as series
+_BUSY = rules.Rule("sum(count_over_time(events_value[6h])) by (event_type) > 18", alert="Busy", for_="12h")
+
+
+def alert_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = rules.alert_states(MetricsEngine(events(spark, sf_dir)), rules.Group("g", [], "6h"), _BUSY, START, END)
+    a = rules.alert_samples(states, STEP)
+    return a.select("name", *(C("labels")[x].alias(x) for x in ("alertname", "event_type", "alertstate")), "ts_ms", "value", "is_stale")
+
+
+_RUNS = f"""{rolled('count(v)', STEP)}, q AS (SELECT event_type, g FROM r GROUP BY event_type, g HAVING sum(v) > 18),
+  i AS (SELECT *, g - {STEP} * row_number() OVER (PARTITION BY event_type ORDER BY g) AS isl FROM q), a AS (SELECT *, min(g) OVER (PARTITION BY event_type, isl) AS active_at FROM i),
+  st AS (SELECT *, CASE WHEN g - active_at >= {12 * 3_600_000} THEN 'firing' ELSE 'pending' END AS state FROM a),
+  live AS (SELECT 'ALERTS' AS name, event_type, state AS alertstate, g, CAST(1 AS DOUBLE) AS v FROM st UNION ALL SELECT 'ALERTS_FOR_STATE', event_type, NULL, g, active_at / 1000 FROM st),
+  ends AS (SELECT name, event_type, alertstate, g + {STEP} AS g FROM live QUALIFY coalesce(lead(g) OVER (PARTITION BY name, event_type, alertstate ORDER BY g) > g + {STEP}, true))"""
+add("rule_alert_series", alert_series, f"WITH {_RUNS} SELECT name, 'Busy' AS alertname, event_type, alertstate, g AS ts_ms, v AS value, false AS is_stale FROM live UNION ALL SELECT name, 'Busy', event_type, alertstate, g, NULL, true FROM ends")

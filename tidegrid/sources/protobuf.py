@@ -235,9 +235,8 @@ def _metric_rows(metric: memoryview, own: dict[str, str]) -> Iterator[Row]:
             gone = bool(p.get({5: 8, 7: 8, 9: 10, 10: 10, 11: 8}[n], (0, 0))[1] & 1)
             value = lambda v, gone=gone: STALE if gone else v
             if n in (5, 7):
-                v = double(p[4][1]) if 4 in p else float(signed(fixed(p[6][1]))) if 6 in p else None
-                if v is not None or gone:
-                    yield name, labels, ts, value(v)
+                # a point without a value counts as zero
+                yield name, labels, ts, value(double(p[4][1]) if 4 in p else float(signed(fixed(p[6][1]))) if 6 in p else 0.0)
                 continue
             count = float(fixed(p[4][1])) if 4 in p else 0.0
             if n == 9:
