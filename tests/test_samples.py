@@ -146,7 +146,7 @@ def test_streaming_matches_batch(spark, tmp_path, dedup):
     df.repartition(1).write.parquet(str(tmp_path / "in"))
     later = spark.createDataFrame([("m", {"a": "0"}, 1_700_009_000_000, 0.0, False)], SAMPLES)
     last = spark.createDataFrame([("m", {"a": "0"}, 1_700_019_000_000, 0.0, False)], SAMPLES)
-    c = aggregation.Config("1m", ["sum_samples"] if dedup else ["sum_samples", "last", "count_samples"], by=["a"], dedup_interval=dedup)
+    c = aggregation.Config("1m", ["avg"] if dedup else ["avg", "last", "count_samples"], by=["a"], dedup_interval=dedup)
     want = flat(aggregation.aggregate(df, c))
     src = spark.readStream.schema(SAMPLES).parquet(str(tmp_path / "in"))
     q = aggregation.aggregate(src, c).writeStream.format("memory").queryName("agg").outputMode("append").start()
@@ -195,6 +195,92 @@ def test_counter_stream_matches_batch(spark, tmp_path):
     assert [r for r in flat(spark.table("inc")) if r[1] != (("a", "9"),)] == want
 
 
+def streamed(spark, tmp_path, rows, make, schema=None, name="out"):
+    """What a streaming query gives for rows, then for samples far later that push the watermark on."""
+    src_dir = str(tmp_path / f"in_{name}")
+    spark.createDataFrame(rows, SAMPLES).repartition(1).write.parquet(src_dir)
+    src = spark.readStream.schema(SAMPLES).parquet(src_dir)
+    w = make(src).writeStream.outputMode("append")
+    if schema:
+        q = w.format("parquet").option("checkpointLocation", str(tmp_path / f"c_{name}")).start(str(tmp_path / name))
+    else:
+        q = w.format("memory").queryName(name).start()
+    q.processAllAvailable()
+    for t in (1_700_009_000_000, 1_700_019_000_000, 1_700_029_000_000):
+        spark.createDataFrame([("m", {"a": "z"}, t, 0.0, False)], SAMPLES).write.mode("append").parquet(src_dir)
+        q.processAllAvailable()
+    q.stop()
+    return spark.readStream.schema(schema).parquet(str(tmp_path / name)) if schema else spark.table(name)
+
+
+# samples with a pause of three intervals (idle, then forgotten) and one of one interval, falls, and two groups
+def pausing():
+    at = [*range(0, 130, 7), *range(200, 260, 11), *range(700, 800, 13)]
+    return [("m", {"a": str(g), "b": str(b)}, 1_700_000_000_000 + (t + b) * 1000, float((t * (g + 3) + b) % 97), False) for t in at for g in range(2) for b in range(2) if not (g == 1 and t > 600)]
+
+
+def closed(spark, tmp_path, schema, name, extra):
+    """A stored stream of results with a row far later, which closes what is before it."""
+    end = spark.createDataFrame([("m", 1_700_099_000.0)], "g string, t double").select("g", F.timestamp_seconds("t").alias("ts"), *(F.lit(v).cast(t).alias(k) for k, (t, v) in extra.items()))
+    spark.read.schema(schema).parquet(str(tmp_path / name)).unionByName(end).repartition(1).write.parquet(str(tmp_path / f"all_{name}"))
+    return spark.readStream.schema(schema).parquet(str(tmp_path / f"all_{name}"))
+
+
+def drained(spark, df, name):
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    return [(r[0], r[1], r[2], round(r[3], 6)) for r in flat(spark.table(name)) if r[2] < 1_700_009_000_000]
+
+
+def on_table(spark, c):
+    return [(r[0], r[1], r[2], round(r[3], 6)) for r in flat(aggregation.aggregate(spark.createDataFrame(pausing(), SAMPLES), c))]
+
+
+END = {"x": ("string", ""), "end_ms": ("bigint", 1_700_099_040_000), "n": ("double", 0.0), "last": ("bigint", 1_700_099_000_000)}
+
+
+@pytest.mark.parametrize("output", ["sum_samples", "sum_samples_total", "histogram_bucket"])
+def test_running_outputs_match_on_streams_and_tables(spark, tmp_path, output):
+    c = aggregation.Config("1m", [output], by=["a"])
+    want = on_table(spark, c)
+    streamed(spark, tmp_path, pausing(), lambda d: aggregation.interval_sums(d, c, output), aggregation.SUMS, f"s_{output}")
+    sums = closed(spark, tmp_path, aggregation.SUMS, f"s_{output}", END)
+    assert drained(spark, aggregation.flush_stream(sums, c, output), f"f_{output}") == want
+    assert len({r[2] for r in want}) > len({t[2] // 60_000 for t in pausing()})  # there are idle ends
+    with pytest.raises(ValueError, match="flush_stream"):
+        aggregation.aggregate(sums.select(F.lit("m").alias("name"), F.create_map().cast("map<string,string>").alias("labels"), F.col("last").alias("ts_ms"), F.col("n").alias("value"), F.lit(False).alias("is_stale")), c)
+
+
+@pytest.mark.parametrize("output", ["total", "total_prometheus"])
+def test_totals_match_on_streams_and_tables(spark, tmp_path, output):
+    c = aggregation.Config("1m", [output], by=["a"])
+    deltas_schema = "g string, sk string, ts timestamp, delta double"
+    streamed(spark, tmp_path, pausing(), lambda d: aggregation.counter_stream(d, c, output == "total"), deltas_schema, f"d_{output}")
+    deltas = closed(spark, tmp_path, deltas_schema, f"d_{output}", {"sk": ("string", "m"), "delta": ("double", 0.0)})
+    q = aggregation.interval_sums(deltas, c, output).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c2")).outputMode("append").start(str(tmp_path / f"s_{output}"))
+    q.processAllAvailable()
+    q.stop()
+    sums = closed(spark, tmp_path, aggregation.SUMS, f"s_{output}", END)
+    assert drained(spark, aggregation.flush_stream(sums, c, output), f"t_{output}") == on_table(spark, c)
+
+
+@pytest.mark.parametrize("output", ["rate_sum", "rate_avg"])
+def test_rates_match_on_streams_and_tables(spark, tmp_path, output):
+    c = aggregation.Config("1m", [output], by=["a"])
+    schema = "g string, sk string, ts timestamp, rate double"
+    streamed(spark, tmp_path, pausing(), lambda d: aggregation.rate_parts(d, c), schema, f"p_{output}")
+    parts = closed(spark, tmp_path, schema, f"p_{output}", {"sk": ("string", "m"), "rate": ("double", 0.0)})
+    assert drained(spark, aggregation.rate_stream(parts, c, output), f"r_{output}") == on_table(spark, c)
+
+
+def test_running_values_begin_anew_after_staleness(spark):
+    rows = [("m", {}, t * 1000, 1.0, False) for t in (10, 20, 70, 400)]
+    c = aggregation.Config("1m", ["sum_samples_total"])
+    got = {r.ts_ms // 1000: r.value for r in aggregation.aggregate(spark.createDataFrame(rows, SAMPLES), c).collect()}
+    assert got == {60: 2.0, 120: 3.0, 180: 3.0, 420: 1.0, 480: 1.0}
+
+
 def test_aggregation_config():
     for bad in ({"interval": "100ms", "outputs": ["avg"]}, {"interval": "1m", "outputs": []}, {"interval": "1m", "outputs": ["avg", "avg"]}, {"interval": "1m", "outputs": ["nope"]}, {"interval": "1m", "outputs": ["avg"], "by": ["a"], "without": ["b"]}, {"interval": "1m", "outputs": ["quantiles(2)"]}, {"interval": "1m", "outputs": ["avg"], "dedup_interval": "7s"}, {"interval": "1m", "outputs": ["avg"], "staleness_interval": "1s"}, {"interval": "1m", "outputs": ["avg", "max"], "keep_metric_names": True}):
         with pytest.raises(ValueError, match=r".+"):

@@ -393,27 +393,42 @@ for _f, _sql in {
     "min": "min(value)",
     "stddev": "stddev_pop(value)",
     "stdvar": "var_pop(value)",
-    "sum_samples": "sum(value)",
     "unique_samples": "CAST(count(DISTINCT value) AS DOUBLE)",
 }.items():
     add(f"interval_{_f}", interval(_f, ["event_type"], by=["event_type"]), f"SELECT 'events_value:6h_by_event_type_{_f}' AS name, event_type, (epoch_us(ts) // 1000 // {_H} + 1) * {_H} AS ts_ms, round({_sql}, 4) AS value FROM events GROUP BY event_type, epoch_us(ts) // 1000 // {_H}")
 add("interval_quantiles", interval("quantiles(0.5, 0.9)", ["event_type", "quantile"], by=["event_type"]), f"WITH a AS (SELECT event_type, epoch_us(ts) // 1000 // {_H} AS b, list_sort(list(value)) AS vs FROM events GROUP BY ALL) SELECT 'events_value:6h_by_event_type_quantiles' AS name, event_type, CAST(p AS VARCHAR) AS quantile, (b + 1) * {_H} AS ts_ms, round(vs[CAST(floor(p * (len(vs) - 1) + 0.5) AS BIGINT) + 1], 4) AS value FROM a, (SELECT unnest([0.5, 0.9]::DOUBLE[]) AS p)")
-add("interval_sum_samples_total", interval("sum_samples_total", ["event_type"], by=["event_type"]), f"WITH a AS (SELECT event_type, epoch_us(ts) // 1000 // {_H} AS b, sum(value) AS s FROM events GROUP BY ALL) SELECT 'events_value:6h_by_event_type_sum_samples_total' AS name, event_type, (b + 1) * {_H} AS ts_ms, round(sum(s) OVER (PARTITION BY event_type ORDER BY b), 4) AS value FROM a")
+
+
+def flushed(output: str, value: str, idle: str) -> str:
+    """SQL of an output that has results until a group is stale, from a(event_type, b, s, last): b numbers the intervals."""
+    gone = f"((pl + {2 * _H}) // {_H} + 1) * {_H}"
+    return f"""f AS (SELECT *, (b + 1) * {_H} AS e, lag(last) OVER w AS pl, lead(b) OVER w AS nb FROM a WINDOW w AS (PARTITION BY event_type ORDER BY b)),
+      rn AS (SELECT *, sum(CASE WHEN {gone} <= e - {_H} THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY b) AS run FROM f),
+      tot AS (SELECT *, sum(s) OVER (PARTITION BY event_type, run ORDER BY b) AS total FROM rn),
+      fl AS (SELECT event_type, run, e, {value} AS v FROM tot UNION ALL SELECT event_type, run, unnest(range(e + {_H}, least(coalesce(nb * {_H}, e + {9 * _H}), (last + {2 * _H}) // {_H} * {_H}) + 1, {_H})), {idle} FROM tot)
+      SELECT 'events_value:6h_by_event_type_{output}' AS name, event_type, e AS ts_ms, round(v, 4) AS value FROM fl"""
+
+
+_SUMS = f"a AS (SELECT event_type, epoch_us(ts) // 1000 // {_H} AS b, sum(value) AS s, max(epoch_us(ts) // 1000) AS last FROM events GROUP BY ALL)"
+add("interval_sum_samples", interval("sum_samples", ["event_type"], by=["event_type"]), f"WITH {_SUMS}, {flushed('sum_samples', 's', '0')}")
+add("interval_sum_samples_total", interval("sum_samples_total", ["event_type"], by=["event_type"]), f"WITH {_SUMS}, {flushed('sum_samples_total', 'total', 'total')}")
 _DELTAS = f"""l AS (SELECT event_type, user_id, epoch_us(ts) // 1000 AS t, value AS v, lag(value) OVER w AS p, lag(epoch_us(ts) // 1000) OVER w AS pt FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts)),
   dd AS (SELECT event_type, user_id, t, t // {_H} AS b, CASE WHEN pt + {2 * _H} >= t THEN CASE WHEN v >= p THEN v - p ELSE v END ELSE FIRST END AS d FROM l)"""
 for _f, _first in (("increase", "v"), ("increase_prometheus", "0")):
     add(f"interval_{_f}", interval(_f, ["event_type"], by=["event_type"]), f"WITH {_DELTAS.replace('FIRST', _first)} SELECT 'events_value:6h_by_event_type_{_f}' AS name, event_type, (b + 1) * {_H} AS ts_ms, round(sum(d), 4) AS value FROM dd GROUP BY event_type, b")
 for _f, _first in (("total", "v"), ("total_prometheus", "0")):
-    add(f"interval_{_f}", interval(_f, ["event_type"], by=["event_type"]), f"WITH {_DELTAS.replace('FIRST', _first)}, a AS (SELECT event_type, b, sum(d) AS s FROM dd GROUP BY ALL) SELECT 'events_value:6h_by_event_type_{_f}' AS name, event_type, (b + 1) * {_H} AS ts_ms, round(sum(s) OVER (PARTITION BY event_type ORDER BY b), 4) AS value FROM a")
+    add(f"interval_{_f}", interval(_f, ["event_type"], by=["event_type"]), f"WITH {_DELTAS.replace('FIRST', _first)}, a AS (SELECT event_type, b, sum(d) AS s, max(t) AS last FROM dd GROUP BY ALL), {flushed(_f, 'total', 'total')}")
 for _f, _agg in (("rate_sum", "sum"), ("rate_avg", "avg")):
     add(f"interval_{_f}", interval(_f, ["event_type"], by=["event_type"]), f"""WITH {_DELTAS.replace('FIRST', '0')}, q AS (SELECT event_type, user_id, b, sum(d) AS inc, max(t) AS t, min(t) AS t0 FROM dd GROUP BY ALL),
         z AS (SELECT *, (t - CASE WHEN lag(b) OVER w + 2 >= b THEN lag(t) OVER w ELSE t0 END) / 1000.0 AS dt FROM q WINDOW w AS (PARTITION BY event_type, user_id ORDER BY b))
         SELECT 'events_value:6h_by_event_type_{_f}' AS name, event_type, (b + 1) * {_H} AS ts_ms, round({_agg}(inc / dt), 4) AS value FROM z WHERE dt > 0 GROUP BY event_type, b""")
 _EDGE = "printf('%.3e', pow(10.0, ({i}) / 18.0 - 9))"
 add("interval_histogram_bucket", interval("histogram_bucket", ["event_type", "vmrange"], by=["event_type"]), f"""WITH q AS (SELECT event_type, epoch_us(ts) // 1000 // {_H} AS b, CASE WHEN value <= 1e-9 THEN -1 ELSE ceil((log10(value) + 9) * 18 - 1e-9) - 1 END AS i FROM events WHERE value >= 0),
-  x AS (SELECT event_type, b, CASE WHEN i < 0 THEN '0...1.000e-09' ELSE {_EDGE.format(i="i")} || '...' || {_EDGE.format(i="i + 1")} END AS vmrange, count(*) AS n FROM q GROUP BY ALL)
-  SELECT 'events_value:6h_by_event_type_histogram_bucket' AS name, event_type, vmrange, (b + 1) * {_H} AS ts_ms, CAST(sum(n) OVER (PARTITION BY event_type, vmrange ORDER BY b) AS DOUBLE) AS value FROM x""")
-add("interval_dedup_without", interval("sum_samples", ["event_type"], without=["user_id"], dedup_interval="1h"), f"WITH x AS (SELECT event_type, user_id, epoch_us(ts) // 1000 AS t, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id, epoch_us(ts) // 1000 // {HOUR} ORDER BY ts DESC, value DESC) = 1) SELECT 'events_value:6h_without_user_id_sum_samples' AS name, event_type, (t // {_H} + 1) * {_H} AS ts_ms, round(sum(value), 4) AS value FROM x GROUP BY event_type, t // {_H}")
+  x AS (SELECT event_type, b, CASE WHEN i < 0 THEN '0...1.000e-09' ELSE {_EDGE.format(i="i")} || '...' || {_EDGE.format(i="i + 1")} END AS vmrange, count(*) AS n FROM q GROUP BY ALL),
+  {_SUMS}, {flushed("", "s", "s").split("SELECT 'events")[0]}, y AS (SELECT x.*, run FROM x JOIN rn USING (event_type, b)),
+  ev AS (SELECT y.event_type, y.run, vmrange, fl.e, sum(n) AS value FROM y JOIN fl ON fl.event_type = y.event_type AND fl.run = y.run AND fl.e >= (y.b + 1) * {_H} GROUP BY ALL)
+  SELECT 'events_value:6h_by_event_type_histogram_bucket' AS name, event_type, vmrange, e AS ts_ms, CAST(value AS DOUBLE) AS value FROM ev""")
+add("interval_dedup_without", interval("sum_samples", ["event_type"], without=["user_id"], dedup_interval="1h"), f"WITH x AS (SELECT event_type, user_id, epoch_us(ts) // 1000 AS t, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id, epoch_us(ts) // 1000 // {HOUR} ORDER BY ts DESC, value DESC) = 1), a AS (SELECT event_type, t // {_H} AS b, sum(value) AS s, max(t) AS last FROM x GROUP BY ALL), {flushed('sum_samples', 's', '0').replace('6h_by_event_type', '6h_without_user_id')}")
 
 # sources: the samples of a table written in a format and read back
 def round_trip(write: Callable[[], Column], read: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -8,8 +8,17 @@ the clock would use the time of the flush.
   and tables.  Distinct counts (count_series, unique_samples) are exact on both; on a stream they are
   two aggregates, one row per distinct value and then their number, which wants output mode append.
 * Counter outputs (increase, total, rate) need each series' previous sample.  Over a table that is
-  a sort of time shards; on a stream it is per-series state (``counter_stream``) that emits deltas to a
-  table, whose stream the same windowed aggregate sums (``increase_stream``).
+  a sort of time shards; on a stream it is per-series state (``counter_stream``, ``rate_parts``) that
+  emits deltas or rates to a table, whose stream the same windowed aggregates take (``increase_stream``,
+  ``interval_sums``, ``rate_stream``).
+* Running outputs (histogram_bucket, sum_samples_total, total) and sum_samples have a result at the
+  end of every interval until ``staleness_interval`` after a group's last sample, also where it has
+  none; after that the group is forgotten and its running values begin anew.  On a stream the sums of
+  intervals (``interval_sums``) go to a table, and ``flush_stream`` reads it with a state per group that
+  a timeout by event time wakes up.  Running values are not cut at 2^53.
+
+Where a stream takes two queries, a table lies between them because rows that a state emits late
+would fall behind one query's common watermark, and because Spark allows no state after an aggregate.
 """
 
 from __future__ import annotations
@@ -33,6 +42,8 @@ C = F.col
 STATELESS = ("avg", "count_samples", "count_series", "last", "max", "min", "stddev", "stdvar", "sum_samples", "unique_samples")
 COUNTERS = ("increase", "increase_prometheus", "total", "total_prometheus", "rate_avg", "rate_sum")
 RUNNING = ("histogram_bucket", "sum_samples_total")
+FLUSHED = (*RUNNING, "sum_samples")  # with a result at the end of idle intervals too
+SUMS = "g string, x string, ts timestamp, end_ms bigint, n double, last bigint"
 
 
 @dataclass
@@ -180,8 +191,10 @@ def aggregate(samples: DataFrame, c: Config) -> DataFrame:
     """All outputs of a configuration over a table of samples, or over a stream for outputs without memory."""
     streaming = samples.isStreaming
     if streaming:
-        if any(o in COUNTERS + RUNNING for o in c.outputs):
-            raise ValueError("on a stream, take counters through counter_stream")
+        if any(o in COUNTERS for o in c.outputs):
+            raise ValueError("on a stream, take counters through counter_stream or rate_parts")
+        if any(o in FLUSHED for o in c.outputs):
+            raise ValueError("on a stream, take sum_samples and running outputs through interval_sums and flush_stream")
         if c.ignore_first_intervals:
             raise ValueError("ignore_first_intervals is not supported on a stream")
         samples = samples.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", c.watermark)
@@ -205,6 +218,9 @@ def _output(d: DataFrame, c: Config, o: str, streaming: bool) -> DataFrame:
         end = F.unix_millis("w.end").alias("end_ms")
     else:
         keys, end = ["g", "end_ms"], C("end_ms")
+    if o == "sum_samples":
+        sums = d.groupBy("g", "end_ms").agg(F.sum("v").alias("n"), F.max("ts_ms").alias("last"))
+        return _named(_flushes(sums, c).select("g", "end_ms", F.when(C("idle"), 0.0).otherwise(C("n")).alias("value")), c, o)
     if o in SIMPLE:
         return _named(d.groupBy(*keys).agg(SIMPLE[o]().alias("value")).select("g", end, "value"), c, o)
     if o in DISTINCT and streaming:
@@ -217,15 +233,22 @@ def _output(d: DataFrame, c: Config, o: str, streaming: bool) -> DataFrame:
         qs = F.array(*(F.struct(F.lit(repr(p) if p != int(p) else str(int(p))).alias("x"), nearest_rank(C("vs"), p).alias("value")) for p in c.phis(o)))
         return _named(a.select("g", "end_ms", F.explode(qs).alias("q")).select("g", "end_ms", "q.x", "q.value"), c, o)
     if o == "histogram_bucket":
-        b = d.where(C("v") >= 0).select("g", "end_ms", bucket_name(C("v")).alias("x")).groupBy("g", "end_ms", "x").agg(F.count(F.lit(1)).alias("n"))
-        return _named(_running(b, ["g", "x"], "n", c), c, o)
+        f = _flushes(d.groupBy("g", "end_ms").agg(F.max("ts_ms").alias("last")), c).select("g", "run", "end_ms")
+        b = d.where(C("v") >= 0).groupBy("g", "end_ms", bucket_name(C("v")).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        b = b.join(f, ["g", "end_ms"])
+        # every bucket seen so far is given at every later end of its run; buckets are a bounded set
+        seen = b.groupBy("g", "run", "x").agg(F.min("end_ms").alias("since"))
+        every = seen.join(f, ["g", "run"]).where(C("end_ms") >= C("since")).select("g", "run", "x", "end_ms")
+        run = Window.partitionBy("g", "run", "x").orderBy("end_ms").rowsBetween(Window.unboundedPreceding, 0)
+        total = every.join(b, ["g", "run", "x", "end_ms"], "left").withColumn("value", F.sum("n").over(run))
+        return _named(total.select("g", "end_ms", "x", "value"), c, o)
     if o == "sum_samples_total":
-        return _named(_running(d.groupBy("g", "end_ms").agg(F.sum("v").alias("n")), ["g"], "n", c), c, o)
+        return _named(_running(d.groupBy("g", "end_ms").agg(F.sum("v").alias("n"), F.max("ts_ms").alias("last")), c), c, o)
     deltas = counter_deltas(d, c, keep_first=not o.endswith("_prometheus"))
     if o in ("increase", "increase_prometheus"):
         return _named(deltas.groupBy("g", "end_ms").agg(F.sum("delta").alias("value")), c, o)
     if o in ("total", "total_prometheus"):
-        return _named(_running(deltas.groupBy("g", "end_ms").agg(F.sum("delta").alias("n")), ["g"], "n", c), c, o)
+        return _named(_running(deltas.groupBy("g", "end_ms").agg(F.sum("delta").alias("n"), F.max("ts_ms").alias("last")), c), c, o)
     # rates: each series' increase over the time since its last sample of the interval before
     s = counter_deltas(d, c, keep_first=False).groupBy("g", "sk", "end_ms").agg(F.sum("delta").alias("inc"), F.max("ts_ms").alias("t"), F.min("ts_ms").alias("t0"))
     prev = F.lag("t").over(Window.partitionBy("g", "sk").orderBy("end_ms"))
@@ -250,10 +273,91 @@ def counter_deltas(d: DataFrame, c: Config, keep_first: bool) -> DataFrame:
     return d.select("g", "sk", "ts_ms", "end_ms", delta.alias("delta"))
 
 
-def _running(b: DataFrame, keys: list[str], n: str, c: Config) -> DataFrame:
-    """Running totals over intervals, given at every interval in which the key has samples."""
-    run = Window.partitionBy(*keys).orderBy("end_ms").rowsBetween(Window.unboundedPreceding, 0)
-    return b.withColumn("value", F.sum(n).over(run))
+def _flushes(sums: DataFrame, c: Config) -> DataFrame:
+    """The ends of intervals at which each group has a result: sums with run and idle.
+
+    sums has g, end_ms, last (the last sample's time) and more, a row per interval with samples.
+    An idle row repeats its interval's columns at a later end, until staleness; ``run`` changes
+    where a group had been forgotten.
+    """
+    i, stale = c.interval_ms, c.staleness_ms
+    w = Window.partitionBy("g").orderBy("end_ms")
+    gone = (F.floor((F.lag("last").over(w) + stale) / i) + 1) * i  # the end at which the group is forgotten
+    d = sums.withColumn("_new", F.coalesce((gone <= C("end_ms") - i).cast("int"), F.lit(0))).withColumn("_next", F.lead("end_ms").over(w))
+    d = d.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    until = F.least(F.coalesce(C("_next") - i, F.floor((C("last") + stale) / i) * i), F.floor((C("last") + stale) / i) * i)
+    ends = F.sequence(C("end_ms").cast("bigint"), F.greatest(until, C("end_ms")).cast("bigint"), F.lit(i).cast("bigint"))
+    rest = [x for x in sums.columns if x != "end_ms"]
+    return d.select(*rest, "run", F.posexplode(ends).alias("_i", "end_ms")).select(*rest, "run", "end_ms", (C("_i") > 0).alias("idle"))
+
+
+def _running(sums: DataFrame, c: Config) -> DataFrame:
+    """Running totals of n at every end at which a group has a result."""
+    run = Window.partitionBy("g", "run").orderBy("end_ms").rowsBetween(Window.unboundedPreceding, 0)
+    return _flushes(sums, c).select("g", "end_ms", F.sum(F.when(C("idle"), 0.0).otherwise(C("n"))).over(run).alias("value"))
+
+
+def interval_sums(d: DataFrame, c: Config, output: str) -> DataFrame:
+    """On a stream: SUMS of every group and interval with samples (histogram_bucket: and bucket), to be written to a table.
+
+    d has samples, or for total and total_prometheus the stored deltas of counter_stream.
+    """
+    if "delta" in d.columns:
+        d = d.withWatermark("ts", c.watermark).select("g", "ts", F.unix_millis("ts").alias("ts_ms"), C("delta").alias("v"))
+    else:
+        d = _prepared(d.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", c.watermark), c)
+        d = _deduplicated_stream(d, c) if c.dedup_ms else d
+    what = [bucket_name(C("v")).alias("x"), F.lit(1.0).alias("n")] if output == "histogram_bucket" else [F.lit("").alias("x"), C("v").alias("n")]
+    d = (d.where("v >= 0") if output == "histogram_bucket" else d).select("g", "ts", "ts_ms", *what)
+    w = d.groupBy("g", "x", F.window("ts", f"{c.interval_ms} milliseconds").alias("w")).agg(F.sum("n").alias("n"), F.max("ts_ms").alias("last"))
+    return w.select("g", "x", F.window_time("w").alias("ts"), F.unix_millis("w.end").alias("end_ms"), "n", "last")
+
+
+def flush_stream(sums: DataFrame, c: Config, output: str) -> DataFrame:
+    """On a stream of stored SUMS: the output of every group at the end of every interval until it is stale."""
+    share_code(sums.sparkSession)
+    i, stale, anew = c.interval_ms, c.staleness_ms, output == "sum_samples"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        names, counts, last, done = state.get if state.exists else ([], [], 0, 0)
+        # what is held per bucket ("" without buckets): running counts or sums, or nothing between intervals
+        held, out = dict(zip(names, counts, strict=True)), []
+
+        def flush(end: int) -> None:
+            out.extend((end, x, n) for x, n in held.items())
+
+        rows = []
+        if not state.hasTimedOut:
+            b = pd.concat(list(batches))
+            rows = sorted(zip(b["end_ms"].tolist(), b["x"].tolist(), b["n"].tolist(), b["last"].tolist(), strict=True))
+        ends = sorted({r[0] for r in rows})
+        for end in ends:
+            while done and done + i < end and done + i <= last + stale:
+                done += i
+                flush(done)
+            if done and (last + stale) // i * i + i <= end - i:
+                held.clear()
+            for _, x, n, t in (r for r in rows if r[0] == end):
+                held[x] = held.get(x, 0.0) + n
+                last = max(last, t)
+            done = end
+            flush(end)
+            if anew:
+                held = dict.fromkeys(held, 0.0)
+        now = state.getCurrentWatermarkMs()
+        while done + i <= now and done + i <= last + stale:
+            done += i
+            flush(done)
+        if done + i <= now or done + i > last + stale and state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((list(held), list(held.values()), int(last), int(done)))
+            state.setTimeoutTimestamp(max(done + i, now + 1))
+        if out:
+            yield pd.DataFrame({"g": key[0], "end_ms": [x[0] for x in out], "x": [x[1] for x in out], "value": [float(x[2]) for x in out]})
+
+    d = sums.withWatermark("ts", c.watermark).groupBy("g").applyInPandasWithState(step, "g string, end_ms bigint, x string, value double", "names array<string>, counts array<double>, last bigint, done bigint", "append", "EventTimeTimeout")
+    return _named(d, c, output)
 
 
 def counter_stream(samples: DataFrame, c: Config, keep_first: bool = True) -> DataFrame:
@@ -295,3 +399,57 @@ def increase_stream(deltas: DataFrame, c: Config, output: str = "increase") -> D
     w = F.window("ts", f"{c.interval_ms} milliseconds")
     g = d.groupBy("g", w.alias("w")).agg(F.sum("delta").alias("value"))
     return _named(g.select("g", F.unix_millis("w.end").alias("end_ms"), "value"), c, output)
+
+
+def rate_parts(samples: DataFrame, c: Config) -> DataFrame:
+    """On a stream: g, sk, ts, rate of every series and interval, from per-series state; to be written to a table.
+
+    A series' rate is what it grew by in the interval over the time since its last sample before
+    it, or since its first one in it where that is stale.
+    """
+    share_code(samples.sparkSession)
+    d = _prepared(samples.withColumn("ts", F.timestamp_millis("ts_ms")), c).withWatermark("ts", c.watermark).select("g", "sk", "ts_ms", "end_ms", "v", "ts")
+    stale = c.staleness_ms
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        none = -1
+        last_v, last_t, end, grown, first, before, before_end = state.get if state.exists else (0.0, none, none, 0.0, none, none, none)
+        out = []
+
+        def close() -> None:
+            nonlocal end, before, before_end
+            base = before if before_end != none and before_end + stale >= end else first
+            if last_t > base:
+                out.append((end - 1, grown / ((last_t - base) / 1000.0)))
+            before, before_end, end = last_t, end, none
+
+        if not state.hasTimedOut:
+            b = pd.concat(list(batches)).sort_values(["ts_ms", "v"], kind="stable")
+            for t, e, v in zip(b["ts_ms"].tolist(), b["end_ms"].tolist(), b["v"].tolist(), strict=True):
+                if last_t != none and t < last_t:
+                    continue
+                if end != none and e != end:
+                    close()
+                delta = (v - last_v if v >= last_v else v) if last_t != none and last_t + stale >= t else 0.0
+                if end == none:
+                    end, grown, first = e, 0.0, t
+                grown, last_v, last_t = grown + delta, v, t
+        now = state.getCurrentWatermarkMs()
+        if end != none and end <= now:
+            close()
+        if end == none and last_t + stale <= now:
+            state.remove()
+        else:
+            state.update((float(last_v), int(last_t), int(end), float(grown), int(first), int(before), int(before_end)))
+            state.setTimeoutTimestamp(max(end if end != none else last_t + stale, now + 1))
+        if out:
+            yield pd.DataFrame({"g": key[0], "sk": key[1], "ts": pd.to_datetime([x[0] for x in out], unit="ms"), "rate": [x[1] for x in out]})
+
+    return d.groupBy("g", "sk").applyInPandasWithState(step, "g string, sk string, ts timestamp, rate double", "last_v double, last_t bigint, end bigint, grown double, first bigint, before bigint, before_end bigint", "append", "EventTimeTimeout")
+
+
+def rate_stream(parts: DataFrame, c: Config, output: str = "rate_sum") -> DataFrame:
+    """On a stream of stored rates: the sum or the mean of every group and interval."""
+    g = parts.withWatermark("ts", c.watermark).groupBy("g", F.window("ts", f"{c.interval_ms} milliseconds").alias("w"))
+    value = F.avg("rate") if output == "rate_avg" else F.sum("rate")
+    return _named(g.agg(value.alias("value")).select("g", F.unix_millis("w.end").alias("end_ms"), "value"), c, output)
