@@ -139,6 +139,30 @@ def test_store_round_trip(spark, tmp_path):
     assert json.loads(line) == {"metric": {"__name__": "m", "a": "0"}, "values": [[1704067200, "0"], [1704067260, "0"]]}
 
 
+@pytest.mark.parametrize("max_ids", [10_000, 1])
+def test_series_are_resolved_before_samples(spark, tmp_path, max_ids):
+    from tidegrid.engine import MetricsEngine
+    from tidegrid.sources import series
+
+    rows = [("cpu", {"host": f"h{h}", "job": "a", "empty": ""}, 1_700_000_000_000 + t * 60_000, float(t + h), False) for h in range(6) for t in range(50)]
+    rows += [("mem", {"host": "h1"}, 1_700_000_000_000, 1.0, False), (None, None, 1_700_000_000_000, 2.0, None), ("cpu", {"host": "h9"}, None, 1.0, False)]
+    df = spark.createDataFrame(rows, SAMPLES)
+    path = str(tmp_path / "t")
+    series.write(df.where("ts_ms < 1700001000000 or ts_ms is null"), path)
+    series.write(df.where("ts_ms >= 1700001000000"), path)  # the same series again, and no new ones
+    table = series.StoredSeries(spark, path, max_ids)
+    assert table.series().count() == 8
+    stored, plain = MetricsEngine(table), MetricsEngine(df)
+    for q in ('sum(rate(cpu{host=~"h[0-2]"}[5m])) by (host)', 'cpu{job="a", host!="h3"}', "nope", "max_over_time(cpu[10m]) - on(host) group_left mem", 'count({__name__!=""}) by (__name__)'):
+        get = lambda e, q=q: sorted((r.name, tuple(sorted(r.labels.items())), r.ts_ms, round(r.value, 9)) for r in e.query_range(q, 1_700_000_300, 1_700_002_000, "5m").collect())
+        assert get(stored) == get(plain), q
+    assert stored.series("cpu").count() == 6
+    picked = table.select(F.col("labels")["host"] == "h1", 1_700_000_000_000, 1_700_001_000_000)
+    scans = [x.split("PushedFilters: ")[1] for x in picked._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).splitlines() if "PushedFilters: " in x]
+    assert any("In(sid" in x or "EqualTo(sid" in x for x in scans) == (max_ids > 1)
+    assert any("GreaterThanOrEqual(ts_ms" in x for x in scans)
+
+
 @pytest.mark.parametrize("dedup", ["", "20s"])
 def test_streaming_matches_batch(spark, tmp_path, dedup):
     rows = [("m", {"a": str(i % 2), "b": str(i % 5)}, 1_700_000_000_000 + i * 1000, float(i * 7 % 13), False) for i in range(300)]

@@ -58,10 +58,11 @@ def _calendar_ms(s: str) -> int:
 
 
 class MetricsEngine:
-    """Queries over samples (name, labels, ts_ms, value, is_stale)."""
+    """Queries over samples (name, labels, ts_ms, value, is_stale), or over a stored table (sources.series.StoredSeries)."""
 
-    def __init__(self, samples: DataFrame, lookback_ms: int = 0, extra_filters: str | None = None) -> None:
-        self.samples, self.lookback = samples, lookback_ms
+    def __init__(self, samples, lookback_ms: int = 0, extra_filters: str | None = None) -> None:
+        self.source, self.lookback = samples, lookback_ms
+        self.samples: DataFrame = samples if isinstance(samples, DataFrame) else samples.samples()
         self.enforced: tuple = ()
         if extra_filters:
             sel = parse(extra_filters)
@@ -73,7 +74,7 @@ class MetricsEngine:
         if len(query) > MAX_QUERY_CHARS:
             raise QueryError("the query is too long")
         e = push_filters(flip_comparisons(parse(query)))
-        c = Compiler(self.samples, grid, self.lookback, self.enforced)
+        c = Compiler(self.source, grid, self.lookback, self.enforced)
         x = c.compile(e)
         v = c.materialise(x)
         if isinstance(x, Scalar):

@@ -69,13 +69,14 @@ FUSED = {
 class Compiler:
     """Compiles expressions over samples (name, labels, ts_ms, value, is_stale) on one grid."""
 
-    def __init__(self, samples: DataFrame, grid: Grid, lookback_ms: int = 0, enforced: tuple = ()) -> None:
+    def __init__(self, samples, grid: Grid, lookback_ms: int = 0, enforced: tuple = ()) -> None:
+        """samples: a DataFrame, or a stored table of series and samples (sources.series)."""
         if grid.step <= 0:
             raise QueryError("step must be positive")
         if grid.n > MAX_POINTS:
             raise QueryError(f"more than {MAX_POINTS} points per series; increase the step")
         self.samples, self.grid, self.lookback, self.enforced = samples, grid, lookback_ms, enforced
-        self.spark = samples.sparkSession
+        self.spark = samples.sparkSession if isinstance(samples, DataFrame) else samples.spark
 
     # scalars and constants
     def scalar(self, value: float) -> Scalar:
@@ -109,10 +110,12 @@ class Compiler:
     # selectors and rollups
     def select(self, s: Selector, start: int, end: int) -> DataFrame:
         """sk, ts, v, is_stale of the samples of a selector in a time range."""
-        d = self.samples.where(C("ts_ms").between(start, end)).where(selector_condition(s, self.enforced))
+        condition = selector_condition(s, self.enforced)
+        stored = not isinstance(self.samples, DataFrame)
+        d = self.samples.select(condition, start, end) if stored else self.samples.where(C("ts_ms").between(start, end)).where(condition)
         d = d.where(C("is_stale") | (C("value").isNotNull() & ~F.isnan("value")))
         named = F.map_concat(F.create_map(F.lit(NAME), F.coalesce("name", F.lit(""))), F.map_filter(F.coalesce("labels", F.create_map().cast("map<string,string>")), lambda k, _: k != NAME))
-        return d.select(key_of(named).alias("sk"), C("ts_ms").alias("ts"), C("value").alias("v"), F.coalesce("is_stale", F.lit(False)).alias("is_stale"))
+        return d.select(C("sk") if stored else key_of(named).alias("sk"), C("ts_ms").alias("ts"), C("value").alias("v"), F.coalesce("is_stale", F.lit(False)).alias("is_stale"))
 
     def rollup_call(self, name: str, args: tuple, keep: bool) -> Scalar | Vector:
         # a list of names in parentheses has become a union of texts

@@ -21,6 +21,10 @@ def month_of(ts_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ts_ms), "yyyy_MM")
 
 
+def month_text(ms: int) -> str:
+    return datetime.fromtimestamp(ms / 1000, UTC).strftime("%Y_%m")
+
+
 def write_samples(samples: DataFrame, path: str, mode: str = "append", salts: int = 16) -> None:
     """Append samples; rows are spread by month and series, with salts so that no series fills one file alone."""
     d = samples.withColumn("month", month_of(C("ts_ms"))).withColumn("sk", key_of(F.map_concat(F.create_map(F.lit(NAME), F.coalesce("name", F.lit(""))), F.coalesce("labels", F.create_map().cast("map<string,string>")))))
@@ -31,11 +35,10 @@ def write_samples(samples: DataFrame, path: str, mode: str = "append", salts: in
 def read_samples(spark: SparkSession, path: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
     """The samples of a time range; whole months outside it are not listed."""
     d = spark.read.parquet(path)
-    name = lambda ms: datetime.fromtimestamp(ms / 1000, UTC).strftime("%Y_%m")
     if start_ms is not None:
-        d = d.where((C("month") >= name(start_ms)) & (C("ts_ms") >= start_ms))
+        d = d.where((C("month") >= month_text(start_ms)) & (C("ts_ms") >= start_ms))
     if end_ms is not None:
-        d = d.where((C("month") <= name(end_ms)) & (C("ts_ms") <= end_ms))
+        d = d.where((C("month") <= month_text(end_ms)) & (C("ts_ms") <= end_ms))
     return d.drop("month")
 
 
@@ -57,7 +60,7 @@ def file_targets(spark: SparkSession, path: str) -> DataFrame:
 
 def expired_months(months: list[str], now_ms: int, retention_ms: int) -> list[str]:
     """Months that end before the retention's start, whose folders can be dropped."""
-    oldest = datetime.fromtimestamp((now_ms - retention_ms) / 1000, UTC).strftime("%Y_%m")
+    oldest = month_text(now_ms - retention_ms)
     return [m for m in months if m < oldest]
 
 
