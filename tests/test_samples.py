@@ -328,6 +328,16 @@ def test_alert_states(spark):
     assert rules.render(r.annotations["summary"], {"job": "a"}, 1234567.0) == "a is down, 1.235M"
 
 
+def test_alert_functions():
+    r = lambda t: rules.render(t, {"host": "db1.example.com:9100"}, 0.5)
+    assert r("{{ $labels.host | stripPort }}") == "db1.example.com"
+    assert r("{{ $labels.host | stripDomain }}") == "db1:9100"
+    assert r("{{ $labels.host | pathEscape }}") == "db1.example.com%3A9100"
+    assert r("{{ $value | humanizePercentage }}") == "50%"
+    assert rules.render("{{ $labels.x | jsonEscape }}", {"x": 'a"b'}, 1) == '"a\\"b"'
+    assert rules.render("{{ $labels.x | htmlEscape }}", {"x": "<b>"}, 1) == "&lt;b&gt;"
+
+
 def test_rule_helpers():
     assert rules.series_values("1 _ stale 1+2x2 5x1 _x2 3-1x1") == [1.0, None, "stale", 1.0, 3.0, 5.0, 5.0, 5.0, None, None, 3.0, 2.0]
     assert rules.eval_time(rules.Group("g", [], "1m", eval_delay="30s"), 125_000) == 60_000

@@ -16,7 +16,8 @@ from ..functions import rollups
 from ..operators import relabel as relabeling
 from ..operators.relabel import relabel
 from ..rules import rules
-from ..sources import formats, protobuf, store, wire_out
+from ..session import new_folder
+from ..sources import formats, protobuf, series, store, wire_out
 from .metric_queries import DAY, EL, END, START, STEP, W2, C, S, adder, events, flat, grid_sql, ordered_cte, ranged, rolled, series_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -364,6 +365,25 @@ for _enc in ("gzip", "deflate", "zstd"):
     add(f"source_compressed_{_enc}", lambda spark, d, e=_enc: flat(formats.prometheus(wire_out.text_lines(wire_out.text_bodies(store.export_prometheus(events(spark, d)), encoding=e), encoding=e)), EL), _BACK)
 add("source_extra_labels", lambda spark, d: flat(formats.prometheus(store.export_prometheus(events(spark, d)), extra={"job": "x", "event_type": "all"}), [*EL, "job"]), _BACK.replace(" event_type,", " 'all' AS event_type, 'x' AS job,"))
 
+
+
+def stored_series(spark: SparkSession, sf_dir: str) -> MetricsEngine:
+    """An engine on the events as a stored table of series and samples."""
+    path = new_folder(spark, "events")
+    series.write(events(spark, sf_dir), path)
+    return MetricsEngine(series.StoredSeries(spark, path))
+
+
+def stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "samples")
+    store.write_samples(events(spark, sf_dir), path)
+    return flat(store.read_samples(spark, path, START, END), EL)
+
+
+add("store_samples", stored_samples, _BACK)
+add("store_series_export", lambda spark, d: flat(stored_series(spark, d).export('{__name__="events_value"}'), EL), _BACK)
+add("store_series_query", lambda spark, d: flat(stored_series(spark, d).query_range('sum(sum_over_time(events_value{event_type=~"click|view"}[1d])) by (event_type)', START / 1000, END / 1000, STEP), ["event_type"]), f"WITH {Q_CTE} SELECT '' AS name, event_type, g AS ts_ms, round(v, 4) AS value FROM q WHERE event_type IN ('click', 'view')")
+
 # alerts as series
 _BUSY = rules.Rule("sum(count_over_time(events_value[6h])) by (event_type) > 18", alert="Busy", for_="12h")
 
@@ -380,3 +400,32 @@ _RUNS = f"""{rolled('count(v)', STEP)}, q AS (SELECT event_type, g FROM r GROUP
   live AS (SELECT 'ALERTS' AS name, event_type, state AS alertstate, g, CAST(1 AS DOUBLE) AS v FROM st UNION ALL SELECT 'ALERTS_FOR_STATE', event_type, NULL, g, active_at / 1000 FROM st),
   ends AS (SELECT name, event_type, alertstate, g + {STEP} AS g FROM live QUALIFY coalesce(lead(g) OVER (PARTITION BY name, event_type, alertstate ORDER BY g) > g + {STEP}, true))"""
 add("rule_alert_series", alert_series, f"WITH {_RUNS} SELECT name, 'Busy' AS alertname, event_type, alertstate, g AS ts_ms, v AS value, false AS is_stale FROM live UNION ALL SELECT name, 'Busy', event_type, alertstate, g, NULL, true FROM ends")
+
+
+def restored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States from the middle of the range on, with the times since which alerts were active from the samples before."""
+    engine, group, middle = MetricsEngine(events(spark, sf_dir)), rules.Group("g", [], "6h"), START + 15 * DAY
+    stored = rules.alert_samples(rules.alert_states(engine, group, _BUSY, START, middle - STEP), STEP)
+    # what was stale at the new start had not been written when it came
+    known = rules.active_before(stored.where(C("ts_ms") < middle), _BUSY, middle, 12 * 3_600_000)
+    d = rules.alert_states(engine, group, _BUSY, middle, END, known)
+    return d.select(C("labels")["event_type"].alias("event_type"), "ts_ms", "value", "active_at", "state")
+
+
+add("rule_restored_alerts", restored_alerts, f"WITH {_RUNS.split('st AS')[0].rstrip().rstrip(',').replace('SELECT event_type, g FROM r', 'SELECT event_type, g, CAST(sum(v) AS DOUBLE) AS v FROM r')} SELECT event_type, g AS ts_ms, v AS value, active_at, CASE WHEN g - active_at >= {12 * 3_600_000} THEN 'firing' ELSE 'pending' END AS state FROM a WHERE g >= {START + 15 * DAY}")
+
+
+def notified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads of a rule with annotations, read back."""
+    rule = rules.Rule(_BUSY.expr, alert="Busy", for_="12h", annotations={"summary": "{{ $labels.event_type }} has {{ $value }}"})
+    states = rules.alert_states(MetricsEngine(events(spark, sf_dir)), rules.Group("g", [], "6h"), rule, START, END)
+    sent = rules.notifications(rules.annotated(states, rule), STEP, "http://here")
+    rows = F.from_json("payload", "array<struct<labels:map<string,string>,annotations:map<string,string>,startsAt:timestamp,endsAt:timestamp,generatorURL:string>>")
+    d = sent.select("ts_ms", F.explode(rows).alias("a"))
+    return d.select("ts_ms", C("a.labels")["event_type"].alias("event_type"), C("a.annotations")["summary"].alias("summary"), F.unix_millis("a.startsAt").alias("starts_ms"), F.unix_millis("a.endsAt").alias("ends_ms"), C("a.generatorURL").alias("url"))
+
+
+_FIRING = f"{_RUNS.split('st AS')[0].rstrip().rstrip(',').replace('SELECT event_type, g FROM r', 'SELECT event_type, g, sum(v) AS v FROM r')}, fi AS (SELECT * FROM a WHERE g - active_at >= {12 * 3_600_000})"
+add("rule_notifications", notified, f"""WITH {_FIRING}
+  SELECT g AS ts_ms, event_type, event_type || ' has ' || CAST(v AS VARCHAR) AS summary, active_at AS starts_ms, CAST(NULL AS BIGINT) AS ends_ms, 'http://here' AS url FROM fi
+  UNION ALL SELECT g + {STEP}, event_type, event_type || ' has ' || CAST(v AS VARCHAR), active_at, g + {STEP}, 'http://here' FROM fi QUALIFY row_number() OVER (PARTITION BY event_type, active_at ORDER BY g DESC) = 1""")

@@ -6,15 +6,20 @@ from gaps and islands of ticks per alert, with window functions.
 
 from __future__ import annotations
 
+import html
+import json
 import re
 from dataclasses import dataclass, field
+from urllib.parse import quote, quote_plus
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..engine import MetricsEngine
 from ..model import NAME, SAMPLES, key_of
 from ..ql.syntax import duration_ms, parse
+from ..session import share_code
 
 C = F.col
 
@@ -118,11 +123,23 @@ def record(engine: MetricsEngine, group: Group, rule: Rule, start_ms: int, end_m
     return d.select(F.lit(rule.record).alias("name"), overlay(C("labels"), group.labels | rule.labels).alias("labels"), "ts_ms", "value", F.lit(False).alias("is_stale"))
 
 
-def alert_states(engine: MetricsEngine, group: Group, rule: Rule, start_ms: int, end_ms: int) -> DataFrame:
+def active_before(samples: DataFrame, rule: Rule, start_ms: int, lookback_ms: int = 3_600_000) -> DataFrame:
+    """id and active_at of a rule's alerts by the last ALERTS_FOR_STATE samples stored up to a second before start.
+
+    A series that ended with a stale sample is not restored.
+    """
+    until = start_ms - 1000
+    d = samples.where((C("name") == "ALERTS_FOR_STATE") & (C("labels")["alertname"] == rule.alert) & (C("ts_ms") > until - lookback_ms) & (C("ts_ms") <= until))
+    last = d.groupBy(key_of(C("labels")).alias("id")).agg(F.max_by(F.struct("value", "is_stale"), "ts_ms").alias("s"))
+    return last.where(~F.coalesce("s.is_stale", F.lit(False)) & C("s.value").isNotNull()).select("id", (F.floor("s.value") * 1000).alias("active_at"))
+
+
+def alert_states(engine: MetricsEngine, group: Group, rule: Rule, start_ms: int, end_ms: int, restored: DataFrame | None = None) -> DataFrame:
     """labels, ts_ms, value, active_at, state (pending or firing) of every alert at every tick it exists.
 
     An alert is pending from its first tick and fires once it has lasted ``for``; a firing alert whose
-    expression has no value any more stays so for ``keep_firing_for`` after its last value.
+    expression has no value any more stays so for ``keep_firing_for`` after its last value.  With
+    ``restored`` (see active_before) an alert of the first tick has been active since the time there.
     """
     step = duration_ms(group.interval, 0)
     wait, hold = duration_ms(rule.for_, 0), duration_ms(rule.keep_firing_for, 0)
@@ -136,6 +153,10 @@ def alert_states(engine: MetricsEngine, group: Group, rule: Rule, start_ms: int,
     d = d.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     island = Window.partitionBy("id", "_island")
     d = d.withColumn("_from", F.min("ts_ms").over(island)).withColumn("_to", F.max("ts_ms").over(island))
+    if restored is not None:
+        first = eval_time(group, start_ms + step - 1 if not group.eval_offset else start_ms)
+        d = d.join(restored.select("id", C("active_at").alias("_since")), "id", "left")
+        d = d.withColumn("_from", F.when(C("_from") == first, F.coalesce("_since", "_from")).otherwise(C("_from"))).drop("_since")
     if hold:
         islands = d.select("id", "_island", "_from", "_to").distinct()
         wi = Window.partitionBy("id").orderBy("_island")
@@ -171,6 +192,33 @@ def alert_samples(states: DataFrame, step_ms: int) -> DataFrame:
     return d.unionByName(stale)
 
 
+def annotated(states: DataFrame, rule: Rule) -> DataFrame:
+    """The alerts of alert_states with their annotations, a map of rendered templates; few rows, as alerts are."""
+    share_code(states.sparkSession)
+    templates, expr = dict(rule.annotations), rule.expr
+
+    @F.pandas_udf("map<string,string>")
+    def render_all(labels: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([{k: render(t, dict(m), float(v), expr) for k, t in templates.items()} for m, v in zip(labels, value, strict=True)])
+
+    return states.withColumn("annotations", render_all("labels", "value") if templates else F.create_map().cast("map<string,string>"))
+
+
+def notifications(alerts: DataFrame, step_ms: int, generator_url: str = "") -> DataFrame:
+    """ts_ms and payload: the JSON array that a notifier gets at every tick, of alerts with annotations.
+
+    Firing alerts have no endsAt; an alert that fired has one more entry, with endsAt, at the tick after its last.
+    """
+    rfc = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    firing = alerts.where("state = 'firing'").withColumn("_id", key_of(C("labels")))
+    nxt = F.lead("ts_ms").over(Window.partitionBy("_id", "active_at").orderBy("ts_ms"))
+    ended = firing.withColumn("_next", nxt).where("_next is null").select(*firing.columns, (C("ts_ms") + step_ms).alias("_end"))
+    rows = firing.withColumn("_end", F.lit(None).cast("bigint")).unionByName(ended.withColumn("ts_ms", C("_end")))
+    entry = F.to_json(F.struct("labels", "annotations", rfc(C("active_at")).alias("startsAt"), F.lit(generator_url).alias("generatorURL"), rfc(C("_end")).alias("endsAt")))
+    g = rows.select("ts_ms", F.struct("_id", entry.alias("j")).alias("e")).groupBy("ts_ms").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    return g.select("ts_ms", F.concat(F.lit("["), F.array_join(F.transform("es", lambda e: e["j"]), ","), F.lit("]")).alias("payload"))
+
+
 # annotation templates: the part of the usual language that reads labels and formats values
 def humanize(v: float) -> str:
     """A number with a metric prefix, in four digits."""
@@ -223,6 +271,14 @@ FUNCTIONS = {
     "toUpper": lambda s: str(s).upper(),
     "toLower": lambda s: str(s).lower(),
     "title": lambda s: str(s).title(),
+    "stripPort": lambda s: re.sub(r":\d+$", "", str(s)),
+    "stripDomain": lambda s: str(s) if re.fullmatch(r"[\d.]+(:\d+)?", str(s)) else re.sub(r"\.[^:]*", "", str(s)),
+    "pathEscape": lambda s: quote(str(s), safe=""),
+    "queryEscape": lambda s: quote_plus(str(s)),
+    "jsonEscape": lambda s: json.dumps(str(s), ensure_ascii=False),
+    "htmlEscape": lambda s: html.escape(str(s)),
+    "trimSpace": lambda s: str(s).strip(),
+    "len": lambda s: len(s),
     "quotesEscape": lambda s: str(s).replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n"),
 }
 
