@@ -39,16 +39,21 @@ MASKS = "".join(chr(0xFDD0 + i) for i in range(14))  # all characters that stand
 _OWN, _OWN_LETTERS = chr(0xFDEF), "abcdefghijklmno"
 
 
-def guard(s: Column) -> Column:
+def has_masks(s: Column) -> Column:
+    """Whether text has mask characters of its own."""
+    return s.rlike(f"[{MASKS}{_OWN}]")
+
+
+def guard(s: Column, own: Column | None = None) -> Column:
     """Text without mask characters of its own: each becomes an escape and a letter."""
     marked = F.regexp_replace(F.replace(s, F.lit(_OWN), F.lit(_OWN + _OWN_LETTERS[-1])), f"([{MASKS}])", f"{_OWN}$1")
-    return F.when(s.rlike(f"[{MASKS}{_OWN}]"), F.translate(marked, MASKS, _OWN_LETTERS[:-1])).otherwise(s)
+    return F.when(has_masks(s) if own is None else own, F.translate(marked, MASKS, _OWN_LETTERS[:-1])).otherwise(s)
 
 
-def unguard(s: Column) -> Column:
-    """The text that guard was given."""
+def unguard(s: Column, own: Column | None = None) -> Column:
+    """The text that guard was given; own says whether it had mask characters, so that s is evaluated once where it had none."""
     restore = lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.translate(F.substring(p, 1, 1), _OWN_LETTERS, MASKS + _OWN), F.substring(p, F.lit(2), F.length(p))))
-    return F.when(s.contains(_OWN), F.array_join(F.transform(F.split(s, _OWN, -1), restore), "")).otherwise(s)
+    return F.when(s.contains(_OWN) if own is None else own, F.array_join(F.transform(F.split(s, _OWN, -1), restore), "")).otherwise(s)
 
 
 def _mask_escapes(s: Column) -> Column:
@@ -66,7 +71,7 @@ def _mask_quoted(s: Column, specials: str, masked: str) -> Column:
 
 
 def _unmask(s: Column) -> Column:
-    return unguard(F.translate(s, _MASKED + _BACKSLASH, _SPECIAL + "\\"))
+    return unguard(F.translate(s, _MASKED + _BACKSLASH, _SPECIAL + "\\"), F.col("own"))
 
 
 def _odd_quotes(s: Column) -> Column:
@@ -110,11 +115,11 @@ def classify_lines(df: DataFrame, line_id: str = "line_id", fmt: str = "fmt", li
     """
     base = df.select(F.col(line_id).alias("line_id"), *keep, F.col(fmt).cast("string").alias("fmt"), F.col(line).cast("string").alias("line"))
     text = F.when(F.col("line").endswith("\r"), F.substring("line", F.lit(1), F.length("line") - 1)).otherwise(F.col("line"))
-    d = base.withColumn("text", text)
+    d = base.withColumn("text", text).withColumn("own", has_masks(F.col("text")))
     influx, csv = F.col("fmt") == "influx", F.col("fmt") == "csv"
 
     # influx: head is measurement and tags, rest is fields and time
-    d = d.withColumn("esc", F.when(influx, _mask_escapes(guard(F.col("text")))))
+    d = d.withColumn("esc", F.when(influx, _mask_escapes(guard(F.col("text"), F.col("own")))))
     d = d.withColumn("head", F.substring_index("esc", " ", 1))
     d = d.withColumn("rest", F.ltrim(F.substring("esc", F.length("head") + 1, F.length("esc"))))
     d = d.withColumn("tail", F.rtrim(_mask_quoted(F.col("rest"), ", =", _MASKED[:3])))
@@ -135,7 +140,7 @@ def classify_lines(df: DataFrame, line_id: str = "line_id", fmt: str = "fmt", li
     )
 
     # csv: cells after masking commas between quotes
-    d = d.withColumn("cells", F.when(csv, F.split(_mask_quoted(guard(F.col("text")), ",", _COMMA), ",", -1)))
+    d = d.withColumn("cells", F.when(csv, F.split(_mask_quoted(guard(F.col("text"), F.col("own")), ",", _COMMA), ",", -1)))
 
     def quoted(c: Column) -> Column:
         return (F.length(c) >= 2) & c.startswith('"') & c.endswith('"')
@@ -144,7 +149,7 @@ def classify_lines(df: DataFrame, line_id: str = "line_id", fmt: str = "fmt", li
         return F.substring(c, F.lit(2), F.length(c) - 2)
 
     cell_bad = F.exists("cells", lambda c: c.contains('"') & ~(quoted(c) & ~F.replace(inner(c), F.lit('""'), F.lit("")).contains('"')))
-    d = d.withColumn("plain", F.transform("cells", lambda c: unguard(F.translate(F.when(quoted(c), F.replace(inner(c), F.lit('""'), F.lit('"'))).otherwise(c), _COMMA, ","))))
+    d = d.withColumn("plain", F.transform("cells", lambda c: unguard(F.translate(F.when(quoted(c), F.replace(inner(c), F.lit('""'), F.lit('"'))).otherwise(c), _COMMA, ","), F.col("own"))))
 
     def cell(i: int) -> Column:
         return F.get("plain", F.lit(i))
@@ -164,7 +169,7 @@ def classify_lines(df: DataFrame, line_id: str = "line_id", fmt: str = "fmt", li
     d = d.withColumn("errors", errors)
     d = d.withColumn("status", F.when(F.coalesce(skipped, F.lit(False)), "skipped").when(F.size("errors") > 0, "rejected").otherwise("valid"))
     # a number that the optimiser cannot move: filters on the status stay above, so that nothing is evaluated twice for them
-    return d.select("line_id", *keep, "fmt", "line", "status", "errors", "head_parts", "tag_kv", "field_kv", "kinds", "sections", "plain", F.monotonically_increasing_id().alias("line_no"))
+    return d.select("line_id", *keep, "fmt", "line", "status", "errors", "own", "head_parts", "tag_kv", "field_kv", "kinds", "sections", "plain", F.monotonically_increasing_id().alias("line_no"))
 
 
 def rejected_lines(df: DataFrame, **names) -> DataFrame:
