@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.engine import MetricsEngine, time_ms
-from tidegrid.model import SAMPLES
-from tidegrid.ql.syntax import QueryError
+from tidegrid.model import SAMPLES, Grid
+from tidegrid.plans.compiler import Compiler
+from tidegrid.ql.syntax import QueryError, parse
 
 TIMES = [5, 15, 24, 36, 49, 60, 78, 80, 97, 115, 120, 130]
 VALUES = [123.0, 34, 44, 21, 54, 34, 99, 12, 44, 32, 34, 34]
@@ -256,3 +257,42 @@ def test_geomean_of_many_series(spark):
     df = MetricsEngine(spark.createDataFrame(rows, SAMPLES)).query('geomean(last_over_time({__name__!=""}[1m]) keep_metric_names) by (__name__)', 1000)
     got = {r.name: r.value for r in df.collect() if r.value is not None}
     assert got == pytest.approx({"big": 1e3, "small": 1e-3, "zero": 0.0, "even": 4.0, "one": -3.0, "mixed": 4.0})
+
+
+@pytest.mark.parametrize("q", ["sum(count_le_over_time(cpu[10m], 1100)) by (host)", "sum(count_gt_over_time(cpu[10m] offset 5m, 1100))", "sum(count_eq_over_time(cpu[10m], 1100)) by (__name__, host)", "sum(count_ne_over_time(cpu[10m], 1100)) without (host)", 'sum(count_le_over_time({__name__=~"cpu|gone"}[10m], 100) keep_metric_names) by (none, __name__, host)'])
+def test_metamorphic_fused_counts(engine, q, monkeypatch):
+    """Counting samples at once makes no series; by way of their series the counts agree."""
+    e = parse(q)
+    assert Compiler(engine.samples, Grid(1_000_000, 4_600_000, 300_000)).fused(e) is not None
+    at_once = points(engine.query_range(q, 1000, 4600, "5m"))
+    monkeypatch.setattr("tidegrid.plans.compiler.FUSED", {})
+    assert points(engine.query_range(q, 1000, 4600, "5m")) == at_once
+    assert at_once
+
+
+def test_fused_groups_of_odd_labels(spark):
+    """Groups by labels that are null, empty, absent or named like the metric's name."""
+    odd = [(None, None), ("m", {}), ("m", None), ("m", {"a": ""}), ("m", {"a": None}), ("m", {"a": "1", "b": "2"}), ("m", {"b": "2", "a": "1", "c": "3"}), ("m", {"__name__": "x", "b": ""}), ("", {"b": "2"})]
+    e = MetricsEngine(spark.createDataFrame([(n, x, 1_000_000 + i, float(2**i), False) for i, (n, x) in enumerate(odd)], SAMPLES))
+    of = lambda q: {(r.name, *sorted(r.labels.items())): r.value for r in e.query(q, 1001).collect()}
+    every = '{a!="none"}[1m]'
+    assert of(f"sum(sum_over_time({every})) by (b, a, b)") == {("",): 159.0, ("", ("a", "1"), ("b", "2")): 96.0, ("", ("b", "2")): 256.0}
+    assert of(f"sum(sum_over_time({every}) keep_metric_names) by (__name__)") == {("",): 257.0, ("m",): 254.0}
+    assert of(f"sum(sum_over_time({every})) by (__name__)") == {("",): 511.0}
+
+
+def test_union_takes_series_of_the_first_part(engine):
+    both = 'union(sum(count_over_time(cpu[10m])) by (host), label_set(sum(sum_over_time(cpu[10m])), "host", "h1"), label_set(vector(7), "host", "new"))'
+    got = points(engine.query_range(both, 1000, 4600, "5m"))
+    alone = points(engine.query_range("sum(count_over_time(cpu[10m])) by (host)", 1000, 4600, "5m"))
+    assert [p for p in got if p[1] != (("host", "new"),)] == alone
+    assert [p[3] for p in got if p[1] == (("host", "new"),)] == [7.0] * 13
+
+
+def test_buckets_of_both_kinds(spark):
+    """Ranges become cumulative buckets, other series pass, also those without a value or with the same other labels."""
+    rows = [("m", {"a": "1", "vmrange": "0...1.000e+00"}, 1.0), ("m", {"a": "1", "vmrange": "1.000e+00...2.000e+00"}, 2.0), ("m", {"a": "1"}, 5.0), ("m", {"a": "1", "le": "8"}, 6.0), ("m", {"b": "1"}, 7.0)]
+    e = MetricsEngine(spark.createDataFrame([(n, x, 1_000_000, v, False) for n, x, v in rows], SAMPLES))
+    got = sorted((tuple(sorted(r.labels.items())), r.value) for r in e.query("prometheus_buckets(m)", 1000).collect())
+    a = ("a", "1")
+    assert got == sorted([((a,), 5.0), ((("b", "1"),), 7.0), ((a, ("le", "8")), 6.0), ((a, ("le", "0")), 0.0), ((a, ("le", "1.000e+00")), 1.0), ((a, ("le", "2.000e+00")), 3.0), ((a, ("le", "+Inf")), 3.0)])

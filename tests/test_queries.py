@@ -69,3 +69,15 @@ def test_grids_cover_the_tables(spark, con):
 def test_rollups_and_transforms_read_all_series(spark, con, name):
     series = {(r.event_type, r.user_id) for r in registry.queries()[name](spark, DATA).select("event_type", "user_id").distinct().collect()}
     assert series == set(con.execute("SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) FROM events WHERE value IS NOT NULL").fetchall())
+
+
+def scans(df) -> list[str]:
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in line]
+
+
+@pytest.mark.parametrize("name", ["transform_histogram_quantile"])
+def test_histograms_read_the_samples_of_a_bucket_once(spark, name):
+    # four buckets, each straight from the samples: no series of users in between
+    read = scans(registry.queries()[name](spark, DATA))
+    assert len(read) == 4
+    assert not any("user_id" in line for line in read)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import NAME, Grid, drop_labels, finite_div, keep_labels, missing_if_nan, with_labels
+from ..model import ENTRY, NAME, PAIR, Grid, drop_labels, finite_div, keep_labels, missing_if_nan, with_labels
 
 C = F.col
 
@@ -16,6 +16,12 @@ def group_key(mod: str, labels: tuple[str, ...]) -> Column:
     return keep_labels(C("sk"), labels)
 
 
+def sample_key(labels: list[str]) -> Column:
+    """The key with only the listed labels, straight from the name and labels of a sample and all in generated code."""
+    values = ((x, C("name") if x == NAME else C("labels")[x]) for x in sorted(set(labels)))
+    return F.concat_ws(ENTRY, *(F.when(v != "", F.concat(F.lit(x + PAIR), v)) for x, v in values))
+
+
 def geomean(v: Column) -> Column:
     """pow(product, 1 / n) through a sum of logarithms, as the product of many series overflows.
 

@@ -18,18 +18,17 @@ FUNCTIONS = frozenset("histogram_quantile histogram_quantiles histogram_avg hist
 
 def to_le(df: DataFrame) -> DataFrame:
     """vmrange buckets as cumulative le buckets; other series as they are."""
-    vm = label(C("sk"), "vmrange")
-    plain = df.where(vm == "")
-    rest = drop_labels(C("sk"), ["vmrange"])
-    ends = F.split(vm, "\\.\\.\\.")
-    r = df.where(vm != "").select(rest.alias("g"), "k", F.get(ends, F.lit(0)).try_cast("double").alias("lo"), F.replace(F.get(ends, F.lit(1)), F.lit("+Inf"), F.lit("Infinity")).try_cast("double").alias("hi"), F.get(ends, F.lit(1)).alias("le"), "v")
-    b = r.groupBy("g", "k").agg(F.array_sort(F.collect_list(F.struct("hi", "le", "lo", "v"))).alias("bs"))
+    ends = F.split("vm", "\\.\\.\\.")
+    r = df.select(drop_labels(C("sk"), ["vmrange"]).alias("g"), "k", label(C("sk"), "vmrange").alias("vm"), "v")
+    r = r.select("g", "k", "vm", F.get(ends, F.lit(0)).try_cast("double").alias("lo"), F.replace(F.get(ends, F.lit(1)), F.lit("+Inf"), F.lit("Infinity")).try_cast("double").alias("hi"), F.get(ends, F.lit(1)).alias("le"), "v")
+    # both kinds in one aggregate, as two filters of df would compute it twice
+    b = r.groupBy("g", "k").agg(F.array_sort(F.collect_list(F.when(C("vm") != "", F.struct("hi", "le", "lo", "v")))).alias("bs"), F.collect_list(F.when(C("vm") == "", F.struct(F.lit(None).cast("string").alias("le"), "v"))).alias("plain"))
     total = F.aggregate("bs", F.lit(0.0), lambda a, x: a + x["v"])
-    upper = F.transform("bs", lambda x: F.struct(x["le"].alias("le"), F.aggregate(F.filter("bs", lambda y: y["hi"] <= x["hi"]), F.lit(0.0), lambda a, y: a + y["v"]).alias("v")))
+    upper = F.transform("bs", lambda x: F.struct(F.coalesce(x["le"], F.lit("")).alias("le"), F.aggregate(F.filter("bs", lambda y: y["hi"] <= x["hi"]), F.lit(0.0), lambda a, y: a + y["v"]).alias("v")))
     lower = F.filter(F.transform("bs", lambda x: F.struct(F.regexp_replace(F.format_string("%.3e", x["lo"]), "^0.000e\\+00$", "0").alias("le"), F.aggregate(F.filter("bs", lambda y: y["hi"] <= x["lo"]), F.lit(0.0), lambda a, y: a + y["v"]).alias("v"))), lambda x: ~F.exists("bs", lambda y: y["le"] == x["le"]))
-    inf = F.when(F.exists("bs", lambda x: x["le"] == "+Inf"), F.array().cast("array<struct<le:string,v:double>>")).otherwise(F.array(F.struct(F.lit("+Inf").alias("le"), total.alias("v"))))
-    out = b.select("g", "k", F.explode(F.concat(F.array_distinct(lower), upper, inf)).alias("x"))
-    return plain.unionByName(out.select(with_labels(C("g"), {"le": C("x.le")}).alias("sk"), "k", C("x.v").alias("v")))
+    inf = F.when((F.size("bs") == 0) | F.exists("bs", lambda x: x["le"] == "+Inf"), F.array().cast("array<struct<le:string,v:double>>")).otherwise(F.array(F.struct(F.lit("+Inf").alias("le"), total.alias("v"))))
+    out = b.select("g", "k", F.explode(F.concat("plain", F.array_distinct(lower), upper, inf)).alias("x"))
+    return out.select(F.when(C("x.le").isNull(), C("g")).otherwise(with_labels(C("g"), {"le": C("x.le")})).alias("sk"), "k", C("x.v").alias("v"))
 
 
 def gathered(df: DataFrame) -> DataFrame:

@@ -55,7 +55,8 @@ def selector_condition(s: Selector, enforced: tuple[tuple[Filter, ...], ...] = (
     return cond
 
 
-# An aggregate of rollups that is one aggregate of samples: the series in between need not be made.
+# An aggregate of rollups that is one aggregate of samples: the series in between need not be made. Some take a number.
+COUNTS = tuple(f"count_{x}_over_time" for x in ("eq", "ne", "gt", "le"))
 FUSED = {
     ("sum", "sum_over_time"): lambda: F.sum("v"),
     ("sum", "sum2_over_time"): lambda: F.sum(C("v") * C("v")),
@@ -63,7 +64,7 @@ FUSED = {
     ("max", "max_over_time"): lambda: F.max("v"),
     ("min", "min_over_time"): lambda: F.min("v"),
     ("group", "present_over_time"): lambda: F.max(F.lit(1.0)),
-}
+} | {("sum", f): lambda x, f=f: rollups.WITH_NUMBER[f](x).aggs["a"] for f in COUNTS}
 
 
 class Compiler:
@@ -108,14 +109,15 @@ class Compiler:
         raise QueryError(f"cannot evaluate {e!r}")
 
     # selectors and rollups
-    def select(self, s: Selector, start: int, end: int) -> DataFrame:
-        """sk, ts, v, is_stale of the samples of a selector in a time range."""
+    def select(self, s: Selector, start: int, end: int, key: Column | None = None) -> DataFrame:
+        """sk, ts, v, is_stale of the samples of a selector in a time range; key: what is read as sk, if not the series' own key."""
         condition = selector_condition(s, self.enforced)
         stored = not isinstance(self.samples, DataFrame)
         d = self.samples.select(condition, start, end) if stored else self.samples.where(C("ts_ms").between(start, end)).where(condition)
         d = d.where(C("is_stale") | (C("value").isNotNull() & ~F.isnan("value")))
-        named = F.map_concat(F.create_map(F.lit(NAME), F.coalesce("name", F.lit(""))), F.map_filter(F.coalesce("labels", F.create_map().cast("map<string,string>")), lambda k, _: k != NAME))
-        return d.select(C("sk") if stored else key_of(named).alias("sk"), C("ts_ms").alias("ts"), C("value").alias("v"), F.coalesce("is_stale", F.lit(False)).alias("is_stale"))
+        if key is None and not stored:
+            key = key_of(F.map_concat(F.create_map(F.lit(NAME), F.coalesce("name", F.lit(""))), F.map_filter(F.coalesce("labels", F.create_map().cast("map<string,string>")), lambda k, _: k != NAME)))
+        return d.select(C("sk") if stored else key.alias("sk"), C("ts_ms").alias("ts"), C("value").alias("v"), F.coalesce("is_stale", F.lit(False)).alias("is_stale"))
 
     def rollup_call(self, name: str, args: tuple, keep: bool) -> Scalar | Vector:
         # a list of names in parentheses has become a union of texts
@@ -307,9 +309,9 @@ class Compiler:
         if all(isinstance(p, Scalar) or p.single for p in parts):  # equal keys, all kept
             return Vector(_union([self.materialise(p).df.select(F.lit("" if i == 0 else f"{NAME}\x02#{i}").alias("sk"), "k", "v") for i, p in enumerate(parts)]))
         dfs = [self.materialise(p).df.select("sk", "k", "v", F.lit(i).alias("i")) for i, p in enumerate(parts)]
-        u = _union(dfs)
-        first = u.groupBy("sk").agg(F.min("i").alias("i"))
-        return Vector(u.join(first, ["sk", "i"]).select("sk", "k", "v"))
+        # a window and not a join with an aggregate, for which every part would be computed again
+        first = F.min("i").over(Window.partitionBy("sk"))
+        return Vector(_union(dfs).withColumn("first", first).where(C("i") == C("first")).select("sk", "k", "v"))
 
     def elementwise(self, e: Call, name: str) -> Scalar | Vector:
         keep = e.keep or name in names.TRANSFORMS_KEEP_NAME
@@ -437,9 +439,11 @@ class Compiler:
     def fused(self, e: Aggregate) -> DataFrame | None:
         """sk, k, v of an aggregate straight from samples, if its rollup allows that: one shuffle of groups, none of series."""
         call = e.args[0]
-        if len(e.args) != 1 or not isinstance(call, Call) or len(call.args) != 1 or not isinstance(call.args[0], Rollup):
+        if len(e.args) != 1 or not isinstance(call, Call) or not call.args or not isinstance(call.args[0], Rollup):
+            return None
+        name, t, numbers = call.name.lower(), call.args[0], call.args[1:]
+        if len(numbers) != (name in COUNTS) or not all(isinstance(x, Num) and not math.isnan(x.value) for x in numbers):
             return None
-        name, t = call.name.lower(), call.args[0]
         agg = FUSED.get((e.name, name))
         if agg is None or t.window is None or t.subquery or t.at is not None or not isinstance(t.expr, Selector) or not any(t.expr.groups):
             return None
@@ -448,11 +452,15 @@ class Compiler:
         window = t.window.ms(grid.step)
         if window <= 0:
             return None
-        d = self.select(t.expr, rollups.fetch_from(name, grid, window), grid.end).where(~C("is_stale"))
-        if not (call.keep or name in names.ROLLUPS_KEEP_NAME):
-            d = d.withColumn("sk", drop_name(C("sk")))
-        d = d.select(aggregates.group_key(e.mod, e.labels).alias("sk"), "ts", "v", F.lit(window).cast("bigint").alias("w"))
-        out = rollups.fan_out(d, grid, False).groupBy("sk", "k").agg(agg().alias("v"))
+        keep = call.keep or name in names.ROLLUPS_KEEP_NAME
+        # groups by labels need only those labels of a sample, not its series' key
+        direct = e.mod != "without" and isinstance(self.samples, DataFrame)
+        key = aggregates.sample_key([x for x in e.labels if keep or x != NAME]) if direct else None
+        d = self.select(t.expr, rollups.fetch_from(name, grid, window), grid.end, key).where(~C("is_stale"))
+        if not direct:
+            d = (d if keep else d.withColumn("sk", drop_name(C("sk")))).withColumn("sk", aggregates.group_key(e.mod, e.labels))
+        d = d.select("sk", "ts", "v", F.lit(window).cast("bigint").alias("w"))
+        out = rollups.fan_out(d, grid, False).groupBy("sk", "k").agg(agg(*(F.lit(float(x.value)) for x in numbers)).alias("v"))
         return out.select("sk", "k", missing_if_nan(C("v")).alias("v"))
 
     def aggregate(self, e: Aggregate) -> Vector:
