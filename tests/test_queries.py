@@ -75,7 +75,7 @@ def scans(df) -> list[str]:
     return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in line]
 
 
-@pytest.mark.parametrize("name", ["transform_histogram_quantile", "transform_histogram_stdvar", "transform_histogram_share"])
+@pytest.mark.parametrize("name", ["transform_histogram_quantile", "transform_histogram_stdvar", "transform_histogram_share", "transform_histogram_fraction"])
 def test_histograms_read_the_samples_of_a_bucket_once(spark, name):
     # four buckets, each straight from the samples: no series of users in between
     read = scans(registry.queries()[name](spark, DATA))
